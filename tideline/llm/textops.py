@@ -71,11 +71,20 @@ def chunks(texts: pa.Array, lower: bool = True) -> Iterator[tuple[int, np.ndarra
         first = last
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words, and for each document the index of its first word (n + 1 values)."""
+@lru_cache(maxsize=1)
+def letters() -> np.ndarray:
+    """True for ASCII letters and all bytes of other characters."""
+    table = np.zeros(256, bool)
+    table[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
+    return table
+
+
+def words(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, and for each document the index of its first word (n + 1 values).
+    ``separator``: for each byte value whether it parts words; white space by default."""
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    space = _is_space()[data]
+    space = (_is_space() if separator is None else separator)[data]
     starts = ~space
     starts[1:] &= space[:-1]
     ends = ~space
