@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embed_dedup, lang_mix, mpeg, ngram_join, secret_scan, url_rules
+from . import embed_dedup, lang_mix, mpeg, ngram_join, packing, raking, secret_scan, toxicity, url_rules
 
 #: The rule list that op3 applies (verdict, host, path).
 URL_RULES = [
@@ -35,10 +35,18 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_mix.identify(table(spark, sf_dir, "documents"))
 
 
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raking.mix_report(table(spark, sf_dir, "documents"))
+
+
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.embedding_near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_report(table(spark, sf_dir, "documents"))
 
@@ -47,7 +55,10 @@ def op9_mpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpeg.media_columns(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ngram_jaccard, op3_url_rules, op4_language, op6_embedding_dedup, op8_secrets, op9_mpeg_media)
-}
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+_ALL = (op1_ngram_jaccard, op3_url_rules, op4_language, op5_source_mixing, op6_embedding_dedup, op7_toxicity, op8_secrets, op9_mpeg_media, op10_packing)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 ORACLES: dict[str, str] = {}
