@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embed_dedup, lang_mix, mpeg, ngram_join, packing, raking, secret_scan, toxicity, url_rules
+from . import embed_dedup, html_blocks, lang_mix, mpeg, ngram_join, packing, raking, secret_scan, toxicity, url_rules
 
 #: The rule list that op3 applies (verdict, host, path).
 URL_RULES = [
@@ -26,6 +26,10 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_blocks.main_text(table(spark, sf_dir, "pages"))
+
+
 def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_rules.judged(table(spark, sf_dir, "pages"), url_rules.rule_table(spark, URL_RULES))
     return judged.select("page_id", "host", "path", "rule", "verdict")
@@ -59,6 +63,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-_ALL = (op1_ngram_jaccard, op3_url_rules, op4_language, op5_source_mixing, op6_embedding_dedup, op7_toxicity, op8_secrets, op9_mpeg_media, op10_packing)
+_ALL = (op1_ngram_jaccard, op2_html_text, op3_url_rules, op4_language, op5_source_mixing, op6_embedding_dedup, op7_toxicity, op8_secrets, op9_mpeg_media, op10_packing)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 ORACLES: dict[str, str] = {}
