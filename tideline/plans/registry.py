@@ -10,4 +10,20 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-FLAGSHIP: Query | None = None
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query, and the SQL that gives the same rows."""
+
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+from . import access, cohorts, features, linkage, quality, scoring  # noqa: E402, F401
+
+FLAGSHIP: Query = QUERIES["flagship_point_in_time_rates"]
