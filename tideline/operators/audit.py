@@ -33,7 +33,9 @@ def future_truncation(builder: Builder, panel: DataFrame, day: str, keys: Sequen
     rebuild serves all. Rows before a cutoff must not change."""
     copies = panel.join(F.broadcast(cutoffs), F.col(day) < F.col("cutoff"))
     own = F.concat_ws("|", F.col("cutoff").cast("string"), F.col(entity).cast("string"))
-    rebuilt = builder(copies.withColumn("_entity", F.col(entity)).withColumn(entity, own)).withColumn(entity, F.col("_entity"))
+    rebuilt = builder(copies.withColumn(entity, own).drop("cutoff"))
+    parts = F.split(entity, r"\|", 2)
+    rebuilt = rebuilt.withColumn("cutoff", parts[0].cast("date")).withColumn(entity, parts[1].cast(panel.schema[entity].dataType))
     base = builder(panel).select(*keys, *columns)
     got = rebuilt.select("cutoff", *keys, *(F.col(c).alias(f"_{c}") for c in columns))
     both = got.join(base, list(keys))
