@@ -24,6 +24,6 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-from . import access, cohorts, features, linkage, quality, scoring  # noqa: E402, F401
+from . import access, cohorts, features, linkage, models, quality, scoring  # noqa: E402, F401
 
 FLAGSHIP: Query = QUERIES["flagship_point_in_time_rates"]
