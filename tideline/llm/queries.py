@@ -65,4 +65,27 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL = (op1_ngram_jaccard, op2_html_text, op3_url_rules, op4_language, op5_source_mixing, op6_embedding_dedup, op7_toxicity, op8_secrets, op9_mpeg_media, op10_packing)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
-ORACLES: dict[str, str] = {}
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_URL_SQL = f"""WITH u AS (SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '{_UPPER}', '{_LOWER}'), '') AS host,
+ coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+ r(verdict, h, p) AS (VALUES {", ".join(map(str, URL_RULES))}),
+ m AS (SELECT page_id, h || p AS rule, verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(h) + length(p) DESC, length(h) DESC) AS n
+ FROM u JOIN r ON (u.host = h OR ends_with(u.host, '.' || h)) AND starts_with(u.path, p))
+ SELECT u.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM u LEFT JOIN m ON m.page_id = u.page_id AND n = 1"""
+
+
+def _spans_sql(rank: int, kind: str, pattern: str, least: int) -> str:
+    q = pattern.replace("'", "''")
+    whole, value = f"regexp_extract_all(t, '{q}')", f"regexp_extract_all(t, '{q}', 1)" if least else "h"
+    row = f"{{'s': (coalesce(list_sum(list_transform(g[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(h[1:i-1], lambda x: length(x))), 0))::BIGINT, 'r': {rank}, 'k': '{kind}', 'n': length(h[i]), 'v': length(v[i])}}"
+    return f"(SELECT doc_id, list_filter(list_transform(range(1, len(h) + 1), lambda i: {row}), lambda z: z.v >= {least or 1}) AS z FROM (SELECT doc_id, g, h, {value} AS v FROM (SELECT doc_id, t, regexp_split_to_array(t, '{q}') AS g, {whole} AS h FROM d)))"
+
+
+_SECRET_SQL = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), a AS {_spans_sql(0, *secret_scan.PATTERNS[0])}, b AS {_spans_sql(1, *secret_scan.PATTERNS[1])}, c AS {_spans_sql(2, *secret_scan.PATTERNS[2])},
+ x AS (SELECT doc_id, len(a.z) AS n_assign, len(b.z) AS n_access, len(c.z) AS n_hex, array_to_string(list_transform(list_sort(a.z || b.z || c.z), lambda y: y.k || ':' || y.s || ':' || (y.s + y.n)), ',') AS spans FROM a JOIN b USING (doc_id) JOIN c USING (doc_id))
+ SELECT doc_id, n_assign, n_access, n_hex, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans FROM x"""
+
+#: The other operators are beyond SQL: their tests hold them against brute force, exact
+#: round trips or held-out labels.
+ORACLES: dict[str, str] = {"op3_url_rules": _URL_SQL, "op8_secrets": _SECRET_SQL}
