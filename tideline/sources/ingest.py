@@ -22,7 +22,8 @@ def read_csv_lenient(spark: SparkSession, path: str, schema: T.StructType) -> tu
     good = spark.read.schema(schema).option("header", True).option("mode", "DROPMALFORMED").csv(path)
     wide = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
     seen = spark.read.schema(wide).option("header", True).option("mode", "PERMISSIVE").option("enforceSchema", True).csv(path)
-    return good, seen.where("_corrupt_record is not null").select("_corrupt_record")
+    # Spark only reads this column alone from what is cached
+    return good, seen.cache().where("_corrupt_record is not null").select("_corrupt_record")
 
 
 def trimmed(df: DataFrame) -> DataFrame:
