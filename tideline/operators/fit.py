@@ -17,14 +17,14 @@ from pyspark.sql import functions as F
 from ..functions.scalar import logit
 
 
-def imputed(df: DataFrame, columns: Sequence[str], train: Column) -> DataFrame:
+def imputed(df: DataFrame, columns: Sequence[str], train: Column | str) -> DataFrame:
     """Nulls become the exact median of the training rows (0 where there is none)."""
     m = df.where(train).agg(*(F.coalesce(F.percentile(c, 0.5), F.lit(0.0)).alias(f"_m_{c}") for c in columns))
     out = df.join(F.broadcast(m))  # one row
     return out.withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"_m_{c}")) for c in columns}).drop(*m.columns)
 
 
-def standardised(df: DataFrame, columns: Sequence[str], train: Column) -> DataFrame:
+def standardised(df: DataFrame, columns: Sequence[str], train: Column | str) -> DataFrame:
     """Mean 0 and population deviation 1 on the training rows."""
     m = df.where(train).agg(*(F.avg(c).alias(f"_a_{c}") for c in columns), *(F.stddev_pop(c).alias(f"_s_{c}") for c in columns))
     z = {c: (F.col(c) - F.col(f"_a_{c}")) / F.when(F.col(f"_s_{c}") > 0, F.col(f"_s_{c}")).otherwise(1.0) for c in columns}

@@ -18,7 +18,7 @@ SCHEDULE = ["rest_days", "rows_7d", "panel_rows", "season_rows"]
 ALL = BASE + SCHEDULE
 LEAK = ["cents", "n"]
 SMALL = {"trees": 20, "depth": 5}
-TRAIN = F.col("season") <= 1
+TRAIN = "season <= 1"
 
 
 def model_table(spark, d, window: int = 3) -> DataFrame:
@@ -115,7 +115,7 @@ def l08(spark, d):
 def l09(spark, d):
     t = model_table(spark, d)
     cohorts = {"all": F.lit(True), "late": F.col("season") >= 1}
-    return union(evaluated(L.scored(L.fit_logistic(t.where(c & TRAIN), x), t.where(c & (F.col("season") >= 3)), x), cohort=n, features=m) for n, c in cohorts.items() for m, x in (("all", ALL), ("base", BASE)))
+    return union(evaluated(L.scored(L.fit_logistic(t.where(c).where(TRAIN), x), t.where(c & (F.col("season") >= 3)), x), cohort=n, features=m) for n, c in cohorts.items() for m, x in (("all", ALL), ("base", BASE)))
 
 
 @query("l10_one_vs_rest")
