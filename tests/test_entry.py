@@ -1,7 +1,8 @@
+import os
 import subprocess
 import sys
 
-from conftest import ROOT
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
 def test_entry_imports_without_a_session():

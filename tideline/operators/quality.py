@@ -7,20 +7,22 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalar import draw
+
+
+def row_digest(id_: Column) -> Column:
+    """Which rows a cell has, in whatever order and number: sum and xor of md5 draws. Partial
+    aggregation keeps a cell of any size to one row per task."""
+    h = draw(id_)
+    return F.concat_ws(":", F.sum(h).cast("string"), F.bit_xor(h).cast("string"))
+
 
 def contradictions(df: DataFrame, pairs: Sequence[tuple[str, str]], by: Sequence[str], id_: str) -> DataFrame:
     """(pair, by, n, digest): rows whose count is positive while the share derived from it is
-    zero. The digest says *which* rows are in a cell, in whatever order they come."""
+    zero."""
     hits = F.array(*(F.when((F.col(a) > 0) & (F.col(b) == 0), F.lit(f"{a}/{b}")) for a, b in pairs))
     long = df.select(*by, id_, F.explode(F.array_compact(hits)).alias("pair"))
-    ids = F.sort_array(F.collect_list(F.col(id_)))  # a cell of known defects; see digest_large for others
-    return long.groupBy("pair", *by).agg(F.count("*").alias("n"), F.substring(F.sha2(F.array_join(ids, "\n"), 256), 1, 16).alias("digest"))
-
-
-def digest_large(df: DataFrame, by: Sequence[str], id_: str) -> DataFrame:
-    """(by, n, digest) for cells of any size: sums and xor of hashes instead of a list."""
-    h = F.xxhash64(id_)
-    return df.groupBy(*by).agg(F.count("*").alias("n"), F.concat_ws(":", F.hex(F.bit_xor(h)), F.sum(h % 1_000_003).cast("string")).alias("digest"))
+    return long.groupBy("pair", *by).agg(F.count("*").alias("n"), row_digest(F.col(id_)).alias("digest"))
 
 
 def against_ledger(observed: DataFrame, ledger: DataFrame, keys: Sequence[str]) -> DataFrame:

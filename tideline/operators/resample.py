@@ -11,12 +11,12 @@ from ..functions.scalar import draw
 
 def cluster_weights(clusters: DataFrame, cluster: str, replicates: int, seed: int) -> DataFrame:
     """(rep, cluster, w): how often each cluster is drawn in each replicate, with as many
-    draws as clusters. ``clusters``: distinct ones; they are numbered in order."""
-    numbered = clusters.select(cluster, (F.row_number().over(W.partitionBy(F.lit(0)).orderBy(cluster)) - 1).cast("long").alias("_i"))
-    size = numbered.agg(F.count("*").alias("_n"))
-    reps = clusters.sparkSession.range(replicates).withColumnRenamed("id", "rep")
-    slots = reps.join(F.broadcast(size)).select("rep", "_n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("slot"))
-    picked = slots.withColumn("_i", draw(F.lit(str(seed)), F.col("rep"), F.col("slot")) % F.col("_n"))
+    draws as clusters. ``clusters``: distinct ones; they are numbered in md5 order."""
+    spark = clusters.sparkSession
+    numbered = numbered_by_md5(clusters.select(cluster), "_i", cluster)
+    n = clusters.count()
+    slots = spark.range(replicates * n).select(F.expr(f"id div {max(n, 1)}").alias("rep"), (F.col("id") % max(n, 1)).alias("slot"))
+    picked = slots.withColumn("_i", draw(F.lit(str(seed)), F.col("rep"), F.col("slot")) % max(n, 1) + 1)
     return picked.groupBy("rep", "_i").agg(F.count("*").alias("w")).join(numbered, "_i").select("rep", cluster, "w")
 
 
@@ -30,11 +30,13 @@ def shuffled_order(seed: int, *key: str) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.col(k).cast("string") for k in key)))
 
 
-def stratified_split(df: DataFrame, label: str, fraction: float, seed: int, *key: str) -> DataFrame:
-    """``df`` with ``is_test``: exactly round(fraction x size) rows of each stratum."""
-    w = W.partitionBy(label)
-    place = F.row_number().over(w.orderBy(shuffled_order(seed, *key), *key))
-    return df.withColumn("is_test", place <= F.bround(F.count("*").over(w) * fraction))
+def stratified_split(df: DataFrame, label: str, fraction: float, seed: int, *key: str, parts: int = 64) -> DataFrame:
+    """``df`` with ``is_test``: exactly round(fraction x size) rows of each stratum, the first
+    in md5 order; a stratum of any size is numbered in ranges."""
+    placed = _numbered(df.withColumn("_o", shuffled_order(seed, *key)), "_o", key, parts, (label,))
+    sizes = df.groupBy(label).agg(F.bround(F.count("*") * fraction).alias("_test")).withColumnRenamed(label, "_l")
+    met = placed.join(F.broadcast(sizes), F.col(label).eqNullSafe(F.col("_l")))
+    return met.withColumn("is_test", F.col("_n") <= F.col("_test")).drop("_n", "_o", "_l", "_test")
 
 
 def permuted(df: DataFrame, column: str, seed: int, *key: str, parts: int = 64) -> DataFrame:
@@ -47,10 +49,21 @@ def permuted(df: DataFrame, column: str, seed: int, *key: str, parts: int = 64)
     return left.join(right, "_n").withColumn(column, F.col("_new")).drop("_n", "_new", "_o")
 
 
-def _numbered(df: DataFrame, order: str, key: tuple[str, ...], parts: int) -> DataFrame:
-    """``df`` with ``_n``, the place of each row by ``order`` (an md5 string)."""
+def numbered_by_md5(df: DataFrame, name: str, *key: str, parts: int = 64) -> DataFrame:
+    """``df`` with ``name``: 1, 2, ... in the order of the key's md5, in ranges, not in one task."""
+    h = F.md5(F.concat_ws(":", *(F.col(k).cast("string") for k in key)))
+    return _numbered(df.withColumn("_o", h), "_o", key, parts).withColumnRenamed("_n", name).drop("_o")
+
+
+def _numbered(df: DataFrame, order: str, key: tuple[str, ...], parts: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with ``_n``, the place of each row by ``order`` (an md5 string), within ``by``."""
     part = F.floor(F.conv(F.substring(order, 1, 4), 16, 10).cast("long") * parts / 65536)
     df = df.withColumn("_p", part)
-    sizes = df.groupBy("_p").agg(F.count("*").alias("_c"))
-    before = sizes.select("_p", F.coalesce(F.sum("_c").over(W.partitionBy(F.lit(0)).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
-    return df.withColumn("_r", F.row_number().over(W.partitionBy("_p").orderBy(order, *key))).join(F.broadcast(before), "_p").withColumn("_n", F.col("_b") + F.col("_r")).drop("_p", "_r", "_b")
+    sizes = df.groupBy(*by, "_p").agg(F.count("*").alias("_c"))
+    ahead = W.partitionBy(*(by or [F.lit(0)])).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)  # ``parts`` rows
+    before = sizes.select(*(F.col(c).alias(f"_b_{c}") for c in by), F.col("_p").alias("_q"), F.coalesce(F.sum("_c").over(ahead), F.lit(0)).alias("_b"))
+    met = F.col("_p") == F.col("_q")
+    for c in by:
+        met = met & F.col(c).eqNullSafe(F.col(f"_b_{c}"))
+    ranked = df.withColumn("_r", F.row_number().over(W.partitionBy(*by, "_p").orderBy(order, *key)))
+    return ranked.join(F.broadcast(before), met).withColumn("_n", F.col("_b") + F.col("_r")).drop("_p", "_r", "_b", "_q", *(f"_b_{c}" for c in by))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..functions.scalar import differs, direction, r6, rate, right_closed, season_label
 from ..operators import features as X
+from ..operators.quality import row_digest
 from ..operators.rates import rates, rates_all_bins, ratio_by
 from .linkage import BREAKS, J8, breaks, missed_days
 from .registry import query
@@ -124,10 +125,10 @@ def a16(spark, d):
     return x.where("prev is not null").groupBy("state").agg(r6(F.avg((F.col("cents") > F.col("prev")).cast("int"))).alias("p_increase"))
 
 
-@query("a17_cell_digest", "SELECT year(l_shipdate)::INT AS season, count(*) AS n, substr(sha256(string_agg(l_orderkey || ':' || l_linenumber, chr(10) ORDER BY l_orderkey || ':' || l_linenumber)), 1, 16) AS digest FROM lineitem WHERE l_discount = 0 AND l_quantity > 45 GROUP BY 1")
+@query("a17_cell_digest", "SELECT year(l_shipdate)::INT AS season, count(*) AS n, CAST(sum(('0x' || substr(md5(l_orderkey || ':' || l_linenumber), 1, 8))::BIGINT) AS VARCHAR) || ':' || CAST(bit_xor(('0x' || substr(md5(l_orderkey || ':' || l_linenumber), 1, 8))::BIGINT) AS VARCHAR) AS digest FROM lineitem WHERE l_discount = 0 AND l_quantity > 45 GROUP BY 1")
 def a17(spark, d):
     x = table(spark, d, "lineitem").where("l_discount = 0 and l_quantity > 45").select(F.year("l_shipdate").cast("int").alias("season"), F.concat_ws(":", "l_orderkey", "l_linenumber").alias("id"))
-    return x.groupBy("season").agg(F.count("*").alias("n"), F.substring(F.sha2(F.array_join(F.sort_array(F.collect_list("id")), "\n"), 256), 1, 16).alias("digest"))
+    return x.groupBy("season").agg(F.count("*").alias("n"), row_digest(F.col("id")).alias("digest"))
 
 
 @query("a19_entity_mean", f"WITH {E_CTE} SELECT user_id, day, {sql6('avg(cents) OVER (PARTITION BY user_id)')} AS entity_mean FROM app")

@@ -143,7 +143,9 @@ def q07(spark, d):
 
 PAIRS = [("l_quantity", "l_discount"), ("l_quantity", "l_tax"), ("l_extendedprice", "l_discount")]
 SWEEP = " UNION ALL ".join(f"SELECT '{a}/{b}' AS pair, CAST(year(l_shipdate) AS INTEGER) AS season, l_orderkey || ':' || l_linenumber AS id FROM lineitem WHERE {a} > 0 AND {b} = 0" for a, b in PAIRS)
-CELLS = f"SELECT pair, season, count(*) AS n, substr(sha256(string_agg(id, chr(10) ORDER BY id)), 1, 16) AS digest FROM ({SWEEP}) GROUP BY pair, season"
+H8 = "('0x' || substr(md5(id), 1, 8))::BIGINT"
+SQL_DIGEST = f"CAST(sum({H8}) AS VARCHAR) || ':' || CAST(bit_xor({H8}) AS VARCHAR)"
+CELLS = f"SELECT pair, season, count(*) AS n, {SQL_DIGEST} AS digest FROM ({SWEEP}) GROUP BY pair, season"
 
 
 def lines(spark, d):
@@ -257,7 +259,7 @@ def q21(spark, d):
     return f.groupBy("season").agg(F.count(F.when((F.col("l_quantity") > 0) & (F.col("l_tax") == 0), 1)).alias("with_fault"))
 
 
-@query("r06_effective_change", f"WITH {E_CTE}, h AS (SELECT user_id, cents, row_number() OVER (ORDER BY user_id) AS i, count(*) OVER () AS m FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY md5('9:' || user_id || ':' || CAST(day AS VARCHAR))) AS r FROM app) WHERE r = 1) SELECT {sql6('avg((a.cents <> b.cents)::INT)')} AS changed FROM h a JOIN h b ON b.i = a.i % a.m + 1")
+@query("r06_effective_change", f"WITH {E_CTE}, h AS (SELECT user_id, cents, row_number() OVER (ORDER BY md5(CAST(user_id AS VARCHAR))) AS i, count(*) OVER () AS m FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY md5('9:' || user_id || ':' || CAST(day AS VARCHAR))) AS r FROM app) WHERE r = 1) SELECT {sql6('avg((a.cents <> b.cents)::INT)')} AS changed FROM h a JOIN h b ON b.i = a.i % a.m + 1")
 def r06e(spark, d):
     from .scoring import r06
 

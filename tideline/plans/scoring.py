@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalar import auc_error, direction, logit, r6, risk_ratio, wilson
@@ -172,7 +171,7 @@ def f11(spark, d):
 
 REPS = 40
 DRAW = "('0x' || substr(md5({}), 1, 8))::BIGINT"
-BOOT = f"""WITH {S_CTE}, kl AS (SELECT cluster, row_number() OVER (ORDER BY cluster) - 1 AS i FROM (SELECT DISTINCT cluster FROM sc)), sz AS (SELECT count(*) AS m FROM kl),
+BOOT = f"""WITH {S_CTE}, kl AS (SELECT cluster, row_number() OVER (ORDER BY md5(CAST(cluster AS VARCHAR))) - 1 AS i FROM (SELECT DISTINCT cluster FROM sc)), sz AS (SELECT count(*) AS m FROM kl),
  dr AS (SELECT rep, {DRAW.format("'7:' || rep || ':' || slot")} % m AS i FROM sz, range({REPS}) r(rep), LATERAL (SELECT unnest(range(m)) AS slot)),
  wt AS (SELECT rep, cluster, count(*) AS w FROM dr JOIN kl USING (i) GROUP BY rep, cluster)"""
 
@@ -238,11 +237,10 @@ def r05(spark, d):
     return R.stratified_split(scores(spark, d).select("l_orderkey", "l_linenumber", "y"), "y", 0.25, 3, "l_orderkey", "l_linenumber")
 
 
-@query("r06_donor_row", f"WITH {E_CTE}, x AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY md5('9:' || user_id || ':' || CAST(day AS VARCHAR))) AS r FROM app), h AS (SELECT user_id, day, cents, row_number() OVER (ORDER BY user_id) AS i FROM x WHERE r = 1), m AS (SELECT count(*) AS n FROM h) SELECT a.user_id, a.day, a.cents AS old_cents, b.cents AS new_cents FROM h a, m JOIN h b ON b.i = a.i % n + 1")
+@query("r06_donor_row", f"WITH {E_CTE}, x AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY md5('9:' || user_id || ':' || CAST(day AS VARCHAR))) AS r FROM app), h AS (SELECT user_id, day, cents, row_number() OVER (ORDER BY md5(CAST(user_id AS VARCHAR))) AS i FROM x WHERE r = 1), m AS (SELECT count(*) AS n FROM h) SELECT a.user_id, a.day, a.cents AS old_cents, b.cents AS new_cents FROM h a, m JOIN h b ON b.i = a.i % n + 1")
 def r06(spark, d):
     hit = one_row_per_entity(appearances(spark, d), "user_id", "day", 9).where("hit").select("user_id", "day", "cents")
-    one = W.partitionBy(F.lit(0))  # a row for each entity
-    h = hit.withColumns({"i": F.row_number().over(one.orderBy("user_id")), "m": F.count("*").over(one)})
+    h = R.numbered_by_md5(hit, "i", "user_id").join(F.broadcast(hit.agg(F.count("*").alias("m"))))
     donor = h.select(F.col("i").alias("j"), F.col("cents").alias("new_cents"))
     return h.join(donor, F.col("j") == F.col("i") % F.col("m") + 1).select("user_id", "day", F.col("cents").alias("old_cents"), "new_cents")
 
