@@ -259,7 +259,8 @@ def e09(spark, d):
     return g.select("wk", "n", r6(F.col("u")).alias("unknown"), r6(F.col("u") - F.lag("u").over(W.partitionBy(F.lit(0)).orderBy("wk"))).alias("change"))
 
 
-RULES = [("french", r"(?i)\b(les|des|une|dans|pour)\b"), ("german", r"(?i)\b(der|das|und|nicht)\b"), ("spanish", r"(?i)\b(los|del|por|una)\b"), ("english", r"(?i)\b(the|and|with|that)\b")]
+EDGE = "[^A-Za-z]"  # word edges that do not depend on what an engine calls a letter
+RULES = [(label, f"(?i)(^|{EDGE})({words})({EDGE}|$)") for label, words in (("french", "les|des|une|dans|pour"), ("german", "der|das|und|nicht"), ("spanish", "los|del|por|una"), ("english", "the|and|with|that"))]
 RULE_SQL = "CASE " + " ".join(f"WHEN regexp_matches(text, '{p}') THEN '{label}'" for label, p in RULES) + " ELSE 'none' END"
 
 
