@@ -1,9 +1,11 @@
 """Operators against brute force, exact round trips and held-out labels."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -251,3 +253,43 @@ def test_url_rules_against_all_rules(spark):
     for got in url_rules.judged(spark.createDataFrame(rows, "page_id long, url string"), url_rules.rule_table(spark, rules)).collect():
         fit = [(len(h) + len(p), len(h), v, h + p) for v, h, p in rules if (got["host"] == h or got["host"].endswith("." + h)) and got["path"].startswith(p)]
         assert (got["rule"], got["verdict"]) == ((max(fit)[3], max(fit)[2]) if fit else (None, "allow"))
+
+
+def test_toxicity_keeps_rare_bigrams(spark):
+    # a toxic expression of common words, among more frequent ordinary bigrams than any fixed table holds
+    r = np.random.default_rng(5)
+    words = np.array([f"w{k}" for k in range(1200)])
+    rows = [(k, " ".join(words[r.integers(0, 1200, 1500)]), int(k % 7 == 1)) for k in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit_counts(docs)
+    want = Counter()
+    for _, text, t in rows:
+        own = text.split()
+        want.update((a, b, t) for a, b in zip([None, *own[:-1]], own, strict=True))
+    seen = {(a, b) for a, b, _ in want}
+    assert len(seen) > 400_000
+    words_met = {b for _, b in seen}
+    assert model.table.count() == len(seen) + 3 * (len(words_met) + 1)
+    assert model.table.where("a + b = 1").count() >= sum(want[a, b, 0] + want[a, b, 1] == 1 for a, b in seen)
+    # signals against a dictionary, with unseen bigrams backed off and an unknown word
+    text = "w1 w2 w3 unknown w5 w5"
+    got = toxicity.signalled(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).collect()[0]
+    D, size = toxicity.DISCOUNT, len(words_met) + 1
+    by = [{(a, b): n for (a, b, t), n in want.items() if t == c} for c in (1, 0)]
+    into = [Counter(b for _, b in x) for x in by]
+    out = [Counter(a for a, _ in x) for x in by]
+    total = [Counter() for _ in by]
+    for c, x in zip(total, by, strict=True):
+        for (a, _), n in x.items():
+            c[a] += n
+
+    def p(c, a, b):
+        alone = (max(into[c][b] - D, 0) + (D * len(into[c]) + 1) / (size + 1)) / (len(by[c]) + 1) if b in words_met else 1
+        if not total[c][a]:
+            return alone
+        return max(by[c].get((a, b), 0) - D, 0) / total[c][a] + D * out[c][a] / total[c][a] * alone
+
+    own = text.split()
+    ratio = [math.log(p(0, a, b) / p(1, a, b)) for a, b in zip([None, *own[:-1]], own, strict=True)]
+    assert got["n"] == 6 and abs(got["whole"] - sum(ratio) / 6) < 1e-9
+    assert abs(got["window3"] - max(sum(ratio[k : k + 3]) / 3 for k in range(4))) < 1e-9

@@ -4,15 +4,17 @@ Bigrams of words (runs of letters, digits and other non-ASCII characters, lower
 counted exactly for both classes over all labelled rows of the training folds. A word's
 probability in a class is its discounted bigram count, backing off to the class's
 continuation counts (how many different words it follows), which back off to one level shared
-by both classes, its mass spread over the words that either has. What is rare in both (``LEAST``) is backed off in both alike,
-so that the smaller class gains nothing from chance. A text's signals are log-likelihood ratios per word: of the
+by both classes, its mass spread over the words that either has. A word that neither class
+has speaks for neither. A text's signals are log-likelihood ratios per word: of the
 whole text, and the highest of any window of 1 and of 3 words (``WINDOWS``; single words by
 their continuation counts, which copies of a text do not raise), so that a few words in a very
 long text are not averaged away. A logistic curve turns the signals into a score; it is
 fitted on rows of another fold than the counts.
 
-The model has ``MAX_WORDS`` words and ``MAX_BIGRAMS`` bigrams at most, those of the highest
-counts (toxic ones weigh ten times); what lies beyond them counts as unseen and backs off.
+All counts are kept, as a table in the shared folder, however many there are. Texts are dealt
+into blocks of about ``BLOCK_BYTES``. A block asks once for each different word and bigram that
+it has: the keys go to the shards of the table by hash, the counts come back to the block. So
+a frequent bigram is asked for once by a block, and nothing of the model is in one place.
 
 Results: one row per row. A text without words (null, empty) has the share of toxic rows
 among the labelled ones as its score; without labelled rows every score is 0. A document
@@ -23,23 +25,26 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import textops
 from .store import stored
 
 WINDOWS = (1, 3)
-MAX_WORDS, MAX_BIGRAMS = 1 << 17, 1 << 18
 CALIBRATION_ROWS = 20_000
-SLICE = 1000  # rows of a batch that are worked on at once
+SLICE = 1000  # rows of a batch that are counted at once
+BLOCK_ROWS, BLOCK_BYTES = 4000, 8 << 20  # of texts that are scored at once; a longer text is a block of its own
+SHARDS, SHARD_BIGRAMS = 256, 500_000
 DISCOUNT = 0.75
-LEAST = 4  # words met in fewer contexts, and bigrams of fewer occurrences, count as unseen in both classes
 BROADCAST_ROWS = 2_000_000  # labels; beyond it the join shuffles
+SIGNALS = ["n", "whole", *(f"window{k}" for k in WINDOWS)]
+_KINDS = tuple(np.uint64(k) for k in (0x51A3C07B2D9E6F11, 0x2B7E151628AED2A7, 0x6A09E667F3BCC909))  # c, t and d of a word
 
 
 def fold(doc_id: Column) -> Column:
@@ -81,39 +86,34 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Model:
-    """Words and bigrams in order of their hashes; columns are classes 1 (toxic) and 0."""
-
-    words: np.ndarray
-    unigram: np.ndarray  # (words + 1, 3) both class probabilities and the log ratio, the last for unknown words
-    total: np.ndarray  # (words + 1, 2) tokens after the word
-    types: np.ndarray  # (words + 1, 2) different words after it
-    bigrams: np.ndarray
-    count: np.ndarray  # (bigrams + 1, 2)
+    """The counts by key, and what is known of all of them; pairs are classes 1 (toxic) and 0."""
+
+    table: DataFrame  # key, a, b: counts of a bigram; contexts, tokens after and words after of a word
+    shards: int
+    bigrams: tuple  # different bigrams
+    types: tuple  # words that the class has
+    size: int  # words that either has
     base: float = 0.0
     weights: tuple = ()
     mean: tuple = ()
     scale: tuple = ()
 
-    def ratios(self, w: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log P_toxic(w | v) - log P_ordinary(w | v), and the same for w alone."""
-        alone_ratio = self.unigram[_find(self.words, w), 2]
-        ratio = alone_ratio.copy()
-        pair = _find(self.bigrams, textops.mix(v) ^ w)
-        at = np.flatnonzero(pair < len(self.bigrams))
-        wi, vi, pair = _find(self.words, w[at]), _find(self.words, v[at]), pair[at]
-        total, alone = self.total[vi], self.unigram[wi, :2]
-        seen = np.maximum(self.count[pair] - DISCOUNT, 0)
-        p = np.where(total > 0, (seen + DISCOUNT * self.types[vi] * alone) / np.maximum(total, 1), alone)
-        ratio[at] = np.log(p[:, 0]) - np.log(p[:, 1])
-        return ratio, alone_ratio
 
+def _word_key(x, kind: int):
+    return textops.mix(x ^ _KINDS[kind])
 
-def _find(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Place of each value in sorted ``keys``; len(keys) where it is not there."""
-    if not len(keys):
-        return np.zeros(len(x), np.int64)
-    at = np.searchsorted(keys, x)
-    return np.where(keys[np.minimum(at, len(keys) - 1)] == x, at, len(keys))
+
+def _keyed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        v, w = (batch.column(k).to_numpy().view(np.uint64) for k in (0, 1))
+        yield pa.RecordBatch.from_arrays([pa.array((textops.mix(v) ^ w).view(np.int64)), batch.column(2), batch.column(3)], ["key", "a", "b"])
+
+
+def _word_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        x = batch.column(0).to_numpy().view(np.uint64)
+        for kind in range(3):
+            yield pa.RecordBatch.from_arrays([pa.array(_word_key(x, kind).view(np.int64)), batch.column(1 + 2 * kind), batch.column(2 + 2 * kind)], ["key", "a", "b"])
 
 
 def fit_counts(labelled: DataFrame) -> Model | None:
@@ -121,42 +121,111 @@ def fit_counts(labelled: DataFrame) -> Model | None:
     pairs = stored(labelled.select("toxic", "text").mapInArrow(_count, "v long, w long, n1 long, n0 long").groupBy("v", "w").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")), "bigrams")
     met = lambda n: F.count(F.when(F.col(n) > 0, 1))
     after = pairs.groupBy(F.col("v").alias("x")).agg(F.sum("n1").alias("t1"), F.sum("n0").alias("t0"), met("n1").alias("d1"), met("n0").alias("d0"))
-    before = pairs.groupBy(F.col("w").alias("x")).agg(met("n1").alias("c1"), met("n0").alias("c0"), F.count("*").alias("c"), F.sum("n1").alias("u1"), F.sum("n0").alias("u0"))
+    before = pairs.groupBy(F.col("w").alias("x")).agg(met("n1").alias("c1"), met("n0").alias("c0"))
     words = stored(before.join(after, "x", "full").na.fill(0), "words")
-    whole = words.agg(F.sum("c1"), F.sum("c0"), F.sum("c"), F.count(F.when(F.col("c1") > 0, 1)), F.count(F.when(F.col("c0") > 0, 1)), F.count("*")).first()
-    if not whole[2]:
+    whole = words.agg(F.sum("c1"), F.sum("c0"), F.count(F.when(F.col("c1") > 0, 1)), F.count(F.when(F.col("c0") > 0, 1)), F.count("*")).first()
+    if not whole[4]:
         return None
-    n1, n0, _, types1, types0, size = (x or 0 for x in whole)
-    # top-k by size of the evidence: the model's documented bounds
-    top = words.where(f"c >= {LEAST}").orderBy((10 * F.greatest("u1", "t1") + F.greatest("u0", "t0")).desc(), "x").limit(MAX_WORDS).toPandas()
-    most = pairs.where(f"n1 + n0 >= {LEAST}").orderBy((10 * F.col("n1") + F.col("n0")).desc(), "v", "w").limit(MAX_BIGRAMS).toPandas()
-    key = top["x"].to_numpy(np.int64).view(np.uint64)
-    top = top.iloc[np.argsort(key)]
-    key = np.sort(key)
-    own = np.stack([np.append(top[c].to_numpy(float), 0) for c in ("c1", "c0")], 1)
-    unigram = np.stack([(np.maximum(own[:, k] - DISCOUNT, 0) + (DISCOUNT * types + 1) / (size + 1)) / (total - DISCOUNT * types + DISCOUNT * types + 1) for k, (total, types) in enumerate(((n1, types1), (n0, types0)))], 1)
-    ratio = np.log(unigram[:, :1]) - np.log(unigram[:, 1:])
-    ratio[-1] = 0
-    unigram = np.concatenate([unigram, ratio], 1)
-    pad = lambda a, b: np.stack([np.append(top[c].to_numpy(float), 0) for c in (a, b)], 1)
-    v, w = (most[c].to_numpy(np.int64).view(np.uint64) for c in ("v", "w"))
-    pair = textops.mix(v) ^ w
-    order = np.argsort(pair)
-    count = np.concatenate([most[["n1", "n0"]].to_numpy(float)[order].reshape(-1, 2), np.zeros((1, 2))])
-    return Model(key, unigram, pad("t1", "t0"), pad("d1", "d0"), pair[order], count)
-
-
-def signals(model: Model, texts: pa.Array) -> np.ndarray:
-    """By text: words, ratio per word of the whole text, highest ratio per word of each window."""
-    out, parts = [], _separators()
+    n1, n0, types1, types0, size = (x or 0 for x in whole)
+    table = pairs.mapInArrow(_keyed, "key long, a long, b long").unionByName(words.select("x", "c1", "c0", "t1", "t0", "d1", "d0").mapInArrow(_word_rows, "key long, a long, b long"))
+    return Model(table, max(SHARDS, (n1 + n0) // SHARD_BIGRAMS), (n1, n0), (types1, types0), size)
+
+
+def _read(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Words, and each text's first, for runs of texts."""
+    parts = _separators()
     for _, data, offsets in textops.chunks(texts):
-        w, first = textops.words(data, offsets, parts)
+        yield textops.words(data, offsets, parts)
+
+
+def _asked(read: list[tuple[np.ndarray, np.ndarray]], shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys that these texts need, by shard and then in order, and their shards."""
+    w = np.unique(np.concatenate([np.zeros(1, np.uint64), *(w for w, _ in read)]))
+    pairs = (textops.mix(_pairs(x, first)) ^ x for x, first in read if len(x))
+    keys = np.unique(np.concatenate([*(_word_key(w, k) for k in range(3)), *pairs])).view(np.int64)
+    shard = keys % shards
+    order = np.lexsort((keys, shard))
+    return keys[order], shard[order]
+
+
+def _blocks(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Runs of rows of at most ``BLOCK_ROWS`` rows and about ``BLOCK_BYTES``."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        end = int(np.searchsorted(size, (size[at - 1] if at else 0) + BLOCK_BYTES, "right"))
+        end = min(max(end, at + 1), at + BLOCK_ROWS, len(texts))
+        yield at, end - at
+        at = end
+
+
+def _asking(shards: int):
+    """Rows of texts (without shard), and for each block and shard a row with the keys it asks for."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at, n in _blocks(whole.column(1)):
+                batch, block = whole.slice(at, n), uuid4().hex
+                nulls = [pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())]
+                names = ["block", "doc_id", "text", "shard", "keys"]
+                yield pa.RecordBatch.from_arrays([pa.array([block] * n), *batch.columns, *nulls], names)
+                keys, shard = _asked(list(_read(batch.column(1))), shards)
+                cuts = np.flatnonzero(np.diff(shard, prepend=-1))
+                asked = [keys[a:b].tobytes() for a, b in zip(cuts, [*cuts[1:], len(keys)], strict=True)]
+                m = len(cuts)
+                yield pa.RecordBatch.from_arrays([pa.array([block] * m), pa.nulls(m, batch.column(0).type), pa.nulls(m, batch.column(1).type), pa.array(shard[cuts]), pa.array(asked, pa.binary())], names)
+
+    return run
+
+
+def _answer(asked: pa.Table, known: pa.Table) -> pa.Table:
+    """For each row of keys their two counts, 0 where a key is not in the table."""
+    keys = known.column("key").to_numpy()
+    order = np.argsort(keys)
+    keys = keys[order]
+    counts = [np.append(known.column(c).to_numpy()[order], 0) for c in "ab"]
+    got = ([], [])
+    for one in asked.column("keys"):
+        at = _find(keys, np.frombuffer(one.as_py(), np.int64))
+        for out, count in zip(got, counts, strict=True):
+            out.append(count[at].tobytes())
+    return pa.table([asked.column("block"), asked.column("shard"), *(pa.array(x, pa.binary()) for x in got)], ["block", "shard", "a", "b"])
+
+
+def _find(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Place of each value in sorted ``keys``; len(keys) where it is not there."""
+    if not len(keys):
+        return np.zeros(len(x), np.int64)
+    at = np.searchsorted(keys, x)
+    return np.where(keys[np.minimum(at, len(keys) - 1)] == x, at, len(keys))
+
+
+def ratios(w: np.ndarray, v: np.ndarray, counts, bigrams: tuple, types: tuple, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """log P_toxic(w | v) - log P_ordinary(w | v), and the same for w alone. ``counts`` gives
+    the two counts of each of some keys."""
+    x, at = np.unique(np.concatenate([v, w]), return_inverse=True)
+    vi, wi = at[: len(v)], at[len(v) :]
+    contexts, total, after = (counts(_word_key(x, kind)) for kind in range(3))
+    known = contexts.sum(1) > 0
+    alone = np.stack([(np.maximum(contexts[:, k] - DISCOUNT, 0) + (DISCOUNT * types[k] + 1) / (size + 1)) / (bigrams[k] + 1) for k in (0, 1)], 1)
+    alone[~known] = 1 / (size + 1)
+    backoff = np.where(total > 0, DISCOUNT * after / np.maximum(total, 1), 1.0)
+    seen = np.maximum(counts(textops.mix(v) ^ w) - DISCOUNT, 0) / np.maximum(total[vi], 1)
+    p = np.log(seen + backoff[vi] * alone[wi])
+    one = np.log(alone[wi])
+    return p[:, 0] - p[:, 1], one[:, 0] - one[:, 1]
+
+
+def signals(read: Iterable[tuple[np.ndarray, np.ndarray]], ratios) -> np.ndarray:
+    """By text: words, ratio per word of the whole text, highest ratio per word of each window."""
+    out = []
+    for w, first in read:
         size = np.diff(first)
         rows = np.zeros((len(size), 2 + len(WINDOWS)))
         rows[:, 0] = size
         has = np.flatnonzero(size)
         if len(has):
-            full, alone = (np.concatenate([[0.0], np.cumsum(x)]) for x in model.ratios(w, _pairs(w, first)))
+            full, alone = (np.concatenate([[0.0], np.cumsum(x)]) for x in ratios(w, _pairs(w, first)))
             rows[has, 1] = (full[first[has + 1]] - full[first[has]]) / size[has]
             past, start = np.arange(1, len(w) + 1), np.repeat(first[:-1], size)
             for k, window in enumerate(WINDOWS):
@@ -169,11 +238,44 @@ def signals(model: Model, texts: pa.Array) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros((0, 2 + len(WINDOWS)))
 
 
-def _scores(model: Model | None, x: np.ndarray) -> np.ndarray:
-    if model is None or not model.weights:
-        return np.full(len(x), model.base if model else 0.0)
-    z = model.weights[0] + sum(w * (x[:, k + 1] - m) / s for k, (w, m, s) in enumerate(zip(model.weights[1:], model.mean, model.scale, strict=True)))
-    return np.where(x[:, 0] > 0, 1 / (1 + np.exp(-np.clip(z, -500, 500))), model.base)
+def signalled(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, two hashes of the text, and the text's signals, for every row of ``docs``."""
+    shards, known = model.shards, (model.bigrams, model.types, model.size)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    work = stored(docs.select("doc_id", "text").mapInArrow(_asking(shards), f"block string, doc_id {kind}, text string, shard long, keys binary"), "asked")
+    table = model.table.withColumn("shard", F.pmod("key", F.lit(shards)))
+    asked = work.where("shard is not null").select("block", "shard", "keys")
+    answers = asked.groupBy("shard").cogroup(table.groupBy("shard")).applyInArrow(_answer, "block string, shard long, a binary, b binary")
+
+    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        answers = answers.sort_by("shard")
+        read = list(_read(texts.column("text")))
+        keys, _ = _asked(read, shards)
+        order = np.argsort(keys)
+        keys = keys[order]
+        both = np.stack([np.frombuffer(b"".join(answers.column(c).to_pylist()), np.int64)[order] for c in "ab"], 1)
+        counts = lambda x: both[np.searchsorted(keys, x.view(np.int64))]
+        x = signals(read, lambda w, v: ratios(w, v, counts, *known))
+        return pa.table([texts.column("doc_id"), texts.column("h"), texts.column("h2"), *(pa.array(x[:, k]) for k in range(x.shape[1]))], ["doc_id", "h", "h2", *SIGNALS])
+
+    texts = work.where("shard is null").select("block", "doc_id", "text", *_hashes("text"))
+    schema = f"doc_id {kind}, h long, h2 long, {', '.join(f'{x} double' for x in SIGNALS)}"
+    return stored(texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema), "signals")
+
+
+def _hashes(text: str) -> list[Column]:
+    """Two hashes that together stand for a text."""
+    return [F.xxhash64(text).alias("h"), F.xxhash64(F.lit("2"), text, F.lit("2")).alias("h2")]
+
+
+def _score(model: Model) -> Column:
+    """The score by the signals' columns."""
+    if not model.weights:
+        return F.lit(float(model.base))
+    z = F.lit(float(model.weights[0]))
+    for name, w, m, d in zip(SIGNALS[1:], model.weights[1:], model.mean, model.scale, strict=True):
+        z = z + F.lit(float(w)) * (F.col(name) - F.lit(float(m))) / F.lit(float(d))
+    return F.when(F.col("n") > 0, 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(500.0)), F.lit(-500.0))))).otherwise(F.lit(float(model.base)))
 
 
 def _calibrate(model: Model, x: np.ndarray, y: np.ndarray) -> None:
@@ -195,52 +297,35 @@ def _calibrate(model: Model, x: np.ndarray, y: np.ndarray) -> None:
     model.weights = tuple(b)
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
-    """From labelled rows: folds 0 and 1 are counted, fold 3 (``CALIBRATION_ROWS`` rows of it
-    at most, in order of a hash of the text) sets the curve, fold 2 is held out."""
+def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, two hashes of the text and score for every row of ``docs``. Of the labelled rows
+    folds 0 and 1 are counted, fold 3 (``CALIBRATION_ROWS`` rows of it at most, in order of a
+    hash of the text) sets the curve, fold 2 is held out."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.where(fold(F.col("doc_id")) != 2)
     known = F.broadcast(known) if known.count() <= BROADCAST_ROWS else known
     labelled = docs.select("doc_id", "text").where("text is not null").join(known, "doc_id")
     model = fit_counts(labelled.where(fold(F.col("doc_id")).isin(0, 1)))
     if model is None:
-        return None
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = ["n", "whole", *(f"window{k}" for k in WINDOWS)]
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = signals(shared.value, batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x[:, k]) for k in range(x.shape[1])), batch.column(2)], ["toxic", *names, "h"])
-
-    rows = labelled.where(fold(F.col("doc_id")) == 3).select("toxic", "text", F.xxhash64("text").alias("h"))
-    sample = rows.mapInArrow(run, f"toxic int, {', '.join(f'{x} double' for x in names)}, h long").orderBy("h", "toxic", "n").limit(CALIBRATION_ROWS).toPandas()
-    _calibrate(model, sample[names].to_numpy(float), sample["toxic"].to_numpy(float))
-    return model
-
-
-def scored(docs: DataFrame, model: Model | None) -> DataFrame:
-    """``docs`` with ``_score``; all columns go through unchanged."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (whole.slice(k, SLICE) for whole in batches for k in range(0, whole.num_rows, SLICE)):
-            text = batch.column(batch.num_columns - 1)
-            score = _scores(shared.value, signals(shared.value, text)) if shared.value else np.zeros(batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score, pa.float64())], names=[*batch.schema.names[:-1], "_score"])
-
-    schema = T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType())])
-    return docs.select("*", F.col("text").alias("_text")).mapInArrow(run, schema)
+        return docs.select("doc_id", *_hashes("text"), F.lit(0.0).alias("score"))
+    found = signalled(docs, model)
+    rows = found.where((fold(F.col("doc_id")) == 3) & (F.col("h") != F.xxhash64(F.lit(None).cast("string")))).join(known, "doc_id")
+    sample = rows.select("toxic", *SIGNALS, "h").orderBy("h", "toxic", "n").limit(CALIBRATION_ROWS).toPandas()
+    _calibrate(model, sample[SIGNALS].to_numpy(float), sample["toxic"].to_numpy(float))
+    return found.select("doc_id", "h", "h2", _score(model).alias("score"))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs`` (doc_id, text)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    out = scored(rows, fit(rows, labels)).withColumnRenamed("_score", "score")
+    out = scores(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels)
     held = F.coalesce(fold(F.col("doc_id")) == 2, F.lit(False)).alias("held_out")
     return out.select("doc_id", held, "score").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """``docs`` without the rows that score ``threshold`` or more."""
-    return scored(docs, fit(docs, labels)).where(F.col("_score") < threshold).select(*docs.columns)
+    """``docs`` without the rows that score ``threshold`` or more. A score is the text's, so
+    these texts' hashes tell the rows."""
+    bad = stored(scores(docs, labels).where(F.col("score") >= threshold).select(F.col("h").alias("_h"), F.col("h2").alias("_h2")).distinct(), "toxic")
+    bad = F.broadcast(bad) if bad.count() <= BROADCAST_ROWS else bad
+    h, h2 = _hashes("text")
+    return docs.join(bad, (h == F.col("_h")) & (h2 == F.col("_h2")), "left_anti")
