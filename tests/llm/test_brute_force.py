@@ -293,3 +293,20 @@ def test_toxicity_keeps_rare_bigrams(spark):
     ratio = [math.log(p(0, a, b) / p(1, a, b)) for a, b in zip([None, *own[:-1]], own, strict=True)]
     assert got["n"] == 6 and abs(got["whole"] - sum(ratio) / 6) < 1e-9
     assert abs(got["window3"] - max(sum(ratio[k : k + 3]) / 3 for k in range(4))) < 1e-9
+
+
+def test_topics_come_from_all_documents(spark):
+    # 7 common topics, and a rare one whose texts have the largest hashes of all
+    r = random.Random(12)
+    bag = lambda g: [f"g{g}word{k}" for k in range(12)]
+    text = lambda g: " ".join(r.sample(bag(g), 12))
+    hashed = lambda texts: spark.createDataFrame([(x,) for x in texts], "text string").selectExpr("text", "xxhash64(text) as h").orderBy("h").collect()
+    common = [(g, text(g)) for g in range(7) for _ in range(400)]
+    rare = [x["text"] for x in hashed({text(7) for _ in range(2000)})[-3:]]
+    assert sum(x["text"] in rare for x in hashed({x for _, x in common} | set(rare))[:2000]) == 0
+    docs = spark.createDataFrame([(k, x, str(g)) for k, (g, x) in enumerate([*common, *((7, x) for x in rare)])], "doc_id long, text string, source string")
+    centres = raking.fit_topics(docs)
+    rows = raking.profiled(docs.withColumnRenamed("text", "_text"), centres).select("source", "_topic").distinct().collect()
+    assert len(rows) == 8 == len({t for _, t in rows}) and len(centres) == 8
+    means = [raking._unit(np.ones((1, 1)) * raking._chunk_counts(np.frombuffer(" ".join(bag(g)).encode(), np.uint8), np.array([0, len(" ".join(bag(g)))]))[0])[0] for g in range(8)]
+    assert all((np.abs(centres - m).max(1) < 1e-6).any() for m in means)

@@ -1,7 +1,10 @@
 """Mixing sources to target weights: iterative proportional fitting, calibrated sampling.
 
 Each document gets a topic: the nearest of ``TOPICS`` centres of hashed word counts, which
-spherical k-means fits on ``SAMPLE`` texts (those of the smallest hashes). Tokens are counted
+spherical k-means fits on all documents with words. The first centres are drawn as k-means++
+draws them, by a hash of the text. Vectors stay in the shared folder; in each round only a sum
+for each centre and dimension reaches the driver, in whole numbers, so that their order does
+not matter. Tokens are counted
 as words plus one. Cells are the combinations of source, language and topic that occur; all
 documents are counted, before anything is shuffled. The cells' token weights are raked to
 the three target marginals in turn, each as a sum over a window, for ``ROUNDS`` rounds.
@@ -31,42 +34,102 @@ from pyspark.sql import types as T
 from . import textops
 from .store import stored
 
-TOPICS, DIMENSIONS, SAMPLE, ROUNDS = 8, 256, 2000, 8
+TOPICS, DIMENSIONS, ROUNDS = 8, 256, 8
+TOPIC_ROUNDS = 15
+UNIT = float(1 << 32)  # of the sums of vectors
 KEEP = 0.75
 POWERS = {"source": 0.7, "lang": 0.7, "topic": 0.7}
 BROADCAST_CELLS = 100_000
 
 
-def _chunk_vectors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(texts, DIMENSIONS) square roots of hashed word counts at length 1, and word counts."""
+def _chunk_counts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(texts, DIMENSIONS) hashed word counts, and word counts."""
     w, first = textops.words(data, offsets)
     n = np.diff(first)
     doc = np.repeat(np.arange(len(n)), n)
-    x = np.sqrt(np.bincount(doc * DIMENSIONS + (w >> np.uint64(56)).astype(np.int64), minlength=len(n) * DIMENSIONS).reshape(-1, DIMENSIONS))
-    return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-12), n
+    return np.bincount(doc * DIMENSIONS + (w >> np.uint64(56)).astype(np.int64), minlength=len(n) * DIMENSIONS).reshape(-1, DIMENSIONS), n
+
+
+def _unit(counts: np.ndarray) -> np.ndarray:
+    """Square roots of counts at length 1."""
+    x = np.sqrt(counts)
+    return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-12)
+
+
+def _chunk_vectors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(texts, DIMENSIONS) square roots of hashed word counts at length 1, and word counts."""
+    counts, n = _chunk_counts(data, offsets)
+    return _unit(counts), n
+
 
+def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The counts of each text with words, as bytes of int32."""
+    for batch in batches:
+        for at, *c in textops.chunks(batch.column(1)):
+            counts, n = _chunk_counts(*c)
+            has = np.flatnonzero(n)
+            x = [r.tobytes() for r in counts[has].astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(n)).take(pa.array(has)), pa.array(x, pa.binary())], ["h", "x"])
 
-def fit_topics(docs: DataFrame, topics: int = TOPICS, sample: int = SAMPLE) -> np.ndarray:
-    """Centres (topics, DIMENSIONS) from a bounded sample of texts; none without texts."""
-    hashed = docs.where("text is not null").select("text", F.xxhash64("text").alias("h"))
-    top = hashed.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
-    if top is None:
-        return np.zeros((0, DIMENSIONS))
+
+def _vectors(batch: pa.RecordBatch) -> np.ndarray:
+    return _unit(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int32).reshape(-1, DIMENSIONS))
+
+
+def _next_centre(rows: DataFrame, centres: np.ndarray) -> np.ndarray | None:
+    """A text's vector, drawn with chances in proportion to its distance from the centres."""
 
     def run(batches):
-        for batch in batches:
-            x = [r.astype(np.float32).tobytes() for _, *c in textops.chunks(batch.column(1)) for r in _chunk_vectors(*c)[0]]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.binary())], ["h", "x"])
-
-    rows = hashed.where(F.col("h") <= top).select("h", "text").mapInArrow(run, "h long, x binary").groupBy("h").agg(F.min("x").alias("x")).orderBy("h").toPandas()
-    x = np.frombuffer(b"".join(map(bytes, rows["x"])), np.float32).reshape(-1, DIMENSIONS).astype(float)
-    centres = x[np.linspace(0, len(x) - 1, min(topics, len(x))).astype(int)].copy()
-    for _ in range(15):
-        nearest = (x @ centres.T).argmax(1)
-        for k in range(len(centres)):
-            if (nearest == k).any():
-                mean = x[nearest == k].mean(0)
-                centres[k] = mean / max(np.linalg.norm(mean), 1e-12)
+        best = None
+        for batch in (b for b in batches if b.num_rows):
+            far = 1 - (_vectors(batch) @ centres.T).max(1) if len(centres) else np.ones(batch.num_rows)
+            u = textops.mix(batch.column(0).to_numpy().view(np.uint64) + np.uint64(len(centres))) >> np.uint64(11)
+            key = np.where(far > 1e-9, np.log((u + 0.5) / float(1 << 53)) / np.maximum(far, 1e-9), -np.inf)
+            k = int(key.argmax())
+            if key[k] > -np.inf and (best is None or key[k] > best[0]):
+                best = key[k], batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
+        if best:
+            yield pa.RecordBatch.from_arrays([pa.array([float(best[0])]), pa.array([best[1]]), pa.array([best[2]], pa.binary())], ["key", "h", "x"])
+
+    top = rows.mapInArrow(run, "key double, h long, x binary").orderBy(F.desc("key"), "h", "x").limit(1).collect()
+    return _unit(np.frombuffer(bytes(top[0]["x"]), np.int32).reshape(1, -1)) if top else None
+
+
+def _sums(rows: DataFrame, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each centre the sum of the vectors that it is nearest to, and how many these are."""
+    width = DIMENSIONS + 1
+
+    def run(batches):
+        sums = np.zeros((len(centres), width), np.int64)
+        for batch in (b for b in batches if b.num_rows):
+            x = _vectors(batch)
+            nearest = (x @ centres.T).argmax(1)
+            x = np.rint(x * UNIT).astype(np.int64)
+            for k in np.unique(nearest):
+                sums[k, :-1] += x[nearest == k].sum(0)
+                sums[k, -1] += (nearest == k).sum()
+        cell = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(sums.ravel()[cell])], ["cell", "s"])
+
+    out = np.zeros(len(centres) * width)
+    for cell, s in rows.mapInArrow(run, "cell long, s long").groupBy("cell").agg(F.sum("s")).collect():  # centres x (DIMENSIONS + 1)
+        out[cell] = s
+    out = out.reshape(-1, width)
+    return out[:, :-1], out[:, -1]
+
+
+def fit_topics(docs: DataFrame, topics: int = TOPICS) -> np.ndarray:
+    """Centres (topics, DIMENSIONS) from all texts with words; none without such texts."""
+    rows = stored(docs.where("text is not null").select(F.xxhash64("text").alias("h"), "text").mapInArrow(_counted, "h long, x binary"), "vectors")
+    centres = np.zeros((0, DIMENSIONS))
+    while len(centres) < topics and (one := _next_centre(rows, centres)) is not None:
+        centres = np.concatenate([centres, one])
+    for _ in range(TOPIC_ROUNDS if len(centres) else 0):
+        sums, n = _sums(rows, centres)
+        moved = np.where(n[:, None] > 0, sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12), centres)
+        if np.abs(moved - centres).max() < 1e-9:
+            break
+        centres = moved
     return centres
 
 
