@@ -310,3 +310,18 @@ def test_topics_come_from_all_documents(spark):
     assert len(rows) == 8 == len({t for _, t in rows}) and len(centres) == 8
     means = [raking._unit(np.ones((1, 1)) * raking._chunk_counts(np.frombuffer(" ".join(bag(g)).encode(), np.uint8), np.array([0, len(" ".join(bag(g)))]))[0])[0] for g in range(8)]
     assert all((np.abs(centres - m).max(1) < 1e-6).any() for m in means)
+
+
+def test_packing_of_added_tokens_and_long_white_space(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n\ny", "a < |endoftext|>", " " * 1_500_000, "a" + "\n" * 300_000 + " b"]
+    assert t.encode(texts[0], add_special_tokens=False).ids == [64, 220, 50256, 275]
+    rows = packing.pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).collect()
+    for k, text in enumerate(texts):
+        ids = np.array([*t.encode(text, add_special_tokens=False).ids, 0], "<u4")
+        own = sorted((p for p in rows if p["doc_id"] == k), key=lambda p: p["start"])
+        assert sum(p["length"] for p in own) == len(ids) == own[0]["doc_tokens"]
+        assert all(p["ids_crc32"] == zlib.crc32(ids[p["start"] : p["start"] + p["length"]].tobytes()) for p in own)

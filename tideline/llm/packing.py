@@ -13,13 +13,16 @@ and a rank's place in its size's list of patterns gives the sequence and the pla
 
 Results: one row per piece. A null or empty text has one id (the end id 0). Repeated rows
 are packed each for itself; doc_id may be null. The ids are those of the ``tokenizers``
-library for byte_bpe_50k.json; they are made with the same vocabulary as ranks, which is
-three times faster, and tests hold both against each other.
+library for byte_bpe_50k.json; most are made with the same vocabulary as ranks, which is
+three times faster, and tests hold both against each other. Texts that hold an added token of
+the library's, or more than ``LONG_SPACE`` white space in a row, go to the library itself.
 """
 
 from __future__ import annotations
 
 import base64
+import json
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -36,6 +39,7 @@ CAPACITY = 1024
 GRID = 4
 GAP = 0.001
 SALTS = 64
+LONG_SPACE = 20_000  # the other engine's stack overflows on very long runs
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -48,13 +52,31 @@ def encoding(path: str, pattern: str):
     return tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def _cut(path: str, pattern: str, capacity: int):
+@lru_cache(maxsize=2)
+def library(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+def _json(path: str) -> str:
+    """The library's file beside a file of ranks."""
+    return path.removesuffix(".tiktoken") + ".json"
+
+
+def _needs_library(text: str, added: list[str]) -> bool:
+    return any(x in text for x in added) or len(text) > LONG_SPACE and any(m.end() - m.start() > LONG_SPACE for m in re.finditer(r"\s+", text))
+
+
+def _cut(path: str, pattern: str, capacity: int, added: list[str]):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoding(path, pattern).encode_ordinary
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.array([*encode(text or ""), 0], "<u4")
+                text = text or ""
+                own = library(_json(path)).encode(text, add_special_tokens=False).ids if _needs_library(text, added) else encode(text)
+                ids = np.array([*own, 0], "<u4")
                 n = len(ids)
                 rows += [(doc_id, at, min(capacity, n - at), zlib.crc32(ids[at : at + capacity]), n) for at in range(0, n, capacity)]
             columns = zip(*rows, strict=True) if rows else [[]] * 5
@@ -65,7 +87,9 @@ def _cut(path: str, pattern: str, capacity: int):
 
 def pieces(docs: DataFrame, path: str, pattern: str, capacity: int = CAPACITY) -> DataFrame:
     """Each document's pieces of at most ``capacity`` ids (``PIECE``)."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_cut(path, pattern, capacity), PIECE)
+    with open(_json(path)) as f:
+        added = [x["content"] for x in json.load(f)["added_tokens"]]
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_cut(path, pattern, capacity, added), PIECE)
 
 
 def _best_pattern(sizes: np.ndarray, price: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
