@@ -4,7 +4,7 @@ import pytest
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that the operators use inside; they must not clash.
-CLASHING = ["rep", "words", "copies", "signature", "n", "side", "gid", "blob", "spans", "score", "kept", "topic", "tokens", "component", "lane", "key", "stack", "size", "salt", "_topic", "toxic", "prefix"]
+CLASHING = ["rep", "words", "copies", "signature", "n", "side", "gid", "blob", "spans", "score", "kept", "topic", "tokens", "component", "lane", "key", "stack", "size", "salt", "_topic", "toxic", "prefix", "_text", "_score", "_spans", "_blob", "_known", "_h", "_id", "h", "h2", "first", "class_h", "c_0", "c_1", "_source", "_tokens", "_chance", "_doc_id", "block", "shard", "keys", "weight", "probability", "lo", "_size", "place", "_n", "_own"]
 
 
 def prose(seed: int, n: int = 60) -> str:

@@ -167,7 +167,7 @@ def test_raked_marginals(spark):
     r = random.Random(8)
     cells = [(s, lang, t, r.randrange(500, 5000)) for s in "abc" for lang in ("en", "de", None) for t in (0, 1)]
     targets = {"source": {"a": 1, "b": 1, "c": 1}, "lang": {"en": 2, "de": 1, None: 1}, "topic": {0: 1, 1: 1}}
-    out = raking.rake(spark.createDataFrame(cells, "source string, lang string, topic int, tokens long"), targets, keep=0.2, rounds=20).toPandas()
+    out = raking.rake(spark.createDataFrame(cells, "source string, lang string, topic int, tokens long"), targets, keep=0.2).toPandas()
     whole = 0.2 * out["tokens"].sum()
     for name, shares in targets.items():
         for value, share in shares.items():
@@ -325,3 +325,119 @@ def test_packing_of_added_tokens_and_long_white_space(spark):
         own = sorted((p for p in rows if p["doc_id"] == k), key=lambda p: p["start"])
         assert sum(p["length"] for p in own) == len(ids) == own[0]["doc_tokens"]
         assert all(p["ids_crc32"] == zlib.crc32(ids[p["start"] : p["start"] + p["length"]].tobytes()) for p in own)
+
+
+def linked_classes(rows: list[tuple]) -> tuple[dict, list[int]]:
+    """Links and smallest doc_id of each row's class, by comparing all rows."""
+    shingles = [sets(r[1]) for r in rows]
+    links, parent = [0] * len(rows), list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            both = len(shingles[a] & shingles[b])
+            if both * 5 >= 4 * (len(shingles[a]) + len(shingles[b]) - both):
+                links[a] += 1
+                links[b] += 1
+                parent[root(a)] = root(b)
+    least = {}
+    for k, r in enumerate(rows):
+        least[root(k)] = min(least.get(root(k), r[0]), r[0])
+    return links, [least[root(k)] for k in range(len(rows))]
+
+
+def test_ngram_join_with_repeated_ids(spark):
+    # ids repeat over unrelated texts, over near copies, and over whole rows
+    r = random.Random(31)
+    text = lambda: " ".join(f"w{r.randrange(4000)}" for _ in range(60))
+    a, b, c = text(), text(), text()
+    rows = [(1, a), (1, b), (2, a + " tail"), (3, b + " tail"), (4, c), (4, c + " end"), (4, c), (5, c.upper()), (6, text()), (7, b + " tail")]
+    docs = spark.createDataFrame([(i, x, "en", "s", k) for k, (i, x) in enumerate(rows)], DOCS)
+    links, classes = linked_classes(rows)
+    got = Counter((x["doc_id"], x["class_id"], x["n_links"]) for x in ngram_join.ngram_jaccard_join(docs).collect())
+    assert got == Counter((i, c, n) for (i, _), c, n in zip(rows, classes, links, strict=True))
+    left = sorted((x["doc_id"], x["text"]) for x in ngram_join.one_of_each_class(docs).collect())
+    assert [i for i, _ in left] == [1, 1, 4, 6] and {x for i, x in left if i == 1} == {a, b}
+
+
+def test_ngram_join_goes_on_until_the_recall_is_met(spark):
+    r = random.Random(32)
+    rows = []
+    for g in range(40):  # pairs far below the usual threshold
+        base = [f"w{r.randrange(10**6)}" for _ in range(100)]
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(base[: r.randrange(64, 70)] + [f"x{r.randrange(10**6)}" for _ in range(12)]))]
+    shingles = [sets(x) for _, x in rows]
+    want = {k for k in range(0, 80, 2) for both in [len(shingles[k] & shingles[k + 1])] if both >= 0.5 * (len(shingles[k]) + len(shingles[k + 1]) - both)}
+    docs = spark.createDataFrame([(i, x, None, None, None) for i, x in rows], DOCS)
+    got = {x["doc_id"] for x in ngram_join.ngram_jaccard_join(docs, threshold=0.5).where("n_links > 0 and doc_id % 2 = 0").collect()}
+    assert want and got == want
+    with pytest.raises(ValueError):
+        ngram_join.ngram_jaccard_join(docs.where("doc_id % 2 = 0"), threshold=0.2)
+
+
+def raked_by_hand(cells: list[tuple], wants: list[dict], rounds: int = 2000) -> list[float]:
+    """Proportional fitting of three marginals, no cell above its tokens, with dictionaries."""
+    w = [float(c[3]) for c in cells]
+    for _ in range(rounds):
+        for axis, want in enumerate(wants):
+            have = Counter()
+            for c, x in zip(cells, w, strict=True):
+                have[c[axis]] += x
+            w = [min(c[3], x * want[c[axis]] / have[c[axis]]) for c, x in zip(cells, w, strict=True)]
+    return w
+
+
+@pytest.mark.parametrize("local", [10**6, 0])
+def test_raking_of_skewed_sources_reaches_its_targets(spark, local):
+    r = random.Random(41)
+    cells = [(s, lang, t, max(1, int(20000 * size * part * r.uniform(0.5, 1.5)))) for s, size in zip("abcde", (0.6, 0.2, 0.1, 0.07, 0.03), strict=True) for lang, part in (("en", 0.7), ("de", 0.2), (None, 0.1)) for t in range(3)]
+    df = spark.createDataFrame(cells, "source string, lang string, topic int, tokens long")
+    out = raking.rake(df, local_cells=local).collect() if local else raking.rake(df, {"source": dict.fromkeys("abcd", 1.0)}, keep=0.2, local_cells=0).collect()
+    whole = sum(x["weight"] for x in out)
+    assert len(out) == len(cells) and whole >= (0.5 if local else 0.19) * sum(c[3] for c in cells)
+    wants = []
+    for n in raking.NAMES:
+        wants.append({x[n]: x[f"{n}_target"] for x in out})
+        for value, want in wants[-1].items():
+            got = sum(x["weight"] for x in out if x[n] == value)
+            assert abs(got - want) <= 0.002 * whole and abs(got - next(x[f"{n}_reached"] for x in out if x[n] == value)) < 1e-6 * whole
+    assert all(0 <= x["probability"] <= 1 for x in out)
+    if local:
+        by_hand = {c[:3]: x for c, x in zip(cells, raked_by_hand(cells, wants), strict=True)}
+        assert all(abs(x["weight"] - by_hand[x["source"], x["lang"], x["topic"]]) <= 0.003 * whole for x in out)
+    else:
+        assert all(x["weight"] == 0 for x in out if x["source"] == "e")
+        again = raking.rake(df, {"source": dict.fromkeys("abcd", 1.0)}, keep=0.2).collect()
+        assert {(*x[:3], round(x["weight"], 3)) for x in again} == {(*x[:3], round(x["weight"], 3)) for x in out}
+
+
+def test_a_changed_rule_and_a_second_run(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(k, x, None, None, None) for k, x in enumerate(["token=abcdefgh1", "token=abcdefgh1", None, "none"])], DOCS)
+    path = str(tmp_path / "ledger")
+    want = secret_scan.secret_report(docs, path).collect()
+    rows = lambda: spark.read.schema(secret_scan.LEDGER).parquet(path).count()
+    assert rows() == 3
+    assert sorted(secret_scan.secret_report(docs, path).collect()) == sorted(want) and rows() == 3
+    monkeypatch.setattr(secret_scan, "PATTERNS", [("hex", "[0-9a-f]{8,}", 0)])
+    monkeypatch.setattr(secret_scan, "rules_version", lambda real=secret_scan.rules_version: real([("hex", "[0-9a-f]{8,}", 0)]))
+    assert {x["n_hex"] for x in secret_scan.secret_report(docs, path).collect()} == {0, 1} and rows() == 6
+
+
+def test_many_secrets_in_one_text(spark):
+    r = random.Random(43)
+    bits = ["token=abcdefgh1 ", "AKIA" + "Z9" * 7, "ab" * 20 + "api_key=12345678", "é😀", "secret: ", "x " * 30]
+    text = "".join(r.choice(bits) for _ in range(3000))
+    docs = spark.createDataFrame([(1, text, None, None, len(text))], DOCS)
+    got = secret_scan.secret_report(docs).first()
+    assert got["spans"] == spans(text) and got["n_assign"] > 500
+    at, out = 0, ""
+    for _, a, b in (x.split(":") for x in got["spans"].split(",")):
+        if int(a) >= at:
+            out += text[at : int(a)] + "[secret]"
+        at = max(at, int(b))
+    clean = secret_scan.without_secrets(docs).first()
+    assert clean["text"] == out + text[at:] and clean["n_chars"] == len(clean["text"])

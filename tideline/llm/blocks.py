@@ -14,13 +14,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import stored
+
 Unit = tuple[int, int]
 
 
 def units(df: DataFrame, keys: list[str], member: str, target: int = 256) -> DataFrame:
     """Rows of groups of two and more, each once for every unit that it is part of, with
-    ``gid`` (the unit) and ``side`` (0 or 1; all 0 where a block meets itself)."""
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1")
+    ``gid`` (the unit) and ``side`` (0 or 1; all 0 where a block meets itself). Group sizes are
+    written out, so that Spark can split the join of a group of any size with its size."""
+    sizes = stored(df.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1"), "sizes")
     dealt = (
         df.join(sizes, keys)
         .withColumn("_blocks", F.ceil(F.col("_n") / target).cast("int"))

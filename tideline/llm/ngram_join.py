@@ -2,11 +2,15 @@
 
 1. Every text is signed once: 16 trees of 8 MinHash values over its word shingles, and a
    hash of its word sequence. Texts of the same words (letter case and white space aside)
-   are one *class of copies*; only the smallest doc_id of a class goes on.
-2. A tree orders signatures as a trie of their 8 values. Groups that share a prefix are
-   looked up from long prefixes to short ones: after each length, the similarities of the
-   pairs found give an estimate of the recall (each pair stands for 1 / its chance of being
-   found), and the prefix is shortened until the estimate reaches the target.
+   are one *class of copies*, and a class is one node, with a number of its own: doc_id is
+   never what identifies a text.
+2. A tree is a prefix trie of the nodes' branches (its 8 values), written in sorted order. A
+   level of the forest meets the nodes that share a prefix of its length; the descent starts
+   at long prefixes and shortens them, and a level compares only pairs that the levels before
+   did not (those whose branches part just there). After each level the chance of having found
+   a pair is estimated for the least similar pairs at or above the threshold that were seen;
+   the prefix is shortened until this reaches ``recall``. Where even one value does not reach
+   it, the join raises an error.
 3. Pairs whose signatures agree in fewer than ``screen`` of their values are left out
    (128 values: a pair at the threshold fails this once in about 10^7). What remains of a
    group is passed on as a spanning forest, so that rows grow with texts, not with pairs.
@@ -14,10 +18,13 @@
    blocks; links are counted, and the links' own components are the classes.
 
 Results: one row per row of the input. ``class_id`` is the smallest doc_id that links of
-similarity >= threshold reach, ``n_links`` the number of other documents linked directly,
-copies included, ``kept`` whether doc_id = class_id. A text that is null or has no words
-links with nothing, nor does a row without doc_id (class_id null, kept true). Rows with one
-doc_id count as copies of each other where their words agree.
+similarity >= threshold reach, ``n_links`` the number of other rows linked directly, copies
+included, ``kept`` whether doc_id = class_id. A text that is null or has no words links with
+nothing, nor does a row without doc_id (class_id null, kept true). Repeated rows are copies
+of each other; rows of one doc_id with different texts are different documents. A text of
+fewer than n words has one shingle, all its words. Texts of any length are read whole. Ties of
+similarity do not occur: a pair links or does not. An empty table gives an empty result;
+columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -32,10 +39,12 @@ from pyspark.sql import functions as F
 from . import textops
 from .blocks import map_units, roots, units
 from .components import components
-from .store import stored
+from .store import carried, name_of, removed, restored, small, stored
 
 TREES, DEPTH = 16, 8
-BROADCAST_ROWS = 2_000_000  # ids with their components; beyond it the join shuffles
+START = 6  # length of the first prefixes
+BAND = 0.05  # of similarity, for the estimate of recall
+VERIFIED = 512  # texts in a block of verification
 
 
 def _signer(n: int):
@@ -45,8 +54,8 @@ def _signer(n: int):
 
     def sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, signatures, wholes = batch.column(0), [], []
-            for _, data, offsets in textops.chunks(batch.column(1)):
+            signatures, wholes = [], []
+            for _, data, offsets in textops.chunks(batch.column(2)):
                 hashes, first = textops.words(data, offsets)
                 values, at = textops.shingles(hashes, first, n)
                 low = (values >> np.uint64(32)).astype(np.uint32)
@@ -62,32 +71,32 @@ def _signer(n: int):
                         whole[has, j] = np.add.reduceat(h, first[has])
                 signatures += [x.tobytes() if k else None for x, k in zip(out, np.diff(at), strict=True)]
                 wholes += [x.tobytes() if k else None for x, k in zip(whole, np.diff(at), strict=True)]
-            yield pa.RecordBatch.from_arrays([ids, pa.array(wholes, pa.binary()), pa.array(signatures, pa.binary())], ["doc_id", "words", "signature"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(wholes, pa.binary()), pa.array(signatures, pa.binary())], ["doc_id", "h", "words", "signature"])
 
     return sign
 
 
-def _prefixes(depth: int):
-    """A row for each tree: the hash of its first ``depth`` values."""
+def _branches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each tree: the 4 x ``DEPTH`` bytes of its values, most significant first."""
+    for batch in batches:
+        n = batch.num_rows
+        if n:
+            s = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).astype(">u4")
+            branch = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * DEPTH), n * TREES, [None, pa.py_buffer(s.tobytes())]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), TREES)), pa.array(np.tile(np.arange(TREES, dtype=np.int32), n)), branch], ["rep", "tree", "branch"])
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = np.random.default_rng(8).integers(1, 1 << 63, DEPTH, dtype=np.uint64) | np.uint64(1)
-        for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            s = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(n, TREES, DEPTH)[:, :, :depth].astype(np.uint64)
-            keys = textops.mix((textops.mix(s + np.uint64(1)) * weights[:depth]).sum(2) + np.arange(TREES, dtype=np.uint64))
-            rep = np.repeat(batch.column(0).to_numpy(), TREES)
-            yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(np.tile(np.arange(TREES, dtype=np.int32), n)), pa.array(keys.reshape(-1).view(np.int64))], ["rep", "tree", "prefix"])
 
-    return run
+def forest(reps: DataFrame) -> DataFrame:
+    """The tries (tree, branch, rep) in sorted order; ``reps``: rep, signature."""
+    grown = reps.select("rep", "signature").mapInArrow(_branches, "rep long, tree int, branch binary")
+    return stored(grown.repartitionByRange("tree", "branch").sortWithinPartitions("tree", "branch"), "forest")
 
 
-def _compare(depth: int, screen: float):
+def _compare(depth: int, done: int, screen: float):
     """Spanning forest of each unit's pairs that pass the screen (kind 0: u, v), and how many
     of its pairs, each counted in the first tree that finds it, agree in how many of the
-    values (kind 1: values, pairs)."""
+    values (kind 1: values, pairs). Pairs with a common prefix of ``done`` values in this tree
+    were compared there (0: none)."""
     least = int(np.ceil(screen * TREES * DEPTH))
 
     def work(rows: pa.Table, bounds: list[tuple[int, int]]) -> pa.Table:
@@ -106,10 +115,16 @@ def _compare(depth: int, screen: float):
                 hit = equal >= least
                 if mid == j:
                     hit[: x + 1] = False
+                if hit.any() and done:
+                    at = DEPTH * tree[i]
+                    hit &= ~same[:, at : at + done].all(1)
                 if hit.any():
                     near[x] = hit
-                    first = same[hit].reshape(-1, TREES, DEPTH)[:, :, :depth].all(2).argmax(1)
-                    agree += np.bincount(equal[hit][first == tree[i]], minlength=len(agree))
+                    met = same[hit].reshape(-1, TREES, DEPTH)
+                    first = met[:, :, :depth].all(2).argmax(1) == tree[i]
+                    if done:
+                        first &= ~met[:, :, :done].all(2).any(1)
+                    agree += np.bincount(equal[hit][first], minlength=len(agree))
             if mid == j:
                 full = near | near.T
             else:
@@ -130,14 +145,14 @@ def _compare(depth: int, screen: float):
 
 
 def _recall(agree: dict[int, int], depth: int, threshold: float) -> float:
-    """Estimated share of the pairs of at least ``threshold`` that this depth finds."""
-    found = whole = 0.0
-    for values, pairs in agree.items():
-        s = values / (TREES * DEPTH)
-        if s >= threshold:
-            found += pairs
-            whole += pairs / (1 - (1 - s**depth) ** TREES)
-    return found / whole if whole else 1 - (1 - threshold**depth) ** TREES
+    """Chance that this depth finds a pair of the lowest band of similarity, at ``threshold``
+    or above it, of which pairs were seen (at the threshold itself where none was). Estimates
+    up to a standard error below the threshold count as there."""
+    size = TREES * DEPTH
+    slack = np.sqrt(threshold * (1 - threshold) / size)
+    seen = [max(values / size, threshold) for values, pairs in agree.items() if pairs and values / size >= threshold - slack]
+    least = threshold + BAND * int((min(seen) - threshold) / BAND) if seen else threshold
+    return 1 - (1 - least**depth) ** TREES
 
 
 def _verify(n: int, threshold: float):
@@ -192,47 +207,79 @@ def _shared(sets: list[np.ndarray]) -> np.ndarray:
 
 def candidate_pairs(reps: DataFrame, threshold: float, recall: float, screen: float) -> DataFrame:
     """Edges (u, v) that span all groups of similar signatures; ``reps``: rep, signature."""
-    for depth in range(DEPTH - 2, 1, -1):
-        keys = reps.mapInArrow(_prefixes(depth), "rep long, tree int, prefix long")
-        met = units(keys, ["tree", "prefix"], "rep")
-        found = stored(map_units(met.join(reps, "rep"), _compare(depth, screen), "kind int, u long, v long"), "forest")
-        agree = {r["u"]: r["pairs"] for r in found.where("kind = 1").groupBy("u").agg(F.sum("v").alias("pairs")).collect()}
+    tries = forest(reps)
+    agree: dict[int, int] = {}
+    edges: DataFrame | None = None
+    for depth in range(START, 0, -1):
+        nodes = tries.select("rep", "tree", F.expr(f"substring(branch, 1, {4 * depth})").alias("prefix"))
+        met = units(nodes, ["tree", "prefix"], "rep").join(reps, "rep")
+        found = stored(map_units(met, _compare(depth, 0 if depth == START else depth + 1, screen), "kind int, u long, v long"), "level")
+        for r in found.where("kind = 1").groupBy("u").agg(F.sum("v").alias("pairs")).collect():  # as many as values in a signature
+            agree[r["u"]] = agree.get(r["u"], 0) + r["pairs"]
+        here = found.where("kind = 0").select("u", "v")
+        edges = here if edges is None else edges.unionByName(here)
         if _recall(agree, depth, threshold) >= recall:
-            break
-    return found.where("kind = 0").select("u", "v")
+            removed(tries)
+            return edges
+    raise ValueError(f"{TREES} trees can't find pairs of {threshold} with a chance of {recall}")
 
 
-def ngram_jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.998, screen: float | None = None) -> DataFrame:
-    """doc_id, class_id, n_links, kept for every row of ``docs`` (doc_id, text); see above."""
+def _linked(docs: DataFrame, n: int, threshold: float, recall: float, screen: float | None) -> tuple[DataFrame, DataFrame]:
+    """All rows (doc_id, h: a hash of the text, words), and for the words of which there is
+    more than one row or a near copy: n_links, class_id, and h of the row (class_id, h) that
+    stands for the class."""
     screen = threshold - 0.2 if screen is None else screen
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = stored(ids.mapInArrow(_signer(n), "doc_id long, words binary, signature binary"), "signed")
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.col("text").cast("string").alias("text"))
+    signed = stored(ids.mapInArrow(_signer(n), "doc_id long, h long, words binary, signature binary"), "signed")
     some = signed.where("words is not null and doc_id is not null")
-    reps = stored(some.groupBy("words").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min("signature").alias("signature")), "reps")
+    copies = some.groupBy("words", "signature").agg(F.min("doc_id").alias("first"), F.min_by("h", "doc_id").alias("h"), F.count("*").alias("copies"))
+    reps = stored(copies.withColumn("rep", F.monotonically_increasing_id()), "reps")
     near = components(candidate_pairs(reps.select("rep", "signature"), threshold, recall, screen))
-    near = stored(near.join(reps.groupBy("rep").agg(F.sum("copies").alias("copies")), F.col("node") == F.col("rep")).select("rep", "component", "copies"), "near")
-    small = F.broadcast(near) if near.count() <= BROADCAST_ROWS else near
-    texts = ids.withColumnRenamed("doc_id", "rep").join(small, "rep").dropDuplicates(["rep"])
-    links = stored(map_units(units(texts, ["component"], "rep"), _verify(n, threshold), "rep long, n long, root long"), "links")
+    near = stored(near.join(reps.select("rep", "first", "h", "copies"), F.col("node") == F.col("rep")).select("rep", "component", "first", "h", "copies"), "near")
+    texts = ids.withColumnRenamed("doc_id", "first").join(small(near.select("rep", "first", "h")), ["first", "h"]).select("rep", "text").dropDuplicates(["rep"])
+    met = units(near.select("rep", "component", "copies"), ["component"], "rep", VERIFIED).join(texts, "rep")
+    links = stored(map_units(met, _verify(n, threshold), "rep long, n long, root long"), "links")
     classes = components(links.select(F.col("rep").alias("u"), F.col("root").alias("v")))
-    counted = links.groupBy("rep").agg(F.sum("n").alias("n")).join(classes, F.col("rep") == F.col("node"), "left").select("rep", "n", "component")
-    known = reps.join(counted, "rep", "left").select("words", "copies", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("component", "rep").alias("class_id"))
-    told = signed.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("words")).alias("words")).join(known, "words", "left")
+    counted = links.groupBy("rep").agg(F.sum("n").alias("n")).where("n > 0")
+    members = stored(classes.join(counted, F.col("node") == F.col("rep")).join(near.select("rep", "first", "h"), "rep").select("rep", "component", "n", "first", "h"), "members")
+    named = members.groupBy("component").agg(F.min("first").alias("class_id"), F.min_by("h", "first").alias("class_h"))
+    placed = members.join(stored(named, "classes"), "component").select("rep", "n", "class_id", "class_h")
+    known = reps.join(placed, "rep", "left").where("n is not null or copies > 1")
+    links_ = (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links")
+    return signed, stored(known.select("words", links_, F.coalesce("class_id", "first").alias("class_id"), F.coalesce("class_h", "h").alias("class_h")), "known")
+
+
+def _told(signed: DataFrame, known: DataFrame) -> DataFrame:
+    """doc_id, h, and n_links, class_id and class_h where the row has a copy or near copy."""
+    own = signed.select("doc_id", "h", F.when(F.col("doc_id").isNotNull(), F.col("words")).alias("words"))
+    return own.join(small(known), "words", "left")
+
+
+def ngram_jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.998, screen: float | None = None) -> DataFrame:
+    """doc_id, class_id, n_links, kept for every row of ``docs`` (doc_id, text); see above."""
+    told = _told(*_linked(docs, n, threshold, recall, screen))
     class_id = F.coalesce("class_id", "doc_id")
     return told.select(
         "doc_id",
         class_id.alias("class_id"),
-        F.coalesce(F.col("n") + F.col("copies") - 1, F.lit(0)).cast("long").alias("n_links"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce(F.col("doc_id") == class_id, F.lit(True)).alias("kept"),
     )
 
 
-def one_of_each_class(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` without the documents that another one of their class stands for: of each
-    class the row of the smallest doc_id stays, once if it is repeated. Columns are kept."""
-    gone = ngram_jaccard_join(docs, **options).where("not kept").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti")
-    again = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    if not again:
-        return left
-    return left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null"))
+def one_of_each_class(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.998, screen: float | None = None) -> DataFrame:
+    """``docs`` without the rows that another one of their class stands for: of each class one
+    row of the smallest doc_id stays. A row is told by doc_id and text, so that rows of one
+    doc_id with different texts are judged apart; of rows with both the same one stays. Rows
+    that link with nothing stay (no words, no doc_id, or no copy). Columns are kept."""
+    told = stored(_told(*_linked(docs, n, threshold, recall, screen)).where("class_id is not null"), "told")
+    stands = (F.col("doc_id") == F.col("class_id")) & (F.col("h") == F.col("class_h"))
+    gone = stored(told.where(~stands).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct(), "gone")
+    again = stored(told.where(stands).groupBy(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).count().where("count > 1").drop("count"), "again")
+    rows = docs.select(*carried(docs))
+    same = (F.col(name_of(docs, "doc_id")).cast("long") == F.col("_id")) & (F.xxhash64(name_of(docs, "text")) == F.col("_h"))
+    left = rows.join(small(gone), same, "left_anti")
+    if again.count():
+        repeated = left.join(small(again), same).drop("_id", "_h").dropDuplicates([name_of(docs, "doc_id"), name_of(docs, "text")])
+        left = left.join(small(again), same, "left_anti").unionByName(repeated)
+    return restored(left, docs)
