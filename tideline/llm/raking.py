@@ -6,18 +6,29 @@ draws them, by a hash of the text. Vectors stay in the shared folder; in each ro
 for each centre and dimension reaches the driver, in whole numbers, so that their order does
 not matter. Tokens are counted
 as words plus one. Cells are the combinations of source, language and topic that occur; all
-documents are counted, before anything is shuffled. The cells' token weights are raked to
-the three target marginals in turn, each as a sum over a window, for ``ROUNDS`` rounds.
-
-The marginals add up to ``KEEP`` of all tokens, and after each round no cell is asked for
-more tokens than it has. A document's probability is its cell's weight over the cell's
-tokens; it is kept where a hash of doc_id and text lies below that: the same rows are kept
-on every run.
+documents are counted, before anything is shuffled. The cells' token weights are raked to the
+three target marginals in turn until no value of a marginal is off its target by more than
+``TOLERANCE`` of the whole.
 
 Targets are shares by value (``{"source": {"web": 0.2, ...}}``); by default a marginal's
 shares are its token counts to the power ``POWERS``. A value missing in given targets gets
-weight 0. Null source, language or text (topic -1) are values of their own; doc_id may be
-null or repeated; an empty table gives an empty result.
+weight 0. The marginals add up to ``keep`` of all tokens. No value is asked for more tokens
+than it has (the others take over what it lacks), and no cell for more than it has. Three
+marginals that can be met one by one may still contradict each other: then the targets are moved
+towards the shares that the documents have, by the first step of ``STEPS`` at which all of them
+are met (at the last one they always are). Results tell the target and the weight reached.
+
+A document's probability is its cell's weight over the cell's tokens; it is kept where a hash
+of doc_id and text lies below that: the same rows are kept on every run.
+
+Up to ``LOCAL_CELLS`` cells are raked on the driver, as one would solve a small linear
+program; more of them by the same steps as aggregates and joins.
+
+Results: one row per row (``mix_report``), or the rows kept. Null source, language or text
+(topic -1, as for a text without words) are values of their own; an empty text counts one token
+and texts of any length are read whole; doc_id may be null or repeated, and equal rows fare
+alike. Ties in distance go to the first centre. An empty table gives an empty result. Columns not
+named pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,19 +38,21 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textops
-from .store import stored
+from .store import carried, name_of, removed, restored, small, stored
 
-TOPICS, DIMENSIONS, ROUNDS = 8, 256, 8
+TOPICS, DIMENSIONS = 8, 256
+ROUNDS, TOLERANCE, STEPS = 500, 0.001, (1.0, 0.75, 0.5, 0.25, 0.1, 0.0)
+NAMES = ("source", "lang", "topic")
 TOPIC_ROUNDS = 15
 UNIT = float(1 << 32)  # of the sums of vectors
 KEEP = 0.75
 POWERS = {"source": 0.7, "lang": 0.7, "topic": 0.7}
 BROADCAST_CELLS = 100_000
+LOCAL_CELLS = 200_000
 
 
 def _chunk_counts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -133,19 +146,19 @@ def fit_topics(docs: DataFrame, topics: int = TOPICS) -> np.ndarray:
     return centres
 
 
-def _profiler(centres):
+def _profiler(centres, text: str, drop: bool):
     """Batches with topic and tokens; everything else goes through as it came."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.get_field_index("_text")
+            at = batch.schema.get_field_index(text)
             topics, tokens = [], []
             for _, data, offsets in textops.chunks(batch.column(at)):
                 x, n = _chunk_vectors(data, offsets)
                 topic = (x @ centres.value.T).argmax(1) if len(centres.value) else np.zeros(len(x), int)
                 topics.append(np.where(n > 0, topic, -1).astype(np.int32))
                 tokens.append(n + 1)
-            kept = [(f.name, c) for f, c in zip(batch.schema, batch.columns, strict=True) if f.name != "_text"]
+            kept = [(f.name, c) for f, c in zip(batch.schema, batch.columns, strict=True) if not (drop and f.name == text)]
             none = np.zeros(0, np.int32)
             new = [("_topic", pa.array(np.concatenate(topics or [none]))), ("_tokens", pa.array(np.concatenate(tokens or [none]).astype(np.int64)))]
             names, columns = zip(*kept, *new, strict=True)
@@ -154,73 +167,171 @@ def _profiler(centres):
     return run
 
 
-def profiled(rows: DataFrame, centres: np.ndarray) -> DataFrame:
-    """``rows`` with ``_topic`` (-1 without words) and ``_tokens`` of ``_text``, and without that."""
+def profiled(rows: DataFrame, centres: np.ndarray, text: str = "_text", drop: bool = True) -> DataFrame:
+    """``rows`` with ``_topic`` (-1 without words) and ``_tokens`` of the column ``text``, which
+    is then dropped if ``drop``."""
     shared = rows.sparkSession.sparkContext.broadcast(centres)
-    fields = [f for f in rows.schema.fields if f.name != "_text"]
+    fields = [f for f in rows.schema.fields if not (drop and f.name == text)]
     schema = T.StructType([*fields, T.StructField("_topic", T.IntegerType()), T.StructField("_tokens", T.LongType())])
-    return rows.mapInArrow(_profiler(shared), schema)
+    return rows.mapInArrow(_profiler(shared, text, drop), schema)
 
 
-def _shares(cells: DataFrame, name: str, targets: dict | None) -> Column:
-    """The target share of each cell's value of ``name``."""
+def _share(name: str, targets: dict | None) -> Column:
+    """The share asked for, not scaled, of each value of a marginal with its tokens."""
     given = (targets or {}).get(name)
     if given is None:
-        return F.pow(F.sum("tokens").over(W.partitionBy(name)), F.lit(POWERS[name]))
+        return F.pow(F.col("tokens").cast("double"), F.lit(POWERS[name]))
     out = F.lit(0.0)
     for value, share in given.items():
-        out = F.when(F.col(name).eqNullSafe(F.lit(value)), F.lit(float(share))).otherwise(out)
+        out = F.when(F.col("value").eqNullSafe(F.lit(value)), F.lit(float(share))).otherwise(out)
+    return out
+
+
+def _wanted(tokens: np.ndarray, share: np.ndarray, whole: float) -> np.ndarray:
+    """Targets in proportion to ``share`` that sum to ``whole`` (or to all that there is), none
+    above ``tokens``: values that can't supply their part give all, the others take over."""
+    out, open_ = np.zeros(len(tokens)), share > 0
+    left = min(whole, float(tokens[open_].sum()))
+    while open_.any():
+        out[open_] = share[open_] * left / share[open_].sum()
+        over = open_ & (out >= tokens)
+        if not over.any():
+            break
+        out[over] = tokens[over]
+        left -= float(tokens[over].sum())
+        open_ &= ~over
     return out
 
 
-def rake(cells: DataFrame, targets: dict | None = None, keep: float = KEEP, rounds: int = ROUNDS) -> DataFrame:
-    """``cells`` (source, lang, topic, tokens) with ``weight`` (tokens wanted) and
-    ``probability`` (weight over tokens). The shares of a marginal need not sum to 1: each
-    marginal is scaled to ``keep`` x all tokens. No cell is asked for more than it has."""
-    names = ("source", "lang", "topic")
-    now = cells.withColumns({f"_t_{n}": _shares(cells, n, targets) for n in names})
-    ones = {f"_one_{n}": F.row_number().over(W.partitionBy(n).orderBy(*(x for x in names if x != n))) == 1 for n in names}
-    now = stored(now.withColumns(ones), "cells")
-    whole = now.agg(F.sum("tokens").alias("tokens"), *(F.sum(F.when(F.col(f"_one_{n}"), F.col(f"_t_{n}"))).alias(n) for n in names)).first()
-    now = now.withColumn("_w", F.col("tokens").cast("double"))
-    for _ in range(rounds):
-        for n in names:
-            want = F.col(f"_t_{n}") * F.lit(keep * float(whole["tokens"] or 0) / float(whole[n] or 1.0))
-            now = now.withColumn("_w", F.coalesce(F.try_divide(F.col("_w") * want, F.sum("_w").over(W.partitionBy(n))), F.lit(0.0)))
-        now = now.withColumn("_w", F.least("_w", F.col("tokens").cast("double")))
-    return stored(now.select(*names, "tokens", F.col("_w").alias("weight"), (F.col("_w") / F.col("tokens")).alias("probability")), "raked")
+class _Local:
+    """Cells as arrays."""
+
+    def __init__(self, cells: DataFrame) -> None:
+        self.cells = cells.select(*NAMES, "tokens").toPandas()  # LOCAL_CELLS at most
+        self.tokens = self.cells["tokens"].to_numpy(float)
+        self.codes, self.values = {}, {}
+        for n in NAMES:
+            values = self.cells[n].astype(object).where(self.cells[n].notna(), None)
+            order = {v: k for k, v in enumerate(dict.fromkeys(values))}
+            self.codes[n], self.values[n] = values.map(lambda v, o=order: o[v]).to_numpy(int), list(order)
+
+    def start(self) -> None:
+        self.w = self.tokens.copy()
+
+    def sums(self, n: str) -> np.ndarray:
+        return np.bincount(self.codes[n], self.w, len(self.values[n]))
+
+    def scale(self, n: str, want: np.ndarray) -> None:
+        have = self.sums(n)
+        self.w = np.minimum(self.w * (want / np.where(have > 0, have, 1.0))[self.codes[n]], self.tokens)
+
+    def fitted(self, wants: dict[str, np.ndarray]) -> bool:
+        """Rake to these targets; whether they are met."""
+        self.start()
+        whole = max(float(next(iter(wants.values())).sum()), 1e-9)
+        for _ in range(ROUNDS):
+            for n in NAMES:
+                self.scale(n, wants[n])
+            if max(np.abs(self.sums(n) - wants[n]).max(initial=0) for n in NAMES) <= TOLERANCE * whole:
+                return True
+        return False
+
+
+class _Spread(_Local):
+    """Cells as a stored table, for more of them than the driver should hold."""
+
+    def __init__(self, cells: DataFrame) -> None:
+        self.cells = cells
+        self.values = {n: [r[0] for r in cells.select(n).distinct().collect()] for n in NAMES}  # values of a marginal, not cells
+
+    def start(self) -> None:
+        self.w = stored(self.cells.withColumn("w", F.col("tokens").cast("double")), "weights")
+
+    def sums(self, n: str) -> np.ndarray:
+        got = {r[0]: r[1] for r in self.w.groupBy(n).agg(F.sum("w")).collect()}  # as many as the marginal has values
+        return np.array([got.get(v, 0.0) for v in self.values[n]])
+
+    def scale(self, n: str, want: np.ndarray) -> None:
+        have = self.sums(n)
+        kind = self.cells.schema[n].dataType.simpleString()
+        factors = self.cells.sparkSession.createDataFrame([(v, float(f)) for v, f in zip(self.values[n], want / np.where(have > 0, have, 1.0), strict=True)], f"_v {kind}, _f double")
+        old = self.w
+        self.w = stored(old.join(small(factors), F.col(n).eqNullSafe(F.col("_v"))).select(*NAMES, "tokens", F.least(F.col("w") * F.col("_f"), F.col("tokens").cast("double")).alias("w")), "weights")
+        removed(old)
+
+
+def rake(cells: DataFrame, targets: dict | None = None, keep: float = KEEP, local_cells: int = LOCAL_CELLS) -> DataFrame:
+    """``cells`` (source, lang, topic, tokens) with ``weight`` (tokens wanted), ``probability``
+    (weight over tokens), and for each marginal the target and the weight reached of the cell's
+    value. Shares of a marginal need not sum to 1."""
+    spark = cells.sparkSession
+    table = _Local(cells) if cells.count() <= local_cells else _Spread(cells)
+    table.start()
+    tokens = {n: table.sums(n) for n in NAMES}
+    asked = {}
+    for n in NAMES:
+        rows = spark.createDataFrame([(k, v, float(t)) for k, (v, t) in enumerate(zip(table.values[n], tokens[n], strict=True))], f"k long, value {cells.schema[n].dataType.simpleString()}, tokens double")
+        share = {r[0]: r[1] for r in rows.select("k", _share(n, targets)).collect()}
+        asked[n] = _wanted(tokens[n], np.array([share[k] for k in range(len(share))]), keep * float(tokens[n].sum()))
+    for n in NAMES:  # cells of values that nobody wants take no part
+        table.scale(n, np.where(asked[n] > 0, table.sums(n), 0.0))
+    own = {n: table.sums(n) for n in NAMES}
+    whole = min(float(x.sum()) for x in (*asked.values(), own["source"]))
+    asked, own = ({n: x * (whole / x.sum() if x.sum() else 0.0) for n, x in y.items()} for y in (asked, own))
+    for part in STEPS:
+        wants = {n: part * asked[n] + (1 - part) * own[n] for n in NAMES}
+        if table.fitted(wants):
+            break
+    reached = {n: table.sums(n) for n in NAMES}
+    fields = ", ".join(f"{n} {cells.schema[n].dataType.simpleString()}" for n in NAMES)
+    if isinstance(table, _Spread):
+        out = table.w.withColumnRenamed("w", "weight")
+        for n in NAMES:
+            told = spark.createDataFrame([(v, float(a), float(b)) for v, a, b in zip(table.values[n], wants[n], reached[n], strict=True)], f"_v {cells.schema[n].dataType.simpleString()}, {n}_target double, {n}_reached double")
+            out = out.join(small(told), F.col(n).eqNullSafe(F.col("_v"))).drop("_v")
+    else:
+        names = [[table.values[n][k] for k in table.codes[n]] for n in NAMES]
+        told = [x[table.codes[n]].tolist() for n in NAMES for x in (wants[n], reached[n])]
+        rows = list(zip(*names, table.cells["tokens"].tolist(), table.w.tolist(), *told, strict=True))
+        rows = [tuple(int(v) if isinstance(v, np.integer) else v for v in r) for r in rows]
+        out = spark.createDataFrame(rows, f"{fields}, tokens long, weight double, " + ", ".join(f"{n}_target double, {n}_reached double" for n in NAMES))
+    return stored(out.withColumn("probability", F.col("weight") / F.col("tokens")), "raked")
 
 
 def _joined(rows: DataFrame, cells: DataFrame, targets: dict | None, keep: float) -> DataFrame:
-    """``rows`` (with _source, _lang, _topic, _tokens, _chance) with weight, probability, kept."""
-    known = rake(cells, targets, keep).select(F.col("source").alias("_s"), F.col("lang").alias("_l"), F.col("topic").alias("_t"), "weight", "probability")
-    known = F.broadcast(known) if known.count() <= BROADCAST_CELLS else known
+    """``rows`` (with _source, _lang, _topic, _tokens, _chance) with weight, probability, kept,
+    and targets and what was reached."""
+    raked = rake(cells, targets, keep)
+    known = small(raked.drop("tokens").withColumnsRenamed({"source": "_s", "lang": "_l", "topic": "_t"}), BROADCAST_CELLS)
     met = rows.join(known, F.col("_source").eqNullSafe(F.col("_s")) & F.col("_lang").eqNullSafe(F.col("_l")) & (F.col("_topic") == F.col("_t")))
     return met.withColumn("kept", F.col("_chance") < F.col("probability"))
 
 
 def _rows(docs: DataFrame, columns: list[Column], centres: np.ndarray, seed: int) -> DataFrame:
+    """``columns``, the cell's values, tokens and chance of each row; the text only among ``columns``."""
     chance = F.shiftrightunsigned(F.xxhash64("doc_id", "text", F.lit(seed)), 11).cast("double") / F.lit(float(1 << 53))
-    return profiled(docs.select(*columns, F.col("source").alias("_source"), F.col("lang").alias("_lang"), chance.alias("_chance"), F.col("text").alias("_text")), centres)
+    own = [F.col("source").alias("_source"), F.col("lang").alias("_lang"), chance.alias("_chance")]
+    if columns:
+        return profiled(docs.select(*columns, *own), centres, name_of(docs, "text"), False)
+    return profiled(docs.select(*own, F.col("doc_id").alias("_doc_id"), F.col("text").alias("_text")), centres)
 
 
 def _cells(rows: DataFrame) -> DataFrame:
-    keys = (F.col(f"_{c}").alias(c) for c in ("source", "lang", "topic"))
+    keys = (F.col(f"_{c}").alias(c) for c in NAMES)
     return stored(rows.groupBy(*keys).agg(F.sum("_tokens").alias("tokens")), "tokens")
 
 
 def mix_report(docs: DataFrame, targets: dict | None = None, keep: float = KEEP, seed: int = 17) -> DataFrame:
     """doc_id, source, lang, topic, tokens, weight (the cell's), probability and kept for
-    each document."""
-    rows = stored(_rows(docs, [F.col("doc_id")], fit_topics(docs), seed), "profiles")
+    each document, and for its source, language and topic the target and the weight reached."""
+    rows = stored(_rows(docs, [], fit_topics(docs), seed), "profiles")
     met = _joined(rows, _cells(rows), targets, keep)
-    return met.select("doc_id", *(F.col(f"_{c}").alias(c) for c in ("source", "lang", "topic", "tokens")), "weight", "probability", "kept")
+    told = [f"{n}_{x}" for n in NAMES for x in ("target", "reached")]
+    return met.select(*(F.col(f"_{c}").alias(c) for c in ("doc_id", *NAMES, "tokens")), "weight", "probability", "kept", *told)
 
 
 def sampled(docs: DataFrame, targets: dict | None = None, keep: float = KEEP, seed: int = 17) -> DataFrame:
     """The rows of ``docs`` that the calibrated sample keeps, columns unchanged."""
     centres = fit_topics(docs)
     cells = _cells(_rows(docs, [], centres, seed))
-    carried = [F.col(c).alias(f"c_{k}") for k, c in enumerate(docs.columns)]
-    met = _joined(_rows(docs, carried, centres, seed), cells, targets, keep).where("kept")
-    return met.select(*(F.col(f"c_{k}").alias(c) for k, c in enumerate(docs.columns)))
+    return restored(_joined(_rows(docs, carried(docs), centres, seed), cells, targets, keep).where("kept"), docs)
