@@ -8,11 +8,14 @@ from the current basis, an unbounded knapsack over these prices finds the patter
 best reduced cost, until the proven gap is below ``GAP``. Pattern counts are rounded down,
 what is left (a few pieces for each pattern) is packed first-fit decreasing.
 
-Pieces are then ranked within their size (in ``SALTS`` parts, so that no size is one task),
-and a rank's place in its size's list of patterns gives the sequence and the place in it.
-
-Results: one row per piece. A null or empty text has one id (the end id 0). Repeated rows
-are packed each for itself; doc_id may be null. The ids are those of the ``tokenizers``
+Pieces are then ranked within their size, in parts of about ``PART`` pieces dealt by hash, so
+that the number of tasks follows the number of pieces even where all have one size; a rank's
+place in its size's list of patterns gives the sequence and the place in it.
+
+Results: one row per piece. A null or empty text has one id (the end id 0); a text of any length
+is read whole. Repeated rows are packed each for itself, with ranks of their own (pieces that tie
+in everything may change places); doc_id may be null; an empty table gives no pieces. Columns
+other than doc_id and text are not read. The ids are those of the ``tokenizers``
 library for byte_bpe_50k.json; most are made with the same vocabulary as ranks, which is
 three times faster, and tests hold both against each other. Texts that hold an added token of
 the library's, or more than ``LONG_SPACE`` white space in a row, go to the library itself.
@@ -33,12 +36,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .store import stored
+from .store import small, stored
 
 CAPACITY = 1024
 GRID = 4
 GAP = 0.001
-SALTS = 64
+PART = 500_000  # pieces that one task ranks
+LEAST_PARTS = 64
 LONG_SPACE = 20_000  # the other engine's stack overflows on very long runs
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -70,13 +74,13 @@ def _needs_library(text: str, added: list[str]) -> bool:
 
 def _cut(path: str, pattern: str, capacity: int, added: list[str]):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoding(path, pattern).encode_ordinary
+        encoder = encoding(path, pattern)
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 text = text or ""
-                own = library(_json(path)).encode(text, add_special_tokens=False).ids if _needs_library(text, added) else encode(text)
-                ids = np.array([*own, 0], "<u4")
+                own = library(_json(path)).encode(text, add_special_tokens=False).ids if _needs_library(text, added) else encoder.encode_to_numpy(text, disallowed_special=())
+                ids = np.append(np.asarray(own, "<u4"), np.zeros(1, "<u4"))
                 n = len(ids)
                 rows += [(doc_id, at, min(capacity, n - at), zlib.crc32(ids[at : at + capacity]), n) for at in range(0, n, capacity)]
             columns = zip(*rows, strict=True) if rows else [[]] * 5
@@ -209,18 +213,17 @@ def plan(histogram: dict[int, int], capacity: int) -> tuple[list[tuple], int]:
 def packed(cut: DataFrame, capacity: int = CAPACITY, grid: int = GRID) -> DataFrame:
     """``cut`` (a stored table of pieces) with sequence_id and offset."""
     spark = cut.sparkSession
-    salted = cut.withColumn("size", F.expr(f"(length + {grid - 1}) div {grid}")).withColumn("salt", F.expr(f"pmod(xxhash64(doc_id, start, ids_crc32), {SALTS})"))
-    counts = sorted((r["size"], r["salt"], r["count"]) for r in salted.groupBy("size", "salt").count().collect())  # capacity / grid x SALTS at most
-    histogram: dict[int, int] = {}
-    before = []
-    for size, salt, n in counts:
-        before.append((size, salt, histogram.get(size, 0)))
-        histogram[size] = histogram.get(size, 0) + n
+    sized = cut.withColumn("size", F.expr(f"(length + {grid - 1}) div {grid}"))
+    parts = max(LEAST_PARTS, cut.count() // PART)
+    dealt = sized.withColumn("salt", F.expr(f"pmod(xxhash64(doc_id, start, ids_crc32), {parts})"))
+    counts = stored(dealt.groupBy("size", "salt").count(), "sizes")
+    histogram = {r["size"]: r["n"] for r in counts.groupBy("size").agg(F.sum("count").alias("n")).collect()}  # capacity / grid sizes at most
+    before = F.coalesce(F.sum("count").over(W.partitionBy("size").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    base = small(stored(counts.select("size", "salt", before.alias("before")), "ranks"))
     rows, _ = plan(histogram, capacity // grid)
-    base = F.broadcast(spark.createDataFrame(before, "size long, salt long, before long"))
     places = F.broadcast(spark.createDataFrame(rows, "_size long, lo long, hi long, sequence long, copies long, slot long"))
     order = W.partitionBy("size", "salt").orderBy("doc_id", "start", "ids_crc32", "doc_tokens")
-    ranked = salted.withColumn("n", F.row_number().over(order)).join(base, ["size", "salt"]).withColumn("rank", F.col("before") + F.col("n") - 1)
+    ranked = dealt.withColumn("n", F.row_number().over(order)).join(base, ["size", "salt"]).withColumn("rank", F.col("before") + F.col("n") - 1)
     placed = ranked.join(places, F.expr("size = _size and rank >= lo and rank < hi"))
     placed = placed.withColumn("sequence_id", F.expr("sequence + (rank - lo) div copies")).withColumn("place", F.expr("slot + (rank - lo) % copies"))
     ahead = F.sum("length").over(W.partitionBy("sequence_id").orderBy("place").rowsBetween(W.unboundedPreceding, -1))
