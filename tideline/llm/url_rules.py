@@ -8,13 +8,16 @@ worked out once; URLs are then merged with the ends in key order, and each takes
 of the last end before it. Rules of the stack whose path starts the URL's path fit; the
 longest (host and path together, then host) decides.
 
-The sweep runs in partitions dealt by a hash of the row, so that a host with a third of all
-rows spreads evenly; the ends, two for each host of the rule list, are copied to each of the
-``lanes``. Only DataFrame functions are used.
-
-Results: a row per row of the input. A url that is null or has no ``://`` has an empty host
-and path and no rule fits it. Repeated rows, rows without page_id and further columns do
-not matter. Without a fitting rule the verdict is ``default``.
+The sweep runs in lanes, each a sorted run of its own. Rows are dealt to lanes by a hash of the
+row and of the partition that it was read in, so that a host, or one row repeated very often,
+spreads evenly, and a task that runs again deals alike; the number of lanes follows the number of rows (``LANE`` in each). The ends, two for each
+host of the rule list, are copied to each lane. Only DataFrame functions are used.
+
+Results: a row per row of the input. A url that is null, empty or has no ``://`` has an empty
+host and path and no rule fits it; a url of any length is judged whole. Repeated rows, rows
+without page_id and further columns, whatever their names, do not matter. Of rules of one length
+the one with the longer host decides, of rules listed twice block wins. Without a fitting rule the
+verdict is ``default``. An empty table or an empty rule list is no error.
 """
 
 from __future__ import annotations
@@ -26,6 +29,8 @@ from pyspark.sql import functions as F
 RULE = "struct<host:string,path:string,verdict:string>"
 #: Above every character that a host can hold.
 HIGH = "\U0010ffff"
+LANE = 100_000  # rows
+LEAST_LANES = 64
 
 
 def host_of(url: Column) -> Column:
@@ -64,10 +69,12 @@ def ends(rules: DataFrame) -> DataFrame:
     return stacks.select("key", "stack").unionByName(closed)
 
 
-def judged(pages: DataFrame, rules: DataFrame, default: str = "allow", lanes: int = 64) -> DataFrame:
+def judged(pages: DataFrame, rules: DataFrame, default: str = "allow", lanes: int | None = None) -> DataFrame:
     """page_id, url, host, path, rule (host and path), verdict for each row of ``pages``."""
-    urls = pages.select("page_id", "url").withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
-    urls = urls.select("*", key_of(F.col("host")).alias("key"), F.pmod(F.xxhash64("page_id", "url"), F.lit(lanes)).cast("int").alias("lane"), F.lit(1).alias("is_url"))
+    lanes = lanes or max(LEAST_LANES, pages.count() // LANE)
+    urls = pages.select("page_id", F.col("url").cast("string").alias("url")).withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
+    lane = F.pmod(F.xxhash64("page_id", "url", F.spark_partition_id()), F.lit(lanes)).cast("int").alias("lane")
+    urls = urls.select("*", key_of(F.col("host")).alias("key"), lane, F.lit(1).alias("is_url"))
     bounds = ends(rules).withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1)))).withColumn("is_url", F.lit(0))
     order = W.partitionBy("lane").orderBy("key", "is_url").rowsBetween(W.unboundedPreceding, W.currentRow)
     swept = bounds.unionByName(urls, allowMissingColumns=True).withColumn("stack", F.last("stack", ignorenulls=True).over(order)).where("is_url = 1")
