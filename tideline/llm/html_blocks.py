@@ -6,15 +6,18 @@ without prose are passed over, character references are decoded, white space bec
 space. Every block becomes a vector of hashed path, hashed words and a few measures; a
 bidirectional LSTM (numpy) reads the whole sequence and labels each block main text or not.
 
-Training needs no labels by hand: ``SAMPLE`` pages (those of the smallest hashes; a bound on
-the fit only) that mark their article with <article> or <main> give them, less what such
-pages mark as something else. Copies of them with renamed wrappers and with menus, notices,
-adverts, forms, sidebars and comments of the page's own words set in between teach the
-labeller layouts that the sample lacks. All pages are labelled by the network alone.
+Training needs no labels by hand: ``SAMPLE`` pages of at most ``FIT_CHARS`` characters (those of
+the smallest hashes among the pages that mark their article with <article> or <main>; bounds on
+the fit only) give them, less what such pages mark as something else. Where no page of the
+table marks its article, the blocks that lie in no element of ``ASIDE`` stand in for it. Copies of
+these pages with renamed wrappers and with menus, notices, adverts, forms, sidebars and comments of
+the page's own words set in between teach the labeller layouts that the sample lacks. All
+pages are labelled by the network alone.
 
 Results: one row per row; text is empty for null or empty html and where no block is main
-text. page_id may be null or repeated. Without a page to learn from, all blocks are kept
-that lie in no element of ``ASIDE``.
+text. Pages of any length are read whole. page_id may be null or repeated; equal pages get equal
+texts; a block whose probability ties at one half is kept. An empty table gives an empty
+result. Columns other than page_id, url and html are not read.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from __future__ import annotations
 import html as entities
 import re
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -60,6 +63,8 @@ SPLIT = re.compile(r"[^a-z0-9]+")
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 
 SAMPLE, EPOCHS, HIDDEN = 150, 10, 16
+FIT_CHARS = 200_000
+MARKED = r"(?i)<(article|main)[\s>]"
 PATH, WORD, MEASURES = 64, 32, 6
 WIDTH = PATH + WORD + MEASURES
 
@@ -317,8 +322,8 @@ def _wrapper(text: str) -> tuple[tuple[str, ...], ...]:
     return tuple(out)
 
 
-def varied(page: list[Block], r: np.random.Generator) -> tuple[list[Block], list[bool]]:
-    """A copy with another wrapper around the main text and other parts set in between."""
+def varied(page: list[Block], r: np.random.Generator, chosen: Callable = is_main) -> tuple[list[Block], list[bool]]:
+    """A copy with another wrapper around the main text (``chosen``) and other parts set in between."""
     main = _wrapper(str(r.choice(MAIN_WRAPPERS)))
     top = page[0].path[:2] if len(page[0].path) > 2 and page[0].path[0][0] == "html" else (("html",), ("body",))
     words = [w for b in page for w in b.text.split()] or ["-"]
@@ -336,7 +341,7 @@ def varied(page: list[Block], r: np.random.Generator) -> tuple[list[Block], list
     for _ in range(int(r.integers(0, 4))):
         other(False)
     for b in page:
-        if is_main(b.path):
+        if chosen(b.path):
             tail = tuple(x for x in b.path if x[0] in ("p", "h1", "h2", "h3", "li", "blockquote", "ul", "b", "i")) or (("p",),)
             out.append(Block(top + main + tail, b.text, b.linked))
             y.append(True)
@@ -350,20 +355,25 @@ def varied(page: list[Block], r: np.random.Generator) -> tuple[list[Block], list
 
 
 def fit(pages: DataFrame, sample: int = SAMPLE) -> Labeller | None:
-    """A labeller from a bounded sample of pages that mark their article."""
-    hashed = pages.where("html is not null and length(html) < 200000").select("html", F.xxhash64("html").alias("h"))
-    top = hashed.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
-    if top is None:
-        return None
-    rows = sorted({r["html"] for r in hashed.where(F.col("h") <= top).select("html").distinct().collect()})
-    read = [b for b in map(blocks, rows) if any(is_main(x.path) for x in b)]
-    if not read:
+    """A labeller from a bounded sample of pages; none where no page has a block."""
+    rows = pages.where(r"html rlike '\\S'").select("html", F.xxhash64("html").alias("h"), F.length("html").alias("n"))
+    short, plain = rows.where(f"n <= {FIT_CHARS}"), lambda path: not is_aside(path)
+    # pages with marks; else any pages; a few of the long ones where there are no others
+    for some, chosen, bound in ((short.where(F.col("html").rlike(MARKED)), is_main, sample), (short, plain, sample), (rows, plain, 5)):
+        top = some.select("h").distinct().orderBy("h").limit(bound).agg(F.max("h")).first()[0]
+        if top is None:
+            continue
+        texts = some.where(F.col("h") <= top).select("html").distinct().collect()  # ``bound`` pages
+        read = [b for b in map(blocks, sorted(r["html"] for r in texts)) if any(chosen(x.path) for x in b)]
+        if read:
+            break
+    else:
         return None
     r = np.random.default_rng(9)
-    x, y = list(read), [[is_main(b.path) for b in p] for p in read]
+    x, y = list(read), [[chosen(b.path) for b in p] for p in read]
     for page in read:
         for _ in range(3):
-            made, told = varied(page, r)
+            made, told = varied(page, r, chosen)
             x.append(made)
             y.append(told)
     labeller = Labeller()
@@ -378,7 +388,7 @@ def _extract(model):
             for low in range(0, batch.num_rows, 1000):
                 part = batch.slice(low, 1000)
                 read = [blocks(h) for h in part.column(2).to_pylist()]
-                keep = labeller.label(vectors(read)) if labeller else [np.array([not is_aside(b.path) for b in p], bool) for p in read]
+                keep = labeller.label(vectors(read)) if labeller else [np.zeros(len(p), bool) for p in read]
                 texts = [" ".join(b.text for b, k in zip(p, kept, strict=True) if k) for p, kept in zip(read, keep, strict=True)]
                 n = pa.array([len(t) for t in texts], pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), n], ["page_id", "url", "text", "n_chars"])
