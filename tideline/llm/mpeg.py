@@ -6,9 +6,15 @@ bytes (576 samples) for every 576 payload bytes. A frame's side information says
 audio bits follow, so that players give silence, and the payload lies in its ancillary area.
 
 The parser takes any bytes: it skips ID3v2 tags, seeks the next frame header whose successor
-is a header too (or the end), verifies checksums where frames carry them, reads Xing, Info
-and VBRI tables, and gives each frame's offset, its samples and the exact duration as a
-fraction of samples and rate. Bytes between frames are skipped and counted.
+is a header too (or the end), verifies the checksums of all three layers where frames carry
+them, reads Xing, Info and VBRI tables with their seek points, and gives each frame's offset,
+its samples and the exact duration as a fraction, also where the sampling rate changes. Bytes
+between frames are skipped and counted.
+
+Results: one row per row of the input. A null or empty text is one frame of padding; a text of
+any length is one file; equal texts give equal values, and repeated rows or ids stay rows of
+their own. A null or empty file has no frames and duration 0. An empty table gives an empty
+result. Columns other than those named are not read.
 """
 
 from __future__ import annotations
@@ -17,6 +23,7 @@ import hashlib
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +42,15 @@ BITRATES = {
 }
 RATES = {3: [44100, 48000, 32000], 2: [22050, 24000, 16000], 0: [11025, 12000, 8000]}
 
+#: Bits of the allocation of each subband of Layer II, by table (a to d of MPEG-1, e of MPEG-2).
+ALLOCATION = {
+    "a": [4] * 11 + [3] * 12 + [2] * 4,
+    "b": [4] * 11 + [3] * 12 + [2] * 7,
+    "c": [4] * 2 + [3] * 6,
+    "d": [4] * 2 + [3] * 10,
+    "e": [4] * 4 + [3] * 7 + [2] * 19,
+}
+
 HEADER = bytes([0xFF, 0xF2, 0xD8, 0xC0])  # MPEG-2 Layer III with checksum, 144 kbit/s, 16 kHz, mono
 FRAME = 648
 SIDE = 9
@@ -62,6 +78,45 @@ def crc16(rows: np.ndarray) -> np.ndarray:
     return crc
 
 
+def crc16_bits(data: bytes, bits: int) -> int:
+    """The checksum over the first ``bits`` bits of ``data``."""
+    crc = int(crc16(np.frombuffer(data[: bits // 8], np.uint8)[None])[0])
+    for k in range(bits // 8 * 8, bits):
+        bit = data[k // 8] >> 7 - k % 8 & 1
+        crc = (crc << 1 ^ (0x8005 if (crc >> 15 ^ bit) & 1 else 0)) & 0xFFFF
+    return crc
+
+
+def _joint_bound(b: bytes, i: int, subbands: int) -> int:
+    """Subbands that have an allocation for each of two channels; all but in joint stereo."""
+    return min(subbands, 4 * (b[i + 3] >> 4 & 3) + 4) if b[i + 3] >> 6 == 1 else subbands
+
+
+def checked_bits(b: bytes, i: int, length: int) -> int:
+    """How many bits after the checksum of a frame of Layer I or II this one covers: the
+    allocation, and in Layer II two bits for each channel of a subband that has samples."""
+    channels = 1 if b[i + 3] >> 6 == 3 else 2
+    if 4 - (b[i + 1] >> 1 & 3) == 1:
+        bound = _joint_bound(b, i, 32)
+        return 4 * (channels * bound + 32 - bound)
+    first, rate_index, speed = b[i + 1] >> 3 & 3 == 3, b[i + 2] >> 4, b[i + 2] >> 2 & 3
+    table = "e"
+    if first:
+        rate, each = RATES[3][speed], BITRATES[1, 2][rate_index] // channels
+        table = "c" if rate != 32000 and each <= 48 else "d" if each <= 48 else "a" if each <= 80 or rate == 48000 else "b"
+    widths = ALLOCATION[table]
+    bound = _joint_bound(b, i, len(widths))
+    data, at, selected = int.from_bytes(b[i + 6 : i + length], "big"), 8 * (length - 6), 0
+    for k, width in enumerate(widths):
+        for _ in range(channels if k < bound else 1):
+            at -= width
+            if at < 0:
+                return 8 * (length - 6)
+            if data >> at & (1 << width) - 1:
+                selected += channels if k >= bound else 1
+    return min(8 * (length - 6), 8 * (length - 6) - at + 2 * selected)
+
+
 _SILENT = np.frombuffer(HEADER[2:] + bytes(SIDE), np.uint8)
 _START = HEADER + int(crc16(_SILENT[None])[0]).to_bytes(2, "big") + bytes(SIDE)
 
@@ -83,7 +138,8 @@ def encode(payload: bytes) -> bytes:
 
 @dataclass
 class Media:
-    """What a file holds. ``offsets``, ``lengths``, ``starts``: bytes and samples, by frame."""
+    """What a file holds. ``offsets``, ``lengths``, ``starts``: bytes and samples, by frame.
+    ``rate``: the first frame's; ``duration``: exact seconds over all rates."""
 
     offsets: np.ndarray
     lengths: np.ndarray
@@ -96,6 +152,7 @@ class Media:
     skipped: int = 0
     tags: dict = field(default_factory=dict)
     table: dict = field(default_factory=dict)
+    duration: Fraction = Fraction(0)
 
 
 def header(b: bytes, i: int) -> tuple[int, int, int, int, int] | None:
@@ -130,18 +187,21 @@ def _tags(b: bytes, i: int) -> tuple[int, dict]:
 
 
 def _table(b: bytes, i: int, side: int, length: int) -> dict:
-    """A Xing, Info or VBRI table in the frame at ``i``."""
+    """A Xing, Info or VBRI table in the frame at ``i``. ``seek``: bytes from the table's frame to
+    each of its equal parts of the playing time."""
     for at in (i + 4 + side, i + 6 + side):
         if b[at : at + 4] in (b"Xing", b"Info"):
             flags, at, out = int.from_bytes(b[at + 4 : at + 8], "big"), at + 8, {"kind": b[at : at + 4].decode()}
             for bit, name in ((1, "frames"), (2, "bytes")):
                 if flags & bit:
                     out[name], at = int.from_bytes(b[at : at + 4], "big"), at + 4
-            if flags & 4:
-                out["toc"] = b[at : at + 100]
+            if flags & 4 and len(b) >= at + 100:
+                out["seek"] = [x * out.get("bytes", 0) // 256 for x in b[at : at + 100]]
             return out
     if b[i + 36 : i + 40] == b"VBRI" and length > 60:
-        return {"kind": "VBRI", "bytes": int.from_bytes(b[i + 46 : i + 50], "big"), "frames": int.from_bytes(b[i + 50 : i + 54], "big")}
+        size, frames, entries, scale, width, each = (int.from_bytes(b[i + a : i + z], "big") for a, z in ((46, 50), (50, 54), (54, 56), (56, 58), (58, 60), (60, 62)))
+        steps = [scale * int.from_bytes(b[i + 62 + k * width : i + 62 + (k + 1) * width], "big") for k in range(entries if 1 <= width <= 4 and 62 + entries * width <= length else 0)]
+        return {"kind": "VBRI", "bytes": size, "frames": frames, "frames_per_entry": each, "seek": np.cumsum([0, *steps])[:-1].tolist() if steps else []}
     return {}
 
 
@@ -152,6 +212,8 @@ def parse(b: bytes) -> Media:
     table: dict = {}
     rate = skipped = 0
     to_check: dict[int, list[int]] = {}
+    by_rate: dict[int, int] = {}
+    checked = damaged = 0
     n = len(b)
     while at < n:
         h = header(b, at)
@@ -169,16 +231,20 @@ def parse(b: bytes) -> Media:
         rate = rate or rate_here
         if protected and side:
             to_check.setdefault(side, []).append(at)
+        elif protected:
+            bits = checked_bits(b, at, length)
+            checked += 1
+            damaged += crc16_bits(b[at + 2 : at + 4] + b[at + 6 : at + length], 16 + bits) != int.from_bytes(b[at + 4 : at + 6], "big")
         if not offsets and not table and (table := _table(b, at, side, length)):
             at += length
             continue
         offsets.append(at)
         lengths.append(length)
         counts.append(samples)
+        by_rate[rate_here] = by_rate.get(rate_here, 0) + samples
         data.append(at + 4 + 2 * protected + side)
         at += length
     raw = np.frombuffer(b, np.uint8)
-    damaged = 0
     for side, where in to_check.items():
         rows = np.array(where)[:, None]
         covered = raw[rows + np.array([2, 3, *range(6, 6 + side)])]
@@ -186,8 +252,9 @@ def parse(b: bytes) -> Media:
         damaged += int((crc16(covered) != (given[:, 0] << np.uint16(8) | given[:, 1])).sum())
     counts_ = np.array(counts, np.int64)
     starts = np.cumsum(counts_) - counts_
-    checked = sum(map(len, to_check.values()))
-    return Media(np.array(offsets, np.int64), np.array(lengths, np.int64), starts, np.array(data, np.int64), rate, int(counts_.sum()), checked, damaged, skipped, tags, table)
+    checked += sum(map(len, to_check.values()))
+    duration = sum((Fraction(k, r) for r, k in by_rate.items()), Fraction(0))
+    return Media(np.array(offsets, np.int64), np.array(lengths, np.int64), starts, np.array(data, np.int64), rate, int(counts_.sum()), checked, damaged, skipped, tags, table, duration)
 
 
 def payload_of(b: bytes, media: Media) -> bytes:
@@ -217,7 +284,7 @@ def _row(text: bytes) -> tuple:
     payload = payload_of(stored, media)
     return (
         len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(stored), hashlib.sha256(stored).hexdigest(),
-        feature(media), len(media.offsets), media.samples, media.rate, media.samples / media.rate if media.rate else 0.0, media.offsets.tolist(),
+        feature(media), len(media.offsets), media.samples, media.rate, float(media.duration), media.offsets.tolist(),
     )
 
 
@@ -245,8 +312,8 @@ def parsed(files: DataFrame, path: str = "path", content: str = "content") -> Da
             got = [parse(x or b"") for x in batch.column(1).to_pylist()]
             cols = [[m.samples for m in got], [m.rate for m in got], [m.checked for m in got], [m.damaged for m in got], [m.skipped for m in got]]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.string()), *(pa.array(c, pa.int64()) for c in cols), pa.array([m.samples / m.rate if m.rate else 0.0 for m in got]), pa.array([m.offsets.tolist() for m in got], pa.list_(pa.int64())), pa.array([m.starts.tolist() for m in got], pa.list_(pa.int64())), pa.array([m.table.get("kind") for m in got], pa.string())],
-                ["path", "samples", "rate", "checked", "damaged", "skipped", "duration_s", "seek_offsets", "seek_samples", "rate_table"],
+                [batch.column(0).cast(pa.string()), *(pa.array(c, pa.int64()) for c in cols), pa.array([float(m.duration) for m in got], pa.float64()), pa.array([m.duration.numerator for m in got], pa.int64()), pa.array([m.duration.denominator for m in got], pa.int64()), pa.array([m.offsets.tolist() for m in got], pa.list_(pa.int64())), pa.array([m.starts.tolist() for m in got], pa.list_(pa.int64())), pa.array([m.table.get("kind") for m in got], pa.string()), pa.array([m.table.get("seek") for m in got], pa.list_(pa.int64()))],
+                ["path", "samples", "rate", "checked", "damaged", "skipped", "duration_s", "duration_num", "duration_den", "seek_offsets", "seek_samples", "rate_table", "rate_table_seek"],
             )
 
-    return files.select(F.col(path).cast("string").alias("path"), content).mapInArrow(run, "path string, samples long, rate long, checked long, damaged long, skipped long, duration_s double, seek_offsets array<long>, seek_samples array<long>, rate_table string")
+    return files.select(F.col(path).cast("string").alias("path"), content).mapInArrow(run, "path string, samples long, rate long, checked long, damaged long, skipped long, duration_s double, duration_num long, duration_den long, seek_offsets array<long>, seek_samples array<long>, rate_table string, rate_table_seek array<long>")
