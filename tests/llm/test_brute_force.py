@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -441,3 +442,86 @@ def test_many_secrets_in_one_text(spark):
         at = max(at, int(b))
     clean = secret_scan.without_secrets(docs).first()
     assert clean["text"] == out + text[at:] and clean["n_chars"] == len(clean["text"])
+
+
+def bitwise_crc(bits: str) -> int:
+    crc = 0xFFFF
+    for bit in bits:
+        top = crc >> 15 ^ int(bit)
+        crc = crc << 1 & 0xFFFF ^ (0x8005 if top else 0)
+    return crc
+
+
+def frame(head: bytes, body: bytes, covered: int) -> bytes:
+    """A frame with a checksum over the last two bytes of its header and ``covered`` bits."""
+    bits = "".join(f"{x:08b}" for x in head[2:] + body)[: 16 + covered]
+    return head + bitwise_crc(bits).to_bytes(2, "big") + body
+
+
+@pytest.mark.parametrize(
+    ("head", "length", "used", "covered"),
+    [
+        (bytes([0xFF, 0xFE, 0x90, 0xC0]), 12000 * 288 // 44100 * 4, 0, 128),  # Layer I, mono: 32 x 4
+        (bytes([0xFF, 0xFE, 0x90, 0x00]), 12000 * 288 // 44100 * 4, 0, 256),  # stereo
+        (bytes([0xFF, 0xFE, 0x90, 0x50]), 12000 * 288 // 44100 * 4, 0, 4 * (2 * 8 + 24)),  # joint stereo from subband 8
+        (bytes([0xFF, 0xFC, 0x90, 0xC0]), 144 * 160000 // 44100, 3, 11 * 4 + 12 * 3 + 7 * 2 + 2 * 3),  # Layer II, mono, 160 kbit/s
+        (bytes([0xFF, 0xFC, 0x10, 0xC0]), 144 * 32000 // 44100, 2, 2 * 4 + 6 * 3 + 2 * 2),  # 32 kbit/s: the short table
+    ],
+)
+def test_checksums_of_layers_one_and_two(head, length, used, covered):
+    body = bytearray(length - 6)
+    for k in range(used):  # samples in the first subbands, of four bits each
+        body[k // 2] |= 0x50 >> 4 * (k % 2)
+    good = frame(head, bytes(body), covered)
+    assert len(good) == mpeg.header(good, 0)[0] and mpeg.checked_bits(good, 0, length) == covered
+    media = mpeg.parse(good * 4)
+    assert (media.checked, media.damaged, len(media.offsets)) == (4, 0, 4)
+    bad = bytearray(good * 4)
+    bad[length + 6] ^= 2  # within the allocation
+    assert mpeg.parse(bytes(bad)).damaged == 1
+    bad = bytearray(good * 4)
+    bad[2 * length - 1] ^= 1  # past what the checksum covers
+    assert mpeg.parse(bytes(bad)).damaged == 0
+
+
+def test_rates_that_change_and_tables_of_variable_rates(spark):
+    slow, fast = bytes([0xFF, 0xFB, 0x98, 0xC0]), bytes([0xFF, 0xFB, 0x94, 0xC0])  # 32 and 48 kHz, Layer III
+    sizes = [mpeg.header(h, 0)[0] for h in (slow, fast)]
+    plain = [h + bytes(n - 4) for h, n in zip((slow, fast), sizes, strict=True)]
+    media = mpeg.parse(plain[0] * 3 + plain[1] * 5)
+    assert media.duration == Fraction(3 * 1152, 32000) + Fraction(5 * 1152, 48000) and media.starts.tolist() == [1152 * k for k in range(8)]
+    vbri = b"VBRI" + (1).to_bytes(2, "big") + bytes(4) + (5000).to_bytes(4, "big") + (20).to_bytes(4, "big") + b"".join(x.to_bytes(2, "big") for x in (4, 10, 2, 5)) + b"".join(x.to_bytes(2, "big") for x in (7, 8, 9, 10))
+    first = bytearray(plain[0])
+    first[36 : 36 + len(vbri)] = vbri
+    told = mpeg.parse(bytes(first) + plain[0] * 20)
+    assert told.table == {"kind": "VBRI", "bytes": 5000, "frames": 20, "frames_per_entry": 5, "seek": [0, 70, 150, 240]} and len(told.offsets) == 20
+    xing = b"Xing" + (7).to_bytes(4, "big") + (20).to_bytes(4, "big") + (5120).to_bytes(4, "big") + bytes(range(100))
+    first = bytearray(plain[0])
+    first[4 + 17 : 4 + 17 + len(xing)] = xing
+    told = mpeg.parse(bytes(first) + plain[0] * 20)
+    assert told.table["kind"] == "Xing" and told.table["frames"] == 20 and told.table["seek"] == [20 * k for k in range(100)]
+    rows = mpeg.parsed(spark.createDataFrame([("a", bytearray(plain[0] * 3 + plain[1] * 5)), ("b", None), (None, bytearray(first + plain[0] * 20)), ("c", bytearray(b"\xff\xfb" * 99))], "path string, content binary")).collect()
+    got = {r["path"]: r for r in rows}
+    assert (got["a"]["duration_num"], got["a"]["duration_den"]) == (media.duration.numerator, media.duration.denominator)
+    assert got["b"]["duration_s"] == 0 == len(got["b"]["seek_offsets"]) and got[None]["rate_table_seek"] == [20 * k for k in range(100)]
+
+
+def test_pages_that_mark_no_article(spark):
+    # labels set by hand: the articles lie in elements that no rule on names knows
+    r = random.Random(44)
+    rows, want = [], {}
+    for k in range(60):
+        prose = [" ".join(f"word{r.randrange(500)}" for _ in range(r.randrange(20, 60))) + "." for _ in range(r.randrange(3, 7))]
+        marked = k % 3 == 0
+        wrap = ("article", "article") if marked else ('div class="entry content"', "div")
+        body = f"<nav><a href='/'>Home</a></nav><{wrap[0]}><h1>Title {k}</h1>{''.join(f'<p>{p}</p>' for p in prose)}</{wrap[1]}><div class='sidebar'><p>Other things {k}</p></div><footer><p>Contact us</p></footer>"
+        rows.append((k, "u", f"<html><body>{body}</body></html>"))
+        want[k] = " ".join([f"Title {k}", *prose])
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {x["page_id"]: x["text"] for x in html_blocks.main_text(df).collect()}
+    assert sum(got[k] == want[k] for k in want) >= 57
+    rule = {k: " ".join(b.text for b in html_blocks.blocks(h) if html_blocks.is_main(b.path)) for k, _, h in rows}
+    assert sum(rule[k] == want[k] for k in want) == 20
+    # no page of the table marks anything
+    few = {x["page_id"]: x["text"] for x in html_blocks.main_text(df.where("page_id % 3 > 0")).collect()}
+    assert sum(few[k] == want[k] for k in few) >= 36
