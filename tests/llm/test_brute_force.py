@@ -80,13 +80,30 @@ def test_embeddings_find_all_links(spark):
     centres = r.standard_normal((60, 24))
     x = np.concatenate([c + r.standard_normal((n, 24)) * s for c, n, s in zip(centres, r.integers(1, 30, 60), r.uniform(0.02, 0.5, 60), strict=True)]).astype(np.float32)
     rows = [(k, [float(v) for v in row]) for k, row in enumerate(x)]
-    got = {t["vec_id"]: t["n_links"] for t in embed_dedup.embedding_near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    got = {t["vec_id"]: t for t in embed_dedup.embedding_near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
     y = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
     near = y @ y.T >= 0.9
     np.fill_diagonal(near, False)
     want = near.sum(1)
-    found = sum(got.values())
-    assert all(got[k] <= want[k] for k in got) and found >= 0.99 * want.sum() > 0
+    assert all(got[k]["n_links"] <= want[k] for k in got)
+    assert sum(t["n_links"] for t in got.values()) >= 0.998 * want.sum() > 0
+    root = list(range(len(x)))
+    for _ in range(len(x)):
+        new = [min([root[k], *(root[j] for j in np.flatnonzero(near[k]))]) for k in range(len(x))]
+        if new == root:
+            break
+        root = new
+    wrong = [k for k in got if got[k]["component_id"] != root[k]]
+    assert len(wrong) <= 0.002 * len(x)
+    assert all(t["kept"] == (t["component_id"] == k) for k, t in got.items())
+
+
+def test_repeated_and_long_vectors(spark):
+    r = np.random.default_rng(3)
+    long_ = r.standard_normal(5000)
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.05]), (3, [0.0, 1.0]), (4, [0.0, 1.0]), (5, [0.0, -1.0]), (5, [3.0, 0.1]), (7, long_.tolist()), (8, (long_ * 2).tolist()), (9, r.standard_normal(5000).tolist())]
+    got = Counter(tuple(x) for x in embed_dedup.embedding_near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == Counter([(1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 1, 3, True), (4, 1, 3, False), (5, 0, 5, True), (5, 2, 1, False), (7, 1, 7, True), (8, 1, 7, False), (9, 0, 9, True)])
 
 
 def spans(text: str) -> str:
