@@ -2,23 +2,29 @@
 
 Bigrams of words (runs of letters, digits and other non-ASCII characters, lower case) are
 counted exactly for both classes over all labelled rows of the training folds. A word's
-probability in a class is its discounted bigram count, backing off to the class's
-continuation counts (how many different words it follows), which back off to one level shared
-by both classes, its mass spread over the words that either has. A word that neither class
-has speaks for neither. A text's signals are log-likelihood ratios per word: of the
-whole text, and the highest of any window of 1 and of 3 words (``WINDOWS``; single words by
-their continuation counts, which copies of a text do not raise), so that a few words in a very
-long text are not averaged away. A logistic curve turns the signals into a score; it is
+probability in a class is its discounted bigram count, backing off to the class's continuation
+counts (how many different words it follows), which back off to the continuation counts of both
+classes together: rare expressions are smoothed through counts that the classes share. A word
+that neither class has speaks for neither. A text's signals are log-likelihood ratios per
+word: of the whole text, and the highest of any window of 1 and of 3 words (``WINDOWS``; single
+words by their continuation counts, which copies of a text do not raise), so that a few words in
+a very long text are not averaged away. A logistic curve turns the signals into a score; it is
 fitted on rows of another fold than the counts.
 
-All counts are kept, as a table in the shared folder, however many there are. Texts are dealt
-into blocks of about ``BLOCK_BYTES``. A block asks once for each different word and bigram that
-it has: the keys go to the shards of the table by hash, the counts come back to the block. So
-a frequent bigram is asked for once by a block, and nothing of the model is in one place.
+All counts are kept, however many there are, and no place holds them all. Texts are dealt into
+blocks of about ``BLOCK_BYTES``, which are written once, compressed and bucketed. A block sends each
+of its different bigrams once, with its own counts in the training rows, to the bigram's shard (a
+hash of both words; a frequent second word is spread over several shards). A shard adds up the
+counts of all blocks and answers each with the sums; what it knows of words goes to a table of
+words, which blocks are joined with. The answers meet the blocks in their buckets, so that texts are
+never shuffled. Words are told by 48 bits of a hash.
 
 Results: one row per row. A text without words (null, empty) has the share of toxic rows
-among the labelled ones as its score; without labelled rows every score is 0. A document
-with contradictory labels counts as toxic. doc_id may be null or repeated.
+among the labelled ones as its score; without labelled rows every score is 0. A text of any length
+is read whole. A document with contradictory labels counts as toxic; a score that ties with the
+threshold is toxic. doc_id may be null (then it has no label) or repeated; equal texts get equal
+scores. An empty table gives an empty result. Columns other than doc_id and text are not read,
+and pass through ``without_toxic`` whatever their names.
 """
 
 from __future__ import annotations
@@ -30,21 +36,23 @@ from uuid import uuid4
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textops
-from .store import stored
+from .store import carried, name_of, removed, restored, shared_folder, small, stored
 
 WINDOWS = (1, 3)
 CALIBRATION_ROWS = 20_000
-SLICE = 1000  # rows of a batch that are counted at once
-BLOCK_ROWS, BLOCK_BYTES = 4000, 8 << 20  # of texts that are scored at once; a longer text is a block of its own
-SHARDS, SHARD_BIGRAMS = 256, 500_000
+BLOCK_ROWS, BLOCK_BYTES = 10_000, 16 << 20  # of texts that are read at once; a longer text is a block of its own
+SHARD_BYTES = 24 << 20  # of texts, for each shard
+LEAST_SHARDS, LANES = 16, 64  # shards at least; shards for each lane of a frequent word
+BUCKETS = (64, 100_000)  # at least and at most
 DISCOUNT = 0.75
-BROADCAST_ROWS = 2_000_000  # labels; beyond it the join shuffles
 SIGNALS = ["n", "whole", *(f"window{k}" for k in WINDOWS)]
-_KINDS = tuple(np.uint64(k) for k in (0x51A3C07B2D9E6F11, 0x2B7E151628AED2A7, 0x6A09E667F3BCC909))  # c, t and d of a word
+COUNTS = ["c1", "c0", "c", "t1", "t0", "d1", "d0"]  # contexts (toxic, ordinary, either), tokens after, words after
+RESULT = f"block long, shard long, data binary, word long, {', '.join(f'{x} long' for x in COUNTS)}"
 
 
 def fold(doc_id: Column) -> Column:
@@ -57,139 +65,224 @@ def _separators() -> np.ndarray:
     return table
 
 
-def _pairs(w: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """The word before each word; 0 at a document's start."""
-    v = np.concatenate([np.zeros(1, np.uint64), w[:-1]])
+def _read(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All words of some texts (numbers of 48 bits, over 0), and each text's first."""
+    parts, words, first, n = _separators(), [], [np.zeros(1, np.int64)], 0
+    for _, data, offsets in textops.chunks(texts):
+        w, at = textops.words(data, offsets, parts)
+        words.append(np.maximum((w >> np.uint64(16)).view(np.int64), 1))
+        first.append(at[1:] + n)
+        n += len(w)
+    return np.concatenate(words) if words else np.zeros(0, np.int64), np.concatenate(first)
+
+
+def _before(w: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The word before each word; 0 at a text's start."""
+    v = np.concatenate([np.zeros(1, np.int64), w[:-1]])
     v[first[:-1][np.diff(first) > 0]] = 0
     return v
 
 
-def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    parts = _separators()
-    for batch in (whole.slice(k, SLICE) for whole in batches for k in range(0, whole.num_rows, SLICE)):
-        toxic = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        vs, ws, ts = [], [], []
-        for at, data, offsets in textops.chunks(batch.column(1)):
-            w, first = textops.words(data, offsets, parts)
-            if len(w):
-                vs.append(_pairs(w, first))
-                ws.append(w)
-                ts.append(np.repeat(toxic[at : at + len(offsets) - 1], np.diff(first)))
-        if not vs:
-            continue
-        v, w, t = np.concatenate(vs), np.concatenate(ws), np.concatenate(ts)
-        _, at, which = np.unique(textops.mix(v) ^ w, return_index=True, return_inverse=True)
-        n1 = np.bincount(which, t, len(at)).astype(np.int64)
-        n0 = np.bincount(which, 1 - t, len(at)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(v[at].view(np.int64)), pa.array(w[at].view(np.int64)), pa.array(n1), pa.array(n0)], ["v", "w", "n1", "n0"])
+@dataclass
+class Bigrams:
+    """The different bigrams of a block by shard, w and v; ``cuts``: where each shard begins;
+    ``at``: for each word of the texts the bigram that it ends."""
 
+    w: np.ndarray
+    v: np.ndarray
+    shard: np.ndarray
+    cuts: np.ndarray
+    at: np.ndarray
 
-@dataclass
-class Model:
-    """The counts by key, and what is known of all of them; pairs are classes 1 (toxic) and 0."""
 
-    table: DataFrame  # key, a, b: counts of a bigram; contexts, tokens after and words after of a word
-    shards: int
-    bigrams: tuple  # different bigrams
-    types: tuple  # words that the class has
-    size: int  # words that either has
-    base: float = 0.0
-    weights: tuple = ()
-    mean: tuple = ()
-    scale: tuple = ()
+def _bigrams(w: np.ndarray, v: np.ndarray, shards: int) -> Bigrams:
+    _, one, at = np.unique(textops.mix(v.view(np.uint64)) ^ w.view(np.uint64), return_index=True, return_inverse=True)
+    w, v = w[one], v[one]
+    lane = textops.mix(v.view(np.uint64) + np.uint64(77)) % np.uint64(max(1, shards // LANES))
+    shard = (textops.mix(textops.mix(w.view(np.uint64)) + lane) % np.uint64(shards)).astype(np.int64)
+    order = np.lexsort((v, w, shard))
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    shard = shard[order]
+    return Bigrams(w[order], v[order], shard, np.flatnonzero(np.diff(shard, prepend=-1)), place[at])
 
 
-def _word_key(x, kind: int):
-    return textops.mix(x ^ _KINDS[kind])
+def _six(x: np.ndarray) -> bytes:
+    """Numbers of 48 bits, six bytes each."""
+    return x.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
 
-def _keyed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        v, w = (batch.column(k).to_numpy().view(np.uint64) for k in (0, 1))
-        yield pa.RecordBatch.from_arrays([pa.array((textops.mix(v) ^ w).view(np.int64)), batch.column(2), batch.column(3)], ["key", "a", "b"])
+def _of_six(b: bytes) -> np.ndarray:
+    out = np.zeros((len(b) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(b, np.uint8).reshape(-1, 6)
+    return out.view("<i8").ravel()
 
 
-def _word_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        x = batch.column(0).to_numpy().view(np.uint64)
-        for kind in range(3):
-            yield pa.RecordBatch.from_arrays([pa.array(_word_key(x, kind).view(np.int64)), batch.column(1 + 2 * kind), batch.column(2 + 2 * kind)], ["key", "a", "b"])
-
-
-def fit_counts(labelled: DataFrame) -> Model | None:
-    """The two language models, from (toxic, text)."""
-    pairs = stored(labelled.select("toxic", "text").mapInArrow(_count, "v long, w long, n1 long, n0 long").groupBy("v", "w").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")), "bigrams")
-    met = lambda n: F.count(F.when(F.col(n) > 0, 1))
-    after = pairs.groupBy(F.col("v").alias("x")).agg(F.sum("n1").alias("t1"), F.sum("n0").alias("t0"), met("n1").alias("d1"), met("n0").alias("d0"))
-    before = pairs.groupBy(F.col("w").alias("x")).agg(met("n1").alias("c1"), met("n0").alias("c0"))
-    words = stored(before.join(after, "x", "full").na.fill(0), "words")
-    whole = words.agg(F.sum("c1"), F.sum("c0"), F.count(F.when(F.col("c1") > 0, 1)), F.count(F.when(F.col("c0") > 0, 1)), F.count("*")).first()
-    if not whole[4]:
-        return None
-    n1, n0, types1, types0, size = (x or 0 for x in whole)
-    table = pairs.mapInArrow(_keyed, "key long, a long, b long").unionByName(words.select("x", "c1", "c0", "t1", "t0", "d1", "d0").mapInArrow(_word_rows, "key long, a long, b long"))
-    return Model(table, max(SHARDS, (n1 + n0) // SHARD_BIGRAMS), (n1, n0), (types1, types0), size)
-
-
-def _read(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Words, and each text's first, for runs of texts."""
-    parts = _separators()
-    for _, data, offsets in textops.chunks(texts):
-        yield textops.words(data, offsets, parts)
+def _packed(*parts: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([np.array([len(parts), *map(len, parts)], "<i8").tobytes(), *parts]))
 
 
-def _asked(read: list[tuple[np.ndarray, np.ndarray]], shards: int) -> tuple[np.ndarray, np.ndarray]:
-    """The different keys that these texts need, by shard and then in order, and their shards."""
-    w = np.unique(np.concatenate([np.zeros(1, np.uint64), *(w for w, _ in read)]))
-    pairs = (textops.mix(_pairs(x, first)) ^ x for x, first in read if len(x))
-    keys = np.unique(np.concatenate([*(_word_key(w, k) for k in range(3)), *pairs])).view(np.int64)
-    shard = keys % shards
-    order = np.lexsort((keys, shard))
-    return keys[order], shard[order]
+def _unpacked(b: bytes) -> list[bytes]:
+    b = zstandard.ZstdDecompressor().decompress(b)
+    n = int(np.frombuffer(b[:8], "<i8")[0])
+    ends = np.cumsum(np.frombuffer(b[8 : 8 * (n + 1)], "<i8")) + 8 * (n + 1)
+    return [b[a:z] for a, z in zip([8 * (n + 1), *ends[:-1]], ends, strict=True)]
 
 
-def _blocks(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """Runs of rows of at most ``BLOCK_ROWS`` rows and about ``BLOCK_BYTES``."""
-    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    at = 0
-    while at < len(texts):
-        end = int(np.searchsorted(size, (size[at - 1] if at else 0) + BLOCK_BYTES, "right"))
-        end = min(max(end, at + 1), at + BLOCK_ROWS, len(texts))
-        yield at, end - at
-        at = end
+def _dealt(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each block of texts: a number, and the rows as a compressed Arrow stream."""
+    for batch in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            end = int(np.searchsorted(size, (size[at - 1] if at else 0) + BLOCK_BYTES, "right"))
+            end = min(max(end, at + 1), at + BLOCK_ROWS, batch.num_rows)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_batch(batch.slice(at, end - at))
+            yield pa.RecordBatch.from_arrays([pa.array([uuid4().int >> 65]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "rows"])
+            at = end
+
+
+def _opened(rows: bytes) -> pa.Table:
+    return pa.ipc.open_stream(rows).read_all().combine_chunks()
 
 
 def _asking(shards: int):
-    """Rows of texts (without shard), and for each block and shard a row with the keys it asks for."""
+    """For each block and shard its bigrams and their counts in the block's training rows, and
+    under a number below 0 the words of the block."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at, n in _blocks(whole.column(1)):
-                batch, block = whole.slice(at, n), uuid4().hex
-                nulls = [pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())]
-                names = ["block", "doc_id", "text", "shard", "keys"]
-                yield pa.RecordBatch.from_arrays([pa.array([block] * n), *batch.columns, *nulls], names)
-                keys, shard = _asked(list(_read(batch.column(1))), shards)
-                cuts = np.flatnonzero(np.diff(shard, prepend=-1))
-                asked = [keys[a:b].tobytes() for a, b in zip(cuts, [*cuts[1:], len(keys)], strict=True)]
-                m = len(cuts)
-                yield pa.RecordBatch.from_arrays([pa.array([block] * m), pa.nulls(m, batch.column(0).type), pa.nulls(m, batch.column(1).type), pa.array(shard[cuts]), pa.array(asked, pa.binary())], names)
+        for batch in batches:
+            for block, rows in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                texts = _opened(rows.as_py())
+                w, first = _read(texts.column("text").combine_chunks())
+                if not len(w):
+                    continue
+                b = _bigrams(w, _before(w, first), shards)
+                toxic = np.repeat(texts.column("toxic").to_numpy(), np.diff(first))
+                n1, n0 = (np.bincount(b.at[toxic == k], minlength=len(b.w)).astype("<u4") for k in (1, 0))
+                out = []
+                for i, j in zip(b.cuts, [*b.cuts[1:], len(b.w)], strict=True):
+                    own = b.w[i:j]
+                    begin = np.flatnonzero(np.diff(own, prepend=-1))
+                    out.append(_packed(_six(own[begin]), np.diff(begin, append=j - i).astype("<u4").tobytes(), _six(b.v[i:j]), n1[i:j].tobytes(), n0[i:j].tobytes()))
+                words = _packed(_six(np.unique(np.append(b.w, 0))))
+                shard = np.append(b.shard[b.cuts], -1 - block % shards)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(shard), block)), pa.array(shard), pa.array([*out, words], pa.binary())], ["block", "shard", "data"])
 
     return run
 
 
-def _answer(asked: pa.Table, known: pa.Table) -> pa.Table:
-    """For each row of keys their two counts, 0 where a key is not in the table."""
-    keys = known.column("key").to_numpy()
-    order = np.argsort(keys)
-    keys = keys[order]
-    counts = [np.append(known.column(c).to_numpy()[order], 0) for c in "ab"]
-    got = ([], [])
-    for one in asked.column("keys"):
-        at = _find(keys, np.frombuffer(one.as_py(), np.int64))
-        for out, count in zip(got, counts, strict=True):
-            out.append(count[at].tobytes())
-    return pa.table([asked.column("block"), asked.column("shard"), *(pa.array(x, pa.binary()) for x in got)], ["block", "shard", "a", "b"])
+def _result(rows: pa.Table | None = None, words: np.ndarray | None = None, counts: list | None = None) -> pa.Table:
+    """Rows of ``RESULT``: answers (block, shard, data), or words with their counts."""
+    n = rows.num_rows if rows is not None else len(words)
+    long_ = pa.nulls(n, pa.int64())
+    left = [rows.column(c) for c in ("block", "shard", "data")] if rows is not None else [long_, long_, pa.nulls(n, pa.binary())]
+    right = [long_] * (1 + len(COUNTS)) if rows is not None else [pa.array(words), *(pa.array(c.astype(np.int64)) for c in counts)]
+    return pa.table([*left, *right], ["block", "shard", "data", "word", *COUNTS])
+
+
+def _shard(rows: pa.Table) -> pa.Table:
+    """The sums of all blocks' counts for each block, in its order, and counts of words."""
+    if rows.column("shard")[0].as_py() < 0:
+        return _result(rows.select(["block", "shard", "data"]))
+    got = [_unpacked(x.as_py()) for x in rows.column("data")]
+    w = np.concatenate([np.repeat(_of_six(x[0]), np.frombuffer(x[1], "<u4")) for x in got])
+    v = np.concatenate([_of_six(x[2]) for x in got])
+    n1, n0 = (np.concatenate([np.frombuffer(x[k], "<u4") for x in got]).astype(np.int64) for k in (3, 4))
+    order = np.lexsort((v, w))
+    begin = np.concatenate([[True], (np.diff(w[order]) != 0) | (np.diff(v[order]) != 0)])
+    at = np.empty(len(order), np.int64)
+    at[order] = np.cumsum(begin) - 1
+    one = order[begin]
+    sums = [np.add.reduceat(n[order], np.flatnonzero(begin)) for n in (n1, n0)]
+    ends = np.cumsum([len(x[2]) // 6 for x in got])
+    told = [_packed(*(s[at[a:z]].astype("<u4").tobytes() for s in sums)) for a, z in zip([0, *ends[:-1]], ends, strict=True)]
+    answers = pa.table([rows.column("block"), rows.column("shard"), pa.array(told, pa.binary())], ["block", "shard", "data"])
+    seen = sums[0] + sums[1] > 0
+    w, v, (s1, s0) = w[one][seen], v[one][seen], (s[seen] for s in sums)
+    words, which = np.unique(np.concatenate([w, v]), return_inverse=True)
+    by = lambda k, x: np.bincount(which[: len(w)] if k else which[len(w) :], x, len(words))
+    counts = [by(1, s1 > 0), by(1, s0 > 0), by(1, None), by(0, s1), by(0, s0), by(0, s1 > 0), by(0, s0 > 0)]
+    return pa.concat_tables([_result(answers), _result(None, words, counts)])
+
+
+def _listed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, word) for each word of a block."""
+    for batch in batches:
+        for block, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            words = _of_six(_unpacked(data.as_py())[0])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), block)), pa.array(words)], ["block", "word"])
+
+
+@dataclass
+class Model:
+    """What is known of all counts together, and the curve; pairs are classes 1 (toxic) and 0."""
+
+    bigrams: tuple  # different bigrams of a class, and of either
+    types: tuple  # words that the class has
+    size: int  # words that either has
+    base: float = 0.0
+    weights: tuple = ()
+    mean: tuple = ()
+    scale: tuple = ()
+
+
+def ratios(bigrams: np.ndarray, of_w: np.ndarray, of_v: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """log P_toxic(w | v) - log P_ordinary(w | v), and the same for w alone. ``bigrams``: the
+    two counts of each; ``of_w``, ``of_v``: rows of ``COUNTS``."""
+    shared = (of_w[:, 2] + 1) / (model.bigrams[2] + model.size + 1)
+    alone = np.stack([(np.maximum(of_w[:, k] - DISCOUNT, 0) + (DISCOUNT * model.types[k] + 1) * shared) / (model.bigrams[k] + 1) for k in (0, 1)], 1)
+    alone[of_w[:, 2] == 0] = 1 / (model.size + 1)
+    tokens, after = of_v[:, 3:5], of_v[:, 5:7]
+    backoff = np.where(tokens > 0, DISCOUNT * after / np.maximum(tokens, 1), 1.0)
+    p = np.log(np.maximum(bigrams - DISCOUNT, 0) / np.maximum(tokens, 1) + backoff * alone)
+    one = np.log(alone)
+    return p[:, 0] - p[:, 1], one[:, 0] - one[:, 1]
+
+
+def signals(w: np.ndarray, first: np.ndarray, full: np.ndarray, alone: np.ndarray) -> np.ndarray:
+    """By text: words, ratio per word of the whole text, highest ratio per word of each window.
+    ``full``, ``alone``: the ratios of each word."""
+    size = np.diff(first)
+    rows = np.zeros((len(size), 2 + len(WINDOWS)))
+    rows[:, 0] = size
+    has = np.flatnonzero(size)
+    if len(has):
+        full, alone = (np.concatenate([[0.0], np.cumsum(x)]) for x in (full, alone))
+        rows[has, 1] = (full[first[has + 1]] - full[first[has]]) / size[has]
+        past, start = np.arange(1, len(w) + 1), np.repeat(first[:-1], size)
+        for k, window in enumerate(WINDOWS):
+            begin = np.maximum(start, past - window)
+            sums = alone if window == 1 else full
+            whole = past - begin >= np.minimum(np.repeat(size, size), window)
+            mean = np.where(whole, (sums[1:] - sums[begin]) / (past - begin), -np.inf)
+            rows[has, 2 + k] = np.maximum.reduceat(mean, first[has])
+    return rows
+
+
+def _told(shards: int, model: Model):
+    """Signals of a block's texts, from the block and the answers to it."""
+
+    def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
+        texts = _opened(blocks.column("rows")[0].as_py())
+        w, first = _read(texts.column("text").combine_chunks())
+        full = alone = np.zeros(0)
+        if len(w):
+            b = _bigrams(w, _before(w, first), shards)
+            counts = answers.filter(pc.is_null(answers.column("word"))).sort_by("shard")
+            got = [_unpacked(x.as_py()) for x in counts.column("data")]
+            bigrams = np.stack([np.concatenate([np.frombuffer(x[k], "<u4") for x in got]) for k in (0, 1)], 1).astype(float)
+            known = answers.filter(pc.is_valid(answers.column("word"))).sort_by("word")
+            words = known.column("word").to_numpy()
+            table = np.concatenate([np.stack([known.column(c).to_numpy() for c in COUNTS], 1).reshape(-1, len(COUNTS)), np.zeros((1, len(COUNTS)))]).astype(float)
+            of_w, of_v = (table[_find(words, x)] for x in (b.w, b.v))
+            full, alone = (x[b.at] for x in ratios(bigrams, of_w, of_v, model))
+        x = signals(w, first, full, alone)
+        return pa.table([*(texts.column(c) for c in ("doc_id", "h", "h2")), *(pa.array(x[:, k]) for k in range(x.shape[1]))], ["doc_id", "h", "h2", *SIGNALS])
+
+    return run
 
 
 def _find(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -200,67 +293,40 @@ def _find(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.where(keys[np.minimum(at, len(keys) - 1)] == x, at, len(keys))
 
 
-def ratios(w: np.ndarray, v: np.ndarray, counts, bigrams: tuple, types: tuple, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """log P_toxic(w | v) - log P_ordinary(w | v), and the same for w alone. ``counts`` gives
-    the two counts of each of some keys."""
-    x, at = np.unique(np.concatenate([v, w]), return_inverse=True)
-    vi, wi = at[: len(v)], at[len(v) :]
-    contexts, total, after = (counts(_word_key(x, kind)) for kind in range(3))
-    known = contexts.sum(1) > 0
-    alone = np.stack([(np.maximum(contexts[:, k] - DISCOUNT, 0) + (DISCOUNT * types[k] + 1) / (size + 1)) / (bigrams[k] + 1) for k in (0, 1)], 1)
-    alone[~known] = 1 / (size + 1)
-    backoff = np.where(total > 0, DISCOUNT * after / np.maximum(total, 1), 1.0)
-    seen = np.maximum(counts(textops.mix(v) ^ w) - DISCOUNT, 0) / np.maximum(total[vi], 1)
-    p = np.log(seen + backoff[vi] * alone[wi])
-    one = np.log(alone[wi])
-    return p[:, 0] - p[:, 1], one[:, 0] - one[:, 1]
+def _bucketed(rows: DataFrame, size: int) -> tuple[str, str]:
+    """Write the blocks of ``rows`` in buckets: name and path of the table."""
+    name = f"toxicity_blocks_{uuid4().hex}"
+    path = f"{shared_folder(rows.sparkSession)}/{name}"
+    buckets = int(min(BUCKETS[1], max(BUCKETS[0], 2 * size // BLOCK_BYTES)))
+    rows.mapInArrow(_dealt, "block long, rows binary").write.bucketBy(buckets, "block").option("path", path).saveAsTable(name)
+    return name, path
 
 
-def signals(read: Iterable[tuple[np.ndarray, np.ndarray]], ratios) -> np.ndarray:
-    """By text: words, ratio per word of the whole text, highest ratio per word of each window."""
-    out = []
-    for w, first in read:
-        size = np.diff(first)
-        rows = np.zeros((len(size), 2 + len(WINDOWS)))
-        rows[:, 0] = size
-        has = np.flatnonzero(size)
-        if len(has):
-            full, alone = (np.concatenate([[0.0], np.cumsum(x)]) for x in ratios(w, _pairs(w, first)))
-            rows[has, 1] = (full[first[has + 1]] - full[first[has]]) / size[has]
-            past, start = np.arange(1, len(w) + 1), np.repeat(first[:-1], size)
-            for k, window in enumerate(WINDOWS):
-                begin = np.maximum(start, past - window)
-                sums = alone if window == 1 else full
-                whole = past - begin >= np.minimum(np.repeat(size, size), window)
-                mean = np.where(whole, (sums[1:] - sums[begin]) / (past - begin), -np.inf)
-                rows[has, 2 + k] = np.maximum.reduceat(mean, first[has])
-        out.append(rows)
-    return np.concatenate(out) if out else np.zeros((0, 2 + len(WINDOWS)))
-
-
-def signalled(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, two hashes of the text, and the text's signals, for every row of ``docs``."""
-    shards, known = model.shards, (model.bigrams, model.types, model.size)
+def signalled(docs: DataFrame) -> tuple[DataFrame, Model | None]:
+    """doc_id, two hashes of the text, and the text's signals, for every row of ``docs`` (doc_id,
+    text, toxic: 1 or 0 in training rows); no model without training rows that have words."""
+    spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
-    work = stored(docs.select("doc_id", "text").mapInArrow(_asking(shards), f"block string, doc_id {kind}, text string, shard long, keys binary"), "asked")
-    table = model.table.withColumn("shard", F.pmod("key", F.lit(shards)))
-    asked = work.where("shard is not null").select("block", "shard", "keys")
-    answers = asked.groupBy("shard").cogroup(table.groupBy("shard")).applyInArrow(_answer, "block string, shard long, a binary, b binary")
-
-    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        answers = answers.sort_by("shard")
-        read = list(_read(texts.column("text")))
-        keys, _ = _asked(read, shards)
-        order = np.argsort(keys)
-        keys = keys[order]
-        both = np.stack([np.frombuffer(b"".join(answers.column(c).to_pylist()), np.int64)[order] for c in "ab"], 1)
-        counts = lambda x: both[np.searchsorted(keys, x.view(np.int64))]
-        x = signals(read, lambda w, v: ratios(w, v, counts, *known))
-        return pa.table([texts.column("doc_id"), texts.column("h"), texts.column("h2"), *(pa.array(x[:, k]) for k in range(x.shape[1]))], ["doc_id", "h", "h2", *SIGNALS])
-
-    texts = work.where("shard is null").select("block", "doc_id", "text", *_hashes("text"))
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    shards = max(LEAST_SHARDS, size // SHARD_BYTES)
+    rows = docs.select("doc_id", "text", F.coalesce(F.col("toxic").cast("long"), F.lit(-1)).alias("toxic"), *_hashes("text"))
+    name, path = _bucketed(rows, size)
+    blocks = spark.table(name)
+    asked = blocks.mapInArrow(_asking(shards), "block long, shard long, data binary")
+    results = stored(asked.groupBy("shard").applyInArrow(_shard, RESULT), "answers")
+    words = stored(results.where("word is not null").groupBy("word").agg(*(F.sum(c).alias(c) for c in COUNTS)), "words")
+    met = lambda c: F.count(F.when(F.col(c) > 0, 1))
+    n1, n0, n, types1, types0, known = (x or 0 for x in words.agg(*(F.sum(c) for c in COUNTS[:3]), met("c1"), met("c0"), met("c")).first())
+    model = Model((n1, n0, n), (types1, types0), known)
+    told = results.where("shard < 0").select("block", "data").mapInArrow(_listed, "block long, word long").join(words, "word")
+    answers = results.where("shard >= 0").unionByName(told, allowMissingColumns=True)
     schema = f"doc_id {kind}, h long, h2 long, {', '.join(f'{x} double' for x in SIGNALS)}"
-    return stored(texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema), "signals")
+    found = stored(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_told(shards, model), schema), "signals")
+    spark.sql(f"DROP TABLE {name}")
+    blocks.stored_at = path
+    for old in (blocks, results, words):
+        removed(old)
+    return found, model if known else None
 
 
 def _hashes(text: str) -> list[Column]:
@@ -302,22 +368,20 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     folds 0 and 1 are counted, fold 3 (``CALIBRATION_ROWS`` rows of it at most, in order of a
     hash of the text) sets the curve, fold 2 is held out."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    known = known.where(fold(F.col("doc_id")) != 2)
-    known = F.broadcast(known) if known.count() <= BROADCAST_ROWS else known
-    labelled = docs.select("doc_id", "text").where("text is not null").join(known, "doc_id")
-    model = fit_counts(labelled.where(fold(F.col("doc_id")).isin(0, 1)))
+    known = small(known.where(fold(F.col("doc_id")) != 2).withColumnRenamed("doc_id", "_id"))
+    rows = docs.select("doc_id", "text").join(known, F.col("doc_id") == F.col("_id"), "left")
+    found, model = signalled(rows.select("doc_id", "text", F.when(fold(F.col("doc_id")).isin(0, 1), F.col("toxic")).alias("toxic")))
     if model is None:
-        return docs.select("doc_id", *_hashes("text"), F.lit(0.0).alias("score"))
-    found = signalled(docs, model)
-    rows = found.where((fold(F.col("doc_id")) == 3) & (F.col("h") != F.xxhash64(F.lit(None).cast("string")))).join(known, "doc_id")
-    sample = rows.select("toxic", *SIGNALS, "h").orderBy("h", "toxic", "n").limit(CALIBRATION_ROWS).toPandas()
+        return found.select("doc_id", "h", "h2", F.lit(0.0).alias("score"))
+    held = found.where((fold(F.col("doc_id")) == 3) & (F.col("h") != F.xxhash64(F.lit(None).cast("string")))).join(known, F.col("doc_id") == F.col("_id"))
+    sample = held.select("toxic", *SIGNALS, "h").orderBy("h", "toxic", "n").limit(CALIBRATION_ROWS).toPandas()
     _calibrate(model, sample[SIGNALS].to_numpy(float), sample["toxic"].to_numpy(float))
     return found.select("doc_id", "h", "h2", _score(model).alias("score"))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs`` (doc_id, text)."""
-    out = scores(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels)
+    out = scores(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), labels)
     held = F.coalesce(fold(F.col("doc_id")) == 2, F.lit(False)).alias("held_out")
     return out.select("doc_id", held, "score").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
@@ -325,7 +389,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Data
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """``docs`` without the rows that score ``threshold`` or more. A score is the text's, so
     these texts' hashes tell the rows."""
-    bad = stored(scores(docs, labels).where(F.col("score") >= threshold).select(F.col("h").alias("_h"), F.col("h2").alias("_h2")).distinct(), "toxic")
-    bad = F.broadcast(bad) if bad.count() <= BROADCAST_ROWS else bad
-    h, h2 = _hashes("text")
-    return docs.join(bad, (h == F.col("_h")) & (h2 == F.col("_h2")), "left_anti")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    bad = stored(scores(own, labels).where(F.col("score") >= threshold).select(F.col("h").alias("_h"), F.col("h2").alias("_h2")).distinct(), "toxic")
+    h, h2 = _hashes(name_of(docs, "text"))
+    return restored(docs.select(*carried(docs)).join(small(bad), (h == F.col("_h")) & (h2 == F.col("_h2")), "left_anti"), docs)
