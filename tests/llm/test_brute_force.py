@@ -273,44 +273,55 @@ def test_url_rules_against_all_rules(spark):
         assert (got["rule"], got["verdict"]) == ((max(fit)[3], max(fit)[2]) if fit else (None, "allow"))
 
 
-def test_toxicity_keeps_rare_bigrams(spark):
+def kneser_ney(rows: list[tuple]):
+    """Both class models with dictionaries: log ratio of a word after another, and alone."""
+    counts = [Counter(), Counter()]
+    for _, text, t in rows:
+        own = text.split()
+        counts[t].update(zip([None, *own[:-1]], own, strict=True))
+    into = [Counter(b for _, b in c) for c in counts]
+    either = Counter(b for _, b in set(counts[0]) | set(counts[1]))
+    out = [Counter(a for a, _ in c) for c in counts]
+    total = [Counter() for _ in counts]
+    for n, c in zip(total, counts, strict=True):
+        for (a, _), k in c.items():
+            n[a] += k
+    D, size, whole = toxicity.DISCOUNT, len(either), sum(either.values())
+
+    def alone(t, b):
+        if b not in either:
+            return 1 / (size + 1)
+        return (max(into[t][b] - D, 0) + (D * len(into[t]) + 1) * (either[b] + 1) / (whole + size + 1)) / (len(counts[t]) + 1)
+
+    def after(t, a, b):
+        if not total[t][a]:
+            return alone(t, b)
+        return max(counts[t][a, b] - D, 0) / total[t][a] + D * out[t][a] / total[t][a] * alone(t, b)
+
+    return lambda a, b: math.log(after(1, a, b) / after(0, a, b)), lambda b: math.log(alone(1, b) / alone(0, b)), counts
+
+
+@pytest.mark.parametrize("lanes", [64, 4])
+def test_toxicity_keeps_rare_bigrams(spark, lanes, monkeypatch):
     # a toxic expression of common words, among more frequent ordinary bigrams than any fixed table holds
+    monkeypatch.setattr(toxicity, "LANES", lanes)
+    monkeypatch.setattr(toxicity, "BLOCK_BYTES", 400_000)
     r = np.random.default_rng(5)
     words = np.array([f"w{k}" for k in range(1200)])
     rows = [(k, " ".join(words[r.integers(0, 1200, 1500)]), int(k % 7 == 1)) for k in range(600)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
-    model = toxicity.fit_counts(docs)
-    want = Counter()
-    for _, text, t in rows:
+    other = [(1000, "w1 w2 w3 unknown w5 w5", None), (1001, None, None), (1002, "", None), (1003, rows[1][1], None), (1004, "unknown", None)]
+    found, model = toxicity.signalled(spark.createDataFrame(rows + other, "doc_id long, text string, toxic int"))
+    after, alone, counts = kneser_ney(rows)
+    assert len(set(counts[0]) | set(counts[1])) > 400_000
+    assert model.bigrams == (len(counts[1]), len(counts[0]), len(set(counts[0]) | set(counts[1])))
+    got = {x["doc_id"]: x for x in found.collect()}
+    assert len(got) == len(rows) + len(other) and got[1001]["n"] == got[1002]["n"] == 0
+    for k, text, _ in [*rows[:200], other[0], other[3], other[4]]:
         own = text.split()
-        want.update((a, b, t) for a, b in zip([None, *own[:-1]], own, strict=True))
-    seen = {(a, b) for a, b, _ in want}
-    assert len(seen) > 400_000
-    words_met = {b for _, b in seen}
-    assert model.table.count() == len(seen) + 3 * (len(words_met) + 1)
-    assert model.table.where("a + b = 1").count() >= sum(want[a, b, 0] + want[a, b, 1] == 1 for a, b in seen)
-    # signals against a dictionary, with unseen bigrams backed off and an unknown word
-    text = "w1 w2 w3 unknown w5 w5"
-    got = toxicity.signalled(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).collect()[0]
-    D, size = toxicity.DISCOUNT, len(words_met) + 1
-    by = [{(a, b): n for (a, b, t), n in want.items() if t == c} for c in (1, 0)]
-    into = [Counter(b for _, b in x) for x in by]
-    out = [Counter(a for a, _ in x) for x in by]
-    total = [Counter() for _ in by]
-    for c, x in zip(total, by, strict=True):
-        for (a, _), n in x.items():
-            c[a] += n
-
-    def p(c, a, b):
-        alone = (max(into[c][b] - D, 0) + (D * len(into[c]) + 1) / (size + 1)) / (len(by[c]) + 1) if b in words_met else 1
-        if not total[c][a]:
-            return alone
-        return max(by[c].get((a, b), 0) - D, 0) / total[c][a] + D * out[c][a] / total[c][a] * alone
-
-    own = text.split()
-    ratio = [math.log(p(0, a, b) / p(1, a, b)) for a, b in zip([None, *own[:-1]], own, strict=True)]
-    assert got["n"] == 6 and abs(got["whole"] - sum(ratio) / 6) < 1e-9
-    assert abs(got["window3"] - max(sum(ratio[k : k + 3]) / 3 for k in range(4))) < 1e-9
+        ratio = [after(a, b) for a, b in zip([None, *own[:-1]], own, strict=True)]
+        assert got[k]["n"] == len(own) and abs(got[k]["whole"] - sum(ratio) / len(own)) < 1e-9
+        assert abs(got[k]["window1"] - max(map(alone, own))) < 1e-9
+        assert abs(got[k]["window3"] - max(sum(ratio[i : i + 3]) / min(3, len(own)) for i in range(max(1, len(own) - 2)))) < 1e-9
 
 
 def test_topics_come_from_all_documents(spark):
