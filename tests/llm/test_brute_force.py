@@ -291,7 +291,7 @@ def kneser_ney(rows: list[tuple]):
     def alone(t, b):
         if b not in either:
             return 1 / (size + 1)
-        return (max(into[t][b] - D, 0) + (D * len(into[t]) + 1) * (either[b] + 1) / (whole + size + 1)) / (len(counts[t]) + 1)
+        return (max(into[t][b] - D, 0) + (D * len(into[t]) + 1) * 0.5 * ((either[b] + 1) / (whole + size + 1) + 1 / (size + 1))) / (len(counts[t]) + 1)
 
     def after(t, a, b):
         if not total[t][a]:
