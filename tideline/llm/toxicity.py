@@ -4,7 +4,8 @@ Bigrams of words (runs of letters, digits and other non-ASCII characters, lower
 counted exactly for both classes over all labelled rows of the training folds. A word's
 probability in a class is its discounted bigram count, backing off to the class's continuation
 counts (how many different words it follows), which back off to the continuation counts of both
-classes together: rare expressions are smoothed through counts that the classes share. A word
+classes together (a part spread evenly over their words): rare expressions are smoothed through
+counts that the classes share. A word
 that neither class has speaks for neither. A text's signals are log-likelihood ratios per
 word: of the whole text, and the highest of any window of 1 and of 3 words (``WINDOWS``; single
 words by their continuation counts, which copies of a text do not raise), so that a few words in
@@ -50,6 +51,7 @@ SHARD_BYTES = 24 << 20  # of texts, for each shard
 LEAST_SHARDS, LANES = 16, 64  # shards at least; shards for each lane of a frequent word
 BUCKETS = (64, 100_000)  # at least and at most
 DISCOUNT = 0.75
+EVEN = 0.5  # of what is backed off to both classes: the part spread evenly over the words
 SIGNALS = ["n", "whole", *(f"window{k}" for k in WINDOWS)]
 COUNTS = ["c1", "c0", "c", "t1", "t0", "d1", "d0"]  # contexts (toxic, ordinary, either), tokens after, words after
 RESULT = f"block long, shard long, data binary, word long, {', '.join(f'{x} long' for x in COUNTS)}"
@@ -232,9 +234,10 @@ class Model:
 def ratios(bigrams: np.ndarray, of_w: np.ndarray, of_v: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
     """log P_toxic(w | v) - log P_ordinary(w | v), and the same for w alone. ``bigrams``: the
     two counts of each; ``of_w``, ``of_v``: rows of ``COUNTS``."""
-    shared = (of_w[:, 2] + 1) / (model.bigrams[2] + model.size + 1)
+    even = 1 / (model.size + 1)
+    shared = EVEN * even + (1 - EVEN) * (of_w[:, 2] + 1) / (model.bigrams[2] + model.size + 1)
     alone = np.stack([(np.maximum(of_w[:, k] - DISCOUNT, 0) + (DISCOUNT * model.types[k] + 1) * shared) / (model.bigrams[k] + 1) for k in (0, 1)], 1)
-    alone[of_w[:, 2] == 0] = 1 / (model.size + 1)
+    alone[of_w[:, 2] == 0] = even
     tokens, after = of_v[:, 3:5], of_v[:, 5:7]
     backoff = np.where(tokens > 0, DISCOUNT * after / np.maximum(tokens, 1), 1.0)
     p = np.log(np.maximum(bigrams - DISCOUNT, 0) / np.maximum(tokens, 1) + backoff * alone)
