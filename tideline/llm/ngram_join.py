@@ -44,7 +44,7 @@ from .store import carried, name_of, removed, restored, small, stored
 TREES, DEPTH = 16, 8
 START = 6  # length of the first prefixes
 BAND = 0.05  # of similarity, for the estimate of recall
-VERIFIED = 512  # texts in a block of verification
+VERIFIED = 256  # texts in a block of verification
 
 
 def _signer(n: int):
