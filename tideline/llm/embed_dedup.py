@@ -37,7 +37,7 @@ from .store import small, stored
 BUCKET = 512  # mean members of a bucket
 CODE = 256  # signs that pairs are screened by
 SLACK = 5.2  # standard errors that a pair at the threshold may differ more than expected
-BLOCK = 512  # vectors in a block
+BLOCK = 256  # vectors in a block
 BROADCAST_VECTORS = 20_000
 
 
