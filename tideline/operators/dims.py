@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.scalar import in_year_range
+
 BROADCAST_ROWS = 1_000_000
 
 
@@ -51,3 +54,13 @@ def coverage(want: DataFrame, have: DataFrame, keys: Sequence[str], by: str) ->
     lacks = want.join(have, list(keys), "left_anti").groupBy(by).agg(F.count("*").alias("missing"))
     more = have.join(want, list(keys), "left_anti").groupBy(by).agg(F.count("*").alias("extra"))
     return lacks.join(more, by, "full").select(by, F.coalesce("missing", F.lit(0)).alias("missing"), F.coalesce("extra", F.lit(0)).alias("extra"))
+
+
+def calendar_breaks(rows: DataFrame, by: Sequence[str], day: str, gap: tuple[int, int], first: tuple[int, int], last: tuple[int, int]) -> DataFrame:
+    """(by, resume, before): in each calendar (the days that any row of it has) the longest gap of
+    ``gap`` days whose end lies from ``first`` to ``last`` (month, day), of equal ones the later."""
+    days = rows.select(*by, F.col(day).alias("resume")).distinct()
+    g = days.withColumn("before", F.lag("resume").over(W.partitionBy(*by).orderBy("resume"))).withColumn("_gap", F.datediff("resume", "before"))
+    g = g.where(F.col("_gap").between(*gap) & in_year_range(F.col("resume"), first, last))
+    ranked = g.withColumn("_rn", F.row_number().over(W.partitionBy(*by).orderBy(F.desc("_gap"), F.desc("resume"))))
+    return ranked.where("_rn = 1").select(*by, "resume", "before")

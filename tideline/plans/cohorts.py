@@ -11,6 +11,7 @@ from ..operators import features as X
 from ..operators.quality import row_digest
 from ..operators.rates import rates, rates_all_bins, ratio_by
 from .linkage import BREAKS, J8, breaks, missed_days
+from ..operators import metrics as M
 from .registry import query
 from .views import BINS, CATEGORIES, E_CTE, O_CTE, SPEC, appearances, labels, outcome_cte, outcomes, sql6, sql_wilson, table, trades
 
@@ -90,7 +91,8 @@ def a10(spark, d):
 
 @query("a11_median_time", f"WITH {E_CTE} SELECT season, {sql6('quantile_cont(epoch_us(ts) / 86400000000.0, 0.5)')} AS median_day FROM app GROUP BY season")
 def a11(spark, d):
-    return appearances(spark, d).groupBy("season").agg(r6(F.percentile(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(86400000000.0), 0.5)).alias("median_day"))
+    days = appearances(spark, d).select("season", (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(86400000000.0)).alias("at"))
+    return M.medians(days, "at", ["season"]).select("season", r6(F.col("median")).alias("median_day"))
 
 
 @query("a12_class_weight", f"WITH {outcome_cte()} SELECT {sql6('sum(1 - y)::DOUBLE / sum(y)')} AS pos_weight FROM outc WHERE eligible")
@@ -196,11 +198,11 @@ def e02p(spark, d):
     return rounded(ratio_by(decomposed(spark, d).where("rest >= 3"), "y", F.col("exo"), []))
 
 
-@query("e03_calendar_break", f"WITH {O_CTE}, {BREAKS}, x AS (SELECT cust, season, day, y, lag(day) OVER (PARTITION BY cust, season ORDER BY day) AS prev_day FROM tr), f AS (SELECT x.*, before, row_number() OVER (PARTITION BY cust, x.season ORDER BY day) AS rn FROM x JOIN br ON br.season = x.season WHERE day >= resume), gg AS (SELECT CASE WHEN rn = 1 AND prev_day <= before THEN 'first after break' WHEN rn <= 3 THEN 'next' ELSE 'later' END AS stratum, count(*) AS n, CAST(sum(y) AS BIGINT) AS k FROM f GROUP BY 1) SELECT stratum, n, k, {RATE} FROM gg")
+@query("e03_calendar_break", f"WITH {O_CTE}, {BREAKS}, x AS (SELECT cust, grp, season, day, y, lag(day) OVER (PARTITION BY cust, season ORDER BY day) AS prev_day FROM tr), f AS (SELECT x.*, before, row_number() OVER (PARTITION BY cust, x.grp, x.season ORDER BY day) AS rn FROM x JOIN br ON br.grp = x.grp AND br.season = x.season WHERE day >= resume), gg AS (SELECT CASE WHEN rn = 1 AND prev_day <= before THEN 'first after break' WHEN rn <= 3 THEN 'next' ELSE 'later' END AS stratum, count(*) AS n, CAST(sum(y) AS BIGINT) AS k FROM f GROUP BY 1) SELECT stratum, n, k, {RATE} FROM gg")
 def e03(spark, d):
-    x = trades(spark, d).select("cust", "season", "day", "y", F.lag("day").over(W.partitionBy("cust", "season").orderBy("day")).alias("prev_day"))
-    f = x.join(F.broadcast(breaks(spark, d)), "season").where("day >= resume")
-    f = f.withColumn("rn", F.row_number().over(W.partitionBy("cust", "season").orderBy("day")))
+    x = trades(spark, d).select("cust", "grp", "season", "day", "y", F.lag("day").over(W.partitionBy("cust", "season").orderBy("day")).alias("prev_day"))
+    f = x.join(F.broadcast(breaks(spark, d)), ["grp", "season"]).where("day >= resume")
+    f = f.withColumn("rn", F.row_number().over(W.partitionBy("cust", "grp", "season").orderBy("day")))
     stratum = F.when((F.col("rn") == 1) & (F.col("prev_day") <= F.col("before")), "first after break").when(F.col("rn") <= 3, "next").otherwise("later")
     return rounded(rates(f.withColumn("stratum", stratum), "y", ["stratum"]))
 

@@ -162,30 +162,24 @@ def j19(spark, d):
     return t.join(o, ["grp", "season"], "left").select("cust", "day", (F.col("day") == F.col("opener")).alias("is_group_opener"))
 
 
-BREAKS = """dd AS (SELECT DISTINCT season, day FROM tr WHERE cust % 20 = 0), g AS (SELECT season, day, lag(day) OVER (PARTITION BY season ORDER BY day) AS before FROM dd),
- br AS (SELECT season, day AS resume, before FROM (SELECT *, row_number() OVER (PARTITION BY season ORDER BY date_diff('day', before, day) DESC, day DESC) AS rn FROM g
- WHERE date_diff('day', before, day) BETWEEN 2 AND 12 AND day BETWEEN make_date(year(day), 1, 20) AND make_date(year(day), 3, 15)) WHERE rn = 1)"""
+BREAKS = """dd AS (SELECT DISTINCT grp, season, day FROM tr), g AS (SELECT grp, season, day, lag(day) OVER (PARTITION BY grp, season ORDER BY day) AS before FROM dd),
+ br AS (SELECT grp, season, day AS resume, before FROM (SELECT *, row_number() OVER (PARTITION BY grp, season ORDER BY date_diff('day', before, day) DESC, day DESC) AS rn FROM g
+ WHERE date_diff('day', before, day) BETWEEN 4 AND 12 AND day BETWEEN make_date(year(day), 1, 20) AND make_date(year(day), 3, 15)) WHERE rn = 1)"""
 
 
 def breaks(spark, d):
-    """Each season's longest gap of 2 to 12 days that ends from 20 January to 15 March."""
-    from ..functions.scalar import in_year_range
+    """Each group's break in each season: the panel's groups keep calendars of their own."""
+    return dims.calendar_breaks(trades(spark, d), ["grp", "season"], "day", (4, 12), (1, 20), (3, 15))
 
-    days = trades(spark, d).where("cust % 20 = 0").select("season", "day").distinct()
-    g = days.withColumn("before", F.lag("day").over(W.partitionBy("season").orderBy("day"))).withColumn("gap", F.datediff("day", "before"))
-    g = g.where(F.col("gap").between(2, 12) & in_year_range(F.col("day"), (1, 20), (3, 15)))
-    g = g.withColumn("rn", F.row_number().over(W.partitionBy("season").orderBy(F.desc("gap"), F.desc("day")))).where("rn = 1")
-    return g.select("season", F.col("day").alias("resume"), "before")
 
-
-@query("w19_calendar_break", f"WITH {O_CTE}, {BREAKS} SELECT season, resume, before FROM br")
+@query("w19_calendar_break", f"WITH {O_CTE}, {BREAKS} SELECT grp, season, resume, before FROM br")
 def w19(spark, d):
     return breaks(spark, d)
 
 
-@query("j20_first_after_break", f"WITH {O_CTE}, {BREAKS}, x AS (SELECT cust, season, day, lag(day) OVER (PARTITION BY cust, season ORDER BY day) AS prev_day FROM tr), f AS (SELECT x.*, before, row_number() OVER (PARTITION BY cust, x.season ORDER BY day) AS rn FROM x JOIN br ON br.season = x.season WHERE day >= resume) SELECT cust, season, day, prev_day FROM f WHERE rn = 1 AND prev_day <= before")
+@query("j20_first_after_break", f"WITH {O_CTE}, {BREAKS}, x AS (SELECT cust, grp, season, day, lag(day) OVER (PARTITION BY cust, season ORDER BY day) AS prev_day FROM tr), f AS (SELECT x.*, before, row_number() OVER (PARTITION BY cust, x.grp, x.season ORDER BY day) AS rn FROM x JOIN br ON br.grp = x.grp AND br.season = x.season WHERE day >= resume) SELECT cust, grp, season, day, prev_day FROM f WHERE rn = 1 AND prev_day <= before")
 def j20(spark, d):
-    x = trades(spark, d).select("cust", "season", "day", F.lag("day").over(W.partitionBy("cust", "season").orderBy("day")).alias("prev_day"))
-    f = x.join(F.broadcast(breaks(spark, d)), "season").where("day >= resume")  # a row for each season
-    f = f.withColumn("rn", F.row_number().over(W.partitionBy("cust", "season").orderBy("day")))
-    return f.where("rn = 1 and prev_day <= before").select("cust", "season", "day", "prev_day")
+    x = trades(spark, d).select("cust", "grp", "season", "day", F.lag("day").over(W.partitionBy("cust", "season").orderBy("day")).alias("prev_day"))
+    f = x.join(F.broadcast(breaks(spark, d)), ["grp", "season"]).where("day >= resume")  # a row for each group and season
+    f = f.withColumn("rn", F.row_number().over(W.partitionBy("cust", "grp", "season").orderBy("day")))
+    return f.where("rn = 1 and prev_day <= before").select("cust", "grp", "season", "day", "prev_day")
