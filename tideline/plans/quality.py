@@ -18,22 +18,24 @@ H = "OVER (PARTITION BY {p} ORDER BY ts ROWS BETWEEN {f} AND 1 PRECEDING)"
 
 
 def builder(panel):
-    """Five clean features, and two that read their own row or the next one."""
+    """Five clean features, and three leaks: of the row itself, of the next, of all rows."""
     w = SPEC.history()
     return panel.select(
         *KEYS, X.lagged_mean("cents", 5, SPEC).alias("r5"), F.lag("cents").over(w).alias("lag1"), X.season_sum("cents", SPEC).alias("season_cents"),
         X.trailing_count(7, SPEC).alias("rows_7d"), X.ordinal(w).alias("panel_rows"), X.concurrent_mean("cents", 5, SPEC).alias("c5"), F.lead("cents").over(w).alias("next_cents"),
+        F.avg("cents").over(W.partitionBy("user_id")).alias("career_mean"),
     )
 
 
-COLUMNS = ["r5", "lag1", "season_cents", "rows_7d", "panel_rows", "c5", "next_cents"]
+COLUMNS = ["r5", "lag1", "season_cents", "rows_7d", "panel_rows", "c5", "next_cents", "career_mean"]
 
 
 def built(cte: str, source: str, name: str) -> str:
     five = H.format(p="user_id", f="5 PRECEDING")
     return f"""{name} AS (SELECT *, avg(cents) {five} AS r5, lag(cents) OVER (PARTITION BY user_id ORDER BY ts) AS lag1, coalesce(sum(cents) {H.format(p="user_id, season", f="UNBOUNDED PRECEDING")}, 0) AS season_cents,
  count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 604799999999 PRECEDING AND 1 PRECEDING) AS rows_7d, row_number() OVER (PARTITION BY user_id ORDER BY ts) - 1 AS panel_rows,
- avg(cents) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS c5, lead(cents) OVER (PARTITION BY user_id ORDER BY ts) AS next_cents FROM {source})"""
+ avg(cents) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS c5, lead(cents) OVER (PARTITION BY user_id ORDER BY ts) AS next_cents,
+ avg(cents) OVER (PARTITION BY user_id) AS career_mean FROM {source})"""
 
 
 def diffs(select: str, tail: str) -> str:
@@ -68,17 +70,21 @@ def q02(spark, d):
     return A.same_row_perturbation(builder, appearances(spark, d), {"cents": F.col("cents") + 7}, KEYS, COLUMNS, "user_id", "day", 4)
 
 
-LABEL_COLUMNS = ["y", "eligible", "n_before", "r5"]
+LABEL_COLUMNS = ["y", "eligible", "n_before", "r5", "free_rest"]
+#: Planted leaks with the test that has to catch each.
+PLANTED = {"c5": "B", "career_mean": "A", "next_cents": "A", "free_rest": "D"}
 
 
 def label_builder(spark, d):
     """From label records to features: history of events, and one that must not follow labels."""
     app = appearances(spark, d)
+    past = SPEC.history().rowsBetween(*X.PAST)
+    free_rest = F.datediff("day", F.last(F.when(F.col("y") == 0, F.col("day")), ignorenulls=True).over(past))  # planted: reads labels
 
     def build(lab):
         o = outcomes(spark, d, app=app, lab=lab)
         h = asof.history(o, o.where("y = 1").select("user_id", F.col("day").alias("event_day")), ["user_id"], "day", "event_day", 10)
-        return h.select(*KEYS, "y", "eligible", "n_before", X.lagged_mean("cents", 5, SPEC).alias("r5"))
+        return h.select(*KEYS, "y", "eligible", "n_before", X.lagged_mean("cents", 5, SPEC).alias("r5"), free_rest.alias("free_rest"))
 
     return build
 
@@ -89,7 +95,7 @@ def label_cte(new: str, tag: str) -> str:
     for name in ("pairs", "linked", "att2", "att", "outc"):
         base = base.replace(f"{name} AS (", f"{name}{tag} AS (").replace(f"FROM {name} ", f"FROM {name}{tag} ").replace(f"FROM {name})", f"FROM {name}{tag})").replace(f"JOIN {name} ", f"JOIN {name}{tag} ")
     base = base.replace("JOIN lab ", f"JOIN lab{tag} ")
-    return f"lab{tag} AS ({new}), {base}, f{tag} AS (SELECT o.user_id, o.day, y, eligible, (SELECT count(*) FROM outc{tag} p WHERE p.user_id = o.user_id AND p.y = 1 AND p.day < o.day) AS n_before, avg(cents) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS r5 FROM outc{tag} o)"
+    return f"lab{tag} AS ({new}), {base}, f{tag} AS (SELECT o.user_id, o.day, y, eligible, (SELECT count(*) FROM outc{tag} p WHERE p.user_id = o.user_id AND p.y = 1 AND p.day < o.day) AS n_before, avg(cents) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS r5, date_diff('day', max(CASE WHEN y = 0 THEN day END) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), day) AS free_rest FROM outc{tag} o)"
 
 
 def label_diffs(tail: str) -> str:
@@ -113,32 +119,39 @@ def q04(spark, d):
 
 
 def all_tests(spark, d):
+    """Tests A, B and D; history columns are labels' own and exempt from D."""
     a = q01(spark, d).groupBy("column_name").agg(F.sum("n_compared").alias("n_compared"), F.sum("n_diff").alias("n_diff")).select(F.lit("A").alias("test"), "*")
-    return a.unionByName(q02(spark, d).select(F.lit("B").alias("test"), "*"))
+    rewritten = q04(spark, d).where("column_name in ('r5', 'free_rest')")
+    return a.unionByName(q02(spark, d).select(F.lit("B").alias("test"), "*")).unionByName(rewritten.select(F.lit("D").alias("test"), "*"))
 
 
-TESTS = f"t AS (SELECT 'A' AS test, column_name, n_diff FROM ({cut_sql()}) UNION ALL SELECT 'B', column_name, n_diff FROM ({{b}}))"
+def tests_sql() -> str:
+    from .registry import ORACLES
 
+    b, c = ORACLES["q02_same_row_perturbation"], ORACLES["q04_label_independence"]
+    return f"t AS (SELECT 'A' AS test, column_name, n_diff FROM ({cut_sql()}) UNION ALL SELECT 'B', column_name, n_diff FROM ({b}) UNION ALL SELECT 'D', column_name, n_diff FROM ({c}) WHERE column_name IN ('r5', 'free_rest'))"
 
-def b_sql() -> str:
-    from .registry import ORACLES
 
-    return ORACLES["q02_same_row_perturbation"]
+EXPECTED = ", ".join(f"('{c}', '{t}')" for c, t in PLANTED.items())
 
 
-@query("q05_planted_leaks", f"WITH {TESTS.format(b=b_sql())}, x AS (SELECT column_name, test, sum(n_diff) AS n FROM t GROUP BY ALL) SELECT column_name, string_agg(test, ',' ORDER BY test) AS tests FROM x WHERE n > 0 AND column_name IN ('c5', 'next_cents') GROUP BY column_name")
+@query("q05_planted_leaks", f"WITH {tests_sql()}, e(column_name, expected) AS (VALUES {EXPECTED}), x AS (SELECT column_name, test, sum(n_diff) AS n FROM t GROUP BY ALL) SELECT column_name, expected, string_agg(test, ',' ORDER BY test) AS tests, bool_or(test = expected) AS caught FROM x JOIN e USING (column_name) WHERE n > 0 GROUP BY column_name, expected")
 def q05(spark, d):
-    return A.adjudicated(all_tests(spark, d)).where("column_name in ('c5', 'next_cents') and failed > 0").select("column_name", "tests")
+    """Each planted leak, the test that must catch it, and those that did; the leak of labels is
+    none of A's and B's business, so that it controls test D alone."""
+    expected = spark.createDataFrame(list(PLANTED.items()), "column_name string, expected string")
+    found = A.adjudicated(all_tests(spark, d)).where("failed > 0").join(F.broadcast(expected), "column_name")
+    return found.select("column_name", "expected", "tests", F.array_contains(F.split("tests", ","), F.col("expected")).alias("caught"))
 
 
-@query("q06_must_fail_control", f"WITH {TESTS.format(b=b_sql())} SELECT 'c5' AS column_name, CASE WHEN sum(n_diff) > 0 THEN 'caught' ELSE 'missed' END AS verdict FROM t WHERE column_name = 'c5'")
+@query("q06_must_fail_control", f"WITH {tests_sql()} SELECT 'c5' AS column_name, CASE WHEN sum(n_diff) > 0 THEN 'caught' ELSE 'missed' END AS verdict FROM t WHERE column_name = 'c5'")
 def q06(spark, d):
     return A.adjudicated(all_tests(spark, d), ["c5"]).where("column_name = 'c5'").select("column_name", "verdict")
 
 
-@query("q07_adjudication", f"WITH {TESTS.format(b=b_sql())}, x AS (SELECT column_name, test, sum(n_diff) AS n FROM t GROUP BY ALL), z AS (SELECT column_name, count(*) FILTER (WHERE n > 0) AS failed, coalesce(string_agg(test, ',' ORDER BY test) FILTER (WHERE n > 0), '') AS tests FROM x GROUP BY column_name) SELECT column_name, failed, tests, CASE WHEN column_name IN ('c5', 'next_cents') THEN CASE WHEN failed > 0 THEN 'caught' ELSE 'missed' END WHEN failed > 0 THEN 'leak' ELSE 'clean' END AS verdict FROM z")
+@query("q07_adjudication", f"WITH {tests_sql()}, x AS (SELECT column_name, test, sum(n_diff) AS n FROM t GROUP BY ALL), z AS (SELECT column_name, count(*) FILTER (WHERE n > 0) AS failed, coalesce(string_agg(test, ',' ORDER BY test) FILTER (WHERE n > 0), '') AS tests FROM x GROUP BY column_name) SELECT column_name, failed, tests, CASE WHEN column_name IN ({', '.join(map(repr, PLANTED))}) THEN CASE WHEN failed > 0 THEN 'caught' ELSE 'missed' END WHEN failed > 0 THEN 'leak' ELSE 'clean' END AS verdict FROM z")
 def q07(spark, d):
-    return A.adjudicated(all_tests(spark, d), ["c5", "next_cents"])
+    return A.adjudicated(all_tests(spark, d), list(PLANTED))
 
 
 PAIRS = [("l_quantity", "l_discount"), ("l_quantity", "l_tax"), ("l_extendedprice", "l_discount")]
