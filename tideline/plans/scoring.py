@@ -169,7 +169,7 @@ def f11(spark, d):
     return scores(spark, d).select("l_orderkey", "l_linenumber", r6(logit(F.col("p"))).alias("logit_p"))
 
 
-REPS = 40
+REPS = 1000
 DRAW = "('0x' || substr(md5({}), 1, 8))::BIGINT"
 BOOT = f"""WITH {S_CTE}, kl AS (SELECT cluster, row_number() OVER (ORDER BY md5(CAST(cluster AS VARCHAR))) - 1 AS i FROM (SELECT DISTINCT cluster FROM sc)), sz AS (SELECT count(*) AS m FROM kl),
  dr AS (SELECT rep, {DRAW.format("'7:' || rep || ':' || slot")} % m AS i FROM sz, range({REPS}) r(rep), LATERAL (SELECT unnest(range(m)) AS slot)),
@@ -257,7 +257,7 @@ def r07(spark, d):
 @query("l01_median_impute", f"WITH {E_CTE}, m AS (SELECT quantile_cont(k, 0.5) AS med FROM app WHERE season < 3 AND k % 4 <> 0) SELECT user_id, day, CASE WHEN k % 4 <> 0 THEN k::DOUBLE ELSE med END AS k FROM app, m")
 def l01(spark, d):
     a = appearances(spark, d).withColumn("k", F.when(F.col("k") % 4 != 0, F.col("k")))
-    m = a.where("season < 3").agg(F.percentile("k", 0.5).alias("med"))
+    m = M.medians(a.where("season < 3"), "k").withColumnRenamed("median", "med")
     return a.join(F.broadcast(m)).select("user_id", "day", F.coalesce(F.col("k").cast("double"), "med").alias("k"))
 
 
