@@ -15,13 +15,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import logit
+from .metrics import medians
 
 
 def imputed(df: DataFrame, columns: Sequence[str], train: Column | str) -> DataFrame:
     """Nulls become the exact median of the training rows (0 where there is none)."""
-    m = df.where(train).agg(*(F.coalesce(F.percentile(c, 0.5), F.lit(0.0)).alias(f"_m_{c}") for c in columns))
-    out = df.join(F.broadcast(m))  # one row
-    return out.withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"_m_{c}")) for c in columns}).drop(*m.columns)
+    rows = df.where(train).select(F.explode(F.array(*(F.struct(F.lit(c).alias("_name"), F.col(c).cast("double").alias("_value")) for c in columns))).alias("_r"))
+    known = {r["_name"]: r["median"] for r in medians(rows.select("_r.*"), "_value", ["_name"]).collect()}  # one number a column
+    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(float(known.get(c) or 0.0))) for c in columns})
 
 
 def standardised(df: DataFrame, columns: Sequence[str], train: Column | str) -> DataFrame:
@@ -86,13 +87,21 @@ class Fit:
 TERMS = "term string, beta double, se double, robust_se double, odds_ratio double"
 
 
-def _linear(names: Sequence[str], beta: np.ndarray, offset: Column | None) -> Column:
+def _linear(names: Sequence[str], offset: Column | None = None) -> Column:
+    """The linear predictor from the columns of ``_with``."""
     eta = offset if offset is not None else F.lit(0.0)
-    for n, b in zip(names, beta, strict=True):
-        eta = eta + F.col(n) * F.lit(float(b))
+    for j, n in enumerate(names):
+        eta = eta + F.col(n) * F.col(f"_b{j}")
     return eta
 
 
+def _with(df: DataFrame, beta: np.ndarray) -> DataFrame:
+    """``df`` with the coefficients as columns (one row, broadcast): unlike literals they leave
+    the plan of a round as it was, so that its code is compiled once."""
+    now = df.sparkSession.createDataFrame([tuple(map(float, beta))], ", ".join(f"_b{j} double" for j in range(len(beta))))
+    return df.join(F.broadcast(now))
+
+
 def logistic_glm(df: DataFrame, xs: Sequence[str], label: str, cluster: str | None = None, offset: Column | None = None, intercept: bool = True, rounds: int = 25) -> Fit:
     """Maximum-likelihood logistic regression by Newton's method: one aggregate a round.
     With ``cluster``, robust errors from sums of scores by cluster. Rows with nulls in what
@@ -104,10 +113,10 @@ def logistic_glm(df: DataFrame, xs: Sequence[str], label: str, cluster: str | No
     beta = np.zeros(p)
     info, loglik, done = np.eye(p), float("nan"), False
     for n_round in range(1, rounds + 1):
-        eta = _linear(names, beta, offset)
+        eta = _linear(names, offset)
         mu = 1 / (1 + F.exp(-eta))
         resid, w = F.col(label) - mu, mu * (1 - mu)
-        row = df.agg(
+        row = _with(df, beta).agg(
             *(F.sum(resid * F.col(n)).alias(f"g{j}") for j, n in enumerate(names)),
             *(F.sum(w * F.col(names[j]) * F.col(names[k])).alias(f"h{j}_{k}") for j, k in pairs),
             F.sum(F.col(label) * eta - F.log1p(F.exp(eta))).alias("ll"),
@@ -126,8 +135,8 @@ def logistic_glm(df: DataFrame, xs: Sequence[str], label: str, cluster: str | No
     inverse = np.linalg.pinv(info)
     robust = None
     if cluster:
-        resid = F.col(label) - 1 / (1 + F.exp(-_linear(names, beta, offset)))
-        scores = df.groupBy(cluster).agg(*(F.sum(resid * F.col(n)).alias(f"u{j}") for j, n in enumerate(names)))
+        resid = F.col(label) - 1 / (1 + F.exp(-_linear(names, offset)))
+        scores = _with(df, beta).groupBy(cluster).agg(*(F.sum(resid * F.col(n)).alias(f"u{j}") for j, n in enumerate(names)))
         row = scores.agg(F.count("*").alias("g"), *(F.sum(F.col(f"u{j}") * F.col(f"u{k}")).alias(f"m{j}_{k}") for j, k in pairs)).first()
         meat = np.zeros((p, p))
         for j, k in pairs:
@@ -149,11 +158,11 @@ def exchangeable_logistic(df: DataFrame, xs: Sequence[str], label: str, cluster:
     beta = logistic_glm(df, xs, label).beta
     alpha, done = 0.0, False
     for n_round in range(1, rounds + 1):
-        mu = 1 / (1 + F.exp(-_linear(names, beta, None)))
+        mu = 1 / (1 + F.exp(-_linear(names)))
         s = F.sqrt(mu * (1 - mu))
         r = (F.col(label) - mu) / s
         x = [F.col(n) * s for n in names]
-        g = df.groupBy(cluster).agg(
+        g = _with(df, beta).groupBy(cluster).agg(
             F.count("*").alias("m"), F.sum(r).alias("r"), F.sum(r * r).alias("rr"), *(F.sum(c).alias(f"x{j}") for j, c in enumerate(x)),
             *(F.sum(c * r).alias(f"xr{j}") for j, c in enumerate(x)), *(F.sum(x[j] * x[k]).alias(f"xx{j}_{k}") for j, k in pairs),
         )
@@ -179,33 +188,46 @@ def exchangeable_logistic(df: DataFrame, xs: Sequence[str], label: str, cluster:
     return Fit(["(intercept)", *xs], beta, np.sqrt(np.maximum(np.diag(inverse), 0)), robust, float("nan"), n_round, done), alpha
 
 
-def replicate_fits(df: DataFrame, weights: DataFrame, xs: Sequence[str], label: str, cluster: str, rounds: int = 12) -> list[tuple[int, np.ndarray, bool]]:
-    """(rep, coefficients, converged) for all bootstrap replicates at once: each round is one
-    aggregate by replicate over rows joined with their cluster's weights."""
+def replicate_fits(df: DataFrame, weights: DataFrame, xs: Sequence[str], label: str, cluster: str, rounds: int = 25) -> list[tuple[int, np.ndarray, bool]]:
+    """(rep, coefficients, converged) of the population-averaged model for all bootstrap
+    replicates at once. A cluster that a replicate draws w times counts as w clusters, so a
+    round needs each cluster's sums by replicate, times w: one aggregate by (rep, cluster) and
+    one by rep. Replicates that have converged take no part in further rounds."""
     names = ["_one", *xs]
     p = len(names)
     pairs = [(j, k) for j in range(p) for k in range(j, p)]
-    rows = df.withColumn("_one", F.lit(1.0)).na.drop(subset=[label, cluster, *xs]).select(cluster, label, *names).join(weights, cluster)
-    reps = [r["rep"] for r in weights.select("rep").distinct().collect()]  # as many as asked for
-    beta = {r: np.zeros(p) for r in reps}
-    moved = dict.fromkeys(reps, float("inf"))
-    for _ in range(rounds):
-        now = df.sparkSession.createDataFrame([(r, *map(float, b)) for r, b in beta.items()], "rep long, " + ", ".join(f"_b{j} double" for j in range(p)))
-        both = rows.join(F.broadcast(now), "rep")
-        eta = sum((F.col(n) * F.col(f"_b{j}") for j, n in enumerate(names)), F.lit(0.0))
-        mu = 1 / (1 + F.exp(-eta))
-        w = F.col("w")
-        got = both.groupBy("rep").agg(*(F.sum(w * (F.col(label) - mu) * F.col(n)).alias(f"g{j}") for j, n in enumerate(names)), *(F.sum(w * mu * (1 - mu) * F.col(names[j]) * F.col(names[k])).alias(f"h{j}_{k}") for j, k in pairs)).collect()
-        for row in got:
+    spark = df.sparkSession
+    rows = df.withColumn("_one", F.lit(1.0)).na.drop(subset=[label, cluster, *xs]).select(cluster, label, *names)
+    beta = {r["rep"]: np.zeros(p) for r in weights.select("rep").distinct().collect()}  # as many as asked for
+    alpha, moved = dict.fromkeys(beta, 0.0), dict.fromkeys(beta, float("inf"))
+    mu = 1 / (1 + F.exp(-_linear(names)))
+    s = F.sqrt(mu * (1 - mu))
+    x, r, w = [F.col(n) * s for n in names], (F.col(label) - mu) / s, F.col("_w")
+    sums = [F.count("*").alias("m"), F.sum("_r").alias("r"), F.sum(F.col("_r") ** 2).alias("rr"), *(F.sum(f"_x{j}").alias(f"x{j}") for j in range(p))]
+    sums += [F.sum(F.col(f"_x{j}") * F.col("_r")).alias(f"xr{j}") for j in range(p)] + [F.sum(F.col(f"_x{j}") * F.col(f"_x{k}")).alias(f"xx{j}_{k}") for j, k in pairs]
+    c = F.col("_a") / (1 + (F.col("m") - 1) * F.col("_a"))
+    u = [(F.col(f"xr{j}") - c * F.col(f"x{j}") * F.col("r")) / (1 - F.col("_a")) for j in range(p)]
+    h = [(F.col(f"xx{j}_{k}") - c * F.col(f"x{j}") * F.col(f"x{k}")) / (1 - F.col("_a")) for j, k in pairs]
+    for n_round in range(rounds):
+        open_ = [k for k in beta if moved[k] >= 1e-7]
+        if not open_:
+            break
+        now = F.broadcast(spark.createDataFrame([(k, alpha[k], *map(float, beta[k])) for k in open_], "rep long, _a double, " + ", ".join(f"_b{j} double" for j in range(p))))
+        drawn = now.join(weights.withColumnRenamed("w", "_w"), "rep").join(rows, cluster)
+        own = drawn.select("rep", cluster, "_w", "_a", r.alias("_r"), *(v.alias(f"_x{j}") for j, v in enumerate(x))).groupBy("rep", cluster, "_w", "_a").agg(*sums)
+        moments = [F.sum(w * (F.col("r") ** 2 - F.col("rr"))).alias("pr"), F.sum(w * F.col("m") * (F.col("m") - 1)).alias("pm"), F.sum(w * F.col("rr")).alias("sr"), F.sum(w * F.col("m")).alias("n")]
+        steps = [F.sum(w * v).alias(f"u{j}") for j, v in enumerate(u)] + [F.sum(w * v).alias(f"h{j}_{k}") for (j, k), v in zip(pairs, h, strict=True)]
+        for row in own.groupBy("rep").agg(*moments, *steps).collect():
             info = np.zeros((p, p))
             for j, k in pairs:
                 info[j, k] = info[k, j] = row[f"h{j}_{k}"]
-            step = np.linalg.lstsq(info, np.array([row[f"g{j}"] for j in range(p)]), rcond=None)[0]
-            beta[row["rep"]] = beta[row["rep"]] + np.clip(step, -5, 5)
-            moved[row["rep"]] = float(np.abs(step).max())
-        if max(moved.values(), default=0.0) < 1e-7:
-            break
-    return [(r, beta[r], moved[r] < 1e-5) for r in reps]
+            rep, step = row["rep"], np.linalg.lstsq(info, np.array([row[f"u{j}"] for j in range(p)]), rcond=None)[0]
+            phi = row["sr"] / max(1, row["n"] - p)
+            # the correlation of this round's residuals serves the next round
+            new = float(np.clip(row["pr"] / phi / max(1.0, row["pm"] - 2 * p), -0.05, 0.95)) if phi and row["pm"] else 0.0
+            moved[rep] = max(float(np.abs(step).max()), abs(new - alpha[rep])) if n_round else float("inf")
+            beta[rep], alpha[rep] = beta[rep] + np.clip(step, -5, 5), new
+    return [(k, beta[k], moved[k] < 1e-5) for k in sorted(beta)]
 
 
 def calibration_slope(df: DataFrame, score: str, label: str, cluster: str | None = None) -> Fit:
