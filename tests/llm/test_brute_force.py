@@ -12,8 +12,10 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tideline.llm import embed_dedup, html_blocks, lang_mix, mpeg, ngram_join, packing, raking, secret_scan, textops, toxicity, url_rules
+from tideline.llm import blocks, embed_dedup, html_blocks, lang_mix, mpeg, ngram_join, packing, raking, secret_scan, textops, toxicity, url_rules
+from tideline.llm import components as component_parts
 from tideline.llm.components import components
+from tideline.llm.store import stored
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -553,3 +555,81 @@ def test_pages_that_mark_no_article(spark):
     # no page of the table marks anything
     few = {x["page_id"]: x["text"] for x in html_blocks.main_text(df.where("page_id % 3 > 0")).collect()}
     assert sum(few[k] == want[k] for k in few) >= 36
+
+
+def mixture_by_hand(text: str, table, hashes) -> list[float]:
+    """Segments, likelihoods, EM and the choice of languages for one text, step by step."""
+    data = text.lower().encode()
+    letter = lambda b: 97 <= b <= 122 or 65 <= b <= 90 or b >= 128
+    b = [x if letter(x) else 32 for x in data] + [32] * 3
+    segments = []
+    for at in range(0, len(data), lang_mix.SEGMENT):
+        logs = [0.0] * len(table)
+        for k in range(at, min(at + lang_mix.SEGMENT, len(data))):
+            if b[k] == b[k + 1] == 32:
+                continue
+            h = sum(b[k + j] * int(hashes[j]) for j in range(4)) % 2**32
+            gram = ((h ^ h >> 15) * 0x85EBCA6B % 2**32) >> 16
+            logs = [x + float(row[gram]) for x, row in zip(logs, table, strict=True)]
+        segments.append([math.exp(max(x - max(logs), -200)) for x in logs])
+
+    def em(active, rounds):
+        share = [a / sum(active) for a in active]
+        for _ in range(rounds):
+            new = [0.0] * len(share)
+            for s in segments:
+                r = [x * p for x, p in zip(s, share, strict=True)]
+                new = [n + x / sum(r) for n, x in zip(new, r, strict=True)]
+            share = [n / len(segments) for n in new]
+        return share, sum(math.log(max(sum(x * p for x, p in zip(s, share, strict=True)), 1e-300)) for s in segments)
+
+    active = [1] * len(table)
+    share, level = em(active, 12)
+    for _ in range(len(table) - 1):
+        rarest = min((k for k in range(len(table)) if active[k]), key=lambda k: share[k])
+        fewer = [0 if k == rarest else a for k, a in enumerate(active)]
+        share_, level_ = em(fewer, 6) if sum(fewer) else (share, -math.inf)
+        if level_ + lang_mix.PENALTY * math.log(len(segments) + 1) < level:
+            break
+        active, share, level = fewer, share_, level_
+    return share
+
+
+def test_language_mixtures_against_plain_steps(spark):
+    r = random.Random(19)
+    words = {"de": ["der", "haus", "nicht", "und", "schule", "wasser"], "en": ["the", "house", "with", "and", "think", "water"], "fr": ["le", "maison", "avec", "et", "penser", "eau"]}
+    some = lambda lang, n: " ".join(r.choice(words[lang]) for _ in range(n))
+    rows = [(k, some(lang, 30), lang) for k in range(90) for lang in [r.choice(list(words))]]
+    mixed = [(100 + k, some(a, r.randrange(1, 60)) + " " + some(b, r.randrange(1, 60)) + " 42 ü", None) for k in range(40) for a, b in [r.sample(list(words), 2)]]
+    docs = spark.createDataFrame(rows + mixed, "doc_id long, text string, lang string")
+    labelled = docs.where(~lang_mix.held_out(docs["doc_id"]))
+    names, table = lang_mix.fit(labelled)
+    assert names == ["de", "en", "fr"]
+    for got in lang_mix.identify(docs).collect():
+        text = next(t for k, t, _ in rows + mixed if k == got["doc_id"])
+        share = mixture_by_hand(text, table, lang_mix._HASH)
+        best = max(range(3), key=lambda k: share[k])
+        assert got["lang_pred"] == names[best] and abs(got["score"] - share[best]) < 1e-4
+
+
+def test_a_hot_key_is_split(spark):
+    # with broadcasts off: a star with a third of all edges, and a group with a third of all rows
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+                "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5"}
+    old = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        edges = stored(spark.range(30000).selectExpr("id + 1 as u", "case when id % 3 = 0 then 0 else id - id % 3 end as v").repartition(8), "test")
+        low = component_parts._lowest(edges.select(edges["v"].alias("u"), edges["u"].alias("v")))
+        star = edges.select(edges["v"].alias("u"), edges["u"].alias("v")).join(low, "u")
+        star.write.format("noop").mode("overwrite").save()
+        rows = stored(spark.range(30000).selectExpr("id as member", "case when id % 3 = 0 then -1 else id end as k").repartition(8), "test")
+        met = blocks.units(rows, ["k"], "member")
+        met.write.format("noop").mode("overwrite").save()
+        for df in (star, met):
+            df.collect()
+            assert "skew=true" in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

@@ -7,10 +7,12 @@ under a language is that of its grams, and EM finds the document's language prop
 Then languages are dropped, rarest first, for as long as the likelihood penalised by
 ``PENALTY`` x log(segments) for each language does not fall.
 
-Results: one row per row. A text that is null or has no letters gets ``und`` with score 0,
-as does everything when there is no labelled row. The score is the proportion of the
-language named; ties go to the language first in order. lang, source and doc_id take no
-part in a prediction, and doc_id may be null (then not held out) or repeated.
+Results: one row per row. A text that is null or empty or has no letters gets ``und`` with score
+0, as does everything when there is no labelled row. A text of any length is read whole. The
+score is the proportion of the language named; ties go to the language first in order. lang,
+source and doc_id take no part in a prediction; doc_id may be null (then not held out) or
+repeated, and equal texts get equal languages. An empty table gives an empty result. Columns
+other than doc_id, text and lang are not read.
 """
 
 from __future__ import annotations
