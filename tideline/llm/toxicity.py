@@ -17,8 +17,8 @@ blocks of about ``BLOCK_BYTES``, which are written once, compressed and bucketed
 of its different bigrams once, with its own counts in the training rows, to the bigram's shard (a
 hash of both words; a frequent second word is spread over several shards). A shard adds up the
 counts of all blocks and answers each with the sums; what it knows of words goes to a table of
-words, which blocks are joined with. The answers meet the blocks in their buckets, so that texts are
-never shuffled. Words are told by 48 bits of a hash.
+words, whose shards then answer the blocks' words in the same way. The answers meet the blocks in
+their buckets, so that texts are never shuffled. Words are told by 48 bits of a hash.
 
 Results: one row per row. A text without words (null, empty) has the share of toxic rows
 among the labelled ones as its score; without labelled rows every score is 0. A text of any length
@@ -48,13 +48,14 @@ WINDOWS = (1, 3)
 CALIBRATION_ROWS = 20_000
 BLOCK_ROWS, BLOCK_BYTES = 10_000, 4 << 20  # of texts that are read at once; a longer text is a block of its own
 SHARD_BYTES = 24 << 20  # of texts, for each shard
-LEAST_SHARDS, LANES = 16, 64  # shards at least; shards for each lane of a frequent word
-BUCKETS = (64, 100_000)  # at least and at most
+LEAST_SHARDS, LANES = 8, 64  # shards at least; shards for each lane of a frequent word
+BUCKETS = (16, 100_000)  # at least and at most
 DISCOUNT = 0.75
 EVEN = 0.5  # of what is backed off to both classes: the part spread evenly over the words
 SIGNALS = ["n", "whole", *(f"window{k}" for k in WINDOWS)]
 COUNTS = ["c1", "c0", "c", "t1", "t0", "d1", "d0"]  # contexts (toxic, ordinary, either), tokens after, words after
-RESULT = f"block long, shard long, data binary, word long, {', '.join(f'{x} long' for x in COUNTS)}"
+ANSWER = "block long, shard long, data binary"
+RESULT = f"{ANSWER}, word long, {', '.join(f'{x} long' for x in COUNTS)}"
 
 
 def fold(doc_id: Column) -> Column:
@@ -150,9 +151,21 @@ def _opened(rows: bytes) -> pa.Table:
     return pa.ipc.open_stream(rows).read_all().combine_chunks()
 
 
+def _word_shard(words: np.ndarray, shards: int) -> np.ndarray:
+    return (textops.mix(words.view(np.uint64) + np.uint64(55)) % np.uint64(shards)).astype(np.int64)
+
+
+def _words(b: Bigrams, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words that a block asks for by shard and in order, their shards, and where each begins."""
+    words = np.unique(np.append(b.w, 0))
+    shard = _word_shard(words, shards)
+    order = np.lexsort((words, shard))
+    return words[order], shard[order], np.flatnonzero(np.diff(shard[order], prepend=-1))
+
+
 def _asking(shards: int):
     """For each block and shard its bigrams and their counts in the block's training rows, and
-    under a number below 0 the words of the block."""
+    its words to shards that are told by numbers below 0."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,9 +182,10 @@ def _asking(shards: int):
                     own = b.w[i:j]
                     begin = np.flatnonzero(np.diff(own, prepend=-1))
                     out.append(_packed(_six(own[begin]), np.diff(begin, append=j - i).astype("<u4").tobytes(), _six(b.v[i:j]), n1[i:j].tobytes(), n0[i:j].tobytes()))
-                words = _packed(_six(np.unique(np.append(b.w, 0))))
-                shard = np.append(b.shard[b.cuts], -1 - block % shards)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(shard), block)), pa.array(shard), pa.array([*out, words], pa.binary())], ["block", "shard", "data"])
+                words, of, cuts = _words(b, shards)
+                out += [_packed(_six(words[i:j])) for i, j in zip(cuts, [*cuts[1:], len(words)], strict=True)]
+                shard = np.append(b.shard[b.cuts], -1 - of[cuts])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(shard), block)), pa.array(shard), pa.array(out, pa.binary())], ["block", "shard", "data"])
 
     return run
 
@@ -210,12 +224,27 @@ def _shard(rows: pa.Table) -> pa.Table:
     return pa.concat_tables([_result(answers), _result(None, words, counts)])
 
 
-def _listed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, word) for each word of a block."""
-    for batch in batches:
-        for block, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            words = _of_six(_unpacked(data.as_py())[0])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), block)), pa.array(words)], ["block", "word"])
+def _sharded(shards: int):
+    """Words with the number of their shard, as blocks ask for it."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shard = -1 - _word_shard(batch.column(0).to_numpy(), shards)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shard)], ["word", *COUNTS, "shard"])
+
+    return run
+
+
+def _answer(asked: pa.Table, known: pa.Table) -> pa.Table:
+    """The counts of each block's words in one shard, in its order; 0 where a word is not known."""
+    known = known.sort_by("word")
+    words = known.column("word").to_numpy()
+    counts = [np.append(known.column(c).to_numpy(), 0).astype("<u8") for c in COUNTS]
+    out = []
+    for data in asked.column("data"):
+        at = _find(words, _of_six(_unpacked(data.as_py())[0]))
+        out.append(_packed(*(c[at].tobytes() for c in counts)))
+    return pa.table([asked.column("block"), asked.column("shard"), pa.array(out, pa.binary())], ["block", "shard", "data"])
 
 
 @dataclass
@@ -274,13 +303,15 @@ def _told(shards: int, model: Model):
         full = alone = np.zeros(0)
         if len(w):
             b = _bigrams(w, _before(w, first), shards)
-            counts = answers.filter(pc.is_null(answers.column("word"))).sort_by("shard")
-            got = [_unpacked(x.as_py()) for x in counts.column("data")]
+            shard = answers.column("shard").to_numpy()
+            data = answers.column("data").to_pylist()
+            got = [_unpacked(data[k]) for k in sorted(np.flatnonzero(shard >= 0), key=lambda k: shard[k])]
             bigrams = np.stack([np.concatenate([np.frombuffer(x[k], "<u4") for x in got]) for k in (0, 1)], 1).astype(float)
-            known = answers.filter(pc.is_valid(answers.column("word"))).sort_by("word")
-            words = known.column("word").to_numpy()
-            table = np.concatenate([np.stack([known.column(c).to_numpy() for c in COUNTS], 1).reshape(-1, len(COUNTS)), np.zeros((1, len(COUNTS)))]).astype(float)
-            of_w, of_v = (table[_find(words, x)] for x in (b.w, b.v))
+            words, _, _ = _words(b, shards)
+            got = [_unpacked(data[k]) for k in sorted(np.flatnonzero(shard < 0), key=lambda k: -shard[k])]
+            table = np.stack([np.concatenate([np.frombuffer(x[k], "<u8") for x in got]) for k in range(len(COUNTS))], 1).astype(float)
+            order = np.argsort(words)
+            of_w, of_v = (table[order[np.searchsorted(words[order], x)]] for x in (b.w, b.v))
             full, alone = (x[b.at] for x in ratios(bigrams, of_w, of_v, model))
         x = signals(w, first, full, alone)
         return pa.table([*(texts.column(c) for c in ("doc_id", "h", "h2")), *(pa.array(x[:, k]) for k in range(x.shape[1]))], ["doc_id", "h", "h2", *SIGNALS])
@@ -317,12 +348,13 @@ def signalled(docs: DataFrame) -> tuple[DataFrame, Model | None]:
     blocks = spark.table(name)
     asked = blocks.mapInArrow(_asking(shards), "block long, shard long, data binary")
     results = stored(asked.groupBy("shard").applyInArrow(_shard, RESULT), "answers")
-    words = stored(results.where("word is not null").groupBy("word").agg(*(F.sum(c).alias(c) for c in COUNTS)), "words")
+    words = results.where("word is not null").groupBy("word").agg(*(F.sum(c).alias(c) for c in COUNTS))
+    words = stored(words.mapInArrow(_sharded(shards), f"word long, {', '.join(f'{c} long' for c in COUNTS)}, shard long"), "words")
     met = lambda c: F.count(F.when(F.col(c) > 0, 1))
     n1, n0, n, types1, types0, known = (x or 0 for x in words.agg(*(F.sum(c) for c in COUNTS[:3]), met("c1"), met("c0"), met("c")).first())
     model = Model((n1, n0, n), (types1, types0), known)
-    told = results.where("shard < 0").select("block", "data").mapInArrow(_listed, "block long, word long").join(words, "word")
-    answers = results.where("shard >= 0").unionByName(told, allowMissingColumns=True)
+    of_words = results.where("shard < 0").select("block", "shard", "data").groupBy("shard").cogroup(words.groupBy("shard")).applyInArrow(_answer, ANSWER)
+    answers = results.where("shard >= 0").select("block", "shard", "data").unionByName(of_words)
     schema = f"doc_id {kind}, h long, h2 long, {', '.join(f'{x} double' for x in SIGNALS)}"
     found = stored(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_told(shards, model), schema), "signals")
     spark.sql(f"DROP TABLE {name}")
