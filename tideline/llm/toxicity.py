@@ -47,7 +47,7 @@ from .store import carried, name_of, removed, restored, shared_folder, small, st
 WINDOWS = (1, 3)
 CALIBRATION_ROWS = 20_000
 BLOCK_ROWS, BLOCK_BYTES = 10_000, 4 << 20  # of texts that are read at once; a longer text is a block of its own
-SHARD_BYTES = 24 << 20  # of texts, for each shard
+SHARD_BYTES = 6 << 20  # of texts, for each shard
 LEAST_SHARDS, LANES = 8, 64  # shards at least; shards for each lane of a frequent word
 BUCKETS = (16, 100_000)  # at least and at most
 DISCOUNT = 0.75
