@@ -30,16 +30,16 @@ def shuffled_order(seed: int, *key: str) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.col(k).cast("string") for k in key)))
 
 
-def stratified_split(df: DataFrame, label: str, fraction: float, seed: int, *key: str, parts: int = 64) -> DataFrame:
+def stratified_split(df: DataFrame, label: str, fraction: float, seed: int, *key: str, parts: int | None = None) -> DataFrame:
     """``df`` with ``is_test``: exactly round(fraction x size) rows of each stratum, the first
     in md5 order; a stratum of any size is numbered in ranges."""
     placed = _numbered(df.withColumn("_o", shuffled_order(seed, *key)), "_o", key, parts, (label,))
     sizes = df.groupBy(label).agg(F.bround(F.count("*") * fraction).alias("_test")).withColumnRenamed(label, "_l")
-    met = placed.join(F.broadcast(sizes), F.col(label).eqNullSafe(F.col("_l")))
+    met = placed.join(sizes, F.col(label).eqNullSafe(F.col("_l")))  # broadcast where small enough
     return met.withColumn("is_test", F.col("_n") <= F.col("_test")).drop("_n", "_o", "_l", "_test")
 
 
-def permuted(df: DataFrame, column: str, seed: int, *key: str, parts: int = 64) -> DataFrame:
+def permuted(df: DataFrame, column: str, seed: int, *key: str, parts: int | None = None) -> DataFrame:
     """``df`` with ``column`` permuted over all rows: the i-th row in key order takes the value
     of the i-th row in md5 order. Both orders are numbered in ranges, not in one task."""
     h = shuffled_order(seed, *key)
@@ -49,14 +49,16 @@ def permuted(df: DataFrame, column: str, seed: int, *key: str, parts: int = 64)
     return left.join(right, "_n").withColumn(column, F.col("_new")).drop("_n", "_new", "_o")
 
 
-def numbered_by_md5(df: DataFrame, name: str, *key: str, parts: int = 64) -> DataFrame:
+def numbered_by_md5(df: DataFrame, name: str, *key: str, parts: int | None = None) -> DataFrame:
     """``df`` with ``name``: 1, 2, ... in the order of the key's md5, in ranges, not in one task."""
     h = F.md5(F.concat_ws(":", *(F.col(k).cast("string") for k in key)))
     return _numbered(df.withColumn("_o", h), "_o", key, parts).withColumnRenamed("_n", name).drop("_o")
 
 
-def _numbered(df: DataFrame, order: str, key: tuple[str, ...], parts: int, by: tuple[str, ...] = ()) -> DataFrame:
-    """``df`` with ``_n``, the place of each row by ``order`` (an md5 string), within ``by``."""
+def _numbered(df: DataFrame, order: str, key: tuple[str, ...], parts: int | None, by: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with ``_n``, the place of each row by ``order`` (an md5 string), within ``by``. The
+    ranges that are numbered apart are four for each shuffle partition of the session."""
+    parts = parts or min(65536, max(64, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     part = F.floor(F.conv(F.substring(order, 1, 4), 16, 10).cast("long") * parts / 65536)
     df = df.withColumn("_p", part)
     sizes = df.groupBy(*by, "_p").agg(F.count("*").alias("_c"))
@@ -66,4 +68,4 @@ def _numbered(df: DataFrame, order: str, key: tuple[str, ...], parts: int, by: t
     for c in by:
         met = met & F.col(c).eqNullSafe(F.col(f"_b_{c}"))
     ranked = df.withColumn("_r", F.row_number().over(W.partitionBy(*by, "_p").orderBy(order, *key)))
-    return ranked.join(F.broadcast(before), met).withColumn("_n", F.col("_b") + F.col("_r")).drop("_p", "_r", "_b", "_q", *(f"_b_{c}" for c in by))
+    return ranked.join(before if by else F.broadcast(before), met).withColumn("_n", F.col("_b") + F.col("_r")).drop("_p", "_r", "_b", "_q", *(f"_b_{c}" for c in by))
