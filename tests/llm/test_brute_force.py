@@ -447,7 +447,7 @@ def test_raking_of_skewed_sources_reaches_its_targets(spark, local):
 
 
 def test_a_changed_rule_and_a_second_run(spark, tmp_path, monkeypatch):
-    docs = spark.createDataFrame([(k, x, None, None, None) for k, x in enumerate(["token=abcdefgh1", "token=abcdefgh1", None, "none"])], DOCS)
+    docs = spark.createDataFrame([(k, x, None, None, None) for k, x in enumerate(["token=abcdef0123", "token=abcdef0123", None, "none"])], DOCS)
     path = str(tmp_path / "ledger")
     want = secret_scan.secret_report(docs, path).collect()
     rows = lambda: spark.read.schema(secret_scan.LEDGER).parquet(path).count()
