@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embed_dedup, html_blocks, lang_mix, mpeg, ngram_join, packing, raking, secret_scan, toxicity, url_rules
+from . import embed_dedup, exact_dedup, html_blocks, lang_mix, mpeg, ngram_join, packing, raking, secret_scan, toxicity, url_rules
 
 #: The rule list that op3 applies (verdict, host, path).
 URL_RULES = [
@@ -63,7 +63,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-_ALL = (op1_ngram_jaccard, op2_html_text, op3_url_rules, op4_language, op5_source_mixing, op6_embedding_dedup, op7_toxicity, op8_secrets, op9_mpeg_media, op10_packing)
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+_ALL = (op1_ngram_jaccard, op2_html_text, op3_url_rules, op4_language, op5_source_mixing, op6_embedding_dedup, op7_toxicity, op8_secrets, op9_mpeg_media, op10_packing, op13_exact_dedup)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -86,6 +90,11 @@ _SECRET_SQL = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documen
  x AS (SELECT doc_id, len(a.z) AS n_assign, len(b.z) AS n_access, len(c.z) AS n_hex, array_to_string(list_transform(list_sort(a.z || b.z || c.z), lambda y: y.k || ':' || y.s || ':' || (y.s + y.n)), ',') AS spans FROM a JOIN b USING (doc_id) JOIN c USING (doc_id))
  SELECT doc_id, n_assign, n_access, n_hex, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans FROM x"""
 
+_EXACT_SQL = r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS b FROM documents),
+ r AS (SELECT doc_id, sha256(b) AS text_sha256, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY b) AS group_size, row_number() OVER w = 1 AS kept
+ FROM d WINDOW w AS (PARTITION BY b ORDER BY length(t) DESC, doc_id NULLS LAST))
+ SELECT doc_id, keep_id, group_size, kept, text_sha256 FROM r"""
+
 #: The other operators are beyond SQL: their tests hold them against brute force, exact
 #: round trips or held-out labels.
-ORACLES: dict[str, str] = {"op3_url_rules": _URL_SQL, "op8_secrets": _SECRET_SQL}
+ORACLES: dict[str, str] = {"op3_url_rules": _URL_SQL, "op8_secrets": _SECRET_SQL, "op13_exact_dedup": _EXACT_SQL}
