@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import embed_dedup, exact_dedup, html_blocks, lang_mix, mpeg, ngram_join, packing, raking, secret_scan, toxicity, url_rules
+from . import embed_dedup, exact_dedup, hard_negatives, html_blocks, lang_mix, mpeg, ngram_join, packing, raking, secret_scan, toxicity, url_rules
 
 #: The rule list that op3 applies (verdict, host, path).
 URL_RULES = [
@@ -63,11 +64,16 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = hard_negatives.shifted_labels(table(spark, sf_dir, "embeddings"))
+    return hard_negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
-_ALL = (op1_ngram_jaccard, op2_html_text, op3_url_rules, op4_language, op5_source_mixing, op6_embedding_dedup, op7_toxicity, op8_secrets, op9_mpeg_media, op10_packing, op13_exact_dedup)
+_ALL = (op1_ngram_jaccard, op2_html_text, op3_url_rules, op4_language, op5_source_mixing, op6_embedding_dedup, op7_toxicity, op8_secrets, op9_mpeg_media, op10_packing, op11_hard_negatives, op13_exact_dedup)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -90,6 +96,14 @@ _SECRET_SQL = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documen
  x AS (SELECT doc_id, len(a.z) AS n_assign, len(b.z) AS n_access, len(c.z) AS n_hex, array_to_string(list_transform(list_sort(a.z || b.z || c.z), lambda y: y.k || ':' || y.s || ':' || (y.s + y.n)), ',') AS spans FROM a JOIN b USING (doc_id) JOIN c USING (doc_id))
  SELECT doc_id, n_assign, n_access, n_hex, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans FROM x"""
 
+_NEGATIVES_SQL = """WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+ FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.q, b.q)::BIGINT AS score FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+ p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS n FROM s WHERE same) WHERE n <= 5),
+ m AS (SELECT s.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+ row_number() OVER (PARTITION BY s.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id)::INTEGER AS rank
+ FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+ SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM m WHERE rank <= 10"""
 _EXACT_SQL = r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS b FROM documents),
  r AS (SELECT doc_id, sha256(b) AS text_sha256, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY b) AS group_size, row_number() OVER w = 1 AS kept
  FROM d WINDOW w AS (PARTITION BY b ORDER BY length(t) DESC, doc_id NULLS LAST))
@@ -97,4 +111,4 @@ _EXACT_SQL = r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_repla
 
 #: The other operators are beyond SQL: their tests hold them against brute force, exact
 #: round trips or held-out labels.
-ORACLES: dict[str, str] = {"op3_url_rules": _URL_SQL, "op8_secrets": _SECRET_SQL, "op13_exact_dedup": _EXACT_SQL}
+ORACLES: dict[str, str] = {"op3_url_rules": _URL_SQL, "op8_secrets": _SECRET_SQL, "op11_hard_negatives": _NEGATIVES_SQL, "op13_exact_dedup": _EXACT_SQL}
