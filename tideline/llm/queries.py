@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embed_dedup, exact_dedup, hard_negatives, html_blocks, lang_mix, mpeg, ngram_join, packing, raking, secret_scan, toxicity, url_rules
+from . import conversations, embed_dedup, exact_dedup, hard_negatives, html_blocks, lang_mix, mpeg, ngram_join, packing, raking, secret_scan, toxicity, url_rules
 
 #: The rule list that op3 applies (verdict, host, path).
 URL_RULES = [
@@ -69,11 +69,15 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0)
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_of_damaged(table(spark, sf_dir, "conversations"))
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
-_ALL = (op1_ngram_jaccard, op2_html_text, op3_url_rules, op4_language, op5_source_mixing, op6_embedding_dedup, op7_toxicity, op8_secrets, op9_mpeg_media, op10_packing, op11_hard_negatives, op13_exact_dedup)
+_ALL = (op1_ngram_jaccard, op2_html_text, op3_url_rules, op4_language, op5_source_mixing, op6_embedding_dedup, op7_toxicity, op8_secrets, op9_mpeg_media, op10_packing, op11_hard_negatives, op12_conversation_repair, op13_exact_dedup)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
