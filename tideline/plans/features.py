@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.scalar import clip, r6
 from ..operators import asof
 from ..operators import features as X
+from ..operators import sliced
 from ..operators.rates import rates
-from .registry import query
+from ..sources import scratch, sinks
+from .registry import ORACLES, query
 from .views import E_CTE, ROLES, SPEC, appearances, labels, outcome_cte, outcomes, sql6, sql_wilson
 
 KEY = ("user_id", "day")
@@ -157,6 +159,52 @@ def w21(spark, d):
     return x.where("rn = 1").drop("rn")
 
 
+@query("w04_season_mean_sliced", ORACLES["w04_season_to_date_mean"])
+def w04s(spark, d):
+    """W4 where an entity may hold a third of all rows; w13 and w14 likewise."""
+    return sliced.season_totals(appearances(spark, d), ["user_id", "season"], "ts", "cents").select(*KEY, r6(F.col("season_mean")).alias("std"))
+
+
+@query("w13_season_sum_sliced", ORACLES["w13_season_sum"])
+def w13s(spark, d):
+    return sliced.season_totals(appearances(spark, d), ["user_id", "season"], "ts", "cents").select(*KEY, F.col("season_sum").alias("season_cents"))
+
+
+@query("w14_forward_fill_sliced", ORACLES["w14_forward_fill"])
+def w14s(spark, d):
+    return sliced.forward_filled(appearances(spark, d).select(*KEY, "ts", "role"), ["user_id"], "ts", "role", "role_ff").select(*KEY, "role_ff")
+
+
+@query("o01_global_panel_sort", f"WITH {E_CTE} SELECT user_id, day, cents, row_number() OVER (ORDER BY user_id, ts) AS place FROM app")
+def o01(spark, d):
+    """The whole panel in order of entity and time, each row with its place."""
+    return sinks.in_order(appearances(spark, d).select(*KEY, "ts", "cents"), ["user_id", "ts"]).select(*KEY, "cents", "place")
+
+
+PRIOR = [f"coalesce(sum((role = '{v}')::INT) {H.format(*PAST)}, 0)" for v in ROLES]
+
+
+@query(
+    "o01_sorted_panel_features",
+    f"""WITH {E_CTE}, x AS (SELECT *, {PRIOR[0]} AS c, {PRIOR[1]} AS v, {PRIOR[2]} AS p, {REST} AS rest FROM app)
+ SELECT user_id, day, {", ".join(f"{sql6(f'avg(cents) {back(k)}')} AS r{k}" for k in (3, 5, 10))}, round(stddev_samp(n) {back(5)}, 4) AS sd5, {sql6(f'avg(cents) {S.format(*PAST)}')} AS std,
+ CAST(CASE WHEN rest IS NOT NULL THEN least(rest, 30) END AS INTEGER) AS rest_days, CAST(rest IS NULL AS INTEGER) AS is_opener, CAST(coalesce(rest = 1, false) AS INTEGER) AS b2b,
+ count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN {7 * X.DAY - 1} PRECEDING AND 1 PRECEDING) AS rows_7d, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN {14 * X.DAY - 1} PRECEDING AND 1 PRECEDING) AS rows_14d,
+ row_number() OVER (PARTITION BY user_id ORDER BY ts) - 1 AS panel_rows, row_number() OVER (PARTITION BY user_id, season ORDER BY ts) - 1 AS season_rows, CAST(coalesce(sum(cents) {S.format(*PAST)}, 0) AS BIGINT) AS season_cents,
+ CASE WHEN greatest(c, v, p) = 0 THEN 'U' WHEN c = greatest(c, v, p) THEN 'click' WHEN v = greatest(c, v, p) THEN 'view' ELSE 'purchase' END AS prior_mode, last_value(role IGNORE NULLS) {H.format('UNBOUNDED PRECEDING', 'CURRENT ROW')} AS role_ff FROM x""",
+)
+def o01_features(spark, d):
+    """W2-W14 from a panel that is published in buckets by entity, in order: neither exchange nor sort."""
+    panel = appearances(spark, d).withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
+    root = scratch.new_path(spark, "panel")
+    sinks.publish_panel(panel, root, "user_id", "at", int(spark.conf.get("spark.sql.shuffle.partitions")))
+    f = X.sorted_features(sinks.sorted_panel(spark, root), SPEC, "at")
+    return f.select(
+        *KEY, *(r6(F.col(f"cents_r{k}")).alias(f"r{k}") for k in (3, 5, 10)), F.round("n_sd5", 4).alias("sd5"), r6(F.col("cents_std")).alias("std"), "rest_days", "is_opener", F.col("is_back_to_back").alias("b2b"),
+        "rows_7d", "rows_14d", "panel_rows", "season_rows", F.col("cents_season").alias("season_cents"), "prior_mode", "role_ff",
+    )
+
+
 @query(
     "j10_event_history",
     f"""WITH {outcome_cte()}, pos AS (SELECT user_id, day FROM outc WHERE y = 1)
@@ -168,6 +216,12 @@ def j10(spark, d):
     return asof.history(o.select(*KEY), o.where("y = 1").select("user_id", F.col("day").alias("event_day")), ["user_id"], "day", "event_day", 10)
 
 
+@query("j10_event_history_sliced", ORACLES["j10_event_history"])
+def j10s(spark, d):
+    o = outcomes(spark, d).select(*KEY, "y")
+    return sliced.history(o.select(*KEY), o.where("y = 1").select("user_id", F.col("day").alias("event_day")), ["user_id"], "day", "event_day", 10)
+
+
 LO, HI = sql_wilson("k", "n")
 
 

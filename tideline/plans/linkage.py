@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.scalar import differs
-from ..operators import asof, dims, link
-from .registry import query
+from ..operators import asof, dims, link, sliced
+from .registry import ORACLES, query
 from .views import E_CTE, O_CTE, appearances, labels, outcome_cte, outcomes, table, trades
 
 ROW = ["user_id", "day"]
@@ -70,6 +70,20 @@ def j08(spark, d):
     return missed_days(spark, d).select("cust", "day", "prev_day", "missed")
 
 
+@query("j07_previous_day_sliced", ORACLES["j07_previous_day"])
+def j07s(spark, d):
+    """J7 where a group may hold a third of all rows; j08 likewise."""
+    a = appearances(spark, d).select(*ROW, "season")
+    return sliced.previous_day(a, a.select("user_id", "season", F.col("day").alias("d2")), ["user_id", "season"], "day", "d2").select(*ROW, "prev_day")
+
+
+@query("j08_range_count_sliced", ORACLES["j08_range_count"])
+def j08s(spark, d):
+    t = trades(spark, d)
+    p = t.withColumn("prev_day", F.lag("day").over(W.partitionBy("cust", "season").orderBy("day")))
+    return sliced.between_counts(p, t.select("grp", F.col("day").alias("gday")), ["grp"], "prev_day", "day", "gday", "missed").select("cust", "day", "prev_day", "missed")
+
+
 @query("j09_group_gap", f"WITH {O_CTE}, s AS (SELECT DISTINCT grp, day FROM tr) SELECT cust, tr.day, CAST(date_diff('day', (SELECT max(s.day) FROM s WHERE s.grp = tr.grp AND s.day < tr.day), tr.day) AS INTEGER) AS group_gap FROM tr")
 def j09(spark, d):
     t = trades(spark, d)
