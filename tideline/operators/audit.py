@@ -14,19 +14,56 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalar import differs
+from ..sources.scratch import written
 
 Builder = Callable[[DataFrame], DataFrame]
 
 
-def compare(base: DataFrame, other: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """(column_name, n_compared, n_diff) over the keys that both have; exact, nulls equal."""
+def compare(base: DataFrame, other: DataFrame, keys: Sequence[str], columns: Sequence[str], within: Sequence[str] = ()) -> DataFrame:
+    """(column_name, n_compared, n_diff) over the keys that both have; exact, nulls equal. With
+    ``within`` (columns that a row's keys determine, such as entity and season) rows are joined only where
+    the digests of their groups differ; the others count as compared."""
+    equal = None
+    if within:
+        equal, base, other = _differing(base, other, keys, columns, within)
     right = other.select(*keys, *(F.col(c).alias(f"_{c}") for c in columns))
     both = base.select(*keys, *columns).join(right, list(keys))
     diffs = both.agg(F.count("*").alias("_n"), *(F.coalesce(F.sum(differs(F.col(c), F.col(f"_{c}")).cast("long")), F.lit(0)).alias(c) for c in columns))
+    if equal is not None:
+        diffs = diffs.join(F.broadcast(equal)).withColumn("_n", F.col("_n") + F.col("_equal"))  # one row each
     rows = F.array(*(F.struct(F.lit(c).alias("column_name"), F.col("_n").alias("n_compared"), F.col(c).alias("n_diff")) for c in columns))
     return diffs.select(F.explode(rows).alias("_r")).select("_r.*")
 
 
+def digests(df: DataFrame, keys: Sequence[str], columns: Sequence[str], within: Sequence[str]) -> DataFrame:
+    """A row for each group of ``within``: how many rows it has and a digest of their keys and columns in any order. Two
+    sums of different hashes, so that what cancels in one shows in the other."""
+    cell = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\x00"))
+    row = [cell(c) for c in (*keys, *columns)]
+    h, h2 = F.xxhash64(*row), F.xxhash64(F.lit(2), *reversed(row))
+    low = lambda x: x.bitwiseAND(F.lit((1 << 20) - 1))  # noqa: E731  sums stay within 64 bits for 2^43 rows
+    return df.groupBy(*within).agg(F.count("*").alias("_rows"), F.bit_xor(h).alias("_x"), F.sum(low(h)).alias("_s"), F.bit_xor(h2).alias("_x2"), F.sum(low(h2)).alias("_s2"))
+
+
+def _differing(base: DataFrame, other: DataFrame, keys: Sequence[str], columns: Sequence[str], within: Sequence[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """How many rows lie in groups of equal digests (one row), and both tables without these groups. Digests
+    are written once: a row for each group."""
+    mine, theirs = (digests(x, keys, columns, within) for x in (base, other))
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*within, "_rows", "_x", "_s", "_x2", "_s2")]
+    met = same[0]
+    for c in same[1:]:
+        met = met & c
+    equal = written(mine.alias("a").join(theirs.alias("b"), met).select("a.*"), "equal_digests").select(*(F.col(c).alias(f"_g_{c}") for c in within), "_rows")
+
+    def rest(df: DataFrame) -> DataFrame:
+        on = F.lit(True)
+        for c in within:
+            on = on & F.col(c).eqNullSafe(F.col(f"_g_{c}"))
+        return df.join(equal, on, "left_anti")
+
+    return equal.agg(F.coalesce(F.sum("_rows"), F.lit(0)).alias("_equal")), rest(base), rest(other)
+
+
 def future_truncation(builder: Builder, panel: DataFrame, day: str, keys: Sequence[str], columns: Sequence[str], cutoffs: DataFrame, entity: str) -> DataFrame:
     """Test A for all ``cutoffs`` (cutoff: date) in one job: the panel is copied once for each
     cutoff without what follows it, and the cutoff becomes part of the entity, so that one
@@ -61,11 +98,13 @@ def same_row_perturbation(builder: Builder, panel: DataFrame, change: dict, keys
     return compare(builder(panel).join(hits, list(keys), "left_semi"), builder(moved), keys, columns)
 
 
-def label_rewrite(build: Callable[[DataFrame], DataFrame], labels: DataFrame, rewritten: DataFrame, keys: Sequence[str], columns: Sequence[str], before=None) -> DataFrame:
+def label_rewrite(build: Callable[[DataFrame], DataFrame], labels: DataFrame, rewritten: DataFrame, keys: Sequence[str], columns: Sequence[str], before=None, within: Sequence[str] = ()) -> DataFrame:
     """Tests C and D: ``build`` goes from label records to features. With ``before`` (a
-    condition on the keys) only rows ahead of the rewritten labels are compared."""
+    condition on the keys) only rows ahead of the rewritten labels are compared; ``within`` as in ``compare``."""
     base, other = build(labels), build(rewritten)
-    return compare(base.where(before) if before is not None else base, other, keys, columns)
+    if before is not None:
+        base, other = base.where(before), other.where(before)
+    return compare(base, other, keys, columns, within)
 
 
 def adjudicated(results: DataFrame, must_fail: Sequence[str] = ()) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import logit
 from .metrics import medians
+from .replicates import Blocks
 
 
 def imputed(df: DataFrame, columns: Sequence[str], train: Column | str) -> DataFrame:
@@ -191,42 +192,29 @@ def exchangeable_logistic(df: DataFrame, xs: Sequence[str], label: str, cluster:
 def replicate_fits(df: DataFrame, weights: DataFrame, xs: Sequence[str], label: str, cluster: str, rounds: int = 25) -> list[tuple[int, np.ndarray, bool]]:
     """(rep, coefficients, converged) of the population-averaged model for all bootstrap
     replicates at once. A cluster that a replicate draws w times counts as w clusters, so a
-    round needs each cluster's sums by replicate, times w: one aggregate by (rep, cluster) and
-    one by rep. Replicates that have converged take no part in further rounds."""
-    names = ["_one", *xs]
-    p = len(names)
-    pairs = [(j, k) for j in range(p) for k in range(j, p)]
-    spark = df.sparkSession
-    rows = df.withColumn("_one", F.lit(1.0)).na.drop(subset=[label, cluster, *xs]).select(cluster, label, *names)
+    round needs each cluster's sums by replicate, times w. Rows lie in blocks of whole clusters, written once; a
+    round reads them and returns a row of sums for each task and replicate. Replicates that have
+    converged take no part in further rounds."""
+    p = len(xs) + 1
+    blocks = Blocks(df, weights, xs, label, cluster)
     beta = {r["rep"]: np.zeros(p) for r in weights.select("rep").distinct().collect()}  # as many as asked for
     alpha, moved = dict.fromkeys(beta, 0.0), dict.fromkeys(beta, float("inf"))
-    mu = 1 / (1 + F.exp(-_linear(names)))
-    s = F.sqrt(mu * (1 - mu))
-    x, r, w = [F.col(n) * s for n in names], (F.col(label) - mu) / s, F.col("_w")
-    sums = [F.count("*").alias("m"), F.sum("_r").alias("r"), F.sum(F.col("_r") ** 2).alias("rr"), *(F.sum(f"_x{j}").alias(f"x{j}") for j in range(p))]
-    sums += [F.sum(F.col(f"_x{j}") * F.col("_r")).alias(f"xr{j}") for j in range(p)] + [F.sum(F.col(f"_x{j}") * F.col(f"_x{k}")).alias(f"xx{j}_{k}") for j, k in pairs]
-    c = F.col("_a") / (1 + (F.col("m") - 1) * F.col("_a"))
-    u = [(F.col(f"xr{j}") - c * F.col(f"x{j}") * F.col("r")) / (1 - F.col("_a")) for j in range(p)]
-    h = [(F.col(f"xx{j}_{k}") - c * F.col(f"x{j}") * F.col(f"x{k}")) / (1 - F.col("_a")) for j, k in pairs]
     for n_round in range(rounds):
-        open_ = [k for k in beta if moved[k] >= 1e-7]
+        open_ = sorted(k for k in beta if moved[k] >= 1e-7)
         if not open_:
             break
-        now = F.broadcast(spark.createDataFrame([(k, alpha[k], *map(float, beta[k])) for k in open_], "rep long, _a double, " + ", ".join(f"_b{j} double" for j in range(p))))
-        drawn = now.join(weights.withColumnRenamed("w", "_w"), "rep").join(rows, cluster)
-        own = drawn.select("rep", cluster, "_w", "_a", r.alias("_r"), *(v.alias(f"_x{j}") for j, v in enumerate(x))).groupBy("rep", cluster, "_w", "_a").agg(*sums)
-        moments = [F.sum(w * (F.col("r") ** 2 - F.col("rr"))).alias("pr"), F.sum(w * F.col("m") * (F.col("m") - 1)).alias("pm"), F.sum(w * F.col("rr")).alias("sr"), F.sum(w * F.col("m")).alias("n")]
-        steps = [F.sum(w * v).alias(f"u{j}") for j, v in enumerate(u)] + [F.sum(w * v).alias(f"h{j}_{k}") for (j, k), v in zip(pairs, h, strict=True)]
-        for row in own.groupBy("rep").agg(*moments, *steps).collect():
+        for row in blocks.round(open_, np.array([beta[k] for k in open_]), np.array([alpha[k] for k in open_])):
+            rep, (pair_sum, pairs, squares, n, *rest) = row["rep"], row["v"]
             info = np.zeros((p, p))
-            for j, k in pairs:
-                info[j, k] = info[k, j] = row[f"h{j}_{k}"]
-            rep, step = row["rep"], np.linalg.lstsq(info, np.array([row[f"u{j}"] for j in range(p)]), rcond=None)[0]
-            phi = row["sr"] / max(1, row["n"] - p)
+            for (j, k), v in zip(blocks.pairs, rest[p:], strict=True):
+                info[j, k] = info[k, j] = v
+            step = np.linalg.lstsq(info, np.array(rest[:p]), rcond=None)[0]
+            phi = squares / max(1, n - p)
             # the correlation of this round's residuals serves the next round
-            new = float(np.clip(row["pr"] / phi / max(1.0, row["pm"] - 2 * p), -0.05, 0.95)) if phi and row["pm"] else 0.0
+            new = float(np.clip(pair_sum / phi / max(1.0, pairs - 2 * p), -0.05, 0.95)) if phi and pairs else 0.0
             moved[rep] = max(float(np.abs(step).max()), abs(new - alpha[rep])) if n_round else float("inf")
             beta[rep], alpha[rep] = beta[rep] + np.clip(step, -5, 5), new
+    blocks.remove()
     return [(k, beta[k], moved[k] < 1e-5) for k in sorted(beta)]
 
 

@@ -35,3 +35,17 @@ def ratio_by(df: DataFrame, label: str, exposed: Column, by: Sequence[str]) -> D
     g = (g.groupBy(*by) if by else g).agg(n(exposed, one).alias("n1"), n(exposed, y).alias("k1"), n(~exposed, one).alias("n0"), n(~exposed, y).alias("k0"))
     rr, lo, hi = risk_ratio(F.col("k1"), F.col("n1"), F.col("k0"), F.col("n0"))
     return g.withColumns({"rr": rr, "lo": lo, "hi": hi})
+
+
+def distinct_bitmaps(df: DataFrame, by: list[str], number: str) -> DataFrame:
+    """Which values of ``number`` (whole numbers from 0, best without large gaps) each group has, as bitmaps: a row for
+    each group and 32,768 numbers. Bitmaps of groups merge, so coarser levels need no second look at the rows."""
+    bucket = F.bitmap_bucket_number(number).alias("bucket")
+    return df.where(F.col(number).isNotNull()).groupBy(*by, bucket).agg(F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("bitmap"))
+
+
+def distinct_counts(bitmaps: DataFrame, by: list[str], name: str) -> DataFrame:
+    """Exact distinct numbers by the columns ``by``, some or none of those of ``distinct_bitmaps``."""
+    merged = bitmaps.groupBy(*by, "bucket").agg(F.bitmap_or_agg("bitmap").alias("_m"))
+    count = F.coalesce(F.sum(F.bitmap_count("_m")), F.lit(0)).alias(name)
+    return merged.groupBy(*by).agg(count) if by else merged.agg(count)

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text
 from ..functions.scalar import clip, finite, in_year_range, is_true, r6, right_closed, season_of, to_number
 from ..operators import features as X
-from ..sources import ingest
+from ..operators.watch import Watch
+from ..sources import ingest, scratch, sinks
 from .registry import query
 from .views import E_CTE, EXCLUDED, O_CTE, SPEC, appearances, events, labels, outcome_cte, outcomes, sql6, table, trades
 
@@ -22,6 +24,49 @@ def s05(spark, d):
     return ingest.gated(appearances(spark, d).select("user_id", "day", "n", "cents"), ["cents"])
 
 
+@query(
+    "s02_malformed_lines_apart",
+    """SELECT CASE WHEN o_orderkey % 5 < 3 THEN 'good' ELSE 'bad' END AS side, count(*) AS lines, CAST(sum(CASE WHEN o_orderkey % 5 < 3 THEN o_custkey END) AS BIGINT) AS custkeys FROM orders GROUP BY 1""",
+)
+def s02(spark, d):
+    """Orders as CSV whose lines are short or mistyped for some keys: every line is on one side."""
+    key, cust = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")
+    line = F.when(F.col("o_orderkey") % 5 == 3, key).when(F.col("o_orderkey") % 5 == 4, F.concat_ws(",", key, F.lit("no number"))).otherwise(F.concat_ws(",", key, cust))
+    path = scratch.new_path(spark, "lines")
+    table(spark, d, "orders").select(line.alias("o_orderkey,o_custkey")).write.option("header", True).option("quote", "\u0000").option("escapeQuotes", False).option("quoteAll", False).option("sep", "\u0001").csv(path)
+    good, bad = ingest.read_csv_lenient(spark, path, T.StructType([T.StructField("o_orderkey", T.LongType()), T.StructField("o_custkey", T.LongType())]))
+    sides = good.agg(F.lit("good").alias("side"), F.count("*").alias("lines"), F.sum("o_custkey").alias("custkeys"))
+    return sides.unionByName(bad.agg(F.lit("bad").alias("side"), F.count("*").alias("lines"), F.lit(None).cast("long").alias("custkeys")))
+
+
+@query("s06_files_of_different_headers", "SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 3 = 1 THEN o_orderstatus END AS o_orderstatus FROM orders WHERE o_orderkey % 3 < 2")
+def s06(spark, d):
+    """Orders in files of swapped and further columns, one of them left out by its name."""
+    path, o = scratch.new_path(spark, "files"), table(spark, d, "orders")
+    o.where("o_orderkey % 3 = 0").select("o_orderkey", "o_custkey").write.option("header", True).csv(f"{path}/a")
+    o.where("o_orderkey % 3 = 1").select("o_custkey", "o_orderstatus", "o_orderkey").write.option("header", True).option("compression", "gzip").csv(f"{path}/b")
+    o.where("o_orderkey % 3 = 2").select("o_orderkey").write.option("header", True).csv(f"{path}/c")
+    long_ = [T.StructField(c, T.LongType()) for c in ("o_orderkey", "o_custkey")]
+    return ingest.read_csvs(spark, f"{path}/[ab]/*", r"\.crc$", T.StructType(long_)).select("o_orderkey", "o_custkey", "o_orderstatus")
+
+
+@query(
+    "s12_stored_variants",
+    f"""WITH {E_CTE}, v AS (SELECT w AS match_window, a.user_id, a.day, l.event_id FROM app a JOIN lab l ON a.user_id = l.user_id, (VALUES (1), (2), (3)) x(w) WHERE date_diff('day', a.day, l.report_date) BETWEEN 1 AND w)
+ SELECT match_window, user_id, day, event_id FROM v WHERE match_window = 1 OR match_window = 2 AND event_id % 2 = 0""",
+)
+def s12_stored(spark, d):
+    """One dataset for each window, written as partitions; window 2 is then rewritten alone, and 1 and 2 are read."""
+    from ..operators.link import within_days
+
+    path = scratch.new_path(spark, "variants")
+    pairs = within_days(appearances(spark, d).select("user_id", "day"), labels(spark, d), "user_id", "day", "report_date")
+    variants = pairs.select("user_id", "day", "event_id", F.explode(F.sequence(F.col("gap"), F.lit(3))).alias("match_window"))
+    sinks.write_variants(variants, path, ["match_window"])
+    sinks.write_variants(variants.where("match_window = 2 and event_id % 2 = 0"), path, ["match_window"])
+    return spark.read.parquet(path).where("match_window in (1, 2)").select("match_window", "user_id", "day", "event_id")
+
+
 @query("s12_window_variants", f"WITH {E_CTE} " + " UNION ALL ".join(f"SELECT {w} AS match_window, count(*) AS n_pairs FROM app a JOIN lab l ON a.user_id = l.user_id AND date_diff('day', a.day, l.report_date) BETWEEN 1 AND {w}" for w in (1, 2, 3)))
 def s12(spark, d):
     from ..operators.link import within_days
@@ -51,6 +96,15 @@ def p04(spark, d):
     return trades(spark, d).agg(F.count(F.when(inside, 1)).alias("kept"), F.count(F.when(~inside, 1)).alias("dropped"))
 
 
+@query("p04_counted_filter", f"WITH {O_CTE} SELECT season, count(*) AS n, (SELECT count(*) FROM tr WHERE NOT season BETWEEN 1996 AND 1999) AS dropped FROM tr WHERE season BETWEEN 1996 AND 1999 GROUP BY season")
+def p04_counted(spark, d):
+    """Rows of the span by season, written in one job; how many rows were dropped is known when it has ended."""
+    watch = Watch()
+    kept = watch.filtered(trades(spark, d), "span", F.col("season").between(1996, 1999))
+    by_season = scratch.written(kept.groupBy("season").agg(F.count("*").alias("n")), "span")
+    return by_season.withColumn("dropped", F.lit(watch.counts()["span.dropped"]).cast("long"))
+
+
 @query("p05_drop_null_keys", f"WITH {E_CTE} SELECT user_id, day, role FROM app WHERE role IS NOT NULL")
 def p05(spark, d):
     return appearances(spark, d).na.drop(subset=["role"]).select("user_id", "day", "role")

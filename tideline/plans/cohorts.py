@@ -9,9 +9,11 @@ from ..functions import text
 from ..functions.scalar import differs, direction, r6, rate, right_closed, season_label
 from ..operators import features as X
 from ..operators.quality import row_digest
-from ..operators.rates import rates, rates_all_bins, ratio_by
-from .linkage import BREAKS, J8, breaks, missed_days
+from ..operators.rates import distinct_bitmaps, distinct_counts, rates, rates_all_bins, ratio_by
 from ..operators import metrics as M
+from ..sources import scratch
+from ..sources.ingest import union_all
+from .linkage import BREAKS, J8, breaks, missed_days
 from .registry import query
 from .views import BINS, CATEGORIES, E_CTE, O_CTE, SPEC, appearances, labels, outcome_cte, outcomes, sql6, sql_wilson, table, trades
 
@@ -55,6 +57,18 @@ def a04(spark, d):
     return g.agg(F.count_distinct("l_orderkey").alias("orders"), F.count_distinct("l_suppkey").alias("suppliers"))
 
 
+@query(
+    "a04_distinct_rollup",
+    """SELECT l_returnflag, l_linestatus, count(DISTINCT l_orderkey) AS orders FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)""",
+)
+def a04_rollup(spark, d):
+    """Exact distinct orders by flag and status, by flag, and in all, from one shuffle of the rows."""
+    keys = ["l_returnflag", "l_linestatus"]
+    maps = scratch.written(distinct_bitmaps(table(spark, d, "lineitem"), keys, "l_orderkey"), "bitmaps")
+    levels = [distinct_counts(maps, keys[:k], "orders") for k in (2, 1, 0)]
+    return union_all(levels).select(*keys, "orders")
+
+
 @query("a05_value_shares", f"WITH {E_CTE} SELECT category, count(*) AS n, {sql6('count(*)::DOUBLE / sum(count(*)) OVER ()')} AS share FROM lab GROUP BY category")
 def a05(spark, d):
     g = labels(spark, d).groupBy("category").agg(F.count("*").alias("n"))

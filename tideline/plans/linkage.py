@@ -156,6 +156,16 @@ def j16(spark, d):
     return compare(a.drop("k"), b, ROW, ["cents", "role"])
 
 
+@query("j16_digest_tree_diff", ORACLES["j16_keyed_diff"])
+def j16_tree(spark, d):
+    """J16 by digests of entity and season: rows are joined only where these differ."""
+    from ..operators.audit import compare
+
+    a = appearances(spark, d).select(*ROW, "season", "k", "cents", "role")
+    b = a.select(*ROW, "season", F.when(F.col("k") % 5 == 0, F.col("cents") + 1).otherwise(F.col("cents")).alias("cents"), F.when(F.col("k") % 3 != 0, F.col("role")).alias("role"))
+    return compare(a.drop("k"), b, ROW, ["cents", "role"], within=["user_id", "season"])
+
+
 @query("j17_attach_columns", f"WITH {E_CTE} SELECT a.user_id, a.day, a.cents, m.mean_k FROM app a LEFT JOIN (SELECT user_id, {'floor(avg(k) * 1e6 + 0.5) / 1e6'} AS mean_k FROM app GROUP BY user_id HAVING count(*) > 5) m ON a.user_id = m.user_id")
 def j17(spark, d):
     a = appearances(spark, d)

@@ -10,7 +10,9 @@ from ..operators import asof
 from ..operators import audit as A
 from ..operators import features as X
 from ..operators import quality as Q
-from .registry import query
+from ..operators.watch import Watch
+from ..sources import scratch
+from .registry import ORACLES, query
 from .views import CATEGORIES, E_CTE, O_CTE, SPEC, appearances, labels, outcome_cte, outcomes, sql6, table, trades
 
 KEYS = ["user_id", "day"]
@@ -118,6 +120,13 @@ def q04(spark, d):
     return A.label_rewrite(label_builder(spark, d), lab, lab.withColumn("category", F.expr(FLIP)), KEYS, LABEL_COLUMNS)
 
 
+@query("q04_label_independence_by_digest", ORACLES["q04_label_independence"])
+def q04_digest(spark, d):
+    """Q4, joining only the entities whose digests differ."""
+    lab = labels(spark, d)
+    return A.label_rewrite(label_builder(spark, d), lab, lab.withColumn("category", F.expr(FLIP)), KEYS, LABEL_COLUMNS, within=["user_id"])
+
+
 def all_tests(spark, d):
     """Tests A, B and D; history columns are labels' own and exempt from D."""
     a = q01(spark, d).groupBy("column_name").agg(F.sum("n_compared").alias("n_compared"), F.sum("n_diff").alias("n_diff")).select(F.lit("A").alias("test"), "*")
@@ -247,6 +256,16 @@ def q17(spark, d):
     return Q.same_count(appearances(spark, d), outcomes(spark, d))
 
 
+@query("q17_count_kept_in_one_pass", ORACLES["q17_row_count_kept"])
+def q17_watched(spark, d):
+    """Q17 while the linked panel is written: both counts come with that job."""
+    watch = Watch()
+    out = outcomes(spark, d, app=watch.rows(scratch.written(appearances(spark, d), "panel"), "before"))
+    scratch.written(watch.rows(out, "after"), "outcomes")
+    n = watch.counts()
+    return spark.createDataFrame([(n["before"], n["after"], n["before"] == n["after"])], "before long, after long, kept boolean")
+
+
 @query("q18_unknown_values", f"WITH {E_CTE} SELECT DISTINCT category AS value, 'not declared' AS state FROM lab WHERE category NOT IN ('alpha', 'beta', 'gamma', 'ex1', 'never') UNION ALL SELECT 'never', 'not seen'")
 def q18(spark, d):
     return Q.vocabulary(labels(spark, d), "category", [*(c for c in CATEGORIES if c not in ("ex2", "other")), "never"])

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import auc_error, direction, logit, r6, risk_ratio, wilson
 from ..operators import metrics as M
+from ..operators import replicates as V
 from ..operators import resample as R
 from ..operators.audit import one_row_per_entity
+from ..sources import scratch
 from .registry import query
 from .views import E_CTE, O_CTE, S_CTE, appearances, scores, sql6, sql_wilson, table, trades
 
@@ -188,7 +190,8 @@ def r01w(spark, d):
 @query("r01_cluster_bootstrap_rate", f"{BOOT}, g AS (SELECT cluster, count(*) AS n, sum(y) AS k FROM sc GROUP BY cluster), v AS (SELECT rep, sum(w * k)::DOUBLE / sum(w * n)::DOUBLE AS v FROM wt JOIN g USING (cluster) GROUP BY rep) SELECT {sql6('quantile_cont(v, 0.025)')} AS lo, {sql6('quantile_cont(v, 0.975)')} AS hi, count(v) AS replicates FROM v")
 def r01(spark, d):
     g = scores(spark, d).groupBy("cluster").agg(F.count("*").alias("n"), F.sum("y").alias("k"))
-    v = weights(spark, d).join(g, "cluster").groupBy("rep").agg((F.sum(F.col("w") * F.col("k")) / F.sum(F.col("w") * F.col("n"))).alias("v"))
+    sums = V.replicate_sums(V.weight_vectors(weights(spark, d), "cluster"), g, "cluster", ["n", "k"])
+    v = sums.select("rep", (F.col("k") / F.col("n")).alias("v"))
     return R.interval(v, "v").select(r6(F.col("lo")).alias("lo"), r6(F.col("hi")).alias("hi"), "replicates")
 
 
@@ -198,23 +201,21 @@ def boot_auc(score: str, name: str) -> str:
  {name} AS (SELECT rep, sum((n - k) * (ka + k / 2.0))::DOUBLE / (sum(k)::DOUBLE * (sum(n) - sum(k))::DOUBLE) AS auc FROM {name}1 GROUP BY rep)"""
 
 
-def replicate_auc(spark, d, score: str):
-    """AUC of each replicate from counts by (cluster, score), joined with the weights."""
-    s = scores(spark, d).groupBy("cluster", score).agg(F.count("*").alias("n0"), F.sum("y").alias("k0"))
-    both = weights(spark, d).join(s, "cluster")
-    pos = both.select("rep", score, F.lit(1).alias("y"), (F.col("w") * F.col("k0")).alias("c"))
-    neg = both.select("rep", score, F.lit(0).alias("y"), (F.col("w") * (F.col("n0") - F.col("k0"))).alias("c"))
-    return M.auc(pos.unionByName(neg), score, "y", ["rep"], "c").select("rep", "auc")
+def replicate_auc(spark, d, *names: str) -> list:
+    """AUCs of each replicate, of one draw for all scores."""
+    drawn = scratch.written(weights(spark, d), "weights")
+    return [V.replicate_auc(scores(spark, d), s, "y", "cluster", drawn, REPS) for s in names]
 
 
 @query("r01_cluster_bootstrap_auc", f"{BOOT}, {boot_auc('p', 'a')} SELECT {sql6('quantile_cont(auc, 0.025)')} AS lo, {sql6('quantile_cont(auc, 0.975)')} AS hi, count(auc) AS replicates FROM a")
 def r01a(spark, d):
-    return R.interval(replicate_auc(spark, d, "p"), "auc").select(r6(F.col("lo")).alias("lo"), r6(F.col("hi")).alias("hi"), "replicates")
+    return R.interval(replicate_auc(spark, d, "p")[0], "auc").select(r6(F.col("lo")).alias("lo"), r6(F.col("hi")).alias("hi"), "replicates")
 
 
 @query("r02_paired_bootstrap", f"{BOOT}, {boot_auc('p', 'a')}, {boot_auc('q', 'b')}, z AS (SELECT a.auc - b.auc AS delta FROM a JOIN b USING (rep)) SELECT {sql6('quantile_cont(delta, 0.025)')} AS lo, {sql6('quantile_cont(delta, 0.975)')} AS hi, count(delta) AS replicates FROM z")
 def r02(spark, d):
-    both = replicate_auc(spark, d, "p").join(replicate_auc(spark, d, "q").withColumnRenamed("auc", "other"), "rep").withColumn("delta", F.col("auc") - F.col("other"))
+    p, q = replicate_auc(spark, d, "p", "q")
+    both = p.join(q.withColumnRenamed("auc", "other"), "rep").withColumn("delta", F.col("auc") - F.col("other"))
     return R.interval(both, "delta").select(r6(F.col("lo")).alias("lo"), r6(F.col("hi")).alias("hi"), "replicates")
 
 
