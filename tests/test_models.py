@@ -192,3 +192,78 @@ def test_gate_of_rare_strata(spark, monkeypatch):  # L11
     for r in models.l11(spark, SF).collect():
         assert (r["gate"] == "fit") == (r["k"] >= models.LEAST_EVENTS) == (r["auc"] is not None)
         assert r["shortfall"] == max(0, models.LEAST_EVENTS - r["k"])
+
+
+# --- what the fits find -----------------------------------------------------------------------
+
+
+def planted(spark, n: int, seed: int, signal: float, permuted: bool = False):
+    """Two covariates, the label follows the first one and its product with the second; ``permuted``: it follows nothing."""
+    r = np.random.default_rng(seed)
+    x = r.normal(size=(n, 2))
+    y = (r.random(n) < 1 / (1 + np.exp(2 - signal * (x[:, 0] + x[:, 0] * x[:, 1])))).astype(int)
+    y = r.permutation(y) if permuted else y
+    return spark.createDataFrame([(k, float(a), float(b), int(c), int(c) * int(1 + k % 3)) for k, ((a, b), c) in enumerate(zip(x, y, strict=True))], "user_id int, a double, b double, y int, tissue int")
+
+
+SIZES = {"forest": {"trees": 20, "depth": 5}, "boosting": {"rounds": 15, "depth": 3, "rate": 0.2}}
+
+
+def area(model, test) -> float:
+    return metrics.auc(fit.scored(model, test, ["a", "b"]), "p", "y").first()["auc"]
+
+
+@pytest.mark.parametrize("name", models.ALGORITHMS)
+def test_a_planted_signal_is_found_and_a_permuted_one_is_not(spark, name):  # L4, L5, L17, L18, R8
+    train, test = planted(spark, 1500, 1, 2.0).cache(), planted(spark, 1500, 2, 2.0).cache()
+    shuffled, other = (planted(spark, 1500, k, 2.0, permuted=True).cache() for k in (3, 4))
+    positives = test.where("y = 1").count()
+    error = float(test.select(models.auc_error(models.F.lit(0.5), models.F.lit(positives), models.F.lit(1500 - positives))).first()[0])
+    found = [area(models.fitted(name, train, ["a", "b"], SIZES, s), test) for s in (1, 2)]
+    assert min(found) > 0.75 and abs(found[0] - found[1]) < 0.05  # seeds of a sweep agree
+    assert abs(area(models.fitted(name, shuffled, ["a", "b"], SIZES), other) - 0.5) < 4 * error
+    alone = metrics.auc(fit.scored(models.fitted(name, train, ["b"], SIZES), test, ["b"]), "p", "y").first()["auc"]
+    assert found[0] - alone > 0.15  # the block that holds the signal is missed
+
+
+def pooled(s, y):
+    """Pool adjacent violators: the isotonic values at the sorted distinct scores."""
+    at = np.unique(s)
+    blocks = []
+    for v in at:
+        blocks.append([y[s == v].mean(), int((s == v).sum()), 1])
+        while len(blocks) > 1 and blocks[-2][0] > blocks[-1][0]:
+            b, a = blocks.pop(), blocks.pop()
+            blocks.append([(a[0] * a[1] + b[0] * b[1]) / (a[1] + b[1]), a[1] + b[1], a[2] + b[2]])
+    return at, np.concatenate([[b[0]] * b[2] for b in blocks])
+
+
+def test_isotonic_equals_pooled_neighbours(spark):  # L6
+    r = np.random.default_rng(4)
+    s = np.round(r.random(200), 2)
+    y = (r.random(200) < s * s).astype(float)
+    val = spark.createDataFrame([(float(a), float(b)) for a, b in zip(s, y, strict=True)], "p double, y double")
+    got = {x["p"]: x["p_cal"] for x in fit.recalibrated(val, val.select("p"), "p", "y").collect()}
+    for v, want in zip(*pooled(s, y), strict=True):
+        assert got[v] == pytest.approx(want, abs=1e-9)
+
+
+def test_selection_takes_the_best_on_validation(spark):  # L7, L9
+    t = planted(spark, 900, 5, 2.0)
+    rows = models.union(models.evaluated(fit.scored(fit.fit_logistic(t.where("user_id < 500"), x), t.where("user_id >= 500"), x), features=n) for n, x in {"both": ["a", "b"], "one": ["b"]}.items())
+    one = {r["features"]: r for r in rows.collect()}
+    assert one["both"]["auc"] > one["one"]["auc"] and one["both"]["n"] == one["one"]["n"] == 400
+    assert rows.agg(models.F.max_by("features", "ap")).first()[0] == "both"
+
+
+def test_one_class_against_the_rest(spark):  # L10
+    t = planted(spark, 300, 6, 2.0)
+    rows = {k: {r["user_id"] for r in models.of_class(t, k).where("y = 1").collect()} for k in (1, 2, 3)}
+    assert not (rows[1] & rows[2]) and sum(map(len, rows.values())) == t.where("y = 1").count()
+    assert rows[2] == {r["user_id"] for r in t.where("tissue = 2").collect()}
+
+
+@given
+def test_windows_refit_their_own_labels(spark):  # L12
+    got = {w: models.model_table(spark, SF, w).agg(models.F.count("*"), models.F.sum("y")).first() for w in (1, 3)}
+    assert 0 < got[1][1] <= got[3][1]  # a wider window links no fewer events
