@@ -14,6 +14,10 @@ these pages with renamed wrappers and with menus, notices, adverts, forms, sideb
 the page's own words set in between teach the labeller layouts that the sample lacks. All
 pages are labelled by the network alone.
 
+Tags are read as browsers read them: quotes count after an equals sign only, end tags of paragraphs and
+list items may lack, what has no end tag swallows no text. Reading takes time that grows with a
+page's length only; of open elements, a block's path tells the ``DEPTH`` outermost.
+
 Results: one row per row; text is empty for null or empty html and where no block is main
 text. Pages of any length are read whole. page_id may be null or repeated; equal pages get equal
 texts; a block whose probability ties at one half is kept. An empty table gives an empty
@@ -25,6 +29,7 @@ from __future__ import annotations
 import html as entities
 import re
 import zlib
+from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -38,7 +43,8 @@ from . import textops
 
 #: Element names, and names that authors give to parts of a page.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "object", "svg", "math", "canvas", "select", "option"}
+RAW = {"script", "style", "textarea", "title", "iframe"}  # up to their end tag, or to the page's end
+SKIPPED = {"noscript", "template", "object", "svg", "math", "canvas", "select", "datalist"}  # up to their end tag, if there is one
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark",
     "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "br", "wbr", "img",
@@ -57,12 +63,19 @@ ASIDE_WRAPPERS = [
     "ol.comments li.comment p", "div.comment body", "div.reply", "div.breadcrumb a", "div.copyright", "div.login", "div.search form", "div.site header", "div.site footer p", "div.page header",
 ]
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+MARKUP = re.compile(r"<(?=[a-zA-Z/!?])")
+TAG = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+#: Attributes of a tag that is written as it should be; others are read one by one.
+PLAIN = re.compile(r"((?:\s+[a-zA-Z_:][\w:.-]*(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'=<>`/]+))?)*)\s*(/?)>")
+BEFORE = re.compile(r"(?:[\s/]+|[^\s/>=]+(?=[\s/>])(?!\s*=))*")  # white space, and attributes without a value
+NAME, EQUALS, BARE = re.compile(r"=?[^\s/>=]*"), re.compile(r"\s*=\s*"), re.compile(r"[^\s>]*")
+NAMES = re.compile(r"(?<![^\s])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 SPLIT = re.compile(r"[^a-z0-9]+")
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 
+DEPTH = 512  # open elements that a block's path tells; browsers nest no deeper either
 SAMPLE, EPOCHS, HIDDEN = 150, 10, 16
+STEPS = 375  # of the fit at least, however few pages there are
 FIT_CHARS = 200_000
 MARKED = r"(?i)<(article|main)[\s>]"
 PATH, WORD, MEASURES = 64, 32, 6
@@ -81,70 +94,137 @@ class Block:
     linked: float = 0.0
 
 
+class _Page:
+    """A page's characters, and where each mark that may be missing comes last: nothing is looked for in vain twice."""
+
+    def __init__(self, html: str):
+        self.html, self.last = html, {c: html.rfind(c) for c in (">", '"', "'", "-->", "]]>")}
+        low = html.lower()
+        # lower case of a few letters is longer
+        self.low = low if len(low) == len(html) else "".join(c.lower() if c.isascii() else c for c in html)
+        self.ends: dict[str, int] = {}
+
+    def find(self, mark: str, at: int) -> int:
+        """The next ``mark``, or -1."""
+        return self.html.find(mark, at) if at <= self.last[mark] else -1
+
+    def past_end_tag(self, tag: str, at: int) -> int:
+        """Where the next end tag of ``tag`` ends, or -1."""
+        if tag not in self.ends:
+            self.ends[tag] = self.low.rfind(f"</{tag}")
+        if at > self.ends[tag]:
+            return -1
+        close = self.find(">", self.low.find(f"</{tag}", at))
+        return close + 1 if close >= 0 else len(self.html)
+
+    def attributes(self, at: int) -> tuple[str, bool, int]:
+        """Attributes of a tag from ``at``, whether it closes itself, and where it ends. Quotes count after an
+        equals sign only; a quote without a partner ends with the tag. A tag without an end is the rest of the page."""
+        m = PLAIN.match(self.html, at)
+        if m:
+            return m[1], bool(m[2]), m.end()
+        found: list[str] = []
+        while True:
+            at = BEFORE.match(self.html, at).end()
+            close = self.find(">", at)
+            if close < 0:
+                return "", False, len(self.html)
+            if self.html[at] == ">":
+                return " " + " ".join(found), self.html[at - 1] == "/", at + 1
+            m = NAME.match(self.html, at)
+            name, at = m[0], m.end()
+            m = EQUALS.match(self.html, at)
+            if not m:
+                continue
+            at = m.end()
+            quote = self.html[at : at + 1]
+            if quote in ('"', "'") and quote:
+                past = self.find(quote, at + 1)
+                past = close if past < 0 else past
+                value, at = self.html[at + 1 : past], past + (self.html[past] == quote)
+            else:
+                m = BARE.match(self.html, at)
+                value, at = m[0], m.end()
+            if name.lower() in ("class", "id", "role"):
+                found.append(name + '="' + value.replace('"', " ") + '"')
+
+
 def blocks(html: str | None) -> list[Block]:
-    """The page's text blocks in order; any string is accepted."""
+    """The page's text blocks in order; any string is accepted, in time that grows with its length."""
     out: list[Block] = []
     stack: list[tuple[str, ...]] = []
+    open_: Counter = Counter()  # of the stack's tags
     run: list[str] = []
     path: tuple = ()
-    linked = 0
+    linked, spoken = 0, False
 
     def end() -> None:
-        nonlocal linked
+        nonlocal linked, spoken
         text = " ".join(entities.unescape("".join(run)).split())
         if text:
             out.append(Block(path, text, min(1.0, linked / len(text))))
         run.clear()
-        linked = 0
+        linked, spoken = 0, False
 
     def say(text: str) -> None:
-        nonlocal path, linked
+        nonlocal path, linked, spoken
         if text.strip():
-            if not any(map(str.strip, run)):
-                path = tuple(stack)
-            if any(x[0] == "a" for x in stack):
+            if not spoken:
+                path, spoken = tuple(stack[:DEPTH]), True
+            if open_["a"]:
                 linked += len(text)
         run.append(text)
 
+    def close_from(k: int) -> None:
+        open_.subtract(x[0] for x in stack[k:])
+        del stack[k:]
+
     html = html or ""
-    low = html.lower()
-    if len(low) != len(html):  # lower case of a few letters is longer
-        low = "".join(c.lower() if c.isascii() else c for c in html)
-    at = 0
-    while (m := TOKEN.search(html, at)) is not None:
+    page, at = _Page(html), 0
+    while (m := MARKUP.search(html, at)) is not None:
         if m.start() > at:
             say(html[at : m.start()])
         at = m.end()
-        if m[2] is None:
-            if m[0].startswith("<![CDATA["):
-                say(entities.escape(m[0][9:-3]))
+        tag = TAG.match(html, at)
+        if tag is None:  # a comment, a declaration, or what browsers take for one
+            kind = "-->" if html.startswith("!--", at) else "]]>" if html.startswith("![CDATA[", at) else ">"
+            past = page.find(kind, at + 1)
+            if kind == "]]>" and past >= 0:
+                say(entities.escape(html[at + 8 : past]))
+            elif kind == "]]>":
+                kind, past = ">", page.find(">", at)
+            at = past + len(kind) if past >= 0 else len(html)
             continue
-        tag, closing = m[2].lower(), bool(m[1])
-        if tag in RAW and not closing:
-            if not m[3].endswith("/"):
-                past = low.find(f"</{tag}", at)
-                past = len(html) if past < 0 else past
-                close = html.find(">", past)
-                at = len(html) if close < 0 else close + 1
+        closing, name = bool(tag[1]), tag[2].lower()
+        told, alone, at = page.attributes(tag.end())
+        if not closing and not alone and (name in RAW or name in SKIPPED):
+            past = page.past_end_tag(name, at)
+            if past >= 0 or name in RAW:
+                at = past if past >= 0 else len(html)
             continue
-        if tag not in INLINE:
+        if name not in INLINE:
             end()
-        elif tag == "br":
+        elif name == "br":
             run.append(" ")
         if closing:
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if k is not None and (tag not in INLINE or all(x[0] in INLINE for x in stack[k:])):
-                del stack[k:]
-            continue
-        if tag not in INLINE:  # an open paragraph or item ends here
-            ended = CLOSES.get(tag, set()) | {"p"}
-            k = len(stack)
-            while k and (stack[k - 1][0] in INLINE or stack[k - 1][0] in ended):
+            k = len(stack) - 1 if open_[name] else -1
+            while k >= 0 and stack[k][0] != name and (name not in INLINE or stack[k][0] in INLINE):
                 k -= 1
-            if any(x[0] in ended for x in stack[k:]):
-                del stack[next(i for i in range(k, len(stack)) if stack[i][0] in ended) :]
-        if tag not in VOID and not m[3].endswith("/"):
-            stack.append((tag, *_names(m[3])) if m[3] else (tag,))
+            if k >= 0 and stack[k][0] == name:
+                close_from(k)
+            continue
+        if name not in INLINE:  # an open paragraph or item ends here
+            ended = CLOSES.get(name, set()) | {"p"}
+            if any(open_[x] for x in ended):
+                k = len(stack)
+                while k and (stack[k - 1][0] in INLINE or stack[k - 1][0] in ended):
+                    k -= 1
+                first = next((i for i in range(k, len(stack)) if stack[i][0] in ended), None)
+                if first is not None:
+                    close_from(first)
+        if name not in VOID and not alone:
+            stack.append((name, *_names(told)) if told.strip() else (name,))
+            open_[name] += 1
     if at < len(html):
         say(html[at:])
     end()
@@ -377,7 +457,7 @@ def fit(pages: DataFrame, sample: int = SAMPLE) -> Labeller | None:
             x.append(made)
             y.append(told)
     labeller = Labeller()
-    labeller.fit(vectors(x), [np.array(t, np.float32) for t in y])
+    labeller.fit(vectors(x), [np.array(t, np.float32) for t in y], epochs=max(EPOCHS, STEPS * 16 // len(x)))
     return labeller
 
 
