@@ -1,6 +1,7 @@
 """Nulls, empty and very long texts, repeated rows, empty tables and clashing columns."""
 
 import hashlib
+import time
 
 import pytest
 
@@ -134,3 +135,70 @@ def test_pages(spark):
     assert all(r["n_chars"] == len(r["text"]) for r in got)
     assert [r["text"] for r in got if r["page_id"] in (1, 2)] == ["", ""]
     assert html_blocks.main_text(df.limit(0)).count() == 0
+
+
+#: Markup that browsers read, with the text that a page shows.
+ODD_PAGES = [
+    ("<form><datalist><option value=a><option value=b></datalist></form><article><p>Hello there world.</p></article>", ["Hello there world."]),
+    ("<select><option>a<option>b</select><p>after</p>", ["after"]),
+    ("<select><option>never closed<p>kept</p>", ["never closed", "kept"]),
+    ("it's <b title=x'>bold</b> ok", ["it's bold ok"]),
+    ('<p class="a>one</p><p>two</p>', ["one", "two"]),
+    ("<p title='a > b' data-x=\"1 > 0\">x</p>", ["x"]),
+    ("<a href=/x/y/>link</a> text", ["link text"]),
+    ("a < b and c > d, 1<2", ["a < b and c > d, 1<2"]),
+    ("<ul><li>one<li>two<ul><li>three</ul><li>four</ul>", ["one", "two", "three", "four"]),
+    ("<dl><dt>t<dd>d<dt>u<dd>e</dl>", ["t", "d", "u", "e"]),
+    ("<table><tr><td>a<td>b<tr><td>c</table>", ["a", "b", "c"]),
+    ("<p>first<p>second<div>third</div>", ["first", "second", "third"]),
+    ("<svg><text>drawn</text></svg><p>seen</p><svg>", ["seen"]),
+    ("<!-- no --><![CDATA[yes & so]]><!doctype html></ bogus>end", ["yes & soend"]),
+    ("<script>if (a < b) '</p>'</script>shown<style>p{}", ["shown"]),
+    ("text <b unclosed", ["text"]),
+    ("<P CLASS=Nav\nID='x'>menu</P >done", ["menu", "done"]),
+]
+
+
+@pytest.mark.parametrize(("html", "texts"), ODD_PAGES)
+def test_texts_of_odd_markup(html, texts):
+    assert [b.text for b in html_blocks.blocks(html)] == texts
+
+
+def test_names_of_odd_markup():
+    (block,) = html_blocks.blocks("<div class = side-bar id=\"Top\" hidden data-role=no role='search' x=\"id='no'\"><p title=y'>text")
+    assert block.path == (("div", "side", "bar", "top", "search"), ("p",))
+
+
+@pytest.mark.parametrize("html", ["<a " * 350_000, "<a " * 350_000 + ">", '<img alt="' * 100_000, '<img alt="' * 100_000 + '">', "<div>x" * 40_000, "<svg>" * 200_000, "<![CDATA[" * 110_000, "</b>" * 250_000, "<b><div>" * 5000 + "</b>" * 100_000, "<select>" * 50_000])
+def test_time_grows_with_length_only(html):
+    began = time.process_time()
+    html_blocks.blocks(html)
+    assert time.process_time() - began < 10  # where it grew with the square it took minutes
+
+
+def test_pages_with_repeats_and_clashing_columns(spark):
+    html = "<html><body><nav><a>Home</a></nav><article><p>Main text of a page.</p></article></body></html>"
+    df = spark.createDataFrame([(1, "u", html, "a", 1), (1, "u", html, "b", 2), (2, "v", "<nav><a>Home</a></nav>", "c", 3)], PAGES + ", text string, n_chars int")
+    rows = html_blocks.main_text(df).collect()
+    assert sorted((r["page_id"], r["text"]) for r in rows) == [(1, "Main text of a page."), (1, "Main text of a page."), (2, "")]
+
+
+def test_a_ledger_that_holds_a_blob_twice(spark, odd, tmp_path):
+    """Two runs that scan at the same time both append."""
+    docs = odd.select("doc_id", "text")
+    ledger = str(tmp_path / "ledger")
+    want = sorted(map(str, secret_scan.secret_report(docs, ledger).collect()))
+    spark.read.parquet(ledger).write.mode("append").parquet(str(tmp_path / "twice"))
+    spark.read.parquet(ledger).write.mode("append").parquet(str(tmp_path / "twice"))
+    again = sorted(map(str, secret_scan.secret_report(docs, str(tmp_path / "twice")).collect()))
+    assert again == want and len(again) == docs.count()
+    assert secret_scan.without_secrets(docs, ledger=str(tmp_path / "twice")).count() == docs.count()
+    assert spark.read.parquet(ledger).count() == docs.select("text").na.fill("").distinct().count()
+
+
+def test_findings_keep_clashing_columns_apart(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "token: abcdefgh1", "mine", "theirs", 7), (2, None, None, None, None)], "path long, text string, spans string, blob string, _known int")
+    found = secret_scan.findings(docs, secret_scan.recorded(docs, str(tmp_path / "l")))
+    assert found.columns == ["path", "_known", "blob", "spans"]
+    rows = {r["path"]: r for r in found.collect()}
+    assert len(rows[1]["spans"]) == 1 and rows[1]["blob"] == hashlib.sha256(b"token: abcdefgh1").hexdigest() and rows[1]["_known"] == 7 and rows[2]["spans"] == []

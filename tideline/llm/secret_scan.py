@@ -28,7 +28,7 @@ from uuid import uuid4
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import carried, name_of, restored, shared_folder, small
+from .store import carried, name_of, restored, shared_folder, small, stored
 
 #: Kind, pattern, least length, and of which group. The two last patterns ask
 #: for the least length themselves, which finds the same spans.
@@ -117,18 +117,25 @@ def recorded(versions: DataFrame, path: str) -> DataFrame:
     return spark.read.schema(LEDGER).parquet(path)
 
 
+def entries(ledger: DataFrame) -> DataFrame:
+    """(blob, spans) under this rule version, one row for each blob: two runs at a time may both have appended
+    one. Written out, so that the join with very many paths of a blob is one of plain scans."""
+    known = ledger.where(F.col("rules") == rules_version()).groupBy(F.col("blob").alias("_known"))
+    return stored(known.agg(F.first("spans").alias("_spans")), "entries")  # equal blobs have equal spans
+
+
 def new_ledger(versions: DataFrame) -> str:
     """Where a ledger of its own may lie, for a run that has none to go on from."""
     return f"{shared_folder(versions.sparkSession)}/ledger-{uuid4().hex}"
 
 
 def findings(versions: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Columns of ``versions`` but text, with blob and spans, for every version of every path.
-    The ledger is a written table: a blob that very many paths hold is a skewed key of a join
-    of two scans, which Spark splits."""
-    known = ledger.where(F.col("rules") == rules_version()).select("blob", "spans")
-    addressed = versions.withColumn("blob", _blob("text")).drop("text")
-    return addressed.join(known, "blob", "left")
+    """Columns of ``versions`` but text, with blob and spans, for every version of every path. Columns of
+    these two names give way. A blob that very many paths hold is a skewed key of a join of two scans, which Spark splits."""
+    addressed = versions.select(*carried(versions), _blob("text").alias("_blob"))
+    told = addressed.join(entries(ledger), F.col("_blob") == F.col("_known"), "left")
+    own = [F.col(name_of(versions, c)).alias(c) for c in versions.columns if c not in ("text", "blob", "spans")]
+    return told.select(*own, F.col("_blob").alias("blob"), F.col("_spans").alias("spans"))
 
 
 def joined(spans: Column) -> Column:
@@ -172,8 +179,7 @@ def masked(text: Column, spans: Column, mask: str) -> Column:
 def without_secrets(docs: DataFrame, mask: str = "[secret]", ledger: str | None = None) -> DataFrame:
     """``docs`` with every span replaced by ``mask``; overlapping spans are replaced as one.
     Other rows and columns stay as they are; n_chars follows the text where it is there."""
-    known = recorded(docs.select("text"), ledger or new_ledger(docs))
-    found = known.where((F.col("rules") == rules_version()) & (F.size("spans") > 0)).select(F.col("blob").alias("_known"), F.col("spans").alias("_spans"))
+    found = entries(recorded(docs.select("text"), ledger or new_ledger(docs)).where(F.size("spans") > 0))
     text, own = F.col(name_of(docs, "text")), carried(docs)
     size = found.agg(F.count("*") + F.coalesce(F.sum(F.size("_spans")), F.lit(0))).first()[0]
     found = F.broadcast(found) if size <= BROADCAST_SPANS else found
