@@ -336,13 +336,38 @@ def test_topics_come_from_all_documents(spark):
     rare = [x["text"] for x in hashed({text(7) for _ in range(2000)})[-3:]]
     assert sum(x["text"] in rare for x in hashed({x for _, x in common} | set(rare))[:2000]) == 0
     docs = spark.createDataFrame([(k, x, str(g)) for k, (g, x) in enumerate([*common, *((7, x) for x in rare)])], "doc_id long, text string, source string")
-    centres = raking.fit_topics(docs)
+    centres = raking.fit_topics(docs, least_share=0.0)
     rows = raking.profiled(docs.withColumnRenamed("text", "_text"), centres).select("source", "_topic").distinct().collect()
     assert len(rows) == 8 == len({t for _, t in rows}) and len(centres) == 8
     means = [raking._unit(np.ones((1, 1)) * raking._chunk_counts(np.frombuffer(" ".join(bag(g)).encode(), np.uint8), np.array([0, len(" ".join(bag(g)))]))[0])[0] for g in range(8)]
     assert all((np.abs(centres - m).max(1) < 1e-6).any() for m in means)
 
 
+def test_stray_topics_are_given_up(spark):
+    r = random.Random(13)
+    rows = [(k, " ".join(f"g{g}w{r.randrange(30)}" for _ in range(20)), "s") for k, g in enumerate([0] * 300 + [1] * 200 + [2] * 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    centres = raking.fit_topics(docs)
+    told = raking.profiled(docs.withColumnRenamed("text", "_text"), centres).groupBy("_topic").agg({"_tokens": "sum"}).collect()
+    assert 1 < len(centres) <= raking.TOPICS and len(told) == len(centres)
+    assert min(x[1] for x in told) >= 0.01 * sum(x[1] for x in told)
+
+
+def test_clashing_targets_are_moved_as_little_as_it_takes(spark):
+    # all of source a is topic 0, so that three quarters of a and of topic 1 can't both be had
+    cells = [("a", "en", 0, 1000), ("b", "en", 0, 1000), ("b", "en", 1, 2000)]
+    df = spark.createDataFrame(cells, "source string, lang string, topic int, tokens long")
+    with pytest.warns(UserWarning, match="contradict"):
+        out = raking.rake(df, {"source": {"a": 3.0, "b": 1.0}, "topic": {0: 1.0, 1: 3.0}}, keep=0.25).collect()
+    step = out[0]["step"]
+    assert 0 < step < 1 and {x["step"] for x in out} == {step}
+    share = sum(x["weight"] for x in out if x["source"] == "a") / sum(x["weight"] for x in out)
+    topic = sum(x["weight"] for x in out if x["topic"] == 1) / sum(x["weight"] for x in out)
+    assert share + topic <= 1 + 1e-9 and share + topic > 0.97  # a is topic 0: a step further would not fit
+    fine = raking.rake(df, {"source": {"a": 1.0, "b": 3.0}, "topic": {0: 1.0, 1: 1.0}}, keep=0.25).collect()
+    assert {x["step"] for x in fine} == {1.0}
+
+
 def test_packing_of_added_tokens_and_long_white_space(spark):
     import public_tokenizers
     from tokenizers import Tokenizer

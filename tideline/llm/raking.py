@@ -2,7 +2,8 @@
 
 Each document gets a topic: the nearest of ``TOPICS`` centres of hashed word counts, which
 spherical k-means fits on all documents with words. The first centres are drawn as k-means++
-draws them, by a hash of the text. Vectors stay in the shared folder; in each round only a sum
+draws them, by a hash of the text; centres that end with less than ``LEAST_SHARE`` of all words are given
+up, and their documents go to the nearest of the others. Vectors stay in the shared folder; in each round only a sum
 for each centre and dimension reaches the driver, in whole numbers, so that their order does
 not matter. Tokens are counted
 as words plus one. Cells are the combinations of source, language and topic that occur; all
@@ -15,8 +16,9 @@ shares are its token counts to the power ``POWERS``. A value missing in given ta
 weight 0. The marginals add up to ``keep`` of all tokens. No value is asked for more tokens
 than it has (the others take over what it lacks), and no cell for more than it has. Three
 marginals that can be met one by one may still contradict each other: then the targets are moved
-towards the shares that the documents have, by the first step of ``STEPS`` at which all of them
-are met (at the last one they always are). Results tell the target and the weight reached.
+towards the shares that the documents have, as little as it takes, which bisection finds to 1/``GRAIN``. Results
+tell this step (1: the targets asked for; 0: the documents' own shares, which can always be met), the target
+and the weight reached; where targets that were given had to be moved, there is a warning.
 
 A document's probability is its cell's weight over the cell's tokens; it is kept where a hash
 of doc_id and text lies below that: the same rows are kept on every run.
@@ -33,6 +35,7 @@ named pass through, whatever their names.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -45,7 +48,9 @@ from . import textops
 from .store import carried, name_of, removed, restored, small, stored
 
 TOPICS, DIMENSIONS = 8, 256
-ROUNDS, TOLERANCE, STEPS = 500, 0.001, (1.0, 0.75, 0.5, 0.25, 0.1, 0.0)
+ROUNDS, TOLERANCE, GRAIN = 500, 0.001, 64
+STALL = 25  # rounds in which the misfit has to fall by a hundredth, else the targets clash
+LEAST_SHARE = 0.01
 NAMES = ("source", "lang", "topic")
 TOPIC_ROUNDS = 15
 UNIT = float(1 << 32)  # of the sums of vectors
@@ -109,7 +114,7 @@ def _next_centre(rows: DataFrame, centres: np.ndarray) -> np.ndarray | None:
 
 
 def _sums(rows: DataFrame, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each centre the sum of the vectors that it is nearest to, and how many these are."""
+    """For each centre the sum of the vectors that it is nearest to, and how many words these have."""
     width = DIMENSIONS + 1
 
     def run(batches):
@@ -117,10 +122,11 @@ def _sums(rows: DataFrame, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         for batch in (b for b in batches if b.num_rows):
             x = _vectors(batch)
             nearest = (x @ centres.T).argmax(1)
+            words = np.abs(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int32).reshape(-1, DIMENSIONS).astype(np.int64)).sum(1)
             x = np.rint(x * UNIT).astype(np.int64)
             for k in np.unique(nearest):
                 sums[k, :-1] += x[nearest == k].sum(0)
-                sums[k, -1] += (nearest == k).sum()
+                sums[k, -1] += words[nearest == k].sum()
         cell = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(sums.ravel()[cell])], ["cell", "s"])
 
@@ -131,18 +137,25 @@ def _sums(rows: DataFrame, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return out[:, :-1], out[:, -1]
 
 
-def fit_topics(docs: DataFrame, topics: int = TOPICS) -> np.ndarray:
-    """Centres (topics, DIMENSIONS) from all texts with words; none without such texts."""
+def fit_topics(docs: DataFrame, topics: int = TOPICS, least_share: float = LEAST_SHARE) -> np.ndarray:
+    """Centres (``topics`` at most, DIMENSIONS) from all texts with words, each nearest to ``least_share`` of the
+    words or more; none without such texts."""
     rows = stored(docs.where("text is not null").select(F.xxhash64("text").alias("h"), "text").mapInArrow(_counted, "h long, x binary"), "vectors")
     centres = np.zeros((0, DIMENSIONS))
     while len(centres) < topics and (one := _next_centre(rows, centres)) is not None:
         centres = np.concatenate([centres, one])
-    for _ in range(TOPIC_ROUNDS if len(centres) else 0):
-        sums, n = _sums(rows, centres)
-        moved = np.where(n[:, None] > 0, sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12), centres)
-        if np.abs(moved - centres).max() < 1e-9:
+    while len(centres):
+        for _ in range(TOPIC_ROUNDS):
+            sums, n = _sums(rows, centres)
+            moved = np.where(n[:, None] > 0, sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12), centres)
+            if np.abs(moved - centres).max() < 1e-9:
+                break
+            centres = moved
+        few = n < least_share * n.sum()
+        if not few.any():
             break
-        centres = moved
+        centres = centres[~few]
+    removed(rows)
     return centres
 
 
@@ -229,11 +242,17 @@ class _Local:
         """Rake to these targets; whether they are met."""
         self.start()
         whole = max(float(next(iter(wants.values())).sum()), 1e-9)
-        for _ in range(ROUNDS):
+        before = np.inf
+        for k in range(ROUNDS):
             for n in NAMES:
                 self.scale(n, wants[n])
-            if max(np.abs(self.sums(n) - wants[n]).max(initial=0) for n in NAMES) <= TOLERANCE * whole:
+            off = max(np.abs(self.sums(n) - wants[n]).max(initial=0) for n in NAMES)
+            if off <= TOLERANCE * whole:
                 return True
+            if k % STALL == STALL - 1:
+                if off > 0.99 * before:
+                    return False
+                before = off
         return False
 
 
@@ -278,10 +297,23 @@ def rake(cells: DataFrame, targets: dict | None = None, keep: float = KEEP, loca
     own = {n: table.sums(n) for n in NAMES}
     whole = min(float(x.sum()) for x in (*asked.values(), own["source"]))
     asked, own = ({n: x * (whole / x.sum() if x.sum() else 0.0) for n, x in y.items()} for y in (asked, own))
-    for part in STEPS:
-        wants = {n: part * asked[n] + (1 - part) * own[n] for n in NAMES}
-        if table.fitted(wants):
-            break
+
+    def at(step: float) -> dict[str, np.ndarray]:
+        return {n: step * asked[n] + (1 - step) * own[n] for n in NAMES}
+
+    step = low = 0
+    if table.fitted(at(1.0)):
+        step = GRAIN
+    else:  # the largest part of GRAIN that is met; 0 always is
+        high = GRAIN
+        while high - low > 1:
+            mid = (low + high) // 2
+            low, high = (mid, high) if table.fitted(at(mid / GRAIN)) else (low, mid)
+        step = low
+        table.fitted(at(step / GRAIN))
+        if targets:
+            warnings.warn(f"the targets contradict each other or the documents; they were moved to {step / GRAIN:.3f} of the way from the documents' shares", stacklevel=2)
+    wants = at(step / GRAIN)
     reached = {n: table.sums(n) for n in NAMES}
     fields = ", ".join(f"{n} {cells.schema[n].dataType.simpleString()}" for n in NAMES)
     if isinstance(table, _Spread):
@@ -295,7 +327,7 @@ def rake(cells: DataFrame, targets: dict | None = None, keep: float = KEEP, loca
         rows = list(zip(*names, table.cells["tokens"].tolist(), table.w.tolist(), *told, strict=True))
         rows = [tuple(int(v) if isinstance(v, np.integer) else v for v in r) for r in rows]
         out = spark.createDataFrame(rows, f"{fields}, tokens long, weight double, " + ", ".join(f"{n}_target double, {n}_reached double" for n in NAMES))
-    return stored(out.withColumn("probability", F.col("weight") / F.col("tokens")), "raked")
+    return stored(out.withColumns({"probability": F.col("weight") / F.col("tokens"), "step": F.lit(step / GRAIN)}), "raked")
 
 
 def _joined(rows: DataFrame, cells: DataFrame, targets: dict | None, keep: float) -> DataFrame:
@@ -323,11 +355,11 @@ def _cells(rows: DataFrame) -> DataFrame:
 
 def mix_report(docs: DataFrame, targets: dict | None = None, keep: float = KEEP, seed: int = 17) -> DataFrame:
     """doc_id, source, lang, topic, tokens, weight (the cell's), probability and kept for
-    each document, and for its source, language and topic the target and the weight reached."""
+    each document, for its source, language and topic the target and the weight reached, and the step."""
     rows = stored(_rows(docs, [], fit_topics(docs), seed), "profiles")
     met = _joined(rows, _cells(rows), targets, keep)
     told = [f"{n}_{x}" for n in NAMES for x in ("target", "reached")]
-    return met.select(*(F.col(f"_{c}").alias(c) for c in ("doc_id", *NAMES, "tokens")), "weight", "probability", "kept", *told)
+    return met.select(*(F.col(f"_{c}").alias(c) for c in ("doc_id", *NAMES, "tokens")), "weight", "probability", "kept", *told, "step")
 
 
 def sampled(docs: DataFrame, targets: dict | None = None, keep: float = KEEP, seed: int = 17) -> DataFrame:
