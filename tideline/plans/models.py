@@ -1,14 +1,15 @@
 """Queries that fit models. No SQL gives these: tests hold the fits against dense algebra.
 
-Sizes of forests and boosting are those of ``FULL`` where one model is fitted; queries that fit a
-grid of them take ``GRID``, which their names in the README say. Reports are a few rows, worked
-out at once, so that the model table is released again.
+Sizes of forests and boosting are those of ``FULL``, but for boosting in a grid of fits (``GRID``,
+see the README). Reports are a few rows, worked out while the model table is there.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
+from functools import partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ from ..operators import features as X
 from ..operators import fit as L
 from ..operators import metrics as M
 from ..operators import resample as R
+from ..sources import scratch
 from .registry import query
 from .views import SPEC, outcomes, scores
 
@@ -30,8 +32,9 @@ LEAK = ["cents", "n"]
 TRAIN = "season <= 1"
 LEAST_EVENTS = 25
 FULL = {"forest": {"trees": 400, "depth": 10}, "boosting": {"rounds": 400, "depth": 4, "rate": 0.05}}
-GRID = {"forest": {"trees": 40, "depth": 6}, "boosting": {"rounds": 15, "depth": 3, "rate": 0.2}}
+GRID = {"forest": FULL["forest"], "boosting": {"rounds": 15, "depth": 3, "rate": 0.2}}
 SEEDS = range(1, 6)
+AT_ONCE = 4  # fits of a grid that run at the same time
 REFITS = 500
 
 
@@ -45,12 +48,29 @@ def model_table(spark, d, window: int = 3) -> DataFrame:
 
 @contextmanager
 def held(df: DataFrame) -> Iterator[DataFrame]:
-    """``df`` cached for the time of some fits."""
-    kept = df.cache()
+    """``df`` written once for the time of some fits: a lost executor costs them nothing but a read."""
+    path = scratch.new_path(df.sparkSession, "model")
+    df.write.parquet(path)
     try:
-        yield kept
+        yield df.sparkSession.read.schema(df.schema).parquet(path)
     finally:
-        kept.unpersist()
+        scratch.dropped(df.sparkSession, path)
+
+
+def at_once(spark, jobs: dict[str, Callable]) -> dict:
+    """The results of ``jobs`` by name, ``AT_ONCE`` at a time, each in a scheduler pool of its own. A fit is many small
+    jobs one after the other; under ``spark.scheduler.mode=FAIR`` those of other fits fill the time between."""
+
+    def run(name: str, job: Callable):
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"fit {name}")
+        try:
+            return job()
+        finally:
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", None)
+
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        waiting = {n: pool.submit(run, n, j) for n, j in jobs.items()}
+        return {n: w.result() for n, w in waiting.items()}
 
 
 def report(df: DataFrame) -> DataFrame:
@@ -142,9 +162,10 @@ def l07(spark, d):
     seasons once."""
     with held(model_table(spark, d)) as t:
         train, val, test = parts(t)
-        candidates = {n: (ALL, fitted(n, train, ALL, GRID)) for n in ALGORITHMS}
         few = [*SCHEDULE, *HISTORY]
-        candidates["parsimonious boosting"] = (few, fitted("boosting", train, few, GRID))
+        tried = {n: (n, ALL) for n in ALGORITHMS} | {"parsimonious boosting": ("boosting", few)}
+        fits = at_once(spark, {n: partial(fitted, a, train, c, GRID) for n, (a, c) in tried.items()})
+        candidates = {n: (c, fits[n]) for n, (_, c) in tried.items()}
         on_val = union(evaluated(L.scored(m, val, c), model=n) for n, (c, m) in candidates.items())
         best = on_val.agg(F.max_by("model", "ap")).first()[0]
         columns, model = candidates[best]
@@ -161,7 +182,11 @@ def l08(spark, d):
     holds, by algorithm."""
     with held(model_table(spark, d)) as t:
         train, _, test = parts(t)
-        rows = union(evaluated(L.scored(fitted(a, train, c, GRID), test, c), algorithm=a, features=n, n_features=len(c)) for a in ALGORITHMS for n, c in SETS.items())
+
+        def cell(a: str, n: str, c: list[str]) -> DataFrame:
+            return report(evaluated(L.scored(fitted(a, train, c, GRID), test, c), algorithm=a, features=n, n_features=len(c)))
+
+        rows = union(at_once(spark, {f"{a} {n}": partial(cell, a, n, c) for a in ALGORITHMS for n, c in SETS.items()}).values())
     whole = rows.where("features = 'full'").select("algorithm", F.col("auc").alias("_full"))
     schedule = rows.where("features = 'schedule'").select("algorithm", F.col("auc").alias("_schedule"))
     workload = rows.where("features = 'workload'").select("algorithm", F.col("auc").alias("_workload"))
@@ -201,7 +226,11 @@ def l11(spark, d):
             if (found or 0) < LEAST_EVENTS:
                 rows.append((k, n, found or 0, "report only", LEAST_EVENTS - (found or 0), None, None, None))
                 continue
-            aucs = sorted(M.auc(L.scored(fitted("boosting", own, ALL, GRID, s), events, ALL), "p", "y").first()["auc"] for s in SEEDS)
+
+            def of_seed(s: int, own=own, events=events) -> float:
+                return M.auc(L.scored(fitted("boosting", own, ALL, GRID, s), events, ALL), "p", "y").first()["auc"]
+
+            aucs = sorted(at_once(spark, {str(s): partial(of_seed, s) for s in SEEDS}).values())
             rows.append((k, n, found, "fit", 0, aucs[len(aucs) // 2], aucs[0], aucs[-1]))
     return spark.createDataFrame(rows, "tissue int, n long, k long, gate string, shortfall long, auc double, lowest double, highest double")
 
@@ -294,7 +323,7 @@ def l18(spark, d):
     """With labels permuted over the table no algorithm may leave the band around one half."""
     with held(R.permuted(model_table(spark, d), "y", 31, "user_id", "day")) as t:
         train, _, test = parts(t)
-        e = union(evaluated(L.scored(fitted(a, train, ALL, GRID), test, ALL), algorithm=a) for a in ALGORITHMS)
+        e = union(at_once(spark, {a: lambda a=a: report(evaluated(L.scored(fitted(a, train, ALL, GRID), test, ALL), algorithm=a)) for a in ALGORITHMS}).values())
     se = auc_error(F.lit(0.5), F.col("positives"), F.col("n") - F.col("positives"))
     band = e.withColumns({"band_lo": 0.5 - 2.576 * se, "band_hi": 0.5 + 2.576 * se})
     return band.withColumn("verdict", F.when(F.col("auc").between(F.col("band_lo"), F.col("band_hi")), "pass").otherwise("fail"))
@@ -327,5 +356,5 @@ def r08(spark, d):
     """A forest of full size under each of ``SEEDS``."""
     with held(model_table(spark, d)) as t:
         train, _, test = parts(t)
-        runs = union(evaluated(L.scored(fitted("forest", train, ALL, FULL, s), test, ALL), seed=s) for s in SEEDS)
+        runs = union(at_once(spark, {str(s): lambda s=s: report(evaluated(L.scored(fitted("forest", train, ALL, FULL, s), test, ALL), seed=s)) for s in SEEDS}).values())
     return runs.agg(F.median("auc").alias("median"), F.min("auc").alias("lowest"), F.max("auc").alias("highest"), F.count("*").alias("seeds"))
