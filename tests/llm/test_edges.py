@@ -4,8 +4,10 @@ import hashlib
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from tideline.llm import embed_dedup, html_blocks, lang_mix, mpeg, ngram_join, packing, raking, secret_scan, toxicity, url_rules
+from tideline.llm.store import stored
 
 PAGES = "page_id long, url string, html string"
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7")]
@@ -202,3 +204,24 @@ def test_findings_keep_clashing_columns_apart(spark, tmp_path):
     assert found.columns == ["path", "_known", "blob", "spans"]
     rows = {r["path"]: r for r in found.collect()}
     assert len(rows[1]["spans"]) == 1 and rows[1]["blob"] == hashlib.sha256(b"token: abcdefgh1").hexdigest() and rows[1]["_known"] == 7 and rows[2]["spans"] == []
+
+
+def test_identical_rows_are_packed_in_many_parts(spark, monkeypatch):
+    monkeypatch.setattr(packing, "PART", 100)
+    docs = spark.createDataFrame([(None, None)] * 4000 + [(1, "a b c")] * 4000, "doc_id long, text string").repartition(3)
+    rows = packing.pack(docs).collect()
+    assert len(rows) == 8000
+    fills = {}
+    for r in sorted(rows, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == fills.get(r["sequence_id"], 0)
+        fills[r["sequence_id"]] = r["offset"] + r["length"]
+    assert max(fills.values()) <= 1024 and sorted(fills) == list(range(len(fills)))
+    cut = stored(packing.pieces(docs, *_tokenizer(), packing.CAPACITY).withColumn("row", F.monotonically_increasing_id()), "pieces")
+    salts = cut.groupBy(F.expr("pmod(xxhash64(doc_id, start, ids_crc32, row), 80)").alias("s")).count().agg(F.max("count"), F.count("*")).first()
+    assert salts[1] == 80 and salts[0] < 5 * 100
+
+
+def _tokenizer():
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN

@@ -211,18 +211,21 @@ def plan(histogram: dict[int, int], capacity: int) -> tuple[list[tuple], int]:
 
 
 def packed(cut: DataFrame, capacity: int = CAPACITY, grid: int = GRID) -> DataFrame:
-    """``cut`` (a stored table of pieces) with sequence_id and offset."""
+    """``cut`` (a stored table of pieces) with sequence_id and offset. Pieces are dealt by their place (``row``) too, so
+    that many identical ones are many tasks."""
     spark = cut.sparkSession
+    if "row" not in cut.columns:
+        cut = stored(cut.withColumn("row", F.monotonically_increasing_id()), "pieces")
     sized = cut.withColumn("size", F.expr(f"(length + {grid - 1}) div {grid}"))
     parts = max(LEAST_PARTS, cut.count() // PART)
-    dealt = sized.withColumn("salt", F.expr(f"pmod(xxhash64(doc_id, start, ids_crc32), {parts})"))
+    dealt = sized.withColumn("salt", F.expr(f"pmod(xxhash64(doc_id, start, ids_crc32, row), {parts})"))
     counts = stored(dealt.groupBy("size", "salt").count(), "sizes")
     histogram = {r["size"]: r["n"] for r in counts.groupBy("size").agg(F.sum("count").alias("n")).collect()}  # capacity / grid sizes at most
     before = F.coalesce(F.sum("count").over(W.partitionBy("size").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     base = small(stored(counts.select("size", "salt", before.alias("before")), "ranks"))
     rows, _ = plan(histogram, capacity // grid)
     places = F.broadcast(spark.createDataFrame(rows, "_size long, lo long, hi long, sequence long, copies long, slot long"))
-    order = W.partitionBy("size", "salt").orderBy("doc_id", "start", "ids_crc32", "doc_tokens")
+    order = W.partitionBy("size", "salt").orderBy("row")
     ranked = dealt.withColumn("n", F.row_number().over(order)).join(base, ["size", "salt"]).withColumn("rank", F.col("before") + F.col("n") - 1)
     placed = ranked.join(places, F.expr("size = _size and rank >= lo and rank < hi"))
     placed = placed.withColumn("sequence_id", F.expr("sequence + (rank - lo) div copies")).withColumn("place", F.expr("slot + (rank - lo) % copies"))
@@ -237,4 +240,5 @@ def pack(docs: DataFrame, path: str | None = None, pattern: str | None = None, c
         import public_tokenizers
 
         path, pattern = path or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN
-    return packed(stored(pieces(docs, path, pattern, capacity), "pieces"), capacity)
+    cut = pieces(docs, path, pattern, capacity).withColumn("row", F.monotonically_increasing_id())
+    return packed(stored(cut, "pieces"), capacity)
