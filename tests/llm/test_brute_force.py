@@ -598,22 +598,24 @@ def mixture_by_hand(text: str, table, hashes) -> list[float]:
             logs = [x + float(row[gram]) for x, row in zip(logs, table, strict=True)]
         segments.append([math.exp(max(x - max(logs), -200)) for x in logs])
 
-    def em(active, rounds):
-        share = [a / sum(active) for a in active]
-        for _ in range(rounds):
-            new = [0.0] * len(share)
+    def em(active):
+        share, last = [a / sum(active) for a in active], -math.inf
+        while True:
+            level = sum(math.log(max(sum(x * p for x, p in zip(s, share, strict=True)), 1e-300)) for s in segments)
+            if level - last < lang_mix.TOLERANCE:
+                return share, level
+            new, last = [0.0] * len(share), level
             for s in segments:
                 r = [x * p for x, p in zip(s, share, strict=True)]
                 new = [n + x / sum(r) for n, x in zip(new, r, strict=True)]
             share = [n / len(segments) for n in new]
-        return share, sum(math.log(max(sum(x * p for x, p in zip(s, share, strict=True)), 1e-300)) for s in segments)
 
     active = [1] * len(table)
-    share, level = em(active, 12)
+    share, level = em(active)
     for _ in range(len(table) - 1):
         rarest = min((k for k in range(len(table)) if active[k]), key=lambda k: share[k])
         fewer = [0 if k == rarest else a for k, a in enumerate(active)]
-        share_, level_ = em(fewer, 6) if sum(fewer) else (share, -math.inf)
+        share_, level_ = em(fewer) if sum(fewer) else (share, -math.inf)
         if level_ + lang_mix.PENALTY * math.log(len(segments) + 1) < level:
             break
         active, share, level = fewer, share_, level_
@@ -637,6 +639,31 @@ def test_language_mixtures_against_plain_steps(spark):
         assert got["lang_pred"] == names[best] and abs(got["score"] - share[best]) < 1e-4
 
 
+def test_em_goes_on_to_its_tolerance_for_each_document_by_itself(spark):
+    r = np.random.default_rng(3)
+    doc = np.repeat(np.arange(4), [1, 400, 0, 30])
+    like = r.random((len(doc), 3)) ** 2 + 1e-6
+    active = np.array([[1, 1, 1], [1, 1, 0], [1, 1, 1], [1, 1, 1]], bool)
+    share, level = lang_mix.proportions(like, doc, active)
+    assert level[2] == 0 and share[1, 2] == 0
+    for k in (0, 1, 3):
+        alone = lang_mix.proportions(like[doc == k], np.zeros((doc == k).sum(), int), active[k : k + 1])
+        assert np.allclose(alone[0][0], share[k], atol=1e-12) and np.isclose(alone[1][0], level[k])
+        step = (like[doc == k] * share[k]) / (like[doc == k] * share[k]).sum(1, keepdims=True)
+        assert np.log((like[doc == k] * step.mean(0)).sum(1)).sum() - level[k] < lang_mix.TOLERANCE
+    chosen = lang_mix.mixtures(like, doc, 4)
+    assert np.allclose(chosen[[0, 1, 3]].sum(1), 1)
+    one = lang_mix.mixtures(np.ones((5, 1)), np.zeros(5, int), 1)
+    assert one.tolist() == [[1.0]]
+
+
+def test_the_number_of_languages_is_bounded_by_an_error(spark):
+    docs = spark.createDataFrame([(k, "some text", f"l{k % 4}") for k in range(20)], "doc_id long, text string, lang string")
+    assert len(lang_mix.fit(docs, most=4)[0]) == 4
+    with pytest.raises(ValueError, match="different languages"):
+        lang_mix.fit(docs, most=3)
+
+
 def test_a_hot_key_is_split(spark):
     # with broadcasts off: a star with a third of all edges, and a group with a third of all rows
     settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false",

@@ -5,7 +5,9 @@ labelled rows outside the held-out fold; a model is languages x ``GRAMS`` number
 large the corpus. A text is cut into segments of ``SEGMENT`` bytes; a segment's likelihood
 under a language is that of its grams, and EM finds the document's language proportions.
 Then languages are dropped, rarest first, for as long as the likelihood penalised by
-``PENALTY`` x log(segments) for each language does not fall.
+``PENALTY`` x log(segments) for each language does not fall. Likelihoods are compared after EM has
+come to the same ``TOLERANCE`` with each set. More than ``LANGUAGES`` different labels are an error:
+the model, which the driver and each worker hold, would have no bound.
 
 Results: one row per row. A text that is null or empty or has no letters gets ``und`` with score
 0, as does everything when there is no labelled row. A text of any length is read whole. The
@@ -29,6 +31,8 @@ from . import textops
 GRAMS = 1 << 16
 SEGMENT = 48
 PENALTY = 2.0
+TOLERANCE = 0.01  # of a log likelihood, against a penalty of 1.4 and more
+LANGUAGES = 500  # at most: 131 MB of model
 _HASH = [np.uint32(x) for x in (2654435761, 2246822519, 3266489917, 668265263)]
 
 
@@ -67,8 +71,10 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), pa.array(at), pa.array(row[at])], ["lang", "gram", "n"])
 
 
-def fit(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
+def fit(labelled: DataFrame, most: int = LANGUAGES) -> tuple[list[str], np.ndarray]:
     """Languages in order, and log probabilities (languages, GRAMS), from (lang, text)."""
+    if labelled.where("lang is not null").select("lang").distinct().limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} different languages among the labelled rows")
     counts = labelled.select("lang", "text").where("lang is not null and text is not null").mapInArrow(_count, "lang string, gram long, n long")
     rows = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()  # languages x GRAMS at most
     names = sorted(rows["lang"].unique())
@@ -79,18 +85,28 @@ def fit(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     return names, np.log((table + smooth) / (table.sum(1, keepdims=True) + smooth.sum())).astype(np.float32) if names else np.zeros((0, GRAMS), np.float32)
 
 
-def proportions(like: np.ndarray, doc: np.ndarray, active: np.ndarray, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
-    """EM for each document: (documents, languages) proportions and log likelihoods.
+def proportions(like: np.ndarray, doc: np.ndarray, active: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """EM for each document, until a round adds less than ``TOLERANCE`` to its log likelihood:
+    (documents, languages) proportions and log likelihoods.
     like: (segments, languages) likelihoods, the best of a segment 1; doc: sorted."""
     n, langs = active.shape
     share = active / np.maximum(active.sum(1, keepdims=True), 1)
-    size = np.bincount(doc, minlength=n)[:, None]
-    for _ in range(rounds):
+    size = np.bincount(doc, minlength=n)
+    level = np.where(size > 0, -np.inf, 0.0)
+    while len(doc):
         r = like * share[doc]
-        r /= np.maximum(r.sum(1, keepdims=True), 1e-300)
-        share = np.stack([np.bincount(doc, r[:, k], n) for k in range(langs)], 1) / np.maximum(size, 1)
-    fit_ = np.log(np.maximum((like * share[doc]).sum(1), 1e-300))
-    return share, np.bincount(doc, fit_, n)
+        total = np.maximum(r.sum(1), 1e-300)
+        here = np.zeros(n, bool)
+        here[doc] = True
+        now = np.where(here, np.bincount(doc, np.log(total), n), level)
+        moving = here & ~(now - level < TOLERANCE)
+        level = now
+        rows = moving[doc]
+        if not rows.all():  # a document stops by itself, whatever is beside it
+            like, doc, r, total = like[rows], doc[rows], r[rows], total[rows]
+        r /= total[:, None]
+        share[moving] = np.stack([np.bincount(doc, r[:, k], n) for k in range(langs)], 1)[moving] / size[moving, None]
+    return share, level
 
 
 def mixtures(like: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
@@ -99,15 +115,17 @@ def mixtures(like: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     active = np.ones((n, langs), bool)
     share, level = proportions(like, doc, active)
     price = PENALTY * np.log(np.bincount(doc, minlength=n) + 1.0)
+    trying = np.full(n, langs > 1)
     for _ in range(langs - 1):
         rarest = np.where(active, share, np.inf).argmin(1)
         fewer = active.copy()
         fewer[np.arange(n), rarest] = False
-        share_, level_ = proportions(like, doc, fewer, 6)
-        better = (level_ + price >= level) & (active.sum(1) > 1)
-        if not better.any():
+        rows = trying[doc]
+        share_, level_ = proportions(like[rows], doc[rows], fewer)
+        trying &= level_ + price >= level
+        if not trying.any():
             break
-        active[better], share[better], level[better] = fewer[better], share_[better], level_[better]
+        active[trying], share[trying], level[trying] = fewer[trying], share_[trying], level_[trying]
     return share
 
 
