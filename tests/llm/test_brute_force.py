@@ -420,6 +420,12 @@ def test_ngram_join_with_repeated_ids(spark):
     assert [i for i, _ in left] == [1, 1, 4, 6] and {x for i, x in left if i == 1} == {a, b}
 
 
+def test_of_equal_rows_the_least_by_all_columns_stays(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    docs = spark.createDataFrame([(1, text, "en", "s", k) for k in (3, 1, 2)] + [(2, text + " end", "en", "s", 9)], DOCS)
+    assert [(x["doc_id"], x["n_chars"]) for x in ngram_join.one_of_each_class(docs.repartition(3)).collect()] == [(1, 1)]
+
+
 def test_ngram_join_goes_on_until_the_recall_is_met(spark):
     r = random.Random(32)
     rows = []

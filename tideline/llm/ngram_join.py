@@ -232,7 +232,8 @@ def _linked(docs: DataFrame, n: int, threshold: float, recall: float, screen: fl
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.col("text").cast("string").alias("text"))
     signed = stored(ids.mapInArrow(_signer(n), "doc_id long, h long, words binary, signature binary"), "signed")
     some = signed.where("words is not null and doc_id is not null")
-    copies = some.groupBy("words", "signature").agg(F.min("doc_id").alias("first"), F.min_by("h", "doc_id").alias("h"), F.count("*").alias("copies"))
+    copies = some.groupBy("words", "signature").agg(F.min(F.struct(F.col("doc_id").alias("first"), "h")).alias("least"), F.count("*").alias("copies"))
+    copies = copies.select("words", "signature", "least.first", "least.h", "copies")
     reps = stored(copies.withColumn("rep", F.monotonically_increasing_id()), "reps")
     near = components(candidate_pairs(reps.select("rep", "signature"), threshold, recall, screen))
     near = stored(near.join(reps.select("rep", "first", "h", "copies"), F.col("node") == F.col("rep")).select("rep", "component", "first", "h", "copies"), "near")
@@ -242,11 +243,15 @@ def _linked(docs: DataFrame, n: int, threshold: float, recall: float, screen: fl
     classes = components(links.select(F.col("rep").alias("u"), F.col("root").alias("v")))
     counted = links.groupBy("rep").agg(F.sum("n").alias("n")).where("n > 0")
     members = stored(classes.join(counted, F.col("node") == F.col("rep")).join(near.select("rep", "first", "h"), "rep").select("rep", "component", "n", "first", "h"), "members")
-    named = members.groupBy("component").agg(F.min("first").alias("class_id"), F.min_by("h", "first").alias("class_h"))
-    placed = members.join(stored(named, "classes"), "component").select("rep", "n", "class_id", "class_h")
+    named = members.groupBy("component").agg(F.min(F.struct(F.col("first").alias("class_id"), F.col("h").alias("class_h"))).alias("least")).select("component", "least.*")
+    classes_ = stored(named, "classes")
+    placed = members.join(classes_, "component").select("rep", "n", "class_id", "class_h")
     known = reps.join(placed, "rep", "left").where("n is not null or copies > 1")
     links_ = (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links")
-    return signed, stored(known.select("words", links_, F.coalesce("class_id", "first").alias("class_id"), F.coalesce("class_h", "h").alias("class_h")), "known")
+    known = stored(known.select("words", links_, F.coalesce("class_id", "first").alias("class_id"), F.coalesce("class_h", "h").alias("class_h")), "known")
+    for old in (reps, near, links, members, classes_):
+        removed(old)
+    return signed, known
 
 
 def _told(signed: DataFrame, known: DataFrame) -> DataFrame:
@@ -270,7 +275,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, reca
 def one_of_each_class(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.998, screen: float | None = None) -> DataFrame:
     """``docs`` without the rows that another one of their class stands for: of each class one
     row of the smallest doc_id stays. A row is told by doc_id and text, so that rows of one
-    doc_id with different texts are judged apart; of rows with both the same one stays. Rows
+    doc_id with different texts are judged apart; of rows with both the least by all columns stays. Rows
     that link with nothing stay (no words, no doc_id, or no copy). Columns are kept."""
     told = stored(_told(*_linked(docs, n, threshold, recall, screen)).where("class_id is not null"), "told")
     stands = (F.col("doc_id") == F.col("class_id")) & (F.col("h") == F.col("class_h"))
@@ -280,6 +285,8 @@ def one_of_each_class(docs: DataFrame, n: int = 5, threshold: float = 0.8, recal
     same = (F.col(name_of(docs, "doc_id")).cast("long") == F.col("_id")) & (F.xxhash64(name_of(docs, "text")) == F.col("_h"))
     left = rows.join(small(gone), same, "left_anti")
     if again.count():
-        repeated = left.join(small(again), same).drop("_id", "_h").dropDuplicates([name_of(docs, "doc_id"), name_of(docs, "text")])
+        # the least by all columns, so that a task that runs again keeps the same row
+        of_one = left.join(small(again), same).groupBy(name_of(docs, "doc_id"), name_of(docs, "text")).agg(F.min_by(F.struct(*left.columns), F.to_json(F.struct(*left.columns))).alias("row"))
+        repeated = of_one.select("row.*")
         left = left.join(small(again), same, "left_anti").unionByName(repeated)
     return restored(left, docs)

@@ -345,19 +345,21 @@ def signalled(docs: DataFrame) -> tuple[DataFrame, Model | None]:
     shards = max(LEAST_SHARDS, size // SHARD_BYTES)
     rows = docs.select("doc_id", "text", F.coalesce(F.col("toxic").cast("long"), F.lit(-1)).alias("toxic"), *_hashes("text"))
     name, path = _bucketed(rows, size)
-    blocks = spark.table(name)
-    asked = blocks.mapInArrow(_asking(shards), "block long, shard long, data binary")
-    results = stored(asked.groupBy("shard").applyInArrow(_shard, RESULT), "answers")
-    words = results.where("word is not null").groupBy("word").agg(*(F.sum(c).alias(c) for c in COUNTS))
-    words = stored(words.mapInArrow(_sharded(shards), f"word long, {', '.join(f'{c} long' for c in COUNTS)}, shard long"), "words")
-    met = lambda c: F.count(F.when(F.col(c) > 0, 1))
-    n1, n0, n, types1, types0, known = (x or 0 for x in words.agg(*(F.sum(c) for c in COUNTS[:3]), met("c1"), met("c0"), met("c")).first())
-    model = Model((n1, n0, n), (types1, types0), known)
-    of_words = results.where("shard < 0").select("block", "shard", "data").groupBy("shard").cogroup(words.groupBy("shard")).applyInArrow(_answer, ANSWER)
-    answers = results.where("shard >= 0").select("block", "shard", "data").unionByName(of_words)
-    schema = f"doc_id {kind}, h long, h2 long, {', '.join(f'{x} double' for x in SIGNALS)}"
-    found = stored(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_told(shards, model), schema), "signals")
-    spark.sql(f"DROP TABLE {name}")
+    try:
+        blocks = spark.table(name)
+        asked = blocks.mapInArrow(_asking(shards), "block long, shard long, data binary")
+        results = stored(asked.groupBy("shard").applyInArrow(_shard, RESULT), "answers")
+        words = results.where("word is not null").groupBy("word").agg(*(F.sum(c).alias(c) for c in COUNTS))
+        words = stored(words.mapInArrow(_sharded(shards), f"word long, {', '.join(f'{c} long' for c in COUNTS)}, shard long"), "words")
+        met = lambda c: F.count(F.when(F.col(c) > 0, 1))
+        n1, n0, n, types1, types0, known = (x or 0 for x in words.agg(*(F.sum(c) for c in COUNTS[:3]), met("c1"), met("c0"), met("c")).first())
+        model = Model((n1, n0, n), (types1, types0), known)
+        of_words = results.where("shard < 0").select("block", "shard", "data").groupBy("shard").cogroup(words.groupBy("shard")).applyInArrow(_answer, ANSWER)
+        answers = results.where("shard >= 0").select("block", "shard", "data").unionByName(of_words)
+        schema = f"doc_id {kind}, h long, h2 long, {', '.join(f'{x} double' for x in SIGNALS)}"
+        found = stored(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_told(shards, model), schema), "signals")
+    finally:  # a failed run leaves nothing in the catalog
+        spark.sql(f"DROP TABLE {name}")
     blocks.stored_at = path
     for old in (blocks, results, words):
         removed(old)
@@ -403,7 +405,7 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     folds 0 and 1 are counted, fold 3 (``CALIBRATION_ROWS`` rows of it at most, in order of a
     hash of the text) sets the curve, fold 2 is held out."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    known = small(known.where(fold(F.col("doc_id")) != 2).withColumnRenamed("doc_id", "_id"))
+    known = small(stored(known.where(fold(F.col("doc_id")) != 2).withColumnRenamed("doc_id", "_id"), "labels"))
     rows = docs.select("doc_id", "text").join(known, F.col("doc_id") == F.col("_id"), "left")
     found, model = signalled(rows.select("doc_id", "text", F.when(fold(F.col("doc_id")).isin(0, 1), F.col("toxic")).alias("toxic")))
     if model is None:
