@@ -426,6 +426,42 @@ def test_of_equal_rows_the_least_by_all_columns_stays(spark):
     assert [(x["doc_id"], x["n_chars"]) for x in ngram_join.one_of_each_class(docs.repartition(3)).collect()] == [(1, 1)]
 
 
+def test_coded_shingle_sets_verify_like_whole_ones():
+    random = np.random.default_rng(3)
+    base = random.integers(0, 400, 900)
+    texts = []
+    for k in range(40):
+        words = base.copy()
+        words[random.integers(0, 900, k)] = 1000 + k
+        texts.append(" ".join(map(str, words)))
+    texts += ["nothing in common with the first text", "nothing in common with the first text at all", "one", texts[0] * 30]
+    n = len(texts)
+    sets = [set(x.tolist()) for x in textops.shingle_sets(pa.array(texts))]
+    rows = [pa.array(np.arange(n)), pa.array(np.zeros(n, np.int64)), pa.array(texts), pa.array([texts[0]] * n)]
+    coded = pa.Table.from_batches(ngram_join._coded(5)([pa.RecordBatch.from_arrays(rows, ["rep", "component", "text", "base"])]))
+    size = [len(a) + len(b) for a, b in zip(coded["bits"].to_pylist(), coded["rest"].to_pylist())]
+    assert sum(size[:10]) < 0.15 * sum(map(len, texts[:10]))
+    more = {"component": pa.array(np.zeros(n, np.int64)), "copies": pa.array(np.ones(n, np.int64))}
+    for parted in (0, 17):  # a block with itself, two blocks
+        side = np.repeat([0, 1], [n - parted, parted])
+        unit = pa.table({**{c: coded[c].combine_chunks() for c in ("rep", "bits", "rest")}, **more, "side": pa.array(side)})
+        got = ngram_join._verify(0.8)(unit, [(0, n)])
+        for i in range(n):
+            met = [j for j in range(n) if j != i and (not parted or side[i] != side[j])]
+            assert got["n"][i].as_py() == sum(len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) for j in met)
+
+
+def test_units_of_one_hash_are_told_apart():
+    """Two components that meet in one unit have masks of different lengths."""
+    texts = ["a b c d e f", "a b c d e f", "u v w x y z " * 9, "u v w x y z " * 9]
+    of = [0, 0, 2, 2]
+    rows = [pa.array([0, 1, 2, 3]), pa.array(of), pa.array(texts), pa.array([texts[k] for k in of])]
+    coded = pa.Table.from_batches(ngram_join._coded(5)([pa.RecordBatch.from_arrays(rows, ["rep", "component", "text", "base"])]))
+    unit = coded.append_column("component", pa.array(of)).append_column("copies", pa.array([1] * 4)).append_column("side", pa.array([0] * 4))
+    got = ngram_join._verify(0.8)(unit, [(0, 4)])
+    assert sorted(zip(got["rep"].to_pylist(), got["n"].to_pylist(), got["root"].to_pylist())) == [(0, 1, 0), (1, 1, 0), (2, 1, 2), (3, 1, 2)]
+
+
 def test_ngram_join_goes_on_until_the_recall_is_met(spark):
     r = random.Random(32)
     rows = []

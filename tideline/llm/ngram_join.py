@@ -15,7 +15,10 @@
    (128 values: a pair at the threshold fails this once in about 10^7). What remains of a
    group is passed on as a spanning forest, so that rows grow with texts, not with pairs.
 4. Within each component, all pairs are verified on whole shingle sets (64-bit hashes) in
-   blocks; links are counted, and the links' own components are the classes.
+   blocks; links are counted, and the links' own components are the classes. What travels to
+   the blocks is not a text but its set as a difference from the component's first one (a bit
+   for each hash of that, and the other hashes), since a member of a group of m texts goes to
+   m / ``VERIFIED`` of them.
 
 Results: one row per row of the input. ``class_id`` is the smallest doc_id that links of
 similarity >= threshold reach, ``n_links`` the number of other rows linked directly, copies
@@ -155,32 +158,67 @@ def _recall(agree: dict[int, int], depth: int, threshold: float) -> float:
     return 1 - (1 - least**depth) ** TREES
 
 
-def _verify(n: int, threshold: float):
+def _coded(n: int):
+    """Each text's shingle set as its difference from the set of its component's first text: a
+    bit for each hash of that set, in their order, and the hashes that are not in it."""
+
+    def code(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, VERIFIED):  # sets of so many texts at once
+                rows = batch.slice(low, VERIFIED)
+                of = rows.column(1).to_numpy()
+                begin = np.flatnonzero(np.diff(of, prepend=-1))
+                bases = textops.shingle_sets(rows.column(3).take(pa.array(begin)), n)
+                bits, rest = [], []
+                for own, k in zip(textops.shingle_sets(rows.column(2), n), np.repeat(np.arange(len(begin)), np.diff(begin, append=len(of))), strict=True):
+                    at = np.searchsorted(bases[k], own)
+                    has = bases[k][np.minimum(at, len(bases[k]) - 1)] == own
+                    mask = np.zeros(len(bases[k]), bool)
+                    mask[at[has]] = True
+                    bits.append(np.packbits(mask).tobytes())
+                    rest.append(own[~has].tobytes())
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(bits, pa.binary()), pa.array(rest, pa.binary())], ["rep", "bits", "rest"])
+
+    return code
+
+
+def _verify(threshold: float):
     """Exact links within each unit: rep, its linked documents there, and a linked root."""
 
     def work(rows: pa.Table, bounds: list[tuple[int, int]]) -> pa.Table:
-        rep, side, copies = (rows[c].to_numpy() for c in ("rep", "side", "copies"))
+        rep, side, copies, component = (rows[c].to_numpy() for c in ("rep", "side", "copies", "component"))
+        bits, rest = (np.array(rows[c].to_pylist(), object) for c in ("bits", "rest"))
         out_rep, out_n, out_root = [], [], []
         for i, j in bounds:
-            sets = textops.shingle_sets(rows["text"].slice(i, j - i), n)
-            mid = i + int(np.searchsorted(side[i:j], 1))
-            size = np.array([len(x) for x in sets], np.int64)
-            shared = _shared(sets)
-            linked = shared >= threshold * (size[:, None] + size[None, :] - shared) - 1e-9
-            np.fill_diagonal(linked, False)
-            if mid < j:
-                linked[: mid - i, : mid - i] = False
-                linked[mid - i :, mid - i :] = False
-            root = roots(linked)
-            # a unit of two blocks shows only links across them
-            out_rep.append(rep[i:j])
-            out_n.append(linked @ copies[i:j])
-            out_root.append(rep[i + root])
+            for of in np.unique(component[i:j]):  # one, but where two units have one hash
+                own = i + np.flatnonzero(component[i:j] == of)
+                mid = int(np.searchsorted(side[own], 1))
+                shared = _shared_bits(bits[own]) + _shared([np.frombuffer(x, np.uint64) for x in rest[own]])
+                size = shared.diagonal()
+                linked = shared >= threshold * (size[:, None] + size[None, :] - shared) - 1e-9
+                np.fill_diagonal(linked, False)
+                if mid < len(own):
+                    linked[:mid, :mid] = False
+                    linked[mid:, mid:] = False
+                # a unit of two blocks shows only links across them
+                out_rep.append(rep[own])
+                out_n.append(linked @ copies[own])
+                out_root.append(rep[own[roots(linked)]])
         return pa.table({"rep": np.concatenate(out_rep), "n": np.concatenate(out_n).astype(np.int64), "root": np.concatenate(out_root)})
 
     return work
 
 
+def _shared_bits(rows: Iterable[bytes]) -> np.ndarray:
+    """How many bits each two rows of equal length have in common."""
+    packed = np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -1)
+    out = np.zeros((len(rows), len(rows)))
+    for low in range(0, packed.shape[1], 512):
+        hot = np.unpackbits(packed[:, low : low + 512], axis=1).astype(np.float32)
+        out += hot @ hot.T
+    return np.rint(out).astype(np.int64)
+
+
 def _shared(sets: list[np.ndarray]) -> np.ndarray:
     """How many values each two sets have in common."""
     m = len(sets)
@@ -237,9 +275,14 @@ def _linked(docs: DataFrame, n: int, threshold: float, recall: float, screen: fl
     reps = stored(copies.withColumn("rep", F.monotonically_increasing_id()), "reps")
     near = components(candidate_pairs(reps.select("rep", "signature"), threshold, recall, screen))
     near = stored(near.join(reps.select("rep", "first", "h", "copies"), F.col("node") == F.col("rep")).select("rep", "component", "first", "h", "copies"), "near")
-    texts = ids.withColumnRenamed("doc_id", "first").join(small(near.select("rep", "first", "h")), ["first", "h"]).select("rep", "text").dropDuplicates(["rep"])
-    met = units(near.select("rep", "component", "copies"), ["component"], "rep", VERIFIED).join(texts, "rep")
-    links = stored(map_units(met, _verify(n, threshold), "rep long, n long, root long"), "links")
+    texts = ids.withColumnRenamed("doc_id", "first").join(small(near.select("rep", "component", "first", "h")), ["first", "h"])
+    bases = stored(texts.where("rep = component").dropDuplicates(["component"]).select("component", F.col("text").alias("base")), "bases")
+    sets = texts.join(bases, "component").select("rep", "component", "text", "base").mapInArrow(_coded(n), "rep long, bits binary, rest binary")
+    coded = stored(sets.dropDuplicates(["rep"]), "coded")
+    removed(bases)
+    met = units(near.select("rep", "component", "copies"), ["component"], "rep", VERIFIED).join(coded, "rep")
+    links = stored(map_units(met, _verify(threshold), "rep long, n long, root long"), "links")
+    removed(coded)
     classes = components(links.select(F.col("rep").alias("u"), F.col("root").alias("v")))
     counted = links.groupBy("rep").agg(F.sum("n").alias("n")).where("n > 0")
     members = stored(classes.join(counted, F.col("node") == F.col("rep")).join(near.select("rep", "first", "h"), "rep").select("rep", "component", "n", "first", "h"), "members")
