@@ -174,6 +174,15 @@ def test_ablation_grid(spark, monkeypatch):  # L8
     assert (grid[grid["features"] == "full"]["loss"].abs() < 1e-12).all()
 
 
+@given
+@pytest.mark.parametrize("name", models.ALGORITHMS)
+def test_scores_are_read_after_the_model_table_is_gone(spark, monkeypatch, name):  # L3, L4, L5
+    monkeypatch.setattr(models.fitted, "__defaults__", ({"forest": {"trees": 3, "depth": 3}, "boosting": {"rounds": 1, "depth": 2, "rate": 0.2}}, 7))
+    out = models.one_model(spark, SF, name)
+    assert out.columns == ["user_id", "day", "y", "p"]
+    assert out.count() == models.parts(models.model_table(spark, SF))[2].count() > 0
+
+
 @given
 def test_leak_by_split(spark):  # L13
     leak = models.l13(spark, SF).toPandas()
