@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from tideline.operators import dims, fit, metrics
+from tideline.operators.watch import Watch
 from tideline.plans import models
 
 SF = "/root/testdata/sf0.001"
@@ -235,6 +236,27 @@ def test_a_planted_signal_is_found_and_a_permuted_one_is_not(spark, name):  # L4
     assert found[0] - alone > 0.15  # the block that holds the signal is missed
 
 
+@pytest.mark.parametrize("name", models.ALGORITHMS)
+def test_models_score_in_a_session_that_has_observed(spark, name):  # L8, L17, R8
+    seen = Watch()
+    assert seen.rows(spark.range(7), "all").count() == 7 and seen.counts() == {"all": 7}
+    t = planted(spark, 300, 7, 2.0)
+    assert fit.scored(models.fitted(name, t, ["a", "b"], SIZES), t, ["a", "b"]).where("p between 0 and 1").count() == 300
+
+
+def test_regressions_at_once_equal_single_ones(spark, frame):  # L9, L10, L13
+    rare = models.F.when(models.F.col("g") % 2 == 0, models.F.col("y")).otherwise(0)
+    fits = {"all": (["a", "b"], models.F.col("y"), models.F.lit(True)), "some": (["b"], rare, models.F.col("g") < 20), "none": (["a"], models.F.lit(0), models.F.lit(True))}
+    got = fit.fit_logistics(frame, fits)
+    for name in ("all", "some"):
+        columns, label, rows = fits[name]
+        one = fit.fit_logistic(frame.where(rows).withColumn("y", label), columns)
+        assert np.allclose(got[name].coefficients, one.coefficients, atol=1e-9) and abs(got[name].intercept - one.intercept) < 1e-9
+    assert list(got["none"].coefficients) == [0.0] and fit.scored(got["none"], frame, ["a"]).where("p = 0").count() == frame.count()
+    with pytest.raises(ValueError, match="no rows"):
+        fit.fit_logistic(frame.limit(0), ["a"])
+
+
 def pooled(s, y):
     """Pool adjacent violators: the isotonic values at the sorted distinct scores."""
     at = np.unique(s)
