@@ -257,6 +257,30 @@ def test_regressions_at_once_equal_single_ones(spark, frame):  # L9, L10, L13
         fit.fit_logistic(frame.limit(0), ["a"])
 
 
+def test_a_ranking_is_both_measures(spark):
+    r = np.random.default_rng(8)
+    df = spark.createDataFrame([(int(k % 3), float(np.round(a, 2)), int(b)) for k, (a, b) in enumerate(zip(r.random(300), r.random(300) < 0.3, strict=True))], "g int, p double, y int")
+    one = {x["g"]: x for x in metrics.ranking(df, "p", "y", ["g"]).collect()}
+    area = {x["g"]: x for x in metrics.auc(df, "p", "y", ["g"]).collect()}
+    ap = {x["g"]: x["ap"] for x in metrics.average_precision(df, "p", "y", ["g"]).collect()}
+    for g in range(3):
+        assert (one[g]["auc"], one[g]["positives"], one[g]["n"]) == (area[g]["auc"], area[g]["positives"], area[g]["n"]) and one[g]["ap"] == pytest.approx(ap[g], abs=1e-12)
+
+
+@given
+def test_a_grid_of_regressions_shares_its_passes(spark, monkeypatch):  # L9
+    passes, sums = [], fit._class_sums
+    monkeypatch.setattr(fit, "_class_sums", lambda used, fits: passes.append(len(fits)) or sums(used, fits))
+    built, raw = [], models.raw_table
+    monkeypatch.setattr(models, "raw_table", lambda *a: built.append(a) or raw(*a))
+    grid = models.l09(spark, SF).collect()
+    assert len(grid) == 10 and passes[0] == 10 and len(passes) <= 15 and len(built) == 1
+    t = models.model_table(spark, SF)
+    one = models.evaluated(fit.scored(fit.fit_logistic(t.where(models.TRAIN), models.ALL), t.where("season >= 3"), models.ALL)).first()
+    whole = next(r for r in grid if (r["cohort"], r["features"]) == ("all", "full"))
+    assert whole["n"] == one["n"] and whole["auc"] == pytest.approx(one["auc"], abs=1e-6)
+
+
 def pooled(s, y):
     """Pool adjacent violators: the isotonic values at the sorted distinct scores."""
     at = np.unique(s)
