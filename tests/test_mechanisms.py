@@ -260,6 +260,18 @@ def test_replicate_auc_against_repeated_rows(spark, monkeypatch, cells, at_once)
         assert got[rep] == pytest.approx((w[pos][:, None] * w[neg] * over).sum() / (w[pos].sum() * w[neg].sum()), rel=1e-12)
 
 
+def test_weights_of_few_scores_do_not_pass_the_driver(spark, monkeypatch):  # R1, R2
+    r = np.random.default_rng(6)
+    df = spark.createDataFrame([(int(r.integers(0, 40)), float(r.integers(0, 25)) / 7, int(r.random() < 0.3)) for _ in range(900)], "g int, s double, y int")
+    weights = resample.cluster_weights(df.select("g").distinct(), "g", 30, 3)
+    area = lambda: {x["rep"]: x["auc"] for x in replicates.replicate_auc(df, "s", "y", "g", weights, 30).collect()}
+    monkeypatch.setattr(replicates, "AT_ONCE", 100)
+    by_blocks = area()
+    monkeypatch.setattr(replicates, "AT_ONCE", 750)
+    monkeypatch.setattr(replicates, "_matrix", None)  # collects weights
+    assert len(by_blocks) == 30 and area() == pytest.approx(by_blocks, rel=1e-12)
+
+
 def test_replicate_sums_send_a_row_for_each_replicate(spark):
     g = spark.range(500).select(F.col("id").alias("c"), (F.col("id") % 9 + 1).alias("n"), (F.col("id") % 4).alias("k"))
     weights = resample.cluster_weights(g.select("c"), "c", 20, 1)

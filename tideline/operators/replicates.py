@@ -94,11 +94,16 @@ def _slice_sums(sent):
 
 def replicate_auc(scored: DataFrame, score: str, label: str, cluster: str, weights: DataFrame, replicates: int) -> DataFrame:
     """(rep, auc) for replicates 0 to ``replicates`` - 1 of the clusters of ``scored``, by ``weights`` (rep, cluster, w); null where
-    a replicate lacks a class. Weights go to all tasks in blocks of replicates of a bounded size, each of
-    which is one pass over the counts; the counts travel without them."""
+    a replicate lacks a class. Where distinct scores times replicates are at most ``AT_ONCE``, each task adds up its own clusters'
+    weight vectors by score, and no weight passes through the driver. Otherwise weights go to all tasks in blocks
+    of replicates of a bounded size, each of which is one pass over the counts; the counts travel without them."""
     spark = scored.sparkSession
     known = scored.where(F.col(score).isNotNull() & F.col(label).isNotNull() & F.col(cluster).isNotNull())
     counts = known.groupBy(cluster, F.col(score).cast("double").alias("score")).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("k"))
+    few = AT_ONCE // max(1, replicates)
+    values = [r[0] for r in known.select(F.col(score).cast("double")).distinct().limit(few + 1).collect()]
+    if len(values) <= few:
+        return _auc_of_slices(_score_sums(counts, weights, cluster, np.sort(values), replicates))
     numbers = written(_numbered(weights.select(cluster).distinct()), "clusters")
     n = numbers.count()
     cuts = cut_points(known, F.col(score).cast("double"), slices_of(scored))
@@ -115,12 +120,47 @@ def replicate_auc(scored: DataFrame, score: str, label: str, cluster: str, weigh
     for part in parts[1:]:
         sums = sums.unionByName(part)
     one = sums.select("slice", "low", F.posexplode(F.arrays_zip("pairs", "pos", "neg")).alias("at", "x"))
-    one = one.select("slice", (F.col("low") + F.col("at")).cast("long").alias("rep"), "x.*")  # slices x replicates rows
+    return _auc_of_slices(one.select("slice", (F.col("low") + F.col("at")).cast("long").alias("rep"), "x.*"))  # slices x replicates rows
+
+
+def _auc_of_slices(one: DataFrame) -> DataFrame:
+    """(rep, auc) from pairs, positives and negatives by (slice, rep); a higher slice holds higher scores."""
     above = F.coalesce(F.sum("pos").over(W.partitionBy("rep").orderBy(F.desc("slice")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
     joined = one.withColumn("pairs", F.col("pairs") + F.col("neg") * above)
     return joined.groupBy("rep").agg(F.try_divide(F.sum("pairs"), F.sum("pos") * F.sum("neg")).alias("auc"))
 
 
+def _score_sums(counts: DataFrame, weights: DataFrame, cluster: str, values: np.ndarray, replicates: int) -> DataFrame:
+    """(slice, rep, pairs, pos, neg) with a slice for each of the few ``values``, in rising order."""
+    own = counts.groupBy(cluster).agg(F.collect_list(F.struct("score", "n", "k")).alias("rows"))
+    met = own.join(weight_vectors(weights, cluster), cluster).select("rows", "weights")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, len(values), replicates))
+        step = max(1, AT_ONCE // max(1, replicates, len(values)))
+        for whole in batches:
+            for low in range(0, whole.num_rows, step):
+                batch = whole.slice(low, step)
+                rows, drawn = batch.column("rows"), batch.column("weights")
+                of, by = (np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(x.offsets))) for x in (rows, drawn))
+                row, one = rows.flatten(), drawn.flatten()
+                rep = one.field("rep").to_numpy()
+                ok = rep < replicates
+                w = np.zeros((batch.num_rows, replicates))
+                w[by[ok], rep[ok]] = one.field("w").to_numpy()[ok]
+                at, k = np.searchsorted(values, row.field("score").to_numpy()), row.field("k").to_numpy()
+                for side, number in enumerate((k, row.field("n").to_numpy() - k)):
+                    table = np.zeros((len(values), batch.num_rows))
+                    table[at, of] = number
+                    total[side] += table @ w
+        for at in np.flatnonzero(total.any((0, 2))):
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), *(pa.array([x[at].tolist()], pa.list_(pa.float64())) for x in total)], ["slice", "pos", "neg"])
+
+    sums = met.mapInArrow(run, "slice int, pos array<double>, neg array<double>").select("slice", F.posexplode(F.arrays_zip("pos", "neg")).alias("rep", "x"))
+    sums = sums.groupBy("slice", F.col("rep").cast("long").alias("rep")).agg(F.sum("x.pos").alias("pos"), F.sum("x.neg").alias("neg"))
+    return sums.withColumn("pairs", F.col("pos") * F.col("neg") / 2)
+
+
 def _numbered(clusters: DataFrame) -> DataFrame:
     """Clusters with ``_i``: 0, 1, ... in no order that matters."""
     rows = written(clusters.withColumn("_id", F.monotonically_increasing_id()), "ids")
