@@ -260,6 +260,21 @@ def test_replicate_auc_against_repeated_rows(spark, monkeypatch, cells, at_once)
         assert got[rep] == pytest.approx((w[pos][:, None] * w[neg] * over).sum() / (w[pos].sum() * w[neg].sum()), rel=1e-12)
 
 
+def test_a_two_level_scan_works_its_input_out_once(spark):  # J8
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    df = spark.range(200).selectExpr("id % 3 as g", "id as t").mapInArrow(counted, "g long, t long")
+    twice = df
+    for name in ("a", "b"):
+        twice = sliced.running(twice, ["g"], "t", {name: sliced.Running("count", F.col("t"))}, 8)
+    assert twice.count() == 200 and seen.value == 200
+
+
 def test_weights_of_few_scores_do_not_pass_the_driver(spark, monkeypatch):  # R1, R2
     r = np.random.default_rng(6)
     df = spark.createDataFrame([(int(r.integers(0, 40)), float(r.integers(0, 25)) / 7, int(r.random() < 0.3)) for _ in range(900)], "g int, s double, y int")

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
 from .asof import _day, _tagged
 
 ACCURACY = 100_000
@@ -74,6 +75,7 @@ def running(df: DataFrame, keys: Sequence[str], order: str, values: dict[str, Ru
     times), with the row itself where inclusive. ``ties``: rows of equal order count as one moment: all of
     them are before, or none (``order`` must be numbers then). Null keys are a group, as in a window."""
     keys = list(keys)
+    df = written(df, "running")  # read for the cuts, the totals and the rows; a chain of scans would work it out three times as often with each
     cuts = cut_points(df, F.col(order), slices or slices_of(df))
     cut = df.withColumn("_slice", slice_number(F.col(order), cuts))
     ahead = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
