@@ -2,8 +2,10 @@
 
 import hashlib
 import math
+import pathlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from fractions import Fraction
@@ -326,6 +328,28 @@ def test_toxicity_keeps_rare_bigrams(spark, lanes, monkeypatch):
         assert abs(got[k]["window3"] - max(sum(ratio[i : i + 3]) / min(3, len(own)) for i in range(max(1, len(own) - 2)))) < 1e-9
 
 
+def test_toxicity_in_rounds_leaves_no_shuffle_files(spark, monkeypatch):
+    folder = spark.sparkContext.getConf().get("spark.local.dir")
+    held = lambda: {p: p.stat().st_size for p in pathlib.Path(folder).rglob("shuffle_*.data")}
+    r = np.random.default_rng(6)
+    words = np.array([f"w{k}" for k in range(900)])
+    rows = [(k, " ".join(words[r.integers(0, 900, 300)]), [0, 1, None, None][k % 4]) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(2)
+    whole = {tuple(x) for x in toxicity.signalled(docs)[0].collect()}
+    monkeypatch.setattr(toxicity, "BLOCK_BYTES", 20_000)
+    monkeypatch.setattr(toxicity, "ROUND_BYTES", 100_000, raising=False)
+    time.sleep(1)
+    before = held()
+    found, _ = toxicity.signalled(docs)
+    for _ in range(20):  # files are removed beside the job
+        left = sum(n for p, n in held().items() if p not in before)
+        if not left:
+            break
+        time.sleep(0.5)
+    assert left < 0.2 * sum(len(t) for _, t, _ in rows)  # none of what was asked and answered
+    assert {tuple(x) for x in found.collect()} == whole and len(whole) == len(rows)
+
+
 def test_topics_come_from_all_documents(spark):
     # 7 common topics, and a rare one whose texts have the largest hashes of all
     r = random.Random(12)

@@ -12,13 +12,14 @@ words by their continuation counts, which copies of a text do not raise), so tha
 a very long text are not averaged away. A logistic curve turns the signals into a score; it is
 fitted on rows of another fold than the counts.
 
-All counts are kept, however many there are, and no place holds them all. Texts are dealt into
-blocks of about ``BLOCK_BYTES``, which are written once, compressed and bucketed. A block sends each
-of its different bigrams once, with its own counts in the training rows, to the bigram's shard (a
-hash of both words; a frequent second word is spread over several shards). A shard adds up the
-counts of all blocks and answers each with the sums; what it knows of words goes to a table of
-words, whose shards then answer the blocks' words in the same way. The answers meet the blocks in
-their buckets, so that texts are never shuffled. Words are told by 48 bits of a hash.
+All counts are kept, however many there are, and no place holds them all. Training texts are read
+in blocks of about ``BLOCK_BYTES``; a block sends each of its different bigrams once, with its counts,
+to the bigram's shard (a hash of both words; a frequent second word is spread over several shards).
+A shard adds them up to its part of the model; what it knows of words goes to a table of words, which is sharded
+too. Both parts lie in one bucketed table. Then all texts are dealt into blocks, which are written once, compressed. In rounds, each over some of the
+blocks, a block asks each shard for its different bigrams (64 bits of a hash) and words (48 bits), and meets
+the answers; the model is not shuffled again, and a round's shuffles are removed before the next, so that the largest
+holds no more than its share of what is asked.
 
 Results: one row per row. A text without words (null, empty) has the share of toxic rows
 among the labelled ones as its score; without labelled rows every score is 0. A text of any length
@@ -32,6 +33,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 from uuid import uuid4
 
 import numpy as np
@@ -42,20 +44,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textops
-from .store import carried, name_of, removed, restored, shared_folder, small, stored
+from .store import carried, name_of, removed, restored, shared_folder, small, stored, without_shuffle_files
 
 WINDOWS = (1, 3)
 CALIBRATION_ROWS = 20_000
 BLOCK_ROWS, BLOCK_BYTES = 10_000, 4 << 20  # of texts that are read at once; a longer text is a block of its own
-SHARD_BYTES = 6 << 20  # of texts, for each shard
+SHARD_BYTES, TRAINING_BYTES = 24 << 20, 6 << 20  # of texts and of training texts, for each shard
 LEAST_SHARDS, LANES = 8, 64  # shards at least; shards for each lane of a frequent word
-BUCKETS = (16, 100_000)  # at least and at most
+ROUNDS, ROUND_BYTES = 16, 32 << 20  # rounds at most; of texts in a round at least
+BUCKETS = (16, 100_000)  # of the model, at least and at most
 DISCOUNT = 0.75
 EVEN = 0.5  # of what is backed off to both classes: the part spread evenly over the words
 SIGNALS = ["n", "whole", *(f"window{k}" for k in WINDOWS)]
 COUNTS = ["c1", "c0", "c", "t1", "t0", "d1", "d0"]  # contexts (toxic, ordinary, either), tokens after, words after
 ANSWER = "block long, shard long, data binary"
-RESULT = f"{ANSWER}, word long, {', '.join(f'{x} long' for x in COUNTS)}"
+WORD = f"word long, {', '.join(f'{x} long' for x in COUNTS)}"
 
 
 def fold(doc_id: Column) -> Column:
@@ -88,26 +91,35 @@ def _before(w: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Bigrams:
-    """The different bigrams of a block by shard, w and v; ``cuts``: where each shard begins;
+    """The different bigrams of a block by shard, w and v, and their hash; ``cuts``: where each shard begins;
     ``at``: for each word of the texts the bigram that it ends."""
 
     w: np.ndarray
     v: np.ndarray
+    key: np.ndarray
     shard: np.ndarray
     cuts: np.ndarray
     at: np.ndarray
 
+    def parts(self) -> Iterator[tuple[int, int]]:
+        return zip(self.cuts, [*self.cuts[1:], len(self.w)], strict=True)
 
-def _bigrams(w: np.ndarray, v: np.ndarray, shards: int) -> Bigrams:
-    _, one, at = np.unique(textops.mix(v.view(np.uint64)) ^ w.view(np.uint64), return_index=True, return_inverse=True)
+
+def _key(w: np.ndarray, v: np.ndarray) -> np.ndarray:
+    return textops.mix(textops.mix(v.view(np.uint64)) ^ w.view(np.uint64))
+
+
+def _bigrams(w: np.ndarray, v: np.ndarray, shards: int, by_key: bool = True) -> Bigrams:
+    """In a shard, in order of the hash or of the words."""
+    key, one, at = np.unique(_key(w, v), return_index=True, return_inverse=True)
     w, v = w[one], v[one]
     lane = textops.mix(v.view(np.uint64) + np.uint64(77)) % np.uint64(max(1, shards // LANES))
     shard = (textops.mix(textops.mix(w.view(np.uint64)) + lane) % np.uint64(shards)).astype(np.int64)
-    order = np.lexsort((v, w, shard))
+    order = np.argsort(shard, kind="stable") if by_key else np.lexsort((v, w, shard))
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
     shard = shard[order]
-    return Bigrams(w[order], v[order], shard, np.flatnonzero(np.diff(shard, prepend=-1)), place[at])
+    return Bigrams(w[order], v[order], key[order], shard, np.flatnonzero(np.diff(shard, prepend=-1)), place[at])
 
 
 def _six(x: np.ndarray) -> bytes:
@@ -121,6 +133,24 @@ def _of_six(b: bytes) -> np.ndarray:
     return out.view("<i8").ravel()
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers of 64 bits, first the lowest bytes of all, so that high bytes of small ones compress to nothing."""
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _of_planes(b: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+
+
+def _gaps(x: np.ndarray) -> bytes:
+    """Sorted numbers as differences."""
+    return _planes(np.diff(x.view(np.uint64), prepend=np.uint64(0)))
+
+
+def _of_gaps(b: bytes) -> np.ndarray:
+    return np.cumsum(_of_planes(b), dtype=np.uint64)
+
+
 def _packed(*parts: bytes) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(b"".join([np.array([len(parts), *map(len, parts)], "<i8").tobytes(), *parts]))
 
@@ -132,19 +162,31 @@ def _unpacked(b: bytes) -> list[bytes]:
     return [b[a:z] for a, z in zip([8 * (n + 1), *ends[:-1]], ends, strict=True)]
 
 
-def _dealt(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each block of texts: a number, and the rows as a compressed Arrow stream."""
-    for batch in batches:
-        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-        at = 0
-        while at < batch.num_rows:
-            end = int(np.searchsorted(size, (size[at - 1] if at else 0) + BLOCK_BYTES, "right"))
-            end = min(max(end, at + 1), at + BLOCK_ROWS, batch.num_rows)
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                out.write_batch(batch.slice(at, end - at))
-            yield pa.RecordBatch.from_arrays([pa.array([uuid4().int >> 65]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "rows"])
-            at = end
+def _cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The blocks of a batch."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        end = int(np.searchsorted(size, (size[at - 1] if at else 0) + BLOCK_BYTES, "right"))
+        end = min(max(end, at + 1), at + BLOCK_ROWS, batch.num_rows)
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def _dealt(rounds: int):
+    """A row for each block of texts: its round, a number, and the rows as a compressed Arrow stream."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = uuid4().int
+        for batch in batches:
+            for part in _cut(batch):
+                own += 1
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_batch(part)
+                yield pa.RecordBatch.from_arrays([pa.array([own % rounds], pa.int32()), pa.array([uuid4().int >> 65]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["round", "block", "rows"])
+
+    return run
 
 
 def _opened(rows: bytes) -> pa.Table:
@@ -163,65 +205,50 @@ def _words(b: Bigrams, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return words[order], shard[order], np.flatnonzero(np.diff(shard[order], prepend=-1))
 
 
-def _asking(shards: int):
-    """For each block and shard its bigrams and their counts in the block's training rows, and
-    its words to shards that are told by numbers below 0."""
+def _counting(shards: int):
+    """For each block of training rows and each shard its bigrams and their counts."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, rows in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                texts = _opened(rows.as_py())
-                w, first = _read(texts.column("text").combine_chunks())
+            for part in _cut(batch):
+                w, first = _read(part.column("text"))
                 if not len(w):
                     continue
-                b = _bigrams(w, _before(w, first), shards)
-                toxic = np.repeat(texts.column("toxic").to_numpy(), np.diff(first))
+                b = _bigrams(w, _before(w, first), shards, by_key=False)
+                toxic = np.repeat(part.column("toxic").to_numpy(), np.diff(first))
                 n1, n0 = (np.bincount(b.at[toxic == k], minlength=len(b.w)).astype("<u4") for k in (1, 0))
                 out = []
-                for i, j in zip(b.cuts, [*b.cuts[1:], len(b.w)], strict=True):
+                for i, j in b.parts():
                     own = b.w[i:j]
                     begin = np.flatnonzero(np.diff(own, prepend=-1))
                     out.append(_packed(_six(own[begin]), np.diff(begin, append=j - i).astype("<u4").tobytes(), _six(b.v[i:j]), n1[i:j].tobytes(), n0[i:j].tobytes()))
-                words, of, cuts = _words(b, shards)
-                out += [_packed(_six(words[i:j])) for i, j in zip(cuts, [*cuts[1:], len(words)], strict=True)]
-                shard = np.append(b.shard[b.cuts], -1 - of[cuts])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(shard), block)), pa.array(shard), pa.array(out, pa.binary())], ["block", "shard", "data"])
+                yield pa.RecordBatch.from_arrays([pa.array(b.shard[b.cuts]), pa.array(out, pa.binary())], ["shard", "data"])
 
     return run
 
 
-def _result(rows: pa.Table | None = None, words: np.ndarray | None = None, counts: list | None = None) -> pa.Table:
-    """Rows of ``RESULT``: answers (block, shard, data), or words with their counts."""
-    n = rows.num_rows if rows is not None else len(words)
-    long_ = pa.nulls(n, pa.int64())
-    left = [rows.column(c) for c in ("block", "shard", "data")] if rows is not None else [long_, long_, pa.nulls(n, pa.binary())]
-    right = [long_] * (1 + len(COUNTS)) if rows is not None else [pa.array(words), *(pa.array(c.astype(np.int64)) for c in counts)]
-    return pa.table([*left, *right], ["block", "shard", "data", "word", *COUNTS])
-
-
 def _shard(rows: pa.Table) -> pa.Table:
-    """The sums of all blocks' counts for each block, in its order, and counts of words."""
-    if rows.column("shard")[0].as_py() < 0:
-        return _result(rows.select(["block", "shard", "data"]))
+    """A shard's part of the model (hashes of its bigrams in order, with the sums of all blocks' counts), and counts of words."""
     got = [_unpacked(x.as_py()) for x in rows.column("data")]
     w = np.concatenate([np.repeat(_of_six(x[0]), np.frombuffer(x[1], "<u4")) for x in got])
     v = np.concatenate([_of_six(x[2]) for x in got])
     n1, n0 = (np.concatenate([np.frombuffer(x[k], "<u4") for x in got]).astype(np.int64) for k in (3, 4))
+    del got
     order = np.lexsort((v, w))
-    begin = np.concatenate([[True], (np.diff(w[order]) != 0) | (np.diff(v[order]) != 0)])
-    at = np.empty(len(order), np.int64)
-    at[order] = np.cumsum(begin) - 1
-    one = order[begin]
-    sums = [np.add.reduceat(n[order], np.flatnonzero(begin)) for n in (n1, n0)]
-    ends = np.cumsum([len(x[2]) // 6 for x in got])
-    told = [_packed(*(s[at[a:z]].astype("<u4").tobytes() for s in sums)) for a, z in zip([0, *ends[:-1]], ends, strict=True)]
-    answers = pa.table([rows.column("block"), rows.column("shard"), pa.array(told, pa.binary())], ["block", "shard", "data"])
-    seen = sums[0] + sums[1] > 0
-    w, v, (s1, s0) = w[one][seen], v[one][seen], (s[seen] for s in sums)
+    begin = np.flatnonzero(np.concatenate([[True], (np.diff(w[order]) != 0) | (np.diff(v[order]) != 0)]))
+    s1, s0 = (np.add.reduceat(n[order], begin) for n in (n1, n0))
+    w, v = w[order[begin]], v[order[begin]]
     words, which = np.unique(np.concatenate([w, v]), return_inverse=True)
     by = lambda k, x: np.bincount(which[: len(w)] if k else which[len(w) :], x, len(words))
     counts = [by(1, s1 > 0), by(1, s0 > 0), by(1, None), by(0, s1), by(0, s0), by(0, s1 > 0), by(0, s0 > 0)]
-    return pa.concat_tables([_result(answers), _result(None, words, counts)])
+    key = _key(w, v)
+    order = np.argsort(key)
+    data = _packed(_gaps(key[order]), *(_planes(s[order]) for s in (s1, s0)))
+    none = pa.nulls(len(words), pa.int64())
+    told = pa.table([pa.concat_arrays([rows.column("shard").combine_chunks().slice(0, 1), none]), pa.array([data, *[None] * len(words)], pa.binary())], ["shard", "data"])
+    for name, x in zip(["word", *COUNTS], [words, *counts], strict=True):
+        told = told.append_column(name, pa.concat_arrays([pa.nulls(1, pa.int64()), pa.array(x.astype(np.int64))]))
+    return told
 
 
 def _sharded(shards: int):
@@ -235,15 +262,44 @@ def _sharded(shards: int):
     return run
 
 
+def _gathered(rows: pa.Table) -> pa.Table:
+    """A shard of words in one row."""
+    rows = rows.sort_by("word")
+    data = _packed(_gaps(rows.column("word").to_numpy()), *(_planes(rows.column(c).to_numpy()) for c in COUNTS))
+    return pa.table([rows.column("shard").combine_chunks().slice(0, 1), pa.array([data], pa.binary())], ["shard", "data"])
+
+
+def _asking(shards: int):
+    """For each block and shard the hashes of its bigrams, and its words to shards that are told by numbers below 0."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, rows in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                w, first = _read(_opened(rows.as_py()).column("text"))
+                if not len(w):
+                    continue
+                b = _bigrams(w, _before(w, first), shards)
+                words, of, cuts = _words(b, shards)
+                out = [_packed(_gaps(b.key[i:j])) for i, j in b.parts()]
+                out += [_packed(_gaps(words[i:j])) for i, j in zip(cuts, [*cuts[1:], len(words)], strict=True)]
+                shard = np.append(b.shard[b.cuts], -1 - of[cuts])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(shard), block)), pa.array(shard), pa.array(out, pa.binary())], ["block", "shard", "data"])
+
+    return run
+
+
 def _answer(asked: pa.Table, known: pa.Table) -> pa.Table:
-    """The counts of each block's words in one shard, in its order; 0 where a word is not known."""
-    known = known.sort_by("word")
-    words = known.column("word").to_numpy()
-    counts = [np.append(known.column(c).to_numpy(), 0).astype("<u8") for c in COUNTS]
+    """The counts of each block's bigrams or words in one shard, in its order; 0 where one is not known."""
     out = []
-    for data in asked.column("data"):
-        at = _find(words, _of_six(_unpacked(data.as_py())[0]))
-        out.append(_packed(*(c[at].tobytes() for c in counts)))
+    if asked.num_rows:
+        if known.num_rows:
+            parts = _unpacked(known.column("data")[0].as_py())
+            keys, counts = _of_gaps(parts[0]), [np.append(_of_planes(x), np.uint64(0)) for x in parts[1:]]
+        else:
+            keys, counts = np.zeros(0, np.uint64), [np.zeros(1, np.uint64)] * (2 if asked.column("shard")[0].as_py() >= 0 else len(COUNTS))
+        for data in asked.column("data"):
+            at = _find(keys, _of_gaps(_unpacked(data.as_py())[0]))
+            out.append(_packed(*(_planes(c[at]) for c in counts)))
     return pa.table([asked.column("block"), asked.column("shard"), pa.array(out, pa.binary())], ["block", "shard", "data"])
 
 
@@ -299,17 +355,17 @@ def _told(shards: int, model: Model):
 
     def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
         texts = _opened(blocks.column("rows")[0].as_py())
-        w, first = _read(texts.column("text").combine_chunks())
+        w, first = _read(texts.column("text"))
         full = alone = np.zeros(0)
         if len(w):
             b = _bigrams(w, _before(w, first), shards)
             shard = answers.column("shard").to_numpy()
             data = answers.column("data").to_pylist()
             got = [_unpacked(data[k]) for k in sorted(np.flatnonzero(shard >= 0), key=lambda k: shard[k])]
-            bigrams = np.stack([np.concatenate([np.frombuffer(x[k], "<u4") for x in got]) for k in (0, 1)], 1).astype(float)
+            bigrams = np.stack([np.concatenate([_of_planes(x[k]) for x in got]) for k in (0, 1)], 1).astype(float)
             words, _, _ = _words(b, shards)
             got = [_unpacked(data[k]) for k in sorted(np.flatnonzero(shard < 0), key=lambda k: -shard[k])]
-            table = np.stack([np.concatenate([np.frombuffer(x[k], "<u8") for x in got]) for k in range(len(COUNTS))], 1).astype(float)
+            table = np.stack([np.concatenate([_of_planes(x[k]) for x in got]) for k in range(len(COUNTS))], 1).astype(float)
             order = np.argsort(words)
             of_w, of_v = (table[order[np.searchsorted(words[order], x)]] for x in (b.w, b.v))
             full, alone = (x[b.at] for x in ratios(bigrams, of_w, of_v, model))
@@ -327,43 +383,49 @@ def _find(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.where(keys[np.minimum(at, len(keys) - 1)] == x, at, len(keys))
 
 
-def _bucketed(rows: DataFrame, size: int) -> tuple[str, str]:
-    """Write the blocks of ``rows`` in buckets: name and path of the table."""
-    name = f"toxicity_blocks_{uuid4().hex}"
-    path = f"{shared_folder(rows.sparkSession)}/{name}"
-    buckets = int(min(BUCKETS[1], max(BUCKETS[0], 2 * size // BLOCK_BYTES)))
-    rows.mapInArrow(_dealt, "block long, rows binary").write.bucketBy(buckets, "block").option("path", path).saveAsTable(name)
-    return name, path
+def _bucketed(parts: DataFrame, shards: int) -> tuple[str, DataFrame]:
+    """Write the parts of the model in buckets of shards: the table's name, and the table."""
+    name = f"toxicity_model_{uuid4().hex}"
+    path = f"{shared_folder(parts.sparkSession)}/{name}"
+    parts.write.bucketBy(int(min(BUCKETS[1], max(BUCKETS[0], shards))), "shard").option("path", path).saveAsTable(name)
+    out = parts.sparkSession.table(name)
+    out.stored_at = path
+    return name, out
 
 
 def signalled(docs: DataFrame) -> tuple[DataFrame, Model | None]:
     """doc_id, two hashes of the text, and the text's signals, for every row of ``docs`` (doc_id,
     text, toxic: 1 or 0 in training rows); no model without training rows that have words."""
-    spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    shards = max(LEAST_SHARDS, size // SHARD_BYTES)
-    rows = docs.select("doc_id", "text", F.coalesce(F.col("toxic").cast("long"), F.lit(-1)).alias("toxic"), *_hashes("text"))
-    name, path = _bucketed(rows, size)
-    try:
-        blocks = spark.table(name)
-        asked = blocks.mapInArrow(_asking(shards), "block long, shard long, data binary")
-        results = stored(asked.groupBy("shard").applyInArrow(_shard, RESULT), "answers")
-        words = results.where("word is not null").groupBy("word").agg(*(F.sum(c).alias(c) for c in COUNTS))
-        words = stored(words.mapInArrow(_sharded(shards), f"word long, {', '.join(f'{c} long' for c in COUNTS)}, shard long"), "words")
+    bytes_ = F.octet_length("text").cast("long")
+    size, taught = docs.agg(*(F.coalesce(F.sum(x), F.lit(0)) for x in (bytes_, F.when(F.col("toxic").isNotNull(), bytes_)))).first()
+    shards = max(LEAST_SHARDS, size // SHARD_BYTES, taught // TRAINING_BYTES)
+    rounds = int(min(ROUNDS, max(1, size // ROUND_BYTES)))
+    schema = f"doc_id {kind}, h long, h2 long, {', '.join(f'{x} double' for x in SIGNALS)}"
+    with without_shuffle_files(docs.sparkSession):
+        training = docs.where("toxic is not null").select("text", F.col("toxic").cast("long").alias("toxic"))
+        counted = training.mapInArrow(_counting(shards), "shard long, data binary")
+        results = stored(counted.groupBy("shard").applyInArrow(_shard, f"shard long, data binary, {WORD}"), "counts")
+        words = stored(results.where("word is not null").groupBy("word").agg(*(F.sum(c).alias(c) for c in COUNTS)), "words")
         met = lambda c: F.count(F.when(F.col(c) > 0, 1))
         n1, n0, n, types1, types0, known = (x or 0 for x in words.agg(*(F.sum(c) for c in COUNTS[:3]), met("c1"), met("c0"), met("c")).first())
         model = Model((n1, n0, n), (types1, types0), known)
-        of_words = results.where("shard < 0").select("block", "shard", "data").groupBy("shard").cogroup(words.groupBy("shard")).applyInArrow(_answer, ANSWER)
-        answers = results.where("shard >= 0").select("block", "shard", "data").unionByName(of_words)
-        schema = f"doc_id {kind}, h long, h2 long, {', '.join(f'{x} double' for x in SIGNALS)}"
-        found = stored(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_told(shards, model), schema), "signals")
-    finally:  # a failed run leaves nothing in the catalog
-        spark.sql(f"DROP TABLE {name}")
-    blocks.stored_at = path
-    for old in (blocks, results, words):
-        removed(old)
-    return found, model if known else None
+        of_words = words.mapInArrow(_sharded(shards), f"{WORD}, shard long").groupBy("shard").applyInArrow(_gathered, "shard long, data binary")
+        name, parts = _bucketed(results.where("data is not null").select("shard", "data").unionByName(of_words), shards)
+        try:
+            removed(results)
+            removed(words)
+            blocks = stored(docs.select("doc_id", "text", *_hashes("text")).mapInArrow(_dealt(rounds), "round int, block long, rows binary"), "blocks", "round")
+            found = []
+            for k in range(rounds):
+                own = blocks.where(F.col("round") == k).select("block", "rows")
+                answers = own.mapInArrow(_asking(shards), ANSWER).groupBy("shard").cogroup(parts.groupBy("shard")).applyInArrow(_answer, ANSWER)
+                found.append(stored(own.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_told(shards, model), schema), "signals"))
+        finally:  # a failed run leaves nothing in the catalog
+            docs.sparkSession.sql(f"DROP TABLE {name}")
+    removed(blocks)
+    removed(parts)
+    return reduce(DataFrame.unionByName, found), model if known else None
 
 
 def _hashes(text: str) -> list[Column]:
