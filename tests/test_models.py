@@ -322,3 +322,43 @@ def test_one_class_against_the_rest(spark):  # L10
 def test_windows_refit_their_own_labels(spark):  # L12
     got = {w: models.model_table(spark, SF, w).agg(models.F.count("*"), models.F.sum("y")).first() for w in (1, 3)}
     assert 0 < got[1][1] <= got[3][1]  # a wider window links no fewer events
+
+
+def test_a_round_of_refits_adds_up_few_tables_of_rows_and_replicates():
+    # against the sums of each cluster written out; cut clusters come as rows of their own
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from tideline.operators import replicates
+
+    r = np.random.default_rng(4)
+    reps, p, sizes = 500, 3, r.integers(1, 9, 60)
+    pairs = [(j, k) for j in range(p) for k in range(j, p)]
+    x = [np.hstack([(r.random((n, 1)) < 0.3), np.ones((n, 1)), r.normal(size=(n, p - 1))]) for n in sizes]
+    w = r.poisson(1, (len(sizes), reps))
+    drawn = [[{"rep": int(k), "w": int(c[k])} for k in np.flatnonzero(c)] for c in w]
+    beta, alpha = r.normal(size=(reps, p)) / 3, r.uniform(0, 0.3, reps)
+    cut = np.arange(len(sizes)) % 20 == 7
+    kinds = [pa.int64(), pa.int32(), pa.list_(pa.float64()), pa.list_(pa.struct([("rep", pa.int32()), ("w", pa.int32())]))]
+    columns = [np.arange(len(sizes)), np.where(cut, 2, 1), [c.ravel().tolist() for c in x], drawn]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["cluster", "parts", "values", "weights"])
+    tracemalloc.start()
+    got = list(replicates._round_sums(p, pairs, np.arange(reps), beta, alpha)([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == 1 + cut.sum()
+    expected = np.zeros((reps, 4 + p + len(pairs)))
+    for own, by in zip([c for c, k in zip(x, cut, strict=True) if not k], w[~cut], strict=True):
+        y, z, m = own[:, :1], own[:, 1:], len(own)
+        mu = 1 / (1 + np.exp(-z @ beta.T))
+        s = np.sqrt(mu * (1 - mu))
+        e = (y - mu) / s
+        c = alpha / (1 + (m - 1) * alpha)
+        t = z.T @ s
+        score = [(z[:, j] @ (y - mu) - c * t[j] * e.sum(0)) / (1 - alpha) for j in range(p)]
+        info = [((z[:, j] * z[:, k]) @ (s * s) - c * t[j] * t[k]) / (1 - alpha) for j, k in pairs]
+        squares = (e * e).sum(0)
+        expected += by[:, None] * np.stack([e.sum(0) ** 2 - squares, np.full(reps, m * (m - 1)), squares, np.full(reps, m), *score, *info], 1)
+    assert np.allclose(np.array(got[-1]["v"].to_pylist()), expected, rtol=1e-9, atol=1e-9)
+    assert peak < 14 * 8 * reps * sizes.sum()  # fewer tables than the sums have columns

@@ -217,7 +217,8 @@ def _added(df: DataFrame, size: int) -> DataFrame:
 
 
 def _round_sums(p: int, pairs: list[tuple[int, int]], reps: np.ndarray, beta: np.ndarray, alpha: np.ndarray):
-    """Sums of the blocks of a task, for all replicates at once."""
+    """Sums of the blocks of a task, for all replicates at once. Of whole clusters, only residuals and scaled covariates are added up
+    by cluster; what is linear in a cluster's sums is added over rows times weights, as matrix products."""
     place = np.full(int(reps.max(initial=0)) + 1, -1)
     place[reps] = np.arange(len(reps))
 
@@ -231,6 +232,35 @@ def _round_sums(p: int, pairs: list[tuple[int, int]], reps: np.ndarray, beta: np
         cols = [np.ones_like(s), r, r * r, *(x[:, j : j + 1] * s for j in range(p)), *(x[:, j : j + 1] * raw for j in range(p)), *(x[:, j : j + 1] * x[:, k : k + 1] * s * s for j, k in pairs)]
         return np.stack([np.add.reduceat(c, first, axis=0) for c in cols], 1)
 
+    left, right = np.array(pairs).T
+
+    def weighted(rows: np.ndarray, first: np.ndarray, w: np.ndarray) -> tuple:
+        """By block and replicate: residuals and scaled covariates. By replicate: squares, score and information, each row times its weight."""
+        y, x = rows[:, :1], rows[:, 1:]
+        mu = x @ beta.T
+        np.clip(mu, -700, 700, out=mu)
+        np.exp(np.negative(mu, out=mu), out=mu)
+        np.reciprocal(np.add(mu, 1, out=mu), out=mu)
+        raw, v = y - mu, mu * (1 - mu)
+        s = np.sqrt(v)
+        r = raw / s
+        by_block = [np.add.reduceat(r, first, axis=0), np.add.reduceat(s, first, axis=0), *(np.add.reduceat(x[:, j : j + 1] * s, first, axis=0) for j in range(1, p))]
+        w = np.repeat(w, np.diff(first, append=len(rows)), axis=0)
+        return np.stack(by_block), np.einsum("ij,ij,ij->j", w, r, r), x.T @ (w * raw), (x[:, left] * x[:, right]).T @ (w * v)
+
+    def of_whole(rows: np.ndarray, first: np.ndarray, w: np.ndarray, most: int) -> np.ndarray:
+        m = np.diff(first, append=len(rows)).astype(float)
+        if len(first) > 1 or len(rows) <= most:
+            by_block, squares, score, info = weighted(rows, first, w)
+        else:  # a single block of very many rows is added up in pieces
+            got = [weighted(rows[k : k + most], np.zeros(1, np.int64), w) for k in range(0, len(rows), most)]
+            by_block, squares, score, info = (sum(x) for x in zip(*got, strict=True))
+        r, x = by_block[0], by_block[1:]
+        wc = w * (alpha / (1 + (m[:, None] - 1) * alpha))
+        score = [(score[j] - (wc * x[j] * r).sum(0)) / (1 - alpha) for j in range(p)]
+        info = [(info[q] - (wc * x[j] * x[k]).sum(0)) / (1 - alpha) for q, (j, k) in enumerate(pairs)]
+        return np.stack([(w * r * r).sum(0) - squares, (m * (m - 1)) @ w, squares, m @ w, *score, *info])
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((4 + p + len(pairs), len(reps)))
         for batch in batches:
@@ -244,21 +274,20 @@ def _round_sums(p: int, pairs: list[tuple[int, int]], reps: np.ndarray, beta: np
             weights = np.zeros((batch.num_rows, len(reps)))
             weights[owner[ok], place[at[ok]]] = of[ok]
             most = max(1, AT_ONCE // max(1, len(reps) * (3 + 2 * p + len(pairs))))
-            a = 0
+            whole, ends, a = parts == 1, np.cumsum(size), 0
+            turns = np.append(np.flatnonzero(np.diff(whole)) + 1, batch.num_rows)
             while a < batch.num_rows:
-                z = max(a + 1, int(np.searchsorted(np.cumsum(size), (size[:a].sum() + most), "right")))
+                z = max(a + 1, int(np.searchsorted(ends, (ends[a] - size[a] + most), "right")))
+                z = min(z, int(turns[np.searchsorted(turns, a, "right")]))  # either whole clusters or parts of cut ones
                 rows = flat[offsets[a] : offsets[z]].reshape(-1, p + 1)
                 first = np.concatenate([[0], np.cumsum(size[a:z])[:-1]])
-                v, w = sums_in_pieces(rows, first, most), weights[a:z]
-                whole = parts[a:z] == 1
-                if whole.any():
-                    m, r, rr = v[whole, 0], v[whole, 1], v[whole, 2]
-                    x, xr, xx = v[whole, 3 : 3 + p], v[whole, 3 + p : 3 + 2 * p], v[whole, 3 + 2 * p :]
-                    c = alpha / (1 + (m - 1) * alpha)
-                    score = [(xr[:, j] - c * x[:, j] * r) / (1 - alpha) for j in range(p)]
-                    info = [(xx[:, q] - c * x[:, j] * x[:, k]) / (1 - alpha) for q, (j, k) in enumerate(pairs)]
-                    total += np.stack([(w[whole] * y).sum(0) for y in (r * r - rr, m * (m - 1), rr, m, *score, *info)])
-                for b in np.flatnonzero(~whole):
+                w = weights[a:z]
+                if whole[a]:
+                    total += of_whole(rows, first, w, most)
+                    a = z
+                    continue
+                v = sums_in_pieces(rows, first, most)
+                for b in range(z - a):
                     of_ = np.flatnonzero(w[b])
                     n = len(of_)
                     key = batch.column("cluster").slice(a + int(b), 1)
