@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import stored
+from .workers import lean
 
 Unit = tuple[int, int]
 
@@ -63,7 +64,7 @@ def map_units(df: DataFrame, work: Callable[[pa.Table, list[Unit]], pa.Table | N
         if out is not None and out.num_rows:
             yield from out.to_batches()
 
-    return df.repartition("gid").sortWithinPartitions("gid", "side").mapInArrow(run, schema)
+    return df.repartition("gid").sortWithinPartitions("gid", "side").mapInArrow(lean(run), schema)
 
 
 def roots(near: np.ndarray) -> np.ndarray:

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from . import textops
 
 GRAMS = 1 << 16
+COUNTED_BYTES = 1 << 20  # of texts that are counted at once
 SEGMENT = 48
 PENALTY = 2.0
 TOLERANCE = 0.01  # of a log likelihood, against a penalty of 1.4 and more
@@ -59,7 +60,7 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[str, np.ndarray] = {}
     for batch in batches:
         langs = np.array(batch.column(0).to_pylist(), object)
-        for first, data, offsets in textops.chunks(batch.column(1)):
+        for first, data, offsets in textops.chunks(batch.column(1), size=COUNTED_BYTES):
             gram, doc = _grams(data, offsets)
             names, which = np.unique(langs[first : first + len(offsets) - 1].astype(str), return_inverse=True)
             ok = gram >= 0
@@ -134,7 +135,7 @@ def _predict(names: list[str], model):
         table = model.value
         for batch in batches:
             langs, scores = [], []
-            for first, data, offsets in textops.chunks(batch.column(1)):
+            for first, data, offsets in textops.chunks(batch.column(1), size=COUNTED_BYTES):
                 n = len(offsets) - 1
                 ascii_ = np.concatenate([[0], np.cumsum((data >= 97) & (data <= 122))])[offsets]
                 lettered = np.diff(ascii_) > 0

@@ -43,6 +43,7 @@ from . import textops
 from .blocks import map_units, roots, units
 from .components import components
 from .store import carried, name_of, removed, restored, small, stored
+from .workers import lean
 
 TREES, DEPTH = 16, 8
 START = 6  # length of the first prefixes
@@ -91,7 +92,7 @@ def _branches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def forest(reps: DataFrame) -> DataFrame:
     """The tries (tree, branch, rep) in sorted order; ``reps``: rep, signature."""
-    grown = reps.select("rep", "signature").mapInArrow(_branches, "rep long, tree int, branch binary")
+    grown = reps.select("rep", "signature").mapInArrow(lean(_branches), "rep long, tree int, branch binary")
     return stored(grown.repartitionByRange("tree", "branch").sortWithinPartitions("tree", "branch"), "forest")
 
 
@@ -268,7 +269,7 @@ def _linked(docs: DataFrame, n: int, threshold: float, recall: float, screen: fl
     stands for the class."""
     screen = threshold - 0.2 if screen is None else screen
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.col("text").cast("string").alias("text"))
-    signed = stored(ids.mapInArrow(_signer(n), "doc_id long, h long, words binary, signature binary"), "signed")
+    signed = stored(ids.mapInArrow(lean(_signer(n)), "doc_id long, h long, words binary, signature binary"), "signed")
     some = signed.where("words is not null and doc_id is not null")
     copies = some.groupBy("words", "signature").agg(F.min(F.struct(F.col("doc_id").alias("first"), "h")).alias("least"), F.count("*").alias("copies"))
     copies = copies.select("words", "signature", "least.first", "least.h", "copies")
@@ -277,7 +278,7 @@ def _linked(docs: DataFrame, n: int, threshold: float, recall: float, screen: fl
     near = stored(near.join(reps.select("rep", "first", "h", "copies"), F.col("node") == F.col("rep")).select("rep", "component", "first", "h", "copies"), "near")
     texts = ids.withColumnRenamed("doc_id", "first").join(small(near.select("rep", "component", "first", "h")), ["first", "h"])
     bases = stored(texts.where("rep = component").dropDuplicates(["component"]).select("component", F.col("text").alias("base")), "bases")
-    sets = texts.join(bases, "component").select("rep", "component", "text", "base").mapInArrow(_coded(n), "rep long, bits binary, rest binary")
+    sets = texts.join(bases, "component").select("rep", "component", "text", "base").mapInArrow(lean(_coded(n)), "rep long, bits binary, rest binary")
     coded = stored(sets.dropDuplicates(["rep"]), "coded")
     removed(bases)
     met = units(near.select("rep", "component", "copies"), ["component"], "rep", VERIFIED).join(coded, "rep")

@@ -37,6 +37,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .store import small, stored
+from .workers import lean
 
 CAPACITY = 1024
 GRID = 4
@@ -93,7 +94,7 @@ def pieces(docs: DataFrame, path: str, pattern: str, capacity: int = CAPACITY) -
     """Each document's pieces of at most ``capacity`` ids (``PIECE``)."""
     with open(_json(path)) as f:
         added = [x["content"] for x in json.load(f)["added_tokens"]]
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_cut(path, pattern, capacity, added), PIECE)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(_cut(path, pattern, capacity, added)), PIECE)
 
 
 def _best_pattern(sizes: np.ndarray, price: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:

@@ -46,6 +46,7 @@ from pyspark.sql import types as T
 
 from . import textops
 from .store import carried, name_of, removed, restored, small, stored
+from .workers import lean
 
 TOPICS, DIMENSIONS = 8, 256
 ROUNDS, TOLERANCE, GRAIN = 500, 0.001, 64
@@ -53,6 +54,7 @@ STALL = 25  # rounds in which the misfit has to fall by a hundredth, else the ta
 LEAST_SHARE = 0.01
 NAMES = ("source", "lang", "topic")
 TOPIC_ROUNDS = 15
+AT_ONCE = 2048  # vectors
 UNIT = float(1 << 32)  # of the sums of vectors
 KEEP = 0.75
 POWERS = {"source": 0.7, "lang": 0.7, "topic": 0.7}
@@ -90,6 +92,13 @@ def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(n)).take(pa.array(has)), pa.array(x, pa.binary())], ["h", "x"])
 
 
+def _pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """At most ``AT_ONCE`` rows at a time: a vector of doubles takes much more than its stored counts."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, AT_ONCE):
+            yield batch.slice(at, AT_ONCE)
+
+
 def _vectors(batch: pa.RecordBatch) -> np.ndarray:
     return _unit(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int32).reshape(-1, DIMENSIONS))
 
@@ -99,7 +108,7 @@ def _next_centre(rows: DataFrame, centres: np.ndarray) -> np.ndarray | None:
 
     def run(batches):
         best = None
-        for batch in (b for b in batches if b.num_rows):
+        for batch in _pieces(batches):
             far = 1 - (_vectors(batch) @ centres.T).max(1) if len(centres) else np.ones(batch.num_rows)
             u = textops.mix(batch.column(0).to_numpy().view(np.uint64) + np.uint64(len(centres))) >> np.uint64(11)
             key = np.where(far > 1e-9, np.log((u + 0.5) / float(1 << 53)) / np.maximum(far, 1e-9), -np.inf)
@@ -109,7 +118,7 @@ def _next_centre(rows: DataFrame, centres: np.ndarray) -> np.ndarray | None:
         if best:
             yield pa.RecordBatch.from_arrays([pa.array([float(best[0])]), pa.array([best[1]]), pa.array([best[2]], pa.binary())], ["key", "h", "x"])
 
-    top = rows.mapInArrow(run, "key double, h long, x binary").orderBy(F.desc("key"), "h", "x").limit(1).collect()
+    top = rows.mapInArrow(lean(run), "key double, h long, x binary").orderBy(F.desc("key"), "h", "x").limit(1).collect()
     return _unit(np.frombuffer(bytes(top[0]["x"]), np.int32).reshape(1, -1)) if top else None
 
 
@@ -119,7 +128,7 @@ def _sums(rows: DataFrame, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
     def run(batches):
         sums = np.zeros((len(centres), width), np.int64)
-        for batch in (b for b in batches if b.num_rows):
+        for batch in _pieces(batches):
             x = _vectors(batch)
             nearest = (x @ centres.T).argmax(1)
             words = np.abs(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int32).reshape(-1, DIMENSIONS).astype(np.int64)).sum(1)
@@ -131,7 +140,7 @@ def _sums(rows: DataFrame, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(sums.ravel()[cell])], ["cell", "s"])
 
     out = np.zeros(len(centres) * width)
-    for cell, s in rows.mapInArrow(run, "cell long, s long").groupBy("cell").agg(F.sum("s")).collect():  # centres x (DIMENSIONS + 1)
+    for cell, s in rows.mapInArrow(lean(run), "cell long, s long").groupBy("cell").agg(F.sum("s")).collect():  # centres x (DIMENSIONS + 1)
         out[cell] = s
     out = out.reshape(-1, width)
     return out[:, :-1], out[:, -1]
@@ -140,7 +149,7 @@ def _sums(rows: DataFrame, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def fit_topics(docs: DataFrame, topics: int = TOPICS, least_share: float = LEAST_SHARE) -> np.ndarray:
     """Centres (``topics`` at most, DIMENSIONS) from all texts with words, each nearest to ``least_share`` of the
     words or more; none without such texts."""
-    rows = stored(docs.where("text is not null").select(F.xxhash64("text").alias("h"), "text").mapInArrow(_counted, "h long, x binary"), "vectors")
+    rows = stored(docs.where("text is not null").select(F.xxhash64("text").alias("h"), "text").mapInArrow(lean(_counted), "h long, x binary"), "vectors")
     centres = np.zeros((0, DIMENSIONS))
     while len(centres) < topics and (one := _next_centre(rows, centres)) is not None:
         centres = np.concatenate([centres, one])
@@ -186,7 +195,7 @@ def profiled(rows: DataFrame, centres: np.ndarray, text: str = "_text", drop: bo
     shared = rows.sparkSession.sparkContext.broadcast(centres)
     fields = [f for f in rows.schema.fields if not (drop and f.name == text)]
     schema = T.StructType([*fields, T.StructField("_topic", T.IntegerType()), T.StructField("_tokens", T.LongType())])
-    return rows.mapInArrow(_profiler(shared, text, drop), schema)
+    return rows.mapInArrow(lean(_profiler(shared, text, drop)), schema)
 
 
 def _share(name: str, targets: dict | None) -> Column:

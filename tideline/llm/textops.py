@@ -16,12 +16,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 1 << 20  # what is hashed at once; a longer document is a chunk of its own
+CHUNK_BYTES = 1 << 18  # what is hashed at once; a longer document is a chunk of its own
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     def run(base: int) -> np.ndarray:
         out = np.full(n, base, np.uint64)
@@ -50,8 +50,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def chunks(texts: pa.Array, lower: bool = True) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, bytes, offsets) for runs of rows of about ``CHUNK_BYTES``; nulls count as empty."""
+def chunks(texts: pa.Array, lower: bool = True, size: int = CHUNK_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, bytes, offsets) for runs of rows of about ``size`` bytes; nulls count as empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
@@ -65,7 +65,7 @@ def chunks(texts: pa.Array, lower: bool = True) -> Iterator[tuple[int, np.ndarra
     data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     first = 0
     while first < n:
-        last = int(np.searchsorted(offsets, offsets[first] + CHUNK_BYTES, "right")) - 1
+        last = int(np.searchsorted(offsets, offsets[first] + size, "right")) - 1
         last = min(n, max(last, first + 1))
         yield first, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
         first = last
@@ -93,8 +93,8 @@ def words(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray | None =
     starts[cuts] = ~space[cuts]
     ends[cuts - 1] = ~space[cuts - 1]
     start, end = np.flatnonzero(starts), np.flatnonzero(ends)
-    size = max(CHUNK_BYTES * 2, 1 << int(len(data)).bit_length())
-    up, down = _powers(size)
+    # only the powers for chunks are kept, not those for a longer document
+    up, down = _powers(CHUNK_BYTES) if len(data) <= CHUNK_BYTES else _powers.__wrapped__(len(data))
     total = np.empty(len(data) + 1, np.uint64)
     total[0] = 0
     np.cumsum(_byte_values()[data] * up[: len(data)], out=total[1:])

@@ -45,6 +45,7 @@ from pyspark.sql import functions as F
 
 from . import textops
 from .store import carried, name_of, removed, restored, shared_folder, small, stored, without_shuffle_files
+from .workers import lean, lean_cogroup, lean_group
 
 WINDOWS = (1, 3)
 CALIBRATION_ROWS = 20_000
@@ -404,23 +405,23 @@ def signalled(docs: DataFrame) -> tuple[DataFrame, Model | None]:
     schema = f"doc_id {kind}, h long, h2 long, {', '.join(f'{x} double' for x in SIGNALS)}"
     with without_shuffle_files(docs.sparkSession):
         training = docs.where("toxic is not null").select("text", F.col("toxic").cast("long").alias("toxic"))
-        counted = training.mapInArrow(_counting(shards), "shard long, data binary")
-        results = stored(counted.groupBy("shard").applyInArrow(_shard, f"shard long, data binary, {WORD}"), "counts")
+        counted = training.mapInArrow(lean(_counting(shards)), "shard long, data binary")
+        results = stored(counted.groupBy("shard").applyInArrow(lean_group(_shard), f"shard long, data binary, {WORD}"), "counts")
         words = stored(results.where("word is not null").groupBy("word").agg(*(F.sum(c).alias(c) for c in COUNTS)), "words")
         met = lambda c: F.count(F.when(F.col(c) > 0, 1))
         n1, n0, n, types1, types0, known = (x or 0 for x in words.agg(*(F.sum(c) for c in COUNTS[:3]), met("c1"), met("c0"), met("c")).first())
         model = Model((n1, n0, n), (types1, types0), known)
-        of_words = words.mapInArrow(_sharded(shards), f"{WORD}, shard long").groupBy("shard").applyInArrow(_gathered, "shard long, data binary")
+        of_words = words.mapInArrow(lean(_sharded(shards)), f"{WORD}, shard long").groupBy("shard").applyInArrow(lean_group(_gathered), "shard long, data binary")
         name, parts = _bucketed(results.where("data is not null").select("shard", "data").unionByName(of_words), shards)
         try:
             removed(results)
             removed(words)
-            blocks = stored(docs.select("doc_id", "text", *_hashes("text")).mapInArrow(_dealt(rounds), "round int, block long, rows binary"), "blocks", "round")
+            blocks = stored(docs.select("doc_id", "text", *_hashes("text")).mapInArrow(lean(_dealt(rounds)), "round int, block long, rows binary"), "blocks", "round")
             found = []
             for k in range(rounds):
                 own = blocks.where(F.col("round") == k).select("block", "rows")
-                answers = own.mapInArrow(_asking(shards), ANSWER).groupBy("shard").cogroup(parts.groupBy("shard")).applyInArrow(_answer, ANSWER)
-                found.append(stored(own.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_told(shards, model), schema), "signals"))
+                answers = own.mapInArrow(lean(_asking(shards)), ANSWER).groupBy("shard").cogroup(parts.groupBy("shard")).applyInArrow(lean_cogroup(_answer), ANSWER)
+                found.append(stored(own.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lean_cogroup(_told(shards, model)), schema), "signals"))
         finally:  # a failed run leaves nothing in the catalog
             docs.sparkSession.sql(f"DROP TABLE {name}")
     removed(blocks)
