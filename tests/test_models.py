@@ -311,6 +311,29 @@ def test_selection_takes_the_best_on_validation(spark):  # L7, L9
     assert rows.agg(models.F.max_by("features", "ap")).first()[0] == "both"
 
 
+@given
+def test_selection_scores_the_test_seasons_once(spark, monkeypatch):  # L7
+    monkeypatch.setattr(models, "GRID", {"forest": {"trees": 5, "depth": 3}, "boosting": {"rounds": 2, "depth": 2, "rate": 0.2}})
+    out = models.l07(spark, SF).collect()
+    t = models.model_table(spark, SF)
+    train, val, test = models.parts(t)
+    assert [(r["part"], r["model"]) for r in out[:4]] == [("val", n) for n in (*models.ALGORITHMS, "parsimonious boosting")]
+    assert len(out) == 5 and out[4]["part"] == "test" and {r["n"] for r in out[:4]} == {val.count()} and out[4]["n"] == test.count() > 0
+    assert out[4]["model"] == max(out[:4], key=lambda r: r["ap"])["model"]
+    one = models.evaluated(fit.scored(fit.fit_logistic(train, models.ALL), val, models.ALL)).first()
+    assert out[0]["auc"] == pytest.approx(one["auc"], abs=1e-9) and out[0]["ap"] == pytest.approx(one["ap"], abs=1e-9)
+
+
+@given
+def test_selection_of_equals_takes_the_first(spark, monkeypatch):  # L7
+    # a validation season without events tells no candidate from another
+    t = models.model_table(spark, SF).withColumn("y", models.F.expr("if(season = 2, 0, y)")).cache()
+    monkeypatch.setattr(models, "modelled", lambda *a: models.held(t))
+    monkeypatch.setattr(models, "fitted", lambda name, train, columns, *a: fit.fit_logistic(train, columns))
+    out = models.l07(spark, SF).collect()
+    assert {(r["positives"], r["ap"]) for r in out[:4]} == {(0, None)} and out[4]["model"] == "logistic" and out[4]["ap"] > 0
+
+
 def test_one_class_against_the_rest(spark):  # L10
     t = planted(spark, 300, 6, 2.0)
     rows = {k: {r["user_id"] for r in models.of_class(t, k).where("y = 1").collect()} for k in (1, 2, 3)}
