@@ -313,7 +313,7 @@ def test_selection_takes_the_best_on_validation(spark):  # L7, L9
 
 @given
 def test_selection_scores_the_test_seasons_once(spark, monkeypatch):  # L7
-    monkeypatch.setattr(models, "GRID", {"forest": {"trees": 5, "depth": 3}, "boosting": {"rounds": 2, "depth": 2, "rate": 0.2}})
+    monkeypatch.setattr(models.fitted, "__defaults__", ({"forest": {"trees": 5, "depth": 3}, "boosting": {"rounds": 2, "depth": 2, "rate": 0.2}}, 7))
     out = models.l07(spark, SF).collect()
     t = models.model_table(spark, SF)
     train, val, test = models.parts(t)
